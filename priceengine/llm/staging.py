@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -33,3 +34,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """`df` marked for broadcast if its counted rows are no more than `max_rows`, else as it is."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The schema of `df` with one more column."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
