@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from priceengine.llm.staging import map_arrow
+
 PAD, UNIT = 255, 576
 RATE_IN, UP, DOWN = 24_000, 2, 3
 RATE = RATE_IN * UP // DOWN
@@ -154,7 +156,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media, logmel, spans, n_frames) of each row."""
-    return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text").mapInArrow(_encode, SCHEMA)
+    return map_arrow(docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text"), _encode, SCHEMA)
 
 
 def tensor_column(logmel: pa.Array) -> pa.ExtensionArray:
@@ -178,4 +180,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(media: DataFrame) -> DataFrame:
     """What `audio_columns` stored, read back and hashed."""
-    return media.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(media, _digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceengine.llm.kernels import pieces, utf8
+from priceengine.llm.staging import map_arrow
 
 TURN, SAYS, END = b"<|turn|>", b"<|says|>", b"<|end|>\n"
 ESCAPE, OPEN = 0x5C, 0x3C
@@ -110,7 +111,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """One row for each conversation of (conv_id, turn, role, text): the formatted text and the byte spans under the loss mask."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_format, SCHEMA)
+    return map_arrow(dealt.select("conv_id", "role", "text"), _format, SCHEMA)
 
 
 def unescaped(text: bytes) -> bytes:
@@ -162,4 +163,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(chats: DataFrame) -> DataFrame:
     """Turns and masked texts, read back from the formatted conversations."""
-    return chats.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(chats, _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

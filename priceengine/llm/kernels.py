@@ -76,9 +76,9 @@ def text_rows(batch: pa.RecordBatch, name: str, limit: int = PIECE_BYTES) -> Ite
     return pieces(*utf8(batch.column(batch.schema.get_field_index(name))), limit)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each run of bytes that are no white space; runs end with their row."""
-    word = ~IS_SPACE[data]
+def tokens(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each run of bytes that are not `between` (white space, if not given); runs end with their row."""
+    word = ~between[data]
     if not len(word):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.zeros(len(word) + 1, bool)

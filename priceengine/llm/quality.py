@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priceengine.llm.kernels import row_bytes, row_counts, text_rows, token_hashes
-from priceengine.llm.staging import small, staged, with_field
+from priceengine.llm.staging import map_arrow, small, staged, with_field
 
 FEATURES = ("chars", "upper", "symbol", "digit", "repeat", "distinct", "wordlen", "marked", "bare", "space")
 BINS = 32
@@ -85,7 +85,7 @@ def with_bins(docs: DataFrame) -> DataFrame:
             bins = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(FEATURES)), pa.int32()), pa.array(flat, pa.int8()))
             yield pa.RecordBatch.from_arrays([*batch.columns, bins], [*batch.schema.names, "__bins"])
 
-    return docs.mapInArrow(run, with_field(docs, "__bins", T.ArrayType(T.ByteType())))
+    return map_arrow(docs, run, with_field(docs, "__bins", T.ArrayType(T.ByteType())))
 
 
 def fit_bins(labelled: DataFrame) -> dict[tuple[int, int], float]:
@@ -175,7 +175,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     base = F.lit(float(np.log(mean / (1 - mean))))
     site = F.greatest(F.least(logit(F.coalesce("__path_rate", "__host_rate", F.lit(mean))) - base, F.lit(SITE_LIMIT)), F.lit(-SITE_LIMIT))
     scored = (
-        clean.mapInArrow(run, with_field(clean, "evidence", T.DoubleType()))
+        map_arrow(clean, run, with_field(clean, "evidence", T.DoubleType()))
         .join(small(host, MAX_SITES), F.col("source").eqNullSafe(F.col("__host")), "left")
         .join(small(path, MAX_SITES), F.col("source").eqNullSafe(F.col("__psource")) & F.col("lang").eqNullSafe(F.col("__plang")), "left")
         .withColumn("prior", 1 / (1 + F.exp(-(base + site))))

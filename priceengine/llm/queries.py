@@ -12,12 +12,22 @@ from priceengine.llm.decontaminate import find_leaks
 from priceengine.llm.line_dedup import dedup_lines
 from priceengine.llm.mixing import mix_sources
 from priceengine.llm.quality import THRESHOLD, score_quality
+from priceengine.llm.toxicity import learn, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; one part of four of the ids is held out of learning."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = learn(docs.select("doc_id", "text"), labels.where(~held))
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"), "toxic_hits")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) with a leak."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,6 +67,7 @@ def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_decontaminate": op2_decontaminate,
         "op4_quality": op4_quality,
         "op6_line_dedup": op6_line_dedup,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
+_SHIPPED: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,3 +43,13 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     """The schema of `df` with one more column."""
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
+def map_arrow(df: DataFrame, task: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow, with this package sent to the executors once, so that tasks find it wherever they run."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        _SHIPPED[sc.applicationId] = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-ship-')}/{package.name}", "zip", package.parent, package.name)
+        sc.addPyFile(_SHIPPED[sc.applicationId])
+    return df.mapInArrow(task, schema)
