@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priceengine.llm import audio, chat
+from priceengine.llm import audio, chat, language_model
 from priceengine.llm.decontaminate import find_leaks
 from priceengine.llm.line_dedup import dedup_lines
 from priceengine.llm.mixing import mix_sources
@@ -65,6 +65,15 @@ def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.audio_columns(table(spark, sf_dir, "documents")))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model = language_model.fit(docs.where(~held))
+    scored = language_model.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -74,4 +83,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_chat": op8_chat,
         "op9_audio": op9_audio,
+        "op10_language_model": op10_language_model,
     }
