@@ -15,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priceengine.llm.staging import staged
+from priceengine.llm.staging import small, staged
 
 SPACE = " \t\n\x0b\x0c\r"
+#: Common lines are broadcast up to so many counted rows of 24 bytes; beyond, both sides are dealt out.
+MAX_BROADCAST_KEYS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,6 +45,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
         .groupBy("__k1", "__k2").agg(F.count("__one").alias("__n"), F.max("__id").alias("__last"))
         .where(F.col("__n") >= min_docs).select("__k1", "__k2", "__last")
     )
+    # written first, so that the join meets plain exchanges: AQE then splits a hot key of `one`
+    common = small(staged(common, "common"), MAX_BROADCAST_KEYS)
     drops = (
         one.join(common, ["__k1", "__k2"]).where(F.col("__id") < F.col("__last"))
         .groupBy("__id").agg(F.collect_set("__pos").alias("__drop"))
