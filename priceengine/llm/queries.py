@@ -11,6 +11,7 @@ from priceengine.llm import audio, chat, language_model
 from priceengine.llm.decontaminate import find_leaks
 from priceengine.llm.line_dedup import dedup_lines
 from priceengine.llm.mixing import mix_sources
+from priceengine.llm.near_dedup import near_classes
 from priceengine.llm.quality import THRESHOLD, score_quality
 from priceengine.llm.toxicity import learn, score_toxicity
 
@@ -33,6 +34,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document, and whether the pipeline keeps it."""
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_decontaminate": op2_decontaminate,
+        "op3_near_dedup": op3_near_dedup,
         "op4_quality": op4_quality,
         "op6_line_dedup": op6_line_dedup,
         "op7_mixing": op7_mixing,
