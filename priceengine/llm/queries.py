@@ -13,6 +13,7 @@ from priceengine.llm.line_dedup import dedup_lines
 from priceengine.llm.mixing import mix_sources
 from priceengine.llm.near_dedup import near_classes
 from priceengine.llm.quality import THRESHOLD, score_quality
+from priceengine.llm.substring_dedup import without_repeats
 from priceengine.llm.toxicity import learn, score_toxicity
 
 
@@ -45,6 +46,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "source", "lang", "evidence", "prior", "quality_score", (F.col("quality_score") >= THRESHOLD).cast("int").alias("keep"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without its repeated 400-byte strings."""
+    left = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document."""
     return dedup_lines(table(spark, sf_dir, "documents")).select(
@@ -86,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_near_dedup": op3_near_dedup,
         "op4_quality": op4_quality,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_mixing": op7_mixing,
         "op8_chat": op8_chat,
