@@ -26,11 +26,12 @@ def changed_only(rows: DataFrame, keys: list[str], value: Column, known: DataFra
     sorted and streamed through in one task (its state is one value), as each row depends on the one before.
     """
     rows = rows.withColumn("__value", value)
-    before = F.lag("__value").over(Window.partitionBy(*keys).orderBy("seq"))
+    in_order = Window.partitionBy(*keys).orderBy("seq")
+    before = F.lag("__value").over(in_order)
     if known is None:
         return rows.withColumn("__before", before).where(~F.col("__value").eqNullSafe(F.col("__before"))).drop("__value", "__before")
     stored = known.select(*keys, F.col("value").alias("__stored"))
-    out = rows.join(stored, keys, "left").withColumn("__before", F.coalesce(before, "__stored"))
+    out = rows.join(stored, keys, "left").withColumn("__before", F.when(F.row_number().over(in_order) == 1, F.col("__stored")).otherwise(before))
     return out.where(~F.col("__value").eqNullSafe(F.col("__before"))).drop("__value", "__before", "__stored")
 
 
