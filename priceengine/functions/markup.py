@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from priceengine.functions.scalars import ENTITIES
+from priceengine.functions.scalars import ENTITIES, half_up, let
 
 
 def _character(code: Column) -> Column:
@@ -18,10 +20,17 @@ def decoded(text: Column) -> Column:
     out = text
     for name, by in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(by))
-    decimal = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#(\d{1,7});"), 0))
-    out = F.aggregate(decimal, out, lambda s, r: F.replace(s, r, F.coalesce(_character(F.regexp_extract(r, r"\d+", 0).cast("long")), r)))
-    hexes = F.array_distinct(F.regexp_extract_all(out, F.lit(r"(?i)&#x([\da-f]{1,6});"), 0))
-    return F.aggregate(hexes, out, lambda s, r: F.replace(s, r, F.coalesce(_character(F.conv(F.regexp_extract(r, r"(?i)&#x([\da-f]+);", 1), 16, 10).cast("long")), r)))
+
+    def numbers(s: Column, pattern: str, code: Callable[[Column], Column]) -> Column:
+        """Every different reference replaced; most texts have none and skip the loop."""
+        def each(x: Column) -> Column:
+            found = F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), 0))
+            return F.when(F.contains(x, F.lit("&#")), F.aggregate(found, x, lambda t, r: F.replace(t, r, F.coalesce(let(code(r), _character), r)))).otherwise(x)
+
+        return let(s, each)
+
+    out = numbers(out, r"&#\d{1,7};", lambda r: F.regexp_extract(r, r"\d+", 0).cast("long"))
+    return numbers(out, r"(?i)&#x[\da-f]{1,6};", lambda r: F.conv(F.regexp_extract(r, r"(?i)&#x([\da-f]+);", 1), 16, 10).cast("long"))
 
 
 def visible(html: Column) -> Column:
@@ -55,21 +64,29 @@ def item_count(html: Column) -> Column:
 def multibuy(callout: Column) -> Column:
     """struct<quantity, total_cents, unit_cents> of `3 for $10`, or null."""
     pattern = r"(?i)(\d+)\s+for\s+\$\s*([\d,]+(?:\.\d{1,2})?)"
-    n = F.regexp_extract(callout, pattern, 1).try_cast("long")
-    total = F.floor(F.replace(F.regexp_extract(callout, pattern, 2), F.lit(","), F.lit("")).try_cast("double") * F.lit(100.0) + F.lit(0.5)).cast("long")
-    found = F.struct(n.alias("quantity"), total.alias("total_cents"), F.floor(F.try_divide(total.cast("double"), n.cast("double")) + F.lit(0.5)).cast("long").alias("unit_cents"))
-    return F.when((n > 0) & total.isNotNull(), found)
+    found = F.struct(
+        F.regexp_extract(callout, pattern, 1).try_cast("long").alias("n"),
+        half_up(F.replace(F.regexp_extract(callout, pattern, 2), F.lit(","), F.lit("")).try_cast("double") * F.lit(100.0)).alias("total"),
+    )
+
+    def offer(x: Column) -> Column:
+        unit = half_up(F.try_divide(x["total"].cast("double"), x["n"].cast("double")))
+        return F.when((x["n"] > 0) & x["total"].isNotNull(), F.struct(x["n"].alias("quantity"), x["total"].alias("total_cents"), unit.alias("unit_cents")))
+
+    return let(found, offer)
 
 
 def best_image(images: Column) -> Column:
     """Of JSON text: a string is itself, a list gives its first non-empty entry, an object the entry with the largest numeric key."""
-    value = F.try_parse_json(images)
-    kind = F.schema_of_variant(value)
-    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,string>"))
-    numbered = F.filter(F.transform(entries, lambda e: F.struct(e["key"].try_cast("double").alias("n"), e["value"].alias("url"))), lambda e: e["n"].isNotNull())
-    listed = F.filter(F.try_variant_get(value, "$", "array<string>"), lambda u: u != "")
-    return (
-        F.when(kind == "STRING", F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")))
-        .when(kind.startswith("ARRAY"), F.try_element_at(listed, F.lit(1)))
-        .when(kind.startswith("OBJECT"), F.array_max(numbered)["url"])
-    )
+    def best(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        entries = F.map_entries(F.try_variant_get(value, "$", "map<string,string>"))
+        numbered = F.filter(F.transform(entries, lambda e: F.struct(e["key"].try_cast("double").alias("n"), e["value"].alias("url"))), lambda e: e["n"].isNotNull())
+        listed = F.filter(F.try_variant_get(value, "$", "array<string>"), lambda u: u != "")
+        return (
+            F.when(kind == "STRING", F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")))
+            .when(kind.startswith("ARRAY"), F.try_element_at(listed, F.lit(1)))
+            .when(kind.startswith("OBJECT"), F.array_max(numbered)["url"])
+        )
+
+    return let(F.try_parse_json(images), best)

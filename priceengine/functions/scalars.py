@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ FAILURES = (
 PRODUCT_ID = r"^[a-z]+:[a-zA-Z0-9_-]+$"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def half_up(x: Column) -> Column:
     """The nearest whole number; halves go towards plus infinity."""
     return F.floor(x + F.lit(0.5)).cast("long")
@@ -62,7 +69,7 @@ def dollars_to_cents(x: Column) -> Column:
 def money(text: Column) -> Column:
     """Cents of the first `$1,234.50` in a text, or null."""
     found = F.replace(F.regexp_extract(text, r"\$\s*([\d,]+(?:\.\d{1,2})?)", 1), F.lit(","), F.lit(""))
-    return half_up(F.try_to_number(F.when(found != "", found), F.lit("999999999999D99")).cast("double") * F.lit(100.0))
+    return half_up(found.try_cast("double") * F.lit(100.0))
 
 
 def cents_text(cents: Column) -> Column:
@@ -98,17 +105,15 @@ def name_tokens(name: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all different tokens; 0 if there are none."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / union.cast("double"))
+    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("either"))
+    return let(sizes, lambda n: F.when(n["either"] == 0, F.lit(0.0)).otherwise(n["both"].cast("double") / n["either"].cast("double")))
 
 
 def quantity(size: Column) -> Column:
     """struct<value double, unit string> of sizes such as `1.5 kg`, or null."""
     pattern = rf"(?i)^(\d+(?:\.\d+)?)\s*({'|'.join(UNITS)})$"
-    bare = F.trim(size)
-    unit = F.lower(F.regexp_extract(bare, pattern, 2))
-    found = F.struct(F.regexp_extract(bare, pattern, 1).try_cast("double").alias("value"), F.when(unit == "lt", "l").otherwise(unit).alias("unit"))
-    return F.when(unit != "", found)
+    found = F.struct(F.regexp_extract(F.trim(size), pattern, 1).try_cast("double").alias("value"), F.lower(F.regexp_extract(F.trim(size), pattern, 2)).alias("unit"))
+    return let(found, lambda q: F.when(q["unit"] != "", F.struct(q["value"].alias("value"), F.when(q["unit"] == "lt", "l").otherwise(q["unit"]).alias("unit"))))
 
 
 def name_score(tokens_a: Column, tokens_b: Column, brand_a: Column, brand_b: Column, size_a: Column, size_b: Column) -> Column:

@@ -6,6 +6,8 @@ member_cents, comparative, promotion (struct) and retailer_product_id, for rows
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,13 +65,19 @@ def best_promotion(promotions: Column, decal: Column) -> Column:
     return F.coalesce(best, F.try_element_at(promotions, F.lit(1)), F.when(decal != "", made))
 
 
+def kept(row: Column, keep: Callable[[Column], Column]) -> Column:
+    """A generator of `row` where it fits. Unlike a filter it is never moved below the parsing, which so happens once."""
+    return F.explode(F.filter(F.array(row), keep))
+
+
 def shape_a(raw: DataFrame, payload: str = "payload", namespace: str = "foodstuffs") -> DataFrame:
     """Shape A. With a promotion the price is both the regular and the promotional one, as no price before is told."""
     p = F.col("p")
-    rows = raw.withColumn("p", F.from_json(payload, SHAPE_A)).withColumns({"cents": price_in_cents(F.col("p")), "promo": best_promotion(p["promotions"], p["decalCode"])})
+    found = kept(F.from_json(payload, SHAPE_A), lambda x: price_in_cents(x).isNotNull() & x["productId"].isNotNull())
+    rows = raw.select(found.alias("p")).withColumns({"cents": price_in_cents(p), "promo": best_promotion(p["promotions"], p["decalCode"])})
     tree = F.try_element_at(p["categoryTrees"], F.lit(1))
     promo = F.col("promo")
-    return rows.where(F.col("cents").isNotNull() & p["productId"].isNotNull()).select(
+    return rows.select(
         F.concat(F.lit(f"{namespace}:"), F.lower(p["productId"])).alias("product_id"),
         F.concat_ws(" ", F.nullif(p["name"], F.lit("")), F.nullif(F.coalesce(p["displayName"], p["units"]), F.lit(""))).alias("name"), F.nullif(p["brand"], F.lit("")).alias("brand"),
         F.lit(None).cast("string").alias("gtin"), F.coalesce(p["categories"], F.when(tree.isNotNull(), F.filter(F.array(tree["level0"], tree["level1"], tree["level2"]), lambda c: c != ""))).alias("categories"),
@@ -90,7 +98,8 @@ def shape_b(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Shape B. A club price is the members' price and no promotional one."""
     p = F.col("p")
     price = p["price"]
-    rows = raw.withColumn("p", F.from_json(payload, SHAPE_B)).withColumn("cents", dollars_to_cents(F.coalesce(p["price"]["salePrice"], p["price"]["originalPrice"])))
+    paid = lambda x: F.coalesce(x["price"]["salePrice"], x["price"]["originalPrice"])
+    rows = raw.select(kept(F.from_json(payload, SHAPE_B), lambda x: paid(x).isNotNull() & (x["sku"] != "")).alias("p")).withColumn("cents", dollars_to_cents(paid(p)))
     club = F.coalesce(price["isClubPrice"], F.lit(False))
     special = F.coalesce(price["isSpecial"], F.lit(False)) | F.coalesce(p["productTag"]["tagType"] == "IsSpecial", F.lit(False))
     departments = F.filter(F.transform(p["departments"], lambda d: d["name"]), lambda c: c != "")
@@ -99,7 +108,7 @@ def shape_b(raw: DataFrame, payload: str = "payload") -> DataFrame:
         type=F.when(club, "MEMBER_PRICE").otherwise("SPECIAL"), member_only=club, save_cents=dollars_to_cents(price["savePrice"]), save_percent=price["savePercentage"],
         starts_at=price["promotionStartDate"], ends_at=price["promotionEndDate"],
     )
-    return rows.where(F.col("cents").isNotNull() & (p["sku"] != "")).select(
+    return rows.select(
         F.concat(F.lit("woolworths:"), p["sku"]).alias("product_id"), sized_name(p["name"], p["size"]["volumeSize"]).alias("name"), F.nullif(p["brand"], F.lit("")).alias("brand"),
         F.nullif(p["barcode"], F.lit("")).alias("gtin"), F.when(F.size(departments) > 0, departments).alias("categories"), F.to_json(p["images"]).alias("image"),
         F.coalesce(dollars_to_cents(price["originalPrice"]), F.col("cents")).alias("regular_cents"), F.when(special & ~club, F.col("cents")).alias("promo_cents"), F.when(club, F.col("cents")).alias("member_cents"),
@@ -121,17 +130,19 @@ LINE_MARKER = r'<div class="talker [^"]*"[^>]*data-talker[^>]*id="line_[^"]+"[^>
 
 def storefront(pages: DataFrame, html: str = "html") -> DataFrame:
     """HTML of product lines, one block each: now and before prices, the special flag among the classes."""
-    b = F.col("block")
     head = r'^<div class="talker ([^"]*)"[^>]*data-talker[^>]*id="line_([^"]+)"[^>]*>'
-    rows = pages.select(F.explode(blocks(F.col(html), LINE_MARKER)).alias("block"))
-    rows = rows.withColumns({
-        "classes": F.regexp_extract(b, head, 1), "id": F.regexp_extract(b, head, 2),
-        "name": visible(F.coalesce(capture(b, r'<div class="talker__name[^>]*"[^>]*title="([^"]*)"'), capture(b, r'(?s)<span class="talker__product-name">(.*?)</span>'))),
-        "sell": money(visible(capture(b, r'(?s)<strong class="price__sell"[^>]*>(.*?)</strong>'))), "was": money(visible(capture(b, r'(?s)<span class="talker__prices__was[^>]*>(.*?)</span>'))),
-        "unit": visible(capture(b, r'(?s)<span class="price__units[^>]*>(.*?)</span>')), "compared": visible(capture(b, r'(?s)<span class="[^"]*talker__prices__comparison[^"]*"[^>]*>(.*?)</span>')),
-        "image": decoded(capture(b, r'<img[^>]+src="([^"]+)"')),
-    })
-    rows = rows.where((F.col("id") != "") & (F.col("name") != "") & F.col("sell").isNotNull()).withColumn("regular", F.coalesce("was", "sell"))
+
+    def line(b: Column) -> Column:
+        name = F.coalesce(capture(b, r'<div class="talker__name[^>]*"[^>]*title="([^"]*)"'), capture(b, r'(?s)<span class="talker__product-name">(.*?)</span>'))
+        return F.struct(
+            F.regexp_extract(b, head, 1).alias("classes"), F.regexp_extract(b, head, 2).alias("id"), visible(name).alias("name"),
+            money(visible(capture(b, r'(?s)<strong class="price__sell"[^>]*>(.*?)</strong>'))).alias("sell"), money(visible(capture(b, r'(?s)<span class="talker__prices__was[^>]*>(.*?)</span>'))).alias("was"),
+            visible(capture(b, r'(?s)<span class="price__units[^>]*>(.*?)</span>')).alias("unit"), visible(capture(b, r'(?s)<span class="[^"]*talker__prices__comparison[^"]*"[^>]*>(.*?)</span>')).alias("compared"),
+            decoded(capture(b, r'<img[^>]+src="([^"]+)"')).alias("image"),
+        )
+
+    found = F.filter(F.transform(blocks(F.col(html), LINE_MARKER), line), lambda r: (r["id"] != "") & (r["name"] != "") & r["sell"].isNotNull())
+    rows = pages.select(F.inline(found)).withColumn("regular", F.coalesce("was", "sell"))
     special = F.col("classes").rlike(r"(?:^|\s)(?:special|talker--Special)(?:\s|$)") | (F.col("regular") > F.col("sell"))
     promotion = promotion_struct(id=F.concat_ws(":", F.lit("freshchoice"), F.col("id"), F.col("regular").cast("string"), F.col("sell").cast("string")), type=F.lit("SPECIAL"), member_only=F.lit(False), **_saving(F.col("regular"), F.col("sell")))
     return rows.select(
@@ -147,15 +158,19 @@ TILE_MARKER = r'<div class="product-tile"[^>]*data-gtm-product="[^"]+"[^>]*>'
 def tiles(pages: DataFrame, html: str = "html") -> DataFrame:
     """HTML of product tiles with JSON in an attribute; tiles whose JSON cannot be read go."""
     p = F.col("p")
-    text = decoded(F.regexp_extract("block", r'data-gtm-product="([^"]+)"', 1))
-    rows = pages.select(F.explode(blocks(F.col(html), TILE_MARKER)).alias("block")).withColumn("json", text).where(F.try_parse_json("json").isNotNull())
-    rows = rows.withColumn("p", F.from_json("json", SHAPE_TILE)).withColumns({
-        "now": dollars_to_cents(p["price"].try_cast("double")), "before": dollars_to_cents(p["productThenPrice"].try_cast("double")), "offer": multibuy(p["promotionCallOutMessage"]),
-        "image": decoded(capture(F.col("block"), r'(?s)<img.*?class="[^"]*tile-image[^"]*".*?src="([^"]+)"')),
-    })
-    rows = rows.where((p["id"] != "") & (p["name"] != "") & F.col("now").isNotNull()).withColumns({
-        "regular": F.greatest("now", "before"), "promo": F.coalesce(F.col("offer.unit_cents"), F.col("now")),
+
+    def tile(b: Column) -> Column:
+        return F.struct(
+            F.from_json(decoded(F.regexp_extract(b, r'data-gtm-product="([^"]+)"', 1)), SHAPE_TILE).alias("p"),
+            decoded(capture(b, r'(?s)<img.*?class="[^"]*tile-image[^"]*".*?src="([^"]+)"')).alias("image"),
+        )
+
+    price = lambda x: x["price"].try_cast("double")
+    found = F.filter(F.transform(blocks(F.col(html), TILE_MARKER), tile), lambda r: (r["p"]["id"] != "") & (r["p"]["name"] != "") & price(r["p"]).isNotNull())
+    rows = pages.select(F.inline(found)).withColumns({
+        "now": dollars_to_cents(price(p)), "before": dollars_to_cents(p["productThenPrice"].try_cast("double")), "offer": multibuy(p["promotionCallOutMessage"]),
     })
+    rows = rows.withColumns({"regular": F.greatest("now", "before"), "promo": F.coalesce(F.col("offer.unit_cents"), F.col("now"))})
     known = lambda c: F.nullif(F.nullif(c, F.lit("na")), F.lit(""))
     special = F.col("offer").isNotNull() | F.coalesce(F.col("before") > F.col("now"), F.lit(False)) | F.coalesce(F.contains(p["productBadges"], F.lit("special")), F.lit(False))
     promotion = promotion_struct(
