@@ -4,7 +4,7 @@ Words are hashed once in their array. Fixed masks leave out some of `SPAN` word
 where a word at a left-out position was replaced. Seeds of all documents meet those of the benchmark in a join; the
 hits of one (document, item) with the same shift are one candidate, and the item is then laid over the document at
 that shift and compared word by word. A candidate is a leak if at least `min_overlap` words lie on each other and the
-agreeing ones are `min_agree` of them.
+agreeing ones are `min_agree` of them, or `min_agree` of SPAN words in a row: a part of an item is a leak, too.
 
 Items shorter than SPAN words are matched whole by one hash over all their words, for each such length.
 
@@ -63,7 +63,7 @@ def exploded(df: DataFrame, ids: str, hashes: str, lengths: list[int]) -> DataFr
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 8, min_agree: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, shift, n_overlap, n_agree) of every leak: the best shift of each document and item."""
+    """(doc_id, item_id, shift, n_overlap, n_agree, n_run) of every leak: the best shift of each document and item. n_run: most agreeing words among SPAN in a row."""
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     items = staged(
         benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("__item")).where(F.size("__item") >= min_overlap), "items"
@@ -84,15 +84,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 8, min_
     first = F.greatest(F.col("shift"), F.lit(0))
     skip = F.greatest(-F.col("shift"), F.lit(0))
     n = F.least(F.size("__w") - first, F.size("__item") - skip)
-    agree = F.aggregate(
-        F.zip_with(F.slice("__w", first + 1, n), F.slice("__item", skip + 1, n), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x
-    )
+    agree = F.zip_with(F.slice("__w", first + 1, n), F.slice("__item", skip + 1, n), lambda a, b: F.when(a == b, 1).otherwise(0))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("__agree") - SPAN, F.lit(0))), lambda i: total(F.slice("__agree", i + 1, SPAN)))
+    judged = laid.select("doc_id", "item_id", "shift", n.alias("n_overlap"), agree.alias("__agree")).select("doc_id", "item_id", "shift", "n_overlap", total(F.col("__agree")).alias("n_agree"), F.array_max(windows).alias("n_run"))
+    share = F.lit(min_agree)
     return (
-        laid.select("doc_id", "item_id", "shift", n.alias("n_overlap"), agree.alias("n_agree"))
-        .where((F.col("n_overlap") >= min_overlap) & (F.col("n_agree") >= F.col("n_overlap") * F.lit(min_agree)))
+        judged.where((F.col("n_overlap") >= min_overlap) & ((F.col("n_agree") >= F.col("n_overlap") * share) | (F.col("n_run") >= SPAN * share)))
         .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("n_agree", "n_overlap", (-F.col("shift")).alias("back"))).alias("__best"))
-        .select("doc_id", "item_id", (-F.col("__best.back")).alias("shift"), F.col("__best.n_overlap").alias("n_overlap"), F.col("__best.n_agree").alias("n_agree"))
+        .agg(F.max(F.struct("n_agree", "n_overlap", (-F.col("shift")).alias("back"), "n_run")).alias("__best"))
+        .select("doc_id", "item_id", (-F.col("__best.back")).alias("shift"), F.col("__best.n_overlap").alias("n_overlap"), F.col("__best.n_agree").alias("n_agree"), F.col("__best.n_run").alias("n_run"))
     )
 
 

@@ -71,13 +71,15 @@ dr AS (
   SELECT h.doc_id, h.item_id, h.shift, d.w AS dw, b.w AS bw,
          least(len(d.w) - greatest(shift, 0), len(b.w) - greatest(-shift, 0)) AS n
   FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)
+), matched AS (
+  SELECT doc_id, item_id, shift, n, list_transform(range(1, n + 1), lambda i: CASE WHEN dw[greatest(shift, 0) + i] = bw[greatest(-shift, 0) + i] THEN 1 ELSE 0 END) AS hit FROM laid
 ), agreed AS (
-  SELECT doc_id, item_id, shift, n AS n_overlap,
-         len(list_filter(range(1, n + 1), lambda i: dw[greatest(shift, 0) + i] = bw[greatest(-shift, 0) + i])) AS n_agree
-  FROM laid
+  SELECT doc_id, item_id, shift, n AS n_overlap, list_sum(hit) AS n_agree,
+         list_max(list_transform(range(0, greatest(n - {SPAN}, 0) + 1), lambda i: list_sum(hit[i + 1 : i + {SPAN}]))) AS n_run
+  FROM matched
 )
-SELECT doc_id, item_id, CAST(shift AS INT) AS shift, CAST(n_overlap AS INT) AS n_overlap, CAST(n_agree AS INT) AS n_agree FROM agreed
-WHERE n_overlap >= 8 AND n_agree >= n_overlap * 0.8
+SELECT doc_id, item_id, CAST(shift AS INT) AS shift, CAST(n_overlap AS INT) AS n_overlap, CAST(n_agree AS INT) AS n_agree, CAST(n_run AS INT) AS n_run FROM agreed
+WHERE n_overlap >= 8 AND (n_agree >= n_overlap * 0.8 OR n_run >= {SPAN} * 0.8)
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_agree DESC, n_overlap DESC, shift) = 1
 """
 

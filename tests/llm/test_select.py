@@ -89,7 +89,9 @@ def brute_leaks(texts: list[str | None], items: list[str], min_overlap: int = 8,
             for shift in range(-len(b) + min_overlap, len(a) - min_overlap + 1):
                 lo, skip = max(shift, 0), max(-shift, 0)
                 n = min(len(a) - lo, len(b) - skip)
-                if n >= min_overlap and len(b) >= min_overlap and sum(a[lo + k] == b[skip + k] for k in range(n)) >= share * n:
+                hit = [a[lo + k] == b[skip + k] for k in range(max(n, 0))]
+                run = max((sum(hit[k : k + 13]) for k in range(max(n - 13, 0) + 1)), default=0)
+                if n >= min_overlap and len(b) >= min_overlap and (sum(hit) >= share * n or run >= share * 13):
                     out.add((i, j))
     return out
 
@@ -104,12 +106,14 @@ def test_leaks_are_those_of_all_shifts(spark):
         if len(words) >= 20:
             words[5] = "replaced"
             texts.append(prose(rng, 5) + " " + " ".join(words))
-            texts.append(" ".join(words[: len(words) // 2]) + " " + prose(rng, 30))
+            texts.append(" ".join(words[len(words) // 2 :]) + " " + prose(rng, 30))
     bench = spark.createDataFrame([*enumerate(items), (None, "x"), (99, None)], "item_id long, text string")
     docs = frame(spark, texts)
     got = {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()}
     true = brute_leaks(texts, items)
-    planted = {(i, j) for i, j in true if texts[i] and (items[j].lower() in texts[i].lower() or "replaced" in texts[i])}
+    part = lambda i, j: len(items[j].split()) >= 40 and " ".join(items[j].split()[len(items[j].split()) // 2 :]) in texts[i]
+    planted = {(i, j) for i, j in true if texts[i] and (items[j].lower() in texts[i].lower() or "replaced" in texts[i] or part(i, j))}
+    assert any(part(i, j) and items[j] not in texts[i] and "replaced" not in texts[i] for i, j in planted)
     assert got <= true and planted <= got
     assert {r.doc_id for r in decontaminate(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in got}
 
