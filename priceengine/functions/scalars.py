@@ -73,7 +73,31 @@ def money(text: Column) -> Column:
 
 
 def cents_text(cents: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_string("%.2f", cents.cast("double") / F.lit(100.0)))
+    """`$1,234.50`; nothing for null."""
+    return F.when(cents.isNull(), "").otherwise(F.format_string("$%,.2f", cents.cast("double") / F.lit(100.0)))
+
+
+def date_text(at: Column, year: bool = True) -> Column:
+    """`5 Jul 2026`, or `5 Jul`; nothing for null."""
+    return F.coalesce(F.date_format(at, "d MMM yyyy" if year else "d MMM"), F.lit(""))
+
+
+def relative_text(at: Column, now: Column) -> Column:
+    """How long ago, in whole minutes, hours or days; from 30 days on the date."""
+    minutes = F.timestamp_diff("MINUTE", at, now)
+    ago = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f"{unit} ago"))
+    return (
+        F.when(at.isNull(), "").when(minutes < 1, "just now").when(minutes < 60, ago(minutes, "m")).when(minutes < 24 * 60, ago(minutes / 60, "h"))
+        .when(minutes < 30 * 24 * 60, ago(minutes / (24 * 60), "d")).otherwise(date_text(at))
+    )
+
+
+def url_part(text: Column) -> Column:
+    """A text as part of a query string: spaces as %20, and `!~'()` stay."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for mark in "!~'()":
+        out = F.replace(out, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+    return out
 
 
 def in_range(value: float | None, low: float, high: float, default: int) -> int:

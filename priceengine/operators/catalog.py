@@ -42,6 +42,11 @@ def star(facts: DataFrame, products: DataFrame, contexts: DataFrame) -> DataFram
     return facts.join(products, "product_id").join(contexts, "context_id")
 
 
+def listed_stores(contexts: DataFrame) -> DataFrame:
+    """Contexts by retailer and store name, as a reader of any language sorts them."""
+    return contexts.orderBy(F.collate("retailer_name", "UNICODE"), F.collate("store_name", "UNICODE"), "context_id")
+
+
 def name_contains(query: str) -> Column:
     return F.col("name").ilike(f"%{escaped_like(query)}%")
 

@@ -32,6 +32,11 @@ def dim_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contexts(spark, sf_dir)
 
 
+@query(f"WITH {EVENTS}, {_CONTEXTS} SELECT context_id, store_id, store_name, retailer_name FROM ctx ORDER BY retailer_name, store_name, context_id")
+def stores_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.listed_stores(_contexts(spark, sf_dir)).select("context_id", "store_id", "store_name", "retailer_name")
+
+
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _contexts(spark, sf_dir).where(F.col("store_id") != "error")
     offers = events(spark, sf_dir).select("product_id", "store_id", F.expr("cast(k div 10 as string)").alias("hash"), F.date_trunc("day", "observed_at").cast("timestamp_ntz").alias("observed_at"), "seq", "regular_cents", "promo_cents", "member_cents")

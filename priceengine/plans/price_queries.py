@@ -239,7 +239,7 @@ def distinct_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.distinct_stores(events(spark, sf_dir))
 
 
-@query(f"""WITH {EVENTS} SELECT seq, CASE WHEN age <= 7 THEN 'fresh' WHEN age <= 14 THEN 'stale' ELSE 'old' END AS level, '$' || printf('%.2f', regular_cents / 100.0) AS shown,
+@query(f"""WITH {EVENTS} SELECT seq, CASE WHEN age <= 7 THEN 'fresh' WHEN age <= 14 THEN 'stale' ELSE 'old' END AS level, '$' || format('{{:,.2f}}', regular_cents / 100.0e0) AS shown,
 CASE WHEN regular_cents > 0 THEN CAST(floor((1 - CAST(coalesce(promo_cents, regular_cents) AS DOUBLE) / regular_cents) * 100.0e0 + 0.5e0) AS BIGINT) END AS drop_percent,
 coalesce(promo_cents, member_cents, regular_cents) AS shown_cents FROM (SELECT *, date_diff('second', observed_at, {SQL_AT}) / 86400.0 AS age FROM obs)""")
 def price_kind_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,3 +249,16 @@ def price_kind_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.coalesce("promo_cents", "regular_cents").cast("double")
     drop = F.when(F.col("regular_cents") > 0, half_up((F.lit(1.0) - F.try_divide(now, F.col("regular_cents").cast("double"))) * F.lit(100.0)))
     return collector_line(events(spark, sf_dir)).select("seq", freshness(age).alias("level"), cents_text(F.col("regular_cents")).alias("shown"), drop.alias("drop_percent"), "shown_cents")
+
+
+@query(f"""WITH {EVENTS}, a AS (SELECT seq, observed_at, date_diff('second', observed_at, TIMESTAMP '2024-01-30 12:00:00') // 60 AS m FROM obs)
+SELECT seq, strftime(observed_at, '%-d %b %Y') AS day, strftime(observed_at, '%-d %b') AS short_day,
+CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN CAST(m AS VARCHAR) || 'm ago' WHEN m < 1440 THEN CAST(m // 60 AS VARCHAR) || 'h ago' ELSE CAST(m // 1440 AS VARCHAR) || 'd ago' END AS ago
+FROM a""")
+def shown_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datetime import datetime
+
+    from priceengine.functions.scalars import date_text, relative_text
+
+    at = F.col("observed_at")
+    return events(spark, sf_dir).select("seq", date_text(at).alias("day"), date_text(at, year=False).alias("short_day"), relative_text(F.date_trunc("second", at).cast("timestamp_ntz"), ntz(datetime(2024, 1, 30, 12))).alias("ago"))

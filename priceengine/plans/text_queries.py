@@ -166,3 +166,13 @@ def page_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.when(k % 2 == 0, F.concat(F.lit('<a aria-label="Page 1"> <a aria-label="Page '), (k + 1).cast("string"), F.lit('">'))).otherwise(""), F.when(k % 3 == 0, F.concat(F.lit("24 of 1,"), F.lpad(k.cast("string"), 3, "0"), F.lit(" Products"))).otherwise("none"))
     callout = F.when(k % 5 == 0, F.concat(F.lit("Any "), k.cast("string"), F.lit(" FOR $12.34"))).otherwise("na")
     return events(spark, sf_dir).select("seq", markup.page_count(html).alias("pages"), markup.item_count(html).alias("items"), markup.multibuy(callout)["unit_cents"].alias("unit_cents"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, split_part(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/', 2) AS section,
+'https://shop.example/shop/productdetails?stockcode=' || CAST(page_id AS VARCHAR) || '&name=' || url_encode('Milk & ' || regexp_extract(url, '^https?://([^/?#]+)', 1)) AS page FROM pages""")
+def source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses taken apart and made."""
+    host = F.parse_url("url", F.lit("HOST"))
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.split_part(F.parse_url("url", F.lit("PATH")), F.lit("/"), F.lit(2)).alias("section"))
+    path = payloads.details_path(F.col("page_id").cast("string"), F.concat(F.lit("Milk & "), "host"))
+    return pages.withColumn("page", payloads.product_page("https://shop.example/", path))

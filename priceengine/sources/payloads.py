@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priceengine.functions.markup import blocks, capture, decoded, multibuy, visible
-from priceengine.functions.scalars import dollars_to_cents, half_up, money, title_slug
+from priceengine.functions.scalars import dollars_to_cents, half_up, money, title_slug, url_part
 
 PROMOTION = "struct<id:string,type:string,member_only:boolean,save_cents:bigint,save_percent:double,threshold:bigint,starts_at:string,ends_at:string>"
 S, L, D, B = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
@@ -216,6 +216,15 @@ def last_by_id(rows: DataFrame, order: str = "seq") -> DataFrame:
     return rows.groupBy("product_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "product_id"]), F.col(order)).alias("row")).select("product_id", "row.*")
 
 
+def product_page(origin: str, path: Column) -> Column:
+    """The address of a product at its retailer: an absolute path under the origin, or an address as it is."""
+    return F.when(path.rlike(r"^https?://"), path).otherwise(F.concat(F.lit(origin.rstrip("/")), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
+
+
+def details_path(sku: Column, name: Column) -> Column:
+    return F.concat(F.lit("/shop/productdetails?stockcode="), url_part(sku), F.lit("&name="), url_part(F.coalesce(name, F.lit("product"))))
+
+
 def collector_line(rows: DataFrame) -> DataFrame:
     """The price a collector prints: promotional, else members', else regular."""
     return rows.withColumn("shown_cents", F.coalesce("promo_cents", "member_cents", "regular_cents"))

@@ -82,3 +82,20 @@ def test_jaccard_is_symmetric(spark, pairs):
     for r in df.select(S.jaccard(F.col("a"), F.col("b")).alias("x"), S.jaccard(F.col("b"), F.col("a")).alias("y"), "a", "b").collect():
         both, either = len(set(r.a) & set(r.b)), len(set(r.a) | set(r.b))
         assert r.x == r.y == (both / either if either else 0)
+
+
+def test_shown_times_and_prices(spark):
+    from datetime import datetime, timedelta
+
+    now = datetime(2026, 7, 15, 12)
+    ages = [timedelta(seconds=30), timedelta(minutes=5), timedelta(hours=3, minutes=59), timedelta(days=29), timedelta(days=30)]
+    df = spark.createDataFrame([(i, now - a) for i, a in enumerate(ages)] + [(9, None)], "i int, at timestamp")
+    assert [r[0] for r in df.orderBy("i").select(S.relative_text(F.col("at"), F.lit(now))).collect()] == ["just now", "5m ago", "3h ago", "29d ago", "15 Jun 2026", ""]
+    assert over(spark, [123450, 7, None], S.cents_text, "long") == ["$1,234.50", "$0.07", ""]
+
+
+def test_addresses(spark):
+    from priceengine.sources.payloads import details_path, product_page
+
+    assert over(spark, ["/p/1.html", "x", "https://b.example/y"], lambda c: product_page("https://a.example/", c)) == ["https://a.example/p/1.html", "https://a.example/x", "https://b.example/y"]
+    assert over(spark, ["It's (ok)! a/b~", None], lambda c: details_path(F.lit("7"), c)) == ["/shop/productdetails?stockcode=7&name=It's%20(ok)!%20a%2Fb~", "/shop/productdetails?stockcode=7&name=product"]
