@@ -11,10 +11,12 @@ process stops once it is later than all slots' points. The share of equal slots
 without bias.
 
 Candidates. BANDS bands of ROWS slots make buckets: texts of similarity 0.8 share one of them with probability
-1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99994. In a bucket, leaders are compared with the other members, not all with all:
-the members' own similarity is computed exactly from their runs. A leader then leaves the bucket. Members found to be
-of one class need no further comparison; buckets that still hold several classes go into the next round with twice
-the leaders, until every bucket is of one class or used up. So no pair is skipped but those that cannot change a class.
+1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99994. In a bucket, leaders (the texts that meet most others in all
+their buckets, as the original of a group of copies does) are compared with the other members, not all with all:
+the members' own similarity is computed exactly from their runs, for one leader of each member first, as most pairs of
+a group are of one class by then and need no further comparison. When all are compared or of one class, the leaders
+leave their buckets; buckets that still hold several classes go into the next round with four times the leaders, until
+every bucket is of one class or used up. So no pair is skipped but those that cannot change a class.
 
 Exact copies are one text from the start. Classes merge by smallest-neighbour steps with pointer jumping on written
 tables. Nothing but counts comes to the driver.
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceengine.llm.kernels import mix, row_counts, text_rows, token_hashes
-from priceengine.llm.staging import map_arrow, small, staged
+from priceengine.llm.staging import counted, map_arrow, small, staged
 
 RUN, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -189,52 +191,84 @@ def connect(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
         stepped = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "label", F.least("label", F.coalesce("theirs", "label")).alias("new"))
         up = labels.select(F.col("id").alias("new"), F.col("label").alias("above"))
-        jumped = staged(stepped.join(up, "new", "left").select("id", "label", F.least("new", F.coalesce("above", "new")).alias("new")), "labels")
-        done = jumped.where("new != label").limit(1).count() == 0
+        jumped, changed = counted(stepped.join(up, "new", "left").select("id", "label", F.least("new", F.coalesce("above", "new")).alias("new")), "labels", F.col("new") != F.col("label"))
         labels = jumped.select("id", F.col("new").alias("label"))
-        if done:
+        if not changed:
             return labels
 
 
+def known(labels: DataFrame, rows: int, key: str, label: str, weight: str) -> DataFrame:
+    """`labels` under other names, for a join; broadcast if its counted `rows` are few."""
+    out = labels.select(F.col("id").alias(key), F.col("label").alias(label), F.col("weight").alias(weight))
+    return F.broadcast(out) if rows <= MAX_BROADCAST_IDS else out
+
+
+def merged(pairs: DataFrame, runs: DataFrame, labels: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    """`labels` (id, label, weight) after all of `pairs` (a, b) that still lie in two classes are verified, and those pairs.
+
+    A first step tests one pair of each `a`, the one with the weightiest `b`; a second one pair of each `a` with each
+    class that is left, and a third all the rest. Most of a group's pairs fall into one class by then, and their runs of
+    words are never brought together.
+    """
+    tested = []
+    for by in (["a"], ["a", "lb"], None):
+        pairs, n = counted(pairs.select("a", "b").join(known(labels, few, "a", "la", "wa"), "a").join(known(labels, few, "b", "lb", "wb"), "b").where("la != lb").select("a", "b", "la", "lb", "wb"), "open")
+        if not n:
+            break
+        picked = pairs
+        if by:
+            first = F.min(F.struct((-F.col("wb")).alias("back"), "b", "a", "la", "lb"))
+            picked = staged(pairs.groupBy(*by).agg(first.alias("p")).select("p.a", "p.b", "p.la", "p.lb"), "picked")
+            pairs = pairs.join(picked.select("a", "b"), ["a", "b"], "left_anti")
+        tested.append(picked.select("a", "b"))
+        links, n = counted(links_of(picked.select("a", "b"), runs).distinct(), "links")
+        if n:
+            moved = connect(links.join(picked, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("to"))
+            labels = staged(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label"), "weight"), "labels")
+    seen = pairs.select("a", "b").limit(0)
+    for one in tested:
+        seen = seen.union(one)
+    return labels, seen
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id): one row for each row of `docs`; the class is the smallest doc_id in it."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = plain.where(F.col("id").isNotNull())
-    signed = staged(map_arrow(known, _sign, "id long, k1 long, k2 long, bands array<long>"), "signed")
+    plain_known = plain.where(F.col("id").isNotNull())
+    signed = staged(map_arrow(plain_known, _sign, "id long, k1 long, k2 long, bands array<long>"), "signed")
     texts = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     copies = staged(signed.select("id", "k1", "k2").join(staged(texts, "texts"), ["k1", "k2"]).select("id", "rep").distinct(), "copies")
     reps = signed.join(copies.where("id = rep").select("id"), "id", "left_semi")
     members = reps.select("id", F.explode(F.array_distinct("bands")).alias("key")).distinct()
     members = staged(members, "buckets")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = staged(members.join(shared, "key", "left_semi"), "shared")
-    wanted = staged(members.select("id").distinct(), "wanted")
-    runs = staged(map_arrow(known.join(small(wanted, MAX_BROADCAST_IDS), "id", "left_semi"), _runs, "id long, runs array<long>"), "runs")
-    labels = staged(wanted.select("id", F.col("id").alias("label")), "labels")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    weighed = staged(members.join(shared, "key"), "shared")
+    members = weighed.select("id", "key")
+    # how many texts a text meets in its buckets: the one that others were made from meets most
+    wanted, few = counted(weighed.groupBy("id").agg(F.sum("n").alias("weight")), "wanted")
+    runs = staged(map_arrow(plain_known.join(small(wanted.select("id"), MAX_BROADCAST_IDS), "id", "left_semi"), _runs, "id long, runs array<long>"), "runs")
+    labels = wanted.select("id", F.col("id").alias("label"), "weight")
     tested, turn = None, 0
     while True:
-        there = staged(members.join(labels, "id"), "there")
+        there = staged(members.join(known(labels, few, "id", "label", "weight"), "id"), "there")
         live = there.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        there = staged(there.join(live, "key", "left_semi"), "there")
-        if there.limit(1).count() == 0:
+        there, n = counted(there.join(live, "key", "left_semi"), "there")
+        if not n:
             break
-        # 2 ** turn leaders in each bucket: the smallest ids of so many hash classes
-        part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << turn))
-        leaders = staged(there.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("id", "label"), "id").alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.label").alias("of")), "leaders")
+        # 4 ** turn leaders in each bucket: the weightiest of so many hash classes
+        part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 2 * turn))
+        rank = F.struct((-F.col("weight")).alias("back"), "id")
+        leaders = staged(there.groupBy("key", part.alias("part")).agg(F.min(F.struct(rank.alias("of_rank"), F.col("label").alias("of"))).alias("l")).select("key", F.col("l.of_rank").alias("of_rank"), F.col("l.of").alias("of")), "leaders")
+        mine, theirs = F.col("rank.id"), F.col("of_rank.id")
         pairs = (
-            there.join(leaders, "key").where((F.col("label") != F.col("of")) & (F.col("id") != F.col("leader")))
-            .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+            there.select("key", "label", rank.alias("rank")).join(leaders, "key").where((F.col("label") != F.col("of")) & (mine != theirs))
+            .select(F.greatest("rank", "of_rank").getField("id").alias("a"), F.least("rank", "of_rank").getField("id").alias("b")).distinct()
         )
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        links = staged(links_of(pairs, runs).distinct(), "links")
-        if links.limit(1).count():
-            mine, theirs = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-            moved = connect(links.join(mine, "a").join(theirs, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("to"))
-            labels = staged(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
-        tested = pairs if tested is None else tested.union(pairs)
-        members = there.select("id", "key").join(leaders.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti")
+        labels, seen = merged(pairs, runs, labels, few)
+        tested = seen if tested is None else tested.union(seen)
+        members = there.select("id", "key").join(leaders.select("key", F.col("of_rank.id").alias("id")), ["key", "id"], "left_anti")
         turn += 1
     by_doc = copies.join(labels, F.col("rep") == labels["id"], "left").groupBy(copies["id"].alias("id")).agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
     return docs.select(F.col(id_col).cast("long").alias("doc_id")).join(by_doc, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -68,6 +68,16 @@ def test_near_classes_are_those_of_all_pairs(spark):
     assert [found[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_copies_of_one_original_that_are_unlike_each_other(spark):
+    """Each copy is near the original and hardly any two copies are near each other: the original links them all."""
+    rng = random.Random(11)
+    original = prose(rng, 200)
+    texts = [edited(rng, original, 4) for _ in range(40)]
+    texts.insert(25, original)
+    found = {r.doc_id: r.class_id for r in near_classes(frame(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_near_classes_of_awkward_tables(spark):
     assert near_classes(spark.createDataFrame([], SCHEMA)).collect() == []
     clash = spark.createDataFrame([(5, "a b c d e f", 1, 2), (None, "a b c d e f", 1, 2), (3, "a b c d e f", 1, 2), (5, "a b c d e f", 1, 2)], "doc_id long, text string, class_id int, key int")
