@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priceengine.llm.kernels import row_bytes, row_counts, text_rows, token_hashes
-from priceengine.llm.staging import map_arrow, small, staged, with_field
+from priceengine.llm.staging import hash_sample, map_arrow, small, staged, with_field
 
 FEATURES = ("chars", "upper", "symbol", "digit", "repeat", "distinct", "wordlen", "marked", "bare", "space")
 BINS = 32
@@ -136,7 +136,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = seen.join(marks, "doc_id").select("doc_id", "quality", "source", "lang", "__bins")
     labelled = staged(labelled, "labelled")
     table = bin_table(fit_bins(labelled))
-    fit = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("quality", "__bins").collect()
+    fit = hash_sample(labelled, "doc_id", labelled.count(), FIT_ROWS).select("quality", "__bins").collect()
     evidence_at, shift = table, 0.0
     if {r.quality for r in fit} == {0, 1}:
         weights, shift = fit_weights(np.array([r["__bins"] for r in fit]), np.array([r.quality for r in fit], float), table)

@@ -1,6 +1,6 @@
 """Operator 1: toxicity from a learned lexicon, matched through Levenshtein automata.
 
-Learning. Of the labelled training rows, the PER_CLASS lowest by a hash of doc_id are taken of either class (the
+Learning. Of the labelled training rows, no more than PER_CLASS, the lowest by a hash of doc_id, are taken of either class (the
 documented bound), and the different words before each word are counted per class, so that copies count once. Words
 that a G test finds far more often in toxic documents form the lexicon, no more than LEXICON terms, each weighted by its log odds.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priceengine.llm.kernels import BASE, FOLD, mix, prefix_hash, row_counts, slices, span_hash, text_rows, tokens
-from priceengine.llm.staging import map_arrow, staged, with_field
+from priceengine.llm.staging import hash_sample, map_arrow, staged, with_field
 
 PER_CLASS, LEXICON = 10_000, 4_000
 MIN_G, MIN_ODDS, MAX_WEIGHT = 25.0, 3.0, 8.0
@@ -258,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     prior = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1.0)
     if len(share) < 2:
         return Model({}, bias=float(np.log(prior / (1 - prior))))
-    chosen = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for t in (0, 1)]
+    chosen = [hash_sample(marks.where(F.col("toxic") == t), "doc_id", share[t], PER_CLASS) for t in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * PER_CLASS rows at most
     train = staged(docs.select("doc_id", "text").join(sample, "doc_id"), "toxic-train")
     size = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
