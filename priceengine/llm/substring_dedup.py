@@ -212,7 +212,8 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = utf8(table.column("text"))
         lo, hi, n, left = (table.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "n", "left"))
         group = np.cumsum(np.append(0, h[1:] != h[:-1])) if len(h) else h
-        found = repeated_offsets(group, data, off, left, lo, hi, n)
+        # spans that occur twice count as partners here; they are repeated as a whole, which is told already
+        found = repeated_offsets(group, data, off, left, lo, hi, n) & (n == 1)[:, None]
         edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, first = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
@@ -268,13 +269,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     sorted_ = map_arrow(contexts.where(F.col("k") <= GROUP).repartition("h").sortWithinPartitions("h"), _sort_groups, "h long, s long, o1 int, o2 int")
     single = staged(map_arrow(contexts.where(F.col("k") > GROUP), _windows, "h long, s long, n long, o int, w long"), "windows")
     again = staged(single.groupBy("h", "o", "w").agg(F.sum("n").alias("times")).where("times > 1").select("h", "o", "w"), "again")
-    by_window = single.join(again, ["h", "o", "w"]).select("h", "s", F.col("o").alias("o1"), F.col("o").alias("o2"))
-    # spans that occur twice are repeated as a whole already
-    edges = sorted_.unionByName(by_window).join(whole.select("h", "s"), ["h", "s"], "left_anti")
-    verdict = staged(whole.unionByName(edges).groupBy("h", "s").agg(F.collect_set(F.struct("o1", "o2")).alias("runs")), "verdict")
-    hit = found.join(verdict, ["h", "s"]).select("t1", "t2", "a", F.explode("runs").alias("r"))
-    ranges = hit.select("t1", "t2", F.struct((F.col("a") - F.col("r.o2")).alias("start"), (F.col("a") - F.col("r.o1") + WINDOW).alias("stop")).alias("span"))
-    return ranges.groupBy("t1", "t2").agg(F.collect_set("span").alias("spans"))
+    by_window = single.where("n = 1").join(again, ["h", "o", "w"]).select("h", "s", F.col("o").alias("o1"), F.col("o").alias("o2"))
+    edges = whole.unionByName(sorted_).unionByName(by_window)
+    verdict = staged(edges.groupBy("h", "s").agg(F.collect_set(F.struct("o1", "o2")).alias("runs")), "verdict")
+    span = lambda r: F.struct((F.col("a") - r["o2"]).alias("start"), (F.col("a") - r["o1"] + WINDOW).alias("stop"))
+    ranges = found.join(verdict, ["h", "s"]).select("t1", "t2", F.transform("runs", span).alias("spans"))
+    return ranges.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
