@@ -1,30 +1,31 @@
 """Operator 10: a hierarchical Pitman-Yor language model.
 
-A word is drawn from the Pitman-Yor restaurant of its context. The context is the language that the words before it
-(no more than REACH) speak for: a function of the text so far. The restaurants of all contexts share one parent, the
-unigram restaurant, whose base is a spelling model: a hierarchy of Pitman-Yor restaurants over bytes, one for each
-context of up to PAST byte classes, where a context's parent is the context without its oldest class and the root's
-base is uniform. Tables of a restaurant are customers of its parent, all the way down.
+A word is drawn from the Pitman-Yor restaurant of the word before it (the first word of a text: of the end token). Every
+preceding word has a restaurant of its own; all of them share one parent, the unigram restaurant, whose base is a
+spelling model: a hierarchy of Pitman-Yor restaurants over bytes, one for each context of up to PAST byte classes,
+where a context's parent is the context without its oldest class and the root's base is uniform. Tables of a
+restaurant are customers of its parent, all the way down.
 
 Seating is sampled by Gibbs sweeps that take all customers of one (restaurant, dish) out and seat them again, one
 after the other, by the Chinese-restaurant probabilities given everyone else (in blocks, with a normal draw, from the
-64th customer on). After the burn-in, several states are kept and their predictive probabilities are averaged.
-
-Where it runs: tokens are counted and scored, words are seated and spelt in Spark tasks over all of the corpus; the
-vocabulary is a table that is joined, never collected. There are MAX_LANGS contexts at most and byte contexts have
-CLASSES classes, so the spelling model has at most CLASSES ** PAST * 256 cells at any corpus size; its counts come to the
-driver, with no more than TOP of the most frequent words, whose probabilities are broadcast. The other words of a document meet the vocabulary in a
-join, once per document, context and word.
-
-Cases: null and empty texts are the end token alone. Unseen words are spelt. A text without any white space is one
-word, whose probability is kept as a logarithm. Repeated rows count and are scored each for itself; null doc_ids too.
-A null or rare language is the last context. Without training documents the counts are zero and every word is spelt
+64th customer on). In one sweep the dishes are seated side by side: what they see of the others is the state before the
+sweep. SAMPLES chains with random numbers of their own make SWEEPS sweeps each, and the predictive probabilities of
+their last states are averaged. A word pair that occurs once has one table in every state, so only the others are seated.
+
+Where it runs: tokens and pairs are counted, seated, spelt and scored in Spark tasks over all of the corpus; pairs,
+contexts and vocabulary are tables that are joined, never collected. Byte contexts have CLASSES classes, so the spelling
+model has at most CLASSES ** PAST * 256 cells at any corpus size; its counts come to the driver. No more than TOP of the
+most frequent words, contexts and pairs are broadcast, as a cache: the values are those of the tables.
+
+Cases: null and empty texts are the end token alone. Unseen words are spelt; after an unseen word the unigram restaurant
+speaks. A text without any white space is one word, whose probability is kept as a logarithm. Repeated rows count and are
+scored each for itself; null doc_ids too. Without training documents the counts are zero and every word is spelt
 by the uniform base. An empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +37,7 @@ from pyspark.sql import functions as F
 from priceengine.llm.kernels import FOLD, mix, slices, text_rows, token_hashes, utf8
 from priceengine.llm.staging import map_arrow, staged
 
-TOP, SAMPLES, BURN_IN, THETA = 100_000, 3, 4, 10.0
-MAX_LANGS, REACH = 8, 16
+TOP, SAMPLES, BURN_IN, SWEEPS, THETA = 100_000, 3, 4, 4, 10.0
 END = 0x20
 CLASSES, LEVELS = 72, 3
 PAST = LEVELS - 1
@@ -170,23 +170,43 @@ def spell_logs(model: Spelling, data: np.ndarray, starts: np.ndarray, ends: np.n
     return np.stack([np.add.reduceat(logs[row, symbol].astype(np.float64), first) for logs in model.logs])
 
 
-def count_words(train: DataFrame, contexts: int) -> DataFrame:
-    """(token, h, c) over (text, ctx): the vocabulary with counts by context, and the end token, whose token is empty."""
+def token_pairs(batch: pa.RecordBatch, limit: int) -> Iterator[tuple]:
+    """(first row, end row, bytes, start, end, row, hash, hash of the token before) of the tokens, each text's end token behind its words."""
+    for i, j, data, off in text_rows(batch, "text", limit):
+        starts, ends, rows, hashed = token_hashes(data, off)
+        place = np.searchsorted(rows, np.arange(j - i), "right")
+        starts, ends = np.insert(starts, place, 0), np.insert(ends, place, 0)
+        rows, hashed = np.insert(rows, place, np.arange(j - i)), np.insert(hashed, place, END_HASH)
+        # the end token of the text before stands before a first word
+        yield i, j, data, starts, ends, rows, hashed, np.append(END_HASH, hashed[:-1])
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(before) + word)
+
+
+def count_words(train: DataFrame) -> DataFrame:
+    """(token, h, c): the vocabulary with counts, and the end token, whose token is empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ctx = np.asarray(batch.column(1))
-            for i, j, data, off in text_rows(batch, "text", 4 << 20):
-                starts, ends, rows, hashed = token_hashes(data, off)
-                key = np.append(hashed, np.full(j - i, END_HASH))
-                at = np.append(ctx[i:j][rows], ctx[i:j]).astype(np.uint64)
-                _, first, n = np.unique(mix(key) + at, return_index=True, return_counts=True)
-                starts, ends = np.append(starts, np.zeros(j - i, np.int64)), np.append(ends, np.zeros(j - i, np.int64))
+            for _, _, data, starts, ends, _, hashed, _ in token_pairs(batch, 4 << 20):
+                kinds, first, n = np.unique(hashed, return_index=True, return_counts=True)
                 token = slices(FOLD[data], starts[first], ends[first]).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([token, pa.array(key[first].view(np.int64)), pa.array(at[first].astype(np.int32)), pa.array(n)], ["token", "h", "ctx", "n"])
+                yield pa.RecordBatch.from_arrays([token, pa.array(kinds.view(np.int64)), pa.array(n)], ["token", "h", "n"])
 
-    found = map_arrow(train.select("text", "ctx"), run, "token string, h long, ctx int, n long")
-    by = [F.sum(F.when(F.col("ctx") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(contexts)]
-    return found.groupBy("token").agg(F.min("h").alias("h"), *by).select("token", "h", F.array(*[f"c{k}" for k in range(contexts)]).alias("c"))
+    found = map_arrow(train.select("text"), run, "token string, h long, n long")
+    return found.groupBy("token").agg(F.min("h").alias("h"), F.sum("n").alias("c"))
+
+
+def count_pairs(train: DataFrame) -> DataFrame:
+    """(u, w, c): how often word w stands behind word u."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, _, _, _, hashed, before in token_pairs(batch, 4 << 20):
+                _, first, n = np.unique(pair_keys(before, hashed), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(hashed[first].view(np.int64)), pa.array(n)], ["u", "w", "n"])
+
+    return map_arrow(train.select("text"), run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
 
 
 def spelling_counts(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,195 +225,243 @@ def spelling_counts(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, np.n
     return cell // 256, cell % 256, n
 
 
+def lists(values: np.ndarray) -> pa.Array:
+    """Rows by samples as a list column."""
+    n, each = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * each + 1, each), pa.int32()), pa.array(values.ravel()))
+
+
+def by_row(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), SAMPLES)
+
+
+def with_spelling(words: DataFrame, model: Spelling) -> DataFrame:
+    """`words` with logs: the natural logs of their spelling, by sample."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(0))
+            logs = spell_logs(shared.value, data, off[:-1], off[1:])
+            logs = np.ascontiguousarray(np.broadcast_to(logs, (SAMPLES, logs.shape[1])).T)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists(logs)], ["token", "h", "c", "once", "kinds", "logs"])
+
+    return map_arrow(words.select("token", "h", "c", "once", "kinds"), run, "token string, h long, c long, once long, kinds long, logs array<double>")
+
+
 @dataclass
-class Totals:
-    """Of one state: customers and tables of each context's restaurant and of the unigram restaurant, with the discounts."""
+class Root:
+    """The unigram restaurant: customers and tables by sample, and the discount."""
 
     customers: np.ndarray
     tables: np.ndarray
-    root_customers: float
-    root_tables: float
     d: float
-    root_d: float
-
-    def backs(self) -> tuple[np.ndarray, float]:
-        """The mass that goes to the parent."""
-        return (THETA + self.d * self.tables) / (THETA + self.customers), (THETA + self.root_d * self.root_tables) / (THETA + self.root_customers)
 
+    def back(self) -> np.ndarray:
+        """The mass that goes to the spelling."""
+        return (THETA + self.d * self.tables) / (THETA + self.customers)
 
-def seat_words(vocabulary: DataFrame, model: Spelling, states: list[Totals], seed: int) -> DataFrame:
-    """(token, h, c, t, t0, logs): tables of each word by sample and context, in the unigram restaurant by sample, and logs of its spelling."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast((model, states))
 
+def seat_words(words: DataFrame, root: Root, seed: int) -> tuple[DataFrame, Root]:
+    """(token, h, c, m, t0, logs) from (token, h, c, m, logs), with tables in the unigram restaurant, and the sums over all words. m: customers by sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, states = shared.value
         for batch in batches:
-            data, off = utf8(batch.column(0))
-            hashed = np.asarray(batch.column(1)).view(np.uint64)
-            c = np.asarray(batch.column(2).flatten()).reshape(len(hashed), -1)
-            logs = spell_logs(model, data, off[:-1], off[1:])
-            tables, roots = [], []
-            for k, (one, state) in enumerate(zip(logs, states, strict=True)):
-                spelt_p = np.exp(one)
-                t0 = np.maximum((c > 0).sum(1), 1)  # one table in each context, one for each of those at the root
-                mine = (c > 0).astype(np.int64)
-                for sweep in range(2):
-                    p = (mine.sum(1) - state.root_d * np.minimum(t0, mine.sum(1)) + (THETA + state.root_d * state.root_tables) * spelt_p) / (THETA + state.root_customers)
-                    for x in range(c.shape[1]):
-                        some = np.flatnonzero(c[:, x])
-                        mine[some, x] = seat(c[some, x], p[some], np.full(len(some), state.tables[x] - 1.0), state.d, THETA, mix(hashed[some] + np.uint64(seed + 1000 * k + 100 * sweep + x)))
-                    t0 = seat(mine.sum(1), spelt_p, np.full(len(hashed), state.root_tables - 1.0), state.root_d, THETA, mix(hashed + np.uint64(seed + 1000 * k + 100 * sweep + 99)))
-                tables.append(mine)
-                roots.append(t0)
-            n, s = len(hashed), len(logs)
-            lists = lambda flat, each: pa.ListArray.from_arrays(pa.array(np.arange(0, n * each + 1, each), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns, lists(np.stack(tables, 1).ravel(), s * c.shape[1]), lists(np.stack(roots, 1).ravel(), s), lists(logs.T.ravel(), s),
-            ], ["token", "h", "c", "t", "t0", "logs"])
-
-    return map_arrow(vocabulary.select("token", "h", "c"), run, "token string, h long, c array<long>, t array<long>, t0 array<long>, logs array<double>")
-
-
-def totals(seated: DataFrame, contexts: int, samples: int, customers: np.ndarray, d: float, root_d: float) -> list[Totals]:
-    """The sums over all words, by sample."""
-    said = seated.agg(*[F.sum(F.col("t")[k]) for k in range(samples * contexts)], *[F.sum(F.col("t0")[k]) for k in range(samples)]).first()
+            hashed, m, logs = np.asarray(batch.column(1)).view(np.uint64), by_row(batch.column(3)), by_row(batch.column(4))
+            others = [np.full(len(hashed), max(x - 1.0, 0.0)) for x in root.tables]
+            t0 = np.stack([seat(m[:, s], np.exp(logs[:, s]), others[s], root.d, THETA, mix(hashed + np.uint64(seed + 1000 * s))) for s in range(SAMPLES)], 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists(t0), batch.column(4)], ["token", "h", "c", "m", "t0", "logs"])
+
+    rows = map_arrow(words.select("token", "h", "c", "m", "logs"), run, "token string, h long, c long, m array<long>, t0 array<long>, logs array<double>")
+    rows = staged(rows, "seated")
+    said = rows.agg(*[F.sum(F.col("m")[s]) for s in range(SAMPLES)], *[F.sum(F.col("t0")[s]) for s in range(SAMPLES)]).first()
     sums = np.array([float(x or 0) for x in said])
-    t = sums[: samples * contexts].reshape(samples, contexts)
-    return [Totals(customers, t[k], float(t[k].sum()), float(sums[samples * contexts + k]), d, root_d) for k in range(samples)]
+    return rows, Root(sums[:SAMPLES], sums[SAMPLES:], root.d)
+
+
+def seat_pairs(many: DataFrame, d: float, seed: int) -> DataFrame:
+    """(u, w, c, t) from (u, w, c, t, p1, all): p1: probabilities of w in the parent; all: tables of the restaurant; by sample."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pair_keys(*(np.asarray(batch.column(k)).view(np.uint64) for k in range(2)))
+            c, t, p1, tables = np.asarray(batch.column(2)), by_row(batch.column(3)), by_row(batch.column(4)), by_row(batch.column(5))
+            new = [seat(c, p1[:, s], (tables[:, s] - t[:, s]).astype(float), d, THETA, mix(keys + np.uint64(seed + 1000 * s))) for s in range(SAMPLES)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists(np.stack(new, 1))], ["u", "w", "c", "t"])
+
+    return map_arrow(many.select("u", "w", "c", "t", "p1", "all"), run, "u long, w long, c long, t array<long>")
+
+
+def each(of: Callable[[int], Column]) -> Column:
+    return F.array(*[of(s) for s in range(SAMPLES)])
+
+
+def with_tables(keyed: DataFrame, key: str, many: DataFrame, side: str, name: str) -> DataFrame:
+    """`keyed` with the tables of all pairs of each key by sample: one of each pair seen once, and those of `many`."""
+    sums = many.groupBy(F.col(side).alias(key)).agg(*[F.sum(F.col("t")[s]).alias(f"__{s}") for s in range(SAMPLES)])
+    met = keyed.join(sums, key, "left").withColumn(name, each(lambda s: F.col("once") + F.coalesce(F.col(f"__{s}"), F.lit(0))))
+    return met.select(*keyed.columns, name)
+
+
+def frequent(counted: DataFrame, column: str) -> DataFrame:
+    """No more than TOP of the most frequent rows, by a histogram of some 8 steps for each doubling."""
+    step = F.floor(F.log2(column) * 8).cast("int")
+    least, so_far = 1 << 20, 0
+    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
+        so_far += r["count"]
+        if so_far > TOP:
+            break
+        least = r.step
+    return counted.where(step >= least)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, top: DataFrame) -> DataFrame:
+    """rows.join(table, key); what meets `top`, the bounded frequent part of the table, is not dealt out."""
+    rest = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(top), key).unionByName(rest)
 
 
 @dataclass
 class Model:
-    """words: (h, c, log_p by context) of every training word; top: those of the TOP words as arrays sorted by h, with what each speaks for."""
+    """words: (h, n, ln_p by sample, log_p: their mean alone) of the unigram restaurant; contexts: (u, ln_back by sample); pairs: (u, w, n, log_p), n of w.
+
+    known: hashes of the frequent words; top: keys, n and log_p of the frequent pairs, sorted by key.
+    """
 
     words: DataFrame
+    contexts: DataFrame
+    pairs: DataFrame
     spelling: Spelling
     tokens: int
     kinds: int
-    log_back: np.ndarray
-    top: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-    log_prior: np.ndarray
-
-
-def fit(train: DataFrame, context_col: str = "lang", seed: int = 5) -> Model:
-    """The model of all texts of `train`; `context_col` names the contexts while learning and is not used in scoring."""
-    langs = [r[0] for r in train.where(F.col(context_col).isNotNull()).groupBy(context_col).count().orderBy(F.desc("count"), context_col).limit(MAX_LANGS - 1).collect()]
-    contexts = len(langs) + 1
-    ctx = F.lit(contexts - 1)
-    for k, lang in enumerate(langs):
-        ctx = F.when(F.col(context_col) == lang, F.lit(k)).otherwise(ctx)
-    vocabulary = staged(count_words(train.select("text", ctx.alias("ctx")), contexts), "words")
-    c = [F.col("c")[k] for k in range(contexts)]
-    total = sum(c[1:], c[0])
-    places = sum((F.when(x > 0, 1).otherwise(0) for x in c[1:]), F.when(c[0] > 0, 1).otherwise(0))
-    once, twice = (sum((F.when(x == n, 1).otherwise(0) for x in c), F.lit(0)) for n in (1, 2))
-    said = vocabulary.agg(
-        F.sum(total), F.count(F.lit(1)), F.sum(once), F.sum(twice), F.count_if(places == 1), F.count_if(places == 2), F.sum(places),
-        *[F.sum(x) for x in c], *[F.count_if(x > 0) for x in c],
-    ).first()
-    said = [float(x or 0) for x in said]
-    tokens, kinds, d, root_d = int(said[0]), int(said[1]), discount(said[2], said[3]), discount(said[4], said[5])
-    customers = np.array(said[7 : 7 + contexts])
-    state = Totals(customers, np.array(said[7 + contexts :]), said[6], said[1], d, root_d)
-    context, symbol, n = spelling_counts(vocabulary.withColumn("t", F.lit(1).cast("long")))
-    first = fit_spelling(context, symbol, n, 1, seed)
-    seated = staged(seat_words(vocabulary, first, [state], seed), "seated")
-    state = totals(seated, contexts, 1, customers, d, root_d)[0]
+    root_back: np.ndarray
+    known: np.ndarray
+    top: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def fit(train: DataFrame, seed: int = 5) -> Model:
+    """The model of all texts of `train`."""
+    pairs = staged(count_pairs(train), "pairs")
+    once, kinds = F.count_if(F.col("c") == 1).alias("once"), F.count(F.lit(1)).alias("kinds")
+    counted = count_words(train).join(pairs.groupBy(F.col("w").alias("h")).agg(once, kinds), "h")
+    words = staged(counted.select("token", "h", "c", "once", "kinds"), "words")
+    contexts = staged(pairs.groupBy("u").agg(F.sum("c").alias("c"), once), "contexts")
+    said = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum("kinds"), F.count_if(F.col("kinds") == 1), F.count_if(F.col("kinds") == 2)).first()
+    seen = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    tokens, vocabulary, all_pairs = (int(x or 0) for x in said[:3])
+    d = discount(float(seen[0]), float(seen[1]))
+    root = Root(np.full(SAMPLES, float(all_pairs)), np.full(SAMPLES, float(vocabulary)), discount(float(said[3]), float(said[4])))
+
+    # one table for each pair at first; the spelling is fitted again to the tables of the unigram restaurant
+    context, symbol, n = spelling_counts(words.withColumn("t", F.lit(1).cast("long")))
+    plain = with_spelling(words, fit_spelling(context, symbol, n, 1, seed)).withColumn("m", each(lambda s: F.col("kinds")))
+    seated, root = seat_words(plain, root, seed)
     context, symbol, n = spelling_counts(seated.select("token", F.col("t0")[0].alias("t")))
     spelling = fit_spelling(context, symbol, n, SAMPLES, seed + 1)
-    seated = staged(seat_words(vocabulary, spelling, [state] * SAMPLES, seed + 7), "seated")
-    states = totals(seated, contexts, SAMPLES, customers, d, root_d)
-
-    def sample(k: int, x: int) -> Column:
-        """The word's predictive probability in context x under sample k."""
-        one = states[k]
-        back, _ = one.backs()
-        mine = sum((F.col("t")[k * contexts + y] for y in range(1, contexts)), F.col("t")[k * contexts])
-        root = (mine - root_d * F.col("t0")[k] + (THETA + root_d * one.root_tables) * F.exp(F.col("logs")[k])) / (THETA + one.root_customers)
-        return (c[x] - d * F.col("t")[k * contexts + x]) / float(THETA + customers[x]) + float(back[x]) * root
-
-    by_context = [F.log10(sum((sample(k, x) for k in range(1, SAMPLES)), sample(0, x)) / float(SAMPLES)) for x in range(contexts)]
-    words = staged(seated.select("h", total.alias("n"), F.array(*by_context).cast("array<float>").alias("log_p"), "c"), "scores")
-    # the least count for which no more than TOP words are as frequent, from a histogram with some 8 steps for each doubling
-    step = F.floor(F.log2("n") * 8).cast("int")
-    least, so_far = 1 << 20, 0
-    for r in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):
-        so_far += r["count"]
-        if so_far > TOP:
-            break
-        least = r.step
-    flat = [F.col("log_p")[x].alias(f"p{x}") for x in range(contexts)] + [F.col("c")[x].alias(f"c{x}") for x in range(contexts)]
-    rows = words.where(step >= least).select("h", "n", *flat).toPandas()
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    by_lang = rows[[f"c{x}" for x in range(contexts)]].to_numpy(float)[order]
-    share = (customers + 1) / (customers.sum() + contexts)
-    speaks = np.log((by_lang + share) / (by_lang.sum(1, keepdims=True) + 1)) - np.log(share)  # one token more, split by the shares
-    log_p = rows[[f"p{x}" for x in range(contexts)]].to_numpy(float)[order]
-    backs = np.stack([np.log(s.backs()[0] * s.backs()[1]) for s in states])
-    return Model(words.select("h", "n", "log_p"), spelling, tokens, kinds, backs, (h[order], rows["n"].to_numpy(np.int64)[order], log_p, np.clip(speaks, -6, 6)), np.log(share))
-
-
-def contexts_of(speaks: np.ndarray, log_prior: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The context of each token, from what the REACH tokens before it in its text speak for; `first`: each token's first token of the text."""
-    total = np.zeros((len(speaks) + 1, speaks.shape[1]))
-    np.cumsum(speaks, 0, out=total[1:])
-    here = np.arange(len(speaks))
-    return (total[here] - total[np.maximum(here - REACH, first)] + log_prior).argmax(1)
+    words = staged(with_spelling(words, spelling), "spelt")
+    top_words = [r.h for r in frequent(words, "c").select("h").collect()]
+    known = np.sort(np.array(top_words, np.int64).view(np.uint64))
+
+    def unigram(root: Root, s: int) -> Column:
+        mass = float(THETA + root.d * root.tables[s])
+        return (F.col("m")[s] - root.d * F.col("t0")[s] + mass * F.exp(F.col("logs")[s])) / float(THETA + root.customers[s])
+
+    def parents(seated: DataFrame, root: Root) -> DataFrame:
+        return seated.select(F.col("h").alias("w"), F.col("c").alias("n"), each(lambda s: unigram(root, s)).alias("p1"))
+
+    many = staged(pairs.where("c > 1").select("u", "w", "c", each(lambda s: F.lit(1).cast("long")).alias("t")), "many")
+    for sweep in range(SWEEPS + 1):
+        seated, root = seat_words(with_tables(words, "h", many, "w", "m"), root, seed + 7 + 10 * sweep)
+        here = staged(with_tables(contexts, "u", many, "u", "all"), "restaurants")
+        above = parents(seated, root)
+        if sweep < SWEEPS:
+            met = looked_up(many, above.drop("n"), "w", frequent(above, "n").drop("n"))
+            met = looked_up(met, here.select("u", "all"), "u", frequent(here, "c").select("u", "all"))
+            many = staged(seat_pairs(met, d, seed + 8 + 10 * sweep), "many")
+
+    rows = pairs.where("c = 1").select("u", "w", "c", each(lambda s: F.lit(1).cast("long")).alias("t")).unionByName(many)
+    met = looked_up(rows, above, "w", frequent(above, "n"))
+    here = here.withColumnRenamed("c", "customers").drop("once")
+    met = looked_up(met, here, "u", frequent(here, "customers"))
+    sample = lambda s: (F.col("c") - d * F.col("t")[s] + (THETA + d * F.col("all")[s]) * F.col("p1")[s]) / (THETA + F.col("customers"))
+    mean = lambda of: sum((of(s) for s in range(1, SAMPLES)), of(0)) / float(SAMPLES)
+    scores = staged(met.select("u", "w", "c", "n", F.log10(mean(sample)).cast("float").alias("log_p")), "scores")
+    top = frequent(scores, "c").select("u", "w", "n", "log_p").toPandas()
+    keys = pair_keys(*(top[x].to_numpy(np.int64).view(np.uint64) for x in "uw"))
+    order = np.argsort(keys)
+    return Model(
+        above.select(F.col("w").alias("h"), "n", each(lambda s: F.ln(F.col("p1")[s])).alias("ln_p"), F.array(F.log10(mean(lambda s: F.col("p1")[s]))).alias("log_p")),
+        here.select("u", each(lambda s: F.ln((THETA + d * F.col("all")[s]) / (THETA + F.col("customers")))).alias("ln_back")),
+        scores.drop("c"), spelling, tokens, vocabulary, root.back(), known,
+        (keys[order], top["n"].to_numpy(np.int64)[order], top["log_p"].to_numpy(float)[order]),
+    )
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     unit = float(model.tokens + model.kinds + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((model.spelling, model.log_back, model.top, model.log_prior))
+    shared = docs.sparkSession.sparkContext.broadcast((model.spelling, model.known, model.top))
+    spelt_names = [f"s{s}" for s in range(SAMPLES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, log_back, (known, counts, logs, speaks), log_prior = shared.value
-        uid, width = TaskContext.get().partitionId() << 36, len(log_prior)
+        spelling, known, (top, counts, logs) = shared.value
+        uid = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for i, j, data, off in text_rows(batch, "text", 1 << 20):
+            for i, j, data, starts, ends, rows, hashed, before in token_pairs(batch, 1 << 20):
                 n = j - i
-                starts, ends, rows, hashed = token_hashes(data, off)
-                # every text's end token goes behind its words
-                place = np.searchsorted(rows, np.arange(n), "right")
-                starts, ends = np.insert(starts, place, 0), np.insert(ends, place, 0)
-                rows, hashed = np.insert(rows, place, np.arange(n)), np.insert(hashed, place, END_HASH)
-                first = np.searchsorted(rows, np.arange(n))[rows]
-                at = np.minimum(np.searchsorted(known, hashed), max(len(known) - 1, 0))
-                there = known[at] == hashed if len(known) else np.zeros(len(hashed), bool)
-                said = np.zeros((len(hashed), width))
-                said[there] = speaks[at[there]]
-                ctx = contexts_of(said, log_prior, first)
+                key = pair_keys(before, hashed)
+                at = np.minimum(np.searchsorted(top, key), max(len(top) - 1, 0))
+                there = top[at] == key if len(top) else np.zeros(len(key), bool)
                 hit, r = at[there], rows[there]
-                sums = [np.bincount(rows, minlength=n), np.bincount(r, minlength=n), np.bincount(r, np.log10((counts[hit] + 1) / unit), n), np.bincount(r, logs[hit, ctx[there]], n)]
+                sums = [np.bincount(rows, minlength=n), np.bincount(r, minlength=n), np.bincount(r, np.log10((counts[hit] + 1) / unit), n), np.bincount(r, logs[hit], n)]
+                # the other pairs of each text, each once
                 rest = np.flatnonzero(~there)
-                kinds, one, which = np.unique(hashed[rest], return_index=True, return_inverse=True)
-                by_sample = spell_logs(spelling, FOLD[data], starts[rest[one]], ends[rest[one]])
-                pair, tf = np.unique((rows[rest].astype(np.int64) * width + ctx[rest]) * (len(kinds) + 1) + which, return_counts=True)
-                k, x = pair % (len(kinds) + 1), pair // (len(kinds) + 1) % width
-                r = pair // (len(kinds) + 1) // width
-                all_logs = by_sample[:, k] + log_back[:, x]
-                peak = all_logs.max(0) if len(k) else np.zeros(0)
-                spelt_log = (peak + np.log(np.exp(all_logs - peak).mean(0))) / np.log(10)
+                _, one, which = np.unique(key[rest], return_index=True, return_inverse=True)
+                pair, tf = np.unique(rows[rest].astype(np.int64) * (len(one) + 1) + which, return_counts=True)
+                r, tokens = pair // (len(one) + 1), rest[one[pair % (len(one) + 1)]]
+                kinds, first, which = np.unique(hashed[tokens], return_index=True, return_inverse=True)
+                new = np.flatnonzero(~np.isin(kinds, known))  # frequent words are not spelt
+                spelt = np.zeros((SAMPLES, len(kinds)))
+                spelt[:, new] = spell_logs(spelling, FOLD[data], starts[tokens[first[new]]], ends[tokens[first[new]]])
                 ids = np.arange(uid, uid + n)
                 uid += n
-                # one row a document, under a key of its own, then one row for each of its rarer words and contexts
+                own = mix(ids.astype(np.uint64))
+                # one row a document, under a key of its own, then one row for each of its rarer pairs
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.append(ids, ids[r])), pa.array(np.append(mix(ids.astype(np.uint64)), kinds[k]).view(np.int64)), pa.array(np.append(np.zeros(n, np.int64), tf).astype(np.int32)),
-                    pa.array(np.append(np.zeros(n, np.int64), x).astype(np.int32)), pa.array(np.append(np.zeros(n), spelt_log).astype(np.float32)),
-                    pa.concat_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.nulls(len(r), pa.int64())]),
-                    *[pa.array(np.append(s, np.zeros(len(r))).astype(kind)) for s, kind in zip(sums, (np.int32, np.int32, np.float64, np.float64), strict=True)],
-                ], ["uid", "h", "tf", "ctx", "spelt", "doc", "n_all", "n_known", "base", "full"])
-
-    rows = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), "text"), run, "uid long, h long, tf int, ctx int, spelt float, doc long, n_all int, n_known int, base double, full double")
-    met = rows.join(model.words, "h", "left")
-    tf, c = F.col("tf"), F.coalesce("n", F.lit(0))
+                    pa.array(np.append(ids, ids[r])), pa.array(np.append(own, before[tokens]).view(np.int64)), pa.array(np.append(own, hashed[tokens]).view(np.int64)),
+                    pa.array(np.append(np.zeros(n, np.int64), tf).astype(np.int32)), pa.concat_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.nulls(len(r), pa.int64())]),
+                    *[pa.array(np.append(x, np.zeros(len(r))).astype(kind)) for x, kind in zip(sums, (np.int32, np.int32, np.float64, np.float64), strict=True)],
+                    *[pa.array(np.append(np.zeros(n), x[which]).astype(np.float32)) for x in spelt],
+                ], ["uid", "u", "w", "tf", "doc", "n_all", "n_known", "base", "full", *spelt_names])
+
+    kinds = ", ".join(f"{x} float" for x in spelt_names)
+    rows = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), "text"), run, f"uid long, u long, w long, tf int, doc long, n_all int, n_known int, base double, full double, {kinds}")
+    tf, found = F.col("tf"), F.col("log_p").isNotNull()
+    missed = (tf > 0) & ~found
+    # of each document one row of sums, and one for each pair that was not in training
+    parts = staged(
+        rows.join(model.pairs, ["u", "w"], "left")
+        .groupBy("uid", F.when(missed, F.col("u")).alias("u"), F.when(missed, F.col("w")).alias("w"))
+        .agg(
+            F.max("doc").alias("doc"), F.sum("n_all").alias("n_all"), F.sum(F.col("n_known") + F.when(found, tf).otherwise(0)).alias("n_known"),
+            F.sum(F.col("base") + F.when(found, tf * F.log10((F.col("n") + 1) / unit)).otherwise(0.0)).alias("base"),
+            F.sum(F.col("full") + F.when(found, tf * F.col("log_p").cast("double")).otherwise(0.0)).alias("full"),
+            F.sum("tf").alias("tf"), *[F.max(x).alias(x) for x in spelt_names],
+        ),
+        "parts",
+    )
+    sums = ["uid", "doc", "n_all", "n_known", "base", "full"]
+    new = parts.where(F.col("w").isNotNull()).join(model.words.withColumnRenamed("h", "w").drop("log_p"), "w", "left").join(model.contexts, "u", "left")
+    logs = [
+        F.coalesce(F.col("ln_back")[s], F.lit(0.0)) + F.coalesce(F.col("ln_p")[s], F.col(x).cast("double") + float(np.log(model.root_back[s])))
+        for s, x in enumerate(spelt_names)
+    ]
+    new = new.withColumn("__peak", F.greatest(*logs))
+    mean = sum((F.exp(x - F.col("__peak")) for x in logs[1:]), F.exp(logs[0] - F.col("__peak"))) / float(SAMPLES)
+    new = new.select(
+        "uid", "doc", "n_all", F.when(F.col("n") > 0, tf).otherwise(0).alias("n_known"), (tf * F.log10((F.coalesce("n", F.lit(0)) + 1) / unit)).alias("base"),
+        (tf * (F.col("__peak") + F.ln(mean)) / float(np.log(10))).alias("full"),
+    )
     return (
-        met.select(
-            "uid", "doc", "n_all", (F.col("n_known") + F.when(c > 0, tf).otherwise(0)).alias("n_known"),
-            (F.col("base") + F.when(tf > 0, tf * F.log10((c + 1) / unit)).otherwise(0.0)).alias("base"),
-            (F.col("full") + F.when(tf > 0, tf * F.coalesce(F.col("log_p")[F.col("ctx")], F.col("spelt")).cast("double")).otherwise(0.0)).alias("full"),
-        )
+        parts.where(F.col("w").isNull()).select(sums).unionByName(new)
         .groupBy("uid").agg(F.max("doc").alias(id_col), F.sum("n_all").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("full").alias("score"))
         .select(id_col, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
     )

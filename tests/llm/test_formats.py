@@ -130,3 +130,31 @@ def test_language_model_of_awkward_tables(spark):
     assert language_model.score(empty, language_model.fit(docs)).collect() == []
     twice = docs.union(docs).withColumn("h", F.lit("clash"))
     assert language_model.score(twice, model).count() == 6
+
+
+def chain(rng: random.Random, n: int) -> list[str]:
+    """Words of which each says much about the next."""
+    out = [rng.randrange(30)]
+    while len(out) < n:
+        out.append((out[-1] * 7 + rng.choice((1, 2))) % 30)
+    return [f"w{k}x" for k in out]
+
+
+def test_the_word_before_changes_a_score(spark):
+    rng = random.Random(4)
+    texts = [chain(rng, 40) for _ in range(300)]
+    docs = frame(spark, [" ".join(t) for t in texts])
+    model = language_model.fit(docs.where("doc_id < 250"))
+    mixed = frame(spark, [" ".join(rng.sample(t, len(t))) for t in texts])
+    right, wrong = ({r.doc_id: r.score for r in language_model.score(d.where("doc_id >= 250"), model).collect()} for d in (docs, mixed))
+    assert all(right[i] > wrong[i] + 10 for i in right) and len(right) == 50
+
+
+def test_probabilities_behind_a_word_sum_to_one(spark):
+    model = language_model.fit(frame(spark, lm_texts()))
+    pairs = model.pairs.groupBy("u").agg(F.sum(F.pow(F.lit(10.0), F.col("log_p").cast("double"))).alias("p"), F.collect_set("w").alias("ws"))
+    unigram = {r.h: 10 ** r.log_p[0] for r in model.words.collect()}
+    back = {r.u: sum(math.exp(x) for x in r.ln_back) / language_model.SAMPLES for r in model.contexts.collect()}
+    for r in pairs.collect():
+        # the mean of products over samples is near the product of means
+        assert 0.5 < r.p + back[r.u] * sum(p for w, p in unigram.items() if w not in set(r.ws)) < 1.01
