@@ -158,3 +158,16 @@ def test_probabilities_behind_a_word_sum_to_one(spark):
     for r in pairs.collect():
         # the mean of products over samples is near the product of means
         assert 0.5 < r.p + back[r.u] * sum(p for w, p in unigram.items() if w not in set(r.ws)) < 1.01
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda lang: " ".join(f"{lang}{rng.choice('aeiou')}{rng.choice('klmn')}" for _ in range(20))
+    docs = spark.createDataFrame([(i, text("bd"[i % 3 == 0]), "bd"[i % 3 == 0], "web", 0) for i in range(200)], SCHEMA)
+    got = []
+    for top in (100_000, 3):
+        monkeypatch.setattr(language_model, "TOP", top)
+        got.append({r.doc_id: r for r in language_model.score(docs, language_model.fit(docs.where("doc_id < 150"))).collect()})
+    for i, r in got[0].items():
+        assert r.n_known == got[1][i].n_known and math.isclose(r.score, got[1][i].score, rel_tol=1e-5)
+        assert math.isclose(r.base_score, got[1][i].base_score, rel_tol=1e-9)
