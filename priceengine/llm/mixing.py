@@ -1,7 +1,8 @@
 """Operator 7: mixing sources to target weights by Poisson replication.
 
 Every document draws its own number of copies: a hash of (seed, doc_id) gives a uniform number, and the Poisson
-distribution with the source's mean repetition rate is inverted at it. The copies are exploded and dealt out in the
+distribution with the source's mean repetition rate is inverted at it. A rate beyond MAX_RATE is split into equal parts
+below it, each with a hash and a draw of its own: a sum of Poisson numbers is one with the summed rate. The copies are exploded and dealt out in the
 order of another hash, so the output is shuffled globally and comes out the same on every run and after lost tasks.
 
 Cases: a null source is a source of its own. A null doc_id is hashed as the text 'null'. Repeated rows draw the same
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The Poisson sum ends here: with rates up to MAX_RATE, the mass beyond is under 2**-60.
+#: The Poisson sum of one draw ends here: with rates up to MAX_RATE, the mass beyond is under 2**-60.
 MAX_RATE, MAX_COPIES = 64.0, 192
 
 
@@ -47,7 +48,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float
             raw = F.when(F.col("source") == name, F.lit(float(weight))).otherwise(raw)
     counts = counts.withColumn("__raw", raw)
     total = counts.agg(F.sum("__raw").alias("__w"), F.sum("__n").alias("__all"))
-    rate = F.least(F.lit(MAX_RATE), F.col("__raw") / F.col("__w") * F.col("__all") * F.lit(float(epochs)) / F.col("__n"))
+    rate = F.col("__raw") / F.col("__w") * F.col("__all") * F.lit(float(epochs)) / F.col("__n")
     # total is one row by construction
     return counts.join(F.broadcast(total), F.lit(True)).select(
         F.col("source").alias("__source"), F.when(F.col("__w") > 0, rate).otherwise(F.lit(0.0)).alias("rate")
@@ -56,15 +57,23 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """Rows of `docs`, each `copy` times as drawn, ordered by a hash. weights: by source; None: shares proportional to rows ** alpha."""
-    rates = source_rates(docs, weights, alpha, epochs).withColumn("__cdf", poisson_thresholds(F.col("rate")))
+    parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    rates = source_rates(docs, weights, alpha, epochs).withColumn("__parts", parts).withColumn("__cdf", poisson_thresholds(F.col("rate") / F.col("__parts")))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = uniform(F.lit(str(seed)), ident)
+
+    def drawn_at(u: Column) -> Column:
+        return F.size(F.filter("__cdf", lambda c: c <= u))
+
+    # the first part is drawn as a rate below MAX_RATE is
+    further = F.when(F.col("__parts") > 1, F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.col("__parts") - 1, F.lit(1))), F.lit(0), lambda n, k: n + drawn_at(uniform(F.lit(str(seed)), ident, k.cast("string")))
+    )).otherwise(0)
     # Spark broadcasts the rates while they are small and deals both sides out beyond that (AQE splits a hot source)
     drawn = (
         docs.drop("copy", "rate", "order_key").join(rates, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("__u", u)
-        .withColumn("__count", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
-        .where(F.col("__count") > 0).drop("__cdf", "__source", "__u")
+        .withColumn("__u", uniform(F.lit(str(seed)), ident))
+        .withColumn("__count", drawn_at(F.col("__u")) + further)
+        .where(F.col("__count") > 0).drop("__cdf", "__source", "__u", "__parts")
     )
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__count")))).drop("__count")
     key = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(f"{seed}s"), ident, F.col("copy").cast("string")), 256), 1, 13), 16, 10).cast("long")

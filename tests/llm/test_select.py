@@ -200,3 +200,11 @@ def test_mixing_of_awkward_tables(spark):
     assert {r.source for r in got} == {None, "a"} and all(isinstance(r.copy, int) for r in got)
     assert mix_sources(docs, {"a": 2.0}).where("source is null").count() == 0
     assert source_rates(docs, {"b": 1.0}, 0.5, 1.0).agg(F.max("rate")).first()[0] == pytest.approx(0.0)
+
+
+def test_mixing_of_a_rare_source_reaches_its_weight(spark):
+    docs = spark.createDataFrame([(i, "t", "en", "big" if i >= 10 else "rare", 1) for i in range(4000)], SCHEMA)
+    assert source_rates(docs, {"big": 1.0, "rare": 1.0}, 0.5, 1.0).where("__source = 'rare'").first().rate == pytest.approx(200.0)
+    copies = Counter(r.doc_id for r in mix_sources(docs, {"big": 1.0, "rare": 1.0}, seed=3).collect() if r.source == "rare")
+    assert len(set(copies.values())) > 3 and abs(sum(copies.values()) / 2000 - 1) < 0.1
+    assert all(120 < n < 280 for n in copies.values())
