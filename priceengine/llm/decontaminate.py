@@ -1,12 +1,14 @@
 """Operator 2: benchmark decontamination by spaced seeds, with DataFrame functions only.
 
-Words are hashed once in their array. Fixed masks leave out some of `SPAN` word positions, so a seed still matches
-where a word at a left-out position was replaced. Seeds of all documents meet those of the benchmark in a join; the
+Words are hashed once in their array. A seed is four words in a row or two and two around one that is left out. Wherever
+one word of five is replaced in 8 to 15 words, a seed stays whole (by enumeration, see the tests); more words split into
+such stretches, and one of them has no more than its share of the replaced ones. So every leak by the default
+`min_overlap` and `min_agree`, or greater ones, has a seed. Seeds of all documents meet those of the benchmark in a join; the
 hits of one (document, item) with the same shift are one candidate, and the item is then laid over the document at
 that shift and compared word by word. A candidate is a leak if at least `min_overlap` words lie on each other and the
 agreeing ones are `min_agree` of them, or `min_agree` of SPAN words in a row: a part of an item is a leak, too.
 
-Items shorter than SPAN words are matched whole by one hash over all their words, for each such length.
+With a lower `min_overlap`, items shorter than FEWEST words are matched whole by one hash over all their words, for each such length.
 
 Cases: null and empty texts have no words and never match. Items of fewer than `min_overlap` words are not
 searched for, as they are no passages. Repeated rows of one doc_id are judged as one; null doc_ids are left alone.
@@ -21,10 +23,13 @@ from pyspark.sql import functions as F
 from priceengine.llm.staging import small, staged
 
 SPAN = 13
-#: 1: the word counts. Each mask leaves out five of thirteen positions; two replaced words among thirteen miss at least one mask unless both of its halves are hit.
+#: 1: the word counts.
+SEEDS = ("1111", "11011")
+#: From so many words on, a seed stays whole under any accepted replacement.
+FEWEST = 8
+#: The masks of the SQL, which finds fewer candidates.
 MASKS = ("1101100111011", "1011011100111", "1110111011001")
 
-
 #: Tables are broadcast up to so many rows (counted first); beyond, Spark deals out both sides.
 MAX_BROADCAST_SEEDS, MAX_BROADCAST_HITS, MAX_BROADCAST_ITEMS = 1_000_000, 20_000, 20_000
 
@@ -37,16 +42,18 @@ def words(text: Column) -> Column:
 
 def seeds(hashes: Column) -> Column:
     """array<struct<pos, seed>>: for each position and mask, a hash of the words under the mask."""
-    places = F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(0), F.size(hashes) - SPAN)).otherwise(F.array().cast("array<int>"))
+    least = min(map(len, SEEDS))
+    places = F.when(F.size(hashes) >= least, F.sequence(F.lit(0), F.size(hashes) - least)).otherwise(F.array().cast("array<int>"))
 
     def at(i: Column, m: int, mask: str) -> Column:
-        return F.xxhash64(F.lit(m), *[hashes[i + k] for k, c in enumerate(mask) if c == "1"])
+        seed = F.xxhash64(F.lit(m), *[F.get(hashes, i + k) for k, c in enumerate(mask) if c == "1"])
+        return seed if len(mask) == least else F.when(i + len(mask) <= F.size(hashes), seed)
 
-    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.array(*[at(i, m, mask) for m, mask in enumerate(MASKS)]).alias("seeds")))
+    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.array(*[at(i, m, mask) for m, mask in enumerate(SEEDS)]).alias("seeds")))
 
 
 def whole_keys(hashes: Column, lengths: list[int]) -> Column:
-    """For items shorter than SPAN: a hash of every run of so many words."""
+    """For items shorter than FEWEST: a hash of every run of so many words."""
     def runs(n: int) -> Column:
         places = F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.struct(i.alias("pos"), F.array(F.xxhash64(F.lit(-n), *[hashes[i + k] for k in range(n)])).alias("seeds")))
@@ -59,7 +66,7 @@ def exploded(df: DataFrame, ids: str, hashes: str, lengths: list[int]) -> DataFr
     if lengths:
         found = F.concat(found, whole_keys(F.col(hashes), lengths))
     rows = df.select(ids, F.explode(found).alias("__s")).select(ids, F.col("__s.pos").alias("__pos"), F.col("__s.seeds").alias("__seeds"))
-    return rows.select(ids, "__pos", F.explode("__seeds").alias("__seed"))
+    return rows.select(ids, "__pos", F.explode("__seeds").alias("__seed")).where(F.col("__seed").isNotNull())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 8, min_agree: float = 0.8) -> DataFrame:
@@ -68,7 +75,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 8, min_
     items = staged(
         benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("__item")).where(F.size("__item") >= min_overlap), "items"
     )
-    lengths = sorted(r[0] for r in items.where(F.size("__item") < SPAN).select(F.size("__item")).distinct().collect())  # at most SPAN numbers
+    lengths = sorted(r[0] for r in items.where(F.size("__item") < FEWEST).select(F.size("__item")).distinct().collect())  # fewer than FEWEST numbers
     doc_seeds = exploded(docs.select("doc_id", words(F.col("text")).alias("__w")), "doc_id", "__w", lengths)
     item_seeds = exploded(items, "item_id", "__item", lengths).withColumnRenamed("__pos", "__ipos")
     hits = (

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from priceengine.llm.decontaminate import decontaminate, find_leaks
+from priceengine.llm.decontaminate import SEEDS, decontaminate, find_leaks
 from priceengine.llm.mixing import mix_sources, source_rates
 from priceengine.llm.quality import keep_good, score_quality
 from priceengine.llm.toxicity import TrieAutomaton, learn, score_toxicity
@@ -208,3 +209,29 @@ def test_mixing_of_a_rare_source_reaches_its_weight(spark):
     copies = Counter(r.doc_id for r in mix_sources(docs, {"big": 1.0, "rare": 1.0}, seed=3).collect() if r.source == "rare")
     assert len(set(copies.values())) > 3 and abs(sum(copies.values()) / 2000 - 1) < 0.1
     assert all(120 < n < 280 for n in copies.values())
+
+
+def test_a_seed_stays_whole_in_every_accepted_placement():
+    """More than 15 words split into stretches of 8 to 15, of which one has no more than its share of the replaced words."""
+    for n in range(8, 26):
+        seeds = [sum(1 << (i + k) for k, c in enumerate(m) if c == "1") for m in SEEDS for i in range(n - len(m) + 1)]
+        for out in combinations(range(n), n // 5):
+            gone = sum(1 << k for k in out)
+            assert any(not s & gone for s in seeds)
+
+
+def test_leaks_with_any_words_replaced(spark):
+    rng = random.Random(8)
+    items = [prose(rng, n) for n in (8, 9, 10, 12, 13, 15, 20, 25)]
+    texts: list[str | None] = []
+    for item in items:
+        n = len(item.split())
+        for r in range(1, n // 5 + 1):
+            spread = [sorted(rng.sample(range(n), r)) for _ in range(6)]
+            for out in [[0, *range(n - r + 1, n)], list(range(n - r, n)), list(range(r, n, n // r))[:r], *spread]:
+                words = [f"x{k}" if k in out else w for k, w in enumerate(item.split())]
+                texts.append(" ".join([*prose(rng, rng.randrange(4)).split(), *words, *prose(rng, 3).split()]))
+        texts.append(" ".join(item.split()[-8:]) + " " + prose(rng, 5))
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(frame(spark, texts), bench).collect()}
+    assert got == brute_leaks(texts, items) and len({i for i, _ in got}) == len(texts)
