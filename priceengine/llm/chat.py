@@ -3,8 +3,8 @@ r"""Operator 8: chat formatting by columnar byte assembly.
 A turn becomes `<|turn|>role<|says|>text<|end|>` and a newline. In roles and texts every backslash and every `<` gets
 a backslash before it, so no text can hold a control string and the original comes back by dropping those
 backslashes. Per batch, numpy computes the length of every segment, the offsets by a running sum, and the place of
-every byte; headers and contents are then scattered into one preallocated buffer, which becomes the Arrow column
-without a further copy. The loss mask is a list of byte spans of the formatted conversation: the escaped texts of the
+every byte; headers and contents are then scattered into one preallocated buffer of turns. Their bytes are copied out,
+sliced and joined in Python for each conversation, and copied again into the Arrow column. The loss mask is a list of byte spans of the formatted conversation: the escaped texts of the
 assistant.
 
 Conversations are dealt out and sorted by (conv_id, turn, role, text); a batch may end inside one, so turns are
