@@ -11,12 +11,15 @@ process stops once it is later than all slots' points. The share of equal slots
 without bias.
 
 Candidates. BANDS bands of ROWS slots make buckets: texts of similarity 0.8 share one of them with probability
-1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99994. In a bucket, leaders (the texts that meet most others in all
-their buckets, as the original of a group of copies does) are compared with the other members, not all with all:
-the members' own similarity is computed exactly from their runs, for one leader of each member first, as most pairs of
-a group are of one class by then and need no further comparison. When all are compared or of one class, the leaders
-leave their buckets; buckets that still hold several classes go into the next round with four times the leaders, until
-every bucket is of one class or used up. So no pair is skipped but those that cannot change a class.
+1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99994. A bucket is open while it holds several classes. In TURNS turns every text
+of another class is compared with one leader of its open buckets, first with the text that meets most others (the
+original of a group of copies does), then with random ones; linked classes become one. So each turn compares no
+more pairs than there are texts, and most of a group is one class soon.
+
+The rest, exactly. All texts of buckets that are still open are compared, but for pairs of one class and pairs that
+cannot be linked: linked texts have so many runs in common that one of the rarest runs of either is a common one
+(`rare_run_pairs`). This finds every pair of those texts with THRESHOLD, not only those that share a bucket. Compared is the members' own similarity, computed
+exactly from their runs. So no pair is skipped but those that cannot change a class.
 
 Exact copies are one text from the start. Classes merge by smallest-neighbour steps with pointer jumping on written
 tables. Nothing but counts comes to the driver.
@@ -33,15 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priceengine.llm.kernels import mix, row_counts, text_rows, token_hashes
-from priceengine.llm.staging import counted, map_arrow, small, staged
+from priceengine.llm.staging import counted, map_arrow, release, small, staged
 
 RUN, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
+TURNS = 4
 MAX_BROADCAST_IDS = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TICKS = float(1 << 26)
@@ -186,49 +190,84 @@ def links_of(pairs: DataFrame, runs: DataFrame) -> DataFrame:
 def connect(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that edges (a, b) connect each id with. Written at every step."""
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
+    labels = old = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
         stepped = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "label", F.least("label", F.coalesce("theirs", "label")).alias("new"))
         up = labels.select(F.col("id").alias("new"), F.col("label").alias("above"))
         jumped, changed = counted(stepped.join(up, "new", "left").select("id", "label", F.least("new", F.coalesce("above", "new")).alias("new")), "labels", F.col("new") != F.col("label"))
         labels = jumped.select("id", F.col("new").alias("label"))
+        release(old)
+        old = jumped
         if not changed:
+            release(both)
             return labels
 
 
-def known(labels: DataFrame, rows: int, key: str, label: str, weight: str) -> DataFrame:
-    """`labels` under other names, for a join; broadcast if its counted `rows` are few."""
-    out = labels.select(F.col("id").alias(key), F.col("label").alias(label), F.col("weight").alias(weight))
+def known(labels: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """Columns of `labels` for a join; broadcast if its counted `rows` are few."""
+    out = labels.select("id", *columns)
     return F.broadcast(out) if rows <= MAX_BROADCAST_IDS else out
 
 
-def merged(pairs: DataFrame, runs: DataFrame, labels: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
-    """`labels` (id, label, weight) after all of `pairs` (a, b) that still lie in two classes are verified, and those pairs.
+def joined_classes(labels: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (id, label, weight) after the classes of linked pairs (a, b, la, lb: their labels) become one."""
+    edges = links.join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    moved = connect(edges)
+    out = staged(labels.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"), "weight"), "labels")
+    release(moved)
+    return out
+
 
-    A first step tests one pair of each `a`, the one with the weightiest `b`; a second one pair of each `a` with each
-    class that is left, and a third all the rest. Most of a group's pairs fall into one class by then, and their runs of
-    words are never brought together.
+def open_buckets(members: DataFrame, labels: DataFrame, texts: int, turn: int) -> tuple[DataFrame, DataFrame, int]:
+    """(id, key, label) of the members, and (key, of, of_label) of the buckets that hold several classes: a leader of each.
+
+    The first turn leads with the text that meets most others in all its buckets, the later ones with a random one.
     """
-    tested = []
-    for by in (["a"], ["a", "lb"], None):
-        pairs, n = counted(pairs.select("a", "b").join(known(labels, few, "a", "la", "wa"), "a").join(known(labels, few, "b", "lb", "wb"), "b").where("la != lb").select("a", "b", "la", "lb", "wb"), "open")
-        if not n:
-            break
-        picked = pairs
-        if by:
-            first = F.min(F.struct((-F.col("wb")).alias("back"), "b", "a", "la", "lb"))
-            picked = staged(pairs.groupBy(*by).agg(first.alias("p")).select("p.a", "p.b", "p.la", "p.lb"), "picked")
-            pairs = pairs.join(picked.select("a", "b"), ["a", "b"], "left_anti")
-        tested.append(picked.select("a", "b"))
-        links, n = counted(links_of(picked.select("a", "b"), runs).distinct(), "links")
-        if n:
-            moved = connect(links.join(picked, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("to"))
-            labels = staged(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label"), "weight"), "labels")
-    seen = pairs.select("a", "b").limit(0)
-    for one in tested:
-        seen = seen.union(one)
-    return labels, seen
+    rank = -F.col("weight") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    there = members.join(known(labels, texts, "label", "weight"), "id")
+    leader = F.min(F.struct(rank.alias("rank"), F.col("id").alias("of"), F.col("label").alias("of_label"))).alias("l")
+    buckets = there.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), leader).where("x < y")
+    buckets, n = counted(buckets.select("key", "l.of", "l.of_label"), "open")
+    return there.select("id", "key", "label"), buckets, n
+
+
+def leader_pairs(there: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(a, b, la, lb): one pair for each text a that is not in the class of a leader of its buckets, with the leader b that it meets most."""
+    met = there.join(buckets, "key").where("label != of_label").groupBy("id", "label", "of", "of_label").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.struct("n", (-F.col("of")).alias("back"), "of_label")).alias("m")
+    return met.groupBy("id", "label").agg(best).select(F.col("id").alias("a"), (-F.col("m.back")).alias("b"), F.col("label").alias("la"), F.col("m.of_label").alias("lb"))
+
+
+def least_common(x: Column, y: Column) -> Column:
+    """How many runs texts of x and y runs must have in common to be linked: 4 / 9 of the sum, rounded up."""
+    return F.floor((4 * (x + y) + 8) / 9)
+
+
+def rare_run_pairs(runs: DataFrame, live: DataFrame) -> DataFrame:
+    """(a, b, la, lb): all pairs of `live` texts (id, label) of several classes that can still be linked.
+
+    The runs of a text are put in order: first those that stand in one class only, then rare before frequent ones. Of two
+    texts that have `c` runs in common, at least, the first n - c + 1 of either (n: its runs) hold a common one. So the
+    copies of one original that differ from it too much, each in its own way, never meet: their first runs are their own.
+    Texts meet under a run and a step of size, of the smaller text; 12 steps are a doubling.
+    """
+    rows = runs.join(live, "id").select("id", "label", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    across = rows.groupBy("run").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("run", "df")
+    common = rows.join(across, "run").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("own"))  # a text's own runs
+    n, step = F.col("n"), lambda size: F.floor(F.log2(size) * 12).cast("int")
+    alone = n - F.size("own")
+    first = F.slice("own", F.lit(1), F.greatest(n - F.ceil(n * 4 / 5) + 1 - alone, F.lit(0)).cast("int"))
+    placed = common.select("id", "label", "n", alone.alias("alone"), F.posexplode(first).alias("at", "r")).select("id", "label", "n", F.col("r.run").alias("run"), (F.col("alone") + F.col("at") + 1).alias("p"))
+    placed = staged(placed, "rare")
+    smaller = placed.where(F.col("p") <= n - least_common(n, n) + 1).select("run", step(n).alias("step"), F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    larger = placed.select("run", F.explode(F.sequence(step(n) - 4, step(n))).alias("step"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    need = least_common(F.col("na"), F.col("nb"))
+    fits = (F.col("la") != F.col("lb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") * 5 >= F.col("nb") * 4)
+    near = (F.col("pa") <= F.col("na") - need + 1) & (F.col("pb") <= F.col("nb") - need + 1)
+    left, right = smaller.alias("s"), larger.alias("t")
+    met = left.join(right, (F.col("s.run") == F.col("t.run")) & (F.col("s.step") == F.col("t.step")) & fits & near)
+    return met.select("a", "b", "la", "lb").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,41 +275,37 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     plain_known = plain.where(F.col("id").isNotNull())
     signed = staged(map_arrow(plain_known, _sign, "id long, k1 long, k2 long, bands array<long>"), "signed")
-    texts = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    copies = staged(signed.select("id", "k1", "k2").join(staged(texts, "texts"), ["k1", "k2"]).select("id", "rep").distinct(), "copies")
+    texts = staged(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "texts")
+    copies = staged(signed.select("id", "k1", "k2").join(texts, ["k1", "k2"]).select("id", "rep").distinct(), "copies")
     reps = signed.join(copies.where("id = rep").select("id"), "id", "left_semi")
-    members = reps.select("id", F.explode(F.array_distinct("bands")).alias("key")).distinct()
-    members = staged(members, "buckets")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    weighed = staged(members.join(shared, "key"), "shared")
+    buckets = staged(reps.select("id", F.explode(F.array_distinct("bands")).alias("key")).distinct(), "buckets")
+    release(signed, texts)
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    weighed = staged(buckets.join(shared, "key"), "shared")
+    release(buckets)
     members = weighed.select("id", "key")
     # how many texts a text meets in its buckets: the one that others were made from meets most
     wanted, few = counted(weighed.groupBy("id").agg(F.sum("n").alias("weight")), "wanted")
     runs = staged(map_arrow(plain_known.join(small(wanted.select("id"), MAX_BROADCAST_IDS), "id", "left_semi"), _runs, "id long, runs array<long>"), "runs")
-    labels = wanted.select("id", F.col("id").alias("label"), "weight")
-    tested, turn = None, 0
-    while True:
-        there = staged(members.join(known(labels, few, "id", "label", "weight"), "id"), "there")
-        live = there.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        there, n = counted(there.join(live, "key", "left_semi"), "there")
+    labels = staged(wanted.select("id", F.col("id").alias("label"), "weight"), "labels")
+    release(wanted)
+    for turn in range(TURNS + 1):
+        there, leading, n = open_buckets(members, labels, few, turn)
         if not n:
             break
-        # 4 ** turn leaders in each bucket: the weightiest of so many hash classes
-        part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 2 * turn))
-        rank = F.struct((-F.col("weight")).alias("back"), "id")
-        leaders = staged(there.groupBy("key", part.alias("part")).agg(F.min(F.struct(rank.alias("of_rank"), F.col("label").alias("of"))).alias("l")).select("key", F.col("l.of_rank").alias("of_rank"), F.col("l.of").alias("of")), "leaders")
-        mine, theirs = F.col("rank.id"), F.col("of_rank.id")
-        pairs = (
-            there.select("key", "label", rank.alias("rank")).join(leaders, "key").where((F.col("label") != F.col("of")) & (mine != theirs))
-            .select(F.greatest("rank", "of_rank").getField("id").alias("a"), F.least("rank", "of_rank").getField("id").alias("b")).distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        labels, seen = merged(pairs, runs, labels, few)
-        tested = seen if tested is None else tested.union(seen)
-        members = there.select("id", "key").join(leaders.select("key", F.col("of_rank.id").alias("id")), ["key", "id"], "left_anti")
-        turn += 1
+        if turn < TURNS:
+            pairs, tried = counted(leader_pairs(there, leading), "pairs")
+        else:
+            live = staged(there.join(leading.select("key"), "key", "left_semi").select("id", "label").distinct(), "live")
+            pairs, tried = counted(rare_run_pairs(runs, live), "pairs")
+        links, linked = counted(links_of(pairs.select("a", "b"), runs).distinct(), "links")
+        if linked:
+            before, labels = labels, joined_classes(labels, pairs, links)
+            release(before)
+        release(leading, pairs, links)
     by_doc = copies.join(labels, F.col("rep") == labels["id"], "left").groupBy(copies["id"].alias("id")).agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
+    by_doc = staged(by_doc, "classes")
+    release(copies, labels, weighed, runs)
     return docs.select(F.col(id_col).cast("long").alias("doc_id")).join(by_doc, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

@@ -35,6 +35,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `staged` wrote, once all that is made from them is written."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        own = f"{shared_folder(df.sparkSession)}/"
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if own.split("://")[-1].lstrip("/") in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def counted(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
     """`staged`, and how many rows were written (for which `what` holds): counted while writing, without a job of its own."""
     seen = Observation(f"{name}-{uuid.uuid4().hex}")
