@@ -5,17 +5,18 @@ each bin a log likelihood ratio, shrunk to none where few documents were counted
 regression on no more than FIT_ROWS labelled rows (the lowest by a hash of doc_id) weighs the ratios; a document's
 evidence is their weighted sum.
 Level 1, the host (`source`), and level 2, the path (source and lang): Beta posteriors of the share of good labels. The
-global prior's strength is fitted to the spread of the hosts by moments; a host's posterior mean is the prior of its
-paths. A sparse or unseen site so falls back to its host and then to the global rate.
-The score is the posterior probability of good quality: the path's prior log odds plus the evidence. As all junk in a
-site must not condemn its clean documents, the site's log odds count within +-SITE_LIMIT of the global ones.
+global prior's strength is fitted to the spread of the hosts by moments, the hosts' strength to the spread of the paths
+about them; a host's posterior mean is the prior of its paths. A sparse or unseen site so falls back to its host and then
+to the global rate.
+The score is the posterior probability of good quality: the path's prior log odds plus the evidence.
 
 The model is a bounded number of bins and is broadcast; counts use all labelled rows. Site tables grow with the
 number of sites and are joined (Spark broadcasts them while small).
 
-Cases: null and empty texts have the features of an empty text. Null source or lang is a site of its own. Documents
-without label only get scores; repeated rows of a doc_id are scored alike, and each counts in the fit. Labels other
-than 0 and 1, or null, are not used. Without any label every score is 0.5 and nothing is rejected. An empty table
+Cases: null and empty texts have the features of an empty text; very long ones are read whole. Null source or lang is a site
+of its own. Documents without label, those with a null doc_id among them, only get scores; repeated rows of a doc_id are
+scored alike, and each counts in the fit. Labels other than 0 and 1, or null, are not used; of contradictory labels of one
+doc_id the good one counts. Ties do not arise: equal documents of one site have equal scores. Without any label every score is 0.5 and nothing is rejected. An empty table
 gives an empty one. Input columns are kept; clashing helper columns are replaced.
 """
 
@@ -34,8 +35,9 @@ from priceengine.llm.staging import hash_sample, map_arrow, small, staged, with_
 
 FEATURES = ("chars", "upper", "symbol", "digit", "repeat", "distinct", "wordlen", "marked", "bare", "space")
 BINS = 32
-SITE_LIMIT, EVIDENCE_LIMIT, BIN_LIMIT = 1.0, 30.0, 8.0
-MAX_SITES = 50_000
+MAX_SITES, MAX_BROADCAST_LABELS = 50_000, 1_000_000
+#: Bounds of a fitted Beta prior's strength, in documents.
+STRENGTHS = (2.0, 10_000.0)
 #: The bound of the labelled sample on which the features' weights are fitted.
 FIT_ROWS = 20_000
 #: Documents under this probability of being good are rejected.
@@ -100,8 +102,7 @@ def fit_bins(labelled: DataFrame) -> dict[tuple[int, int], float]:
         good, bad = per[r.f]
         if good and bad:  # half a document of either class in each bin, split by the overall rate: the prior says nothing
             rate = good / (good + bad)
-            ratio = np.log((r.good + rate) / (good + rate)) - np.log((r.bad + 1 - rate) / (bad + 1 - rate))
-            out[r.f, r.b] = float(np.clip(ratio, -BIN_LIMIT, BIN_LIMIT))
+            out[r.f, r.b] = float(np.log((r.good + rate) / (good + rate)) - np.log((r.bad + 1 - rate) / (bad + 1 - rate)))
     return out
 
 
@@ -127,13 +128,49 @@ def fit_weights(bins: np.ndarray, good: np.ndarray, table: np.ndarray, ridge: fl
     return w[:-1], float(w[-1])
 
 
+def beta_strength(spread: float, noise: float, weight: float, variance: float) -> float:
+    """Of a Beta prior, in documents: `spread`, the weighted squares about the mean, is `noise` by chance and `weight` times the variance between sites."""
+    between = max((spread - noise) / weight, 1e-9) if weight > 0 else variance / 101.0  # a single site says nothing: 100 documents
+    return float(np.clip(variance / between - 1, *STRENGTHS))
+
+
+def site_posteriors(labelled: DataFrame) -> tuple[float, DataFrame, DataFrame]:
+    """(global rate, (__host, __host_rate), (__psource, __plang, __path_rate)) from (quality, source, lang): posterior means of the share of good labels."""
+    per_host = labelled.groupBy("source").agg(F.sum("quality").alias("good"), F.count(F.lit(1)).alias("n"))
+    per_path = labelled.groupBy("source", "lang").agg(F.sum("quality").alias("good"), F.count(F.lit(1)).alias("n"))
+    # sums over all hosts, one row
+    m = per_host.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in (
+        ("k", F.col("good")), ("n", F.col("n")), ("h", F.lit(1)), ("sq", F.col("good") * F.col("good") / F.col("n")), ("n2", F.col("n") * F.col("n")),
+    )]).first()
+    mean = (m.k + 1) / (m.n + 2)
+    variance = mean * (1 - mean)
+    strength = beta_strength(m.sq - 2 * mean * m.k + mean * mean * m.n, variance * (m.h - 1), m.n - m.n2 / max(m.n, 1), variance)
+    host = per_host.select(
+        F.col("source").alias("__host"), ((F.col("good") + mean * strength) / (F.col("n") + strength)).alias("__host_rate"), F.col("good").alias("__hgood"), F.col("n").alias("__hn")
+    )
+    path = per_path.join(host, F.col("source").eqNullSafe(F.col("__host")))
+    # how far the paths of a host lie from it: sums over all paths, one row
+    raw, own = F.col("__hgood") / F.col("__hn"), F.col("__host_rate") * (1 - F.col("__host_rate"))
+    rest = 1 - F.col("n") / F.col("__hn")
+    p = path.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(name) for name, x in (
+        ("s", (F.col("good") - F.col("n") * raw) * (F.col("good") - F.col("n") * raw) / F.col("n")), ("noise", own * rest), ("w", F.col("n") * rest), ("v", F.col("n") * rest * own),
+    )]).first()
+    below = beta_strength(p.s, p.noise, p.w, p.v / p.w if p.w > 0 else variance)
+    path = path.select(F.col("source").alias("__psource"), F.col("lang").alias("__plang"), ((F.col("good") + F.col("__host_rate") * below) / (F.col("n") + below)).alias("__path_rate"))
+    return mean, host.select("__host", "__host_rate"), path
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` with evidence, prior and quality_score (0 to 1, higher: better)."""
     clean = docs.drop("__bins", "evidence", "prior", "quality_score")
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    # features of the labelled rows: ten small numbers a document meet the labels, not the texts
-    seen = with_bins(docs.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", "__bins")
-    labelled = seen.join(marks, "doc_id").select("doc_id", "quality", "source", "lang", "__bins")
+    marks = staged(marks, "marks")
+    # features of the labelled rows: where labels are few, only those texts are read closely; else small numbers meet the labels, not the texts
+    seen = docs.select("doc_id", "source", "lang", "text")
+    if (few := marks.count()) <= MAX_BROADCAST_LABELS:
+        seen = seen.join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi")
+    seen = with_bins(seen).select("doc_id", "source", "lang", "__bins")
+    labelled = seen.join(F.broadcast(marks) if few <= MAX_BROADCAST_LABELS else marks, "doc_id").select("doc_id", "quality", "source", "lang", "__bins")
     labelled = staged(labelled, "labelled")
     table = bin_table(fit_bins(labelled))
     fit = hash_sample(labelled, "doc_id", labelled.count(), FIT_ROWS).select("quality", "__bins").collect()
@@ -142,24 +179,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         weights, shift = fit_weights(np.array([r["__bins"] for r in fit]), np.array([r.quality for r in fit], float), table)
         rate = np.mean([r.quality for r in fit])
         evidence_at, shift = table * weights[:, None], shift - float(np.log(rate / (1 - rate)))  # the prior comes from the site
-    per_host = labelled.groupBy("source").agg(F.sum("quality").alias("good"), F.count(F.lit(1)).alias("n"))
-    # moments of the hosts' rates, weighted by rows: sums over all hosts, one row
-    m = per_host.agg(
-        F.coalesce(F.sum("good"), F.lit(0)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("h"),
-        F.sum(F.col("good") * F.col("good") / F.col("n")).alias("sq"),
-    ).first()
-    mean = (m.k + 1) / (m.n + 2)
-    strength = 100.0
-    if m.h > 1:
-        spread = m.sq / m.n - 2 * mean * m.k / m.n + mean * mean
-        between = max(spread - mean * (1 - mean) * m.h / m.n, 1e-6)
-        strength = float(np.clip(mean * (1 - mean) / between - 1, 2.0, 10_000.0))
-    host = per_host.select(F.col("source").alias("__host"), ((F.col("good") + mean * strength) / (F.col("n") + strength)).alias("__host_rate"))
-    path = (
-        labelled.groupBy("source", "lang").agg(F.sum("quality").alias("good"), F.count(F.lit(1)).alias("n"))
-        .join(host, F.col("source").eqNullSafe(F.col("__host")))
-        .select(F.col("source").alias("__psource"), F.col("lang").alias("__plang"), ((F.col("good") + F.col("__host_rate") * strength) / (F.col("n") + strength)).alias("__path_rate"))
-    )
+    mean, host, path = site_posteriors(labelled)
     spark = clean.sparkSession
     model = spark.sparkContext.broadcast((evidence_at, shift))
     names = clean.columns
@@ -168,19 +188,18 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         table, shift = model.value
         for batch in batches:
             found = [shift + table[np.arange(len(FEATURES)), features(data, off)].sum(1) for _, _, data, off in text_rows(batch, "text")]
-            evidence = np.clip(np.concatenate(found), -EVIDENCE_LIMIT, EVIDENCE_LIMIT) if found else np.zeros(0)
+            evidence = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(evidence)], [*batch.schema.names, "evidence"])
 
     logit = lambda p: F.ln(p / (1 - p))
-    base = F.lit(float(np.log(mean / (1 - mean))))
-    site = F.greatest(F.least(logit(F.coalesce("__path_rate", "__host_rate", F.lit(mean))) - base, F.lit(SITE_LIMIT)), F.lit(-SITE_LIMIT))
+    site = logit(F.coalesce("__path_rate", "__host_rate", F.lit(mean)))
     scored = (
         map_arrow(clean, run, with_field(clean, "evidence", T.DoubleType()))
         .join(small(host, MAX_SITES), F.col("source").eqNullSafe(F.col("__host")), "left")
         .join(small(path, MAX_SITES), F.col("source").eqNullSafe(F.col("__psource")) & F.col("lang").eqNullSafe(F.col("__plang")), "left")
-        .withColumn("prior", 1 / (1 + F.exp(-(base + site))))
+        .withColumn("prior", 1 / (1 + F.exp(-site)))
     )
-    return scored.withColumn("quality_score", 1 / (1 + F.exp(-(base + site + F.col("evidence"))))).select(*names, "evidence", "prior", "quality_score")
+    return scored.withColumn("quality_score", 1 / (1 + F.exp(-(site + F.col("evidence"))))).select(*names, "evidence", "prior", "quality_score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
