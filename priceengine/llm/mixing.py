@@ -5,7 +5,8 @@ distribution with the source's mean repetition rate is inverted at it. A rate be
 below it, each with a hash and a draw of its own: a sum of Poisson numbers is one with the summed rate. The copies are exploded and dealt out in the
 order of another hash, so the output is shuffled globally and comes out the same on every run and after lost tasks.
 
-Cases: a null source is a source of its own. A null doc_id is hashed as the text 'null'. Repeated rows draw the same
+Cases: very long texts are carried whole. The order of rows with one hash is that of doc_id and copy; repeated rows stand in any
+order, as they are alike in both. A null source is a source of its own. A null doc_id is hashed as the text 'null'. Repeated rows draw the same
 count. A source without a target weight keeps weight 0 if `weights` is given, and so goes. Empty and null texts are
 replicated like others. An empty table gives an empty table. Input columns are kept; `copy`, `rate` and `order_key` are added (a
 clashing input column is replaced).
@@ -16,6 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priceengine.llm.staging import small, staged
+
+#: A source has a row of up to MAX_COPIES numbers.
+MAX_BROADCAST_SOURCES = 10_000
 #: The Poisson sum of one draw ends here: with rates up to MAX_RATE, the mass beyond is under 2**-60.
 MAX_RATE, MAX_COPIES = 64.0, 192
 
@@ -68,9 +73,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     further = F.when(F.col("__parts") > 1, F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.col("__parts") - 1, F.lit(1))), F.lit(0), lambda n, k: n + drawn_at(uniform(F.lit(str(seed)), ident, k.cast("string")))
     )).otherwise(0)
-    # Spark broadcasts the rates while they are small and deals both sides out beyond that (AQE splits a hot source)
+    # counted: broadcast while sources are few, else both sides are dealt out (AQE splits a hot source)
     drawn = (
-        docs.drop("copy", "rate", "order_key").join(rates, F.col("source").eqNullSafe(F.col("__source")))
+        docs.drop("copy", "rate", "order_key").join(small(staged(rates, "rates"), MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("__source")))
         .withColumn("__u", uniform(F.lit(str(seed)), ident))
         .withColumn("__count", drawn_at(F.col("__u")) + further)
         .where(F.col("__count") > 0).drop("__cdf", "__source", "__u", "__parts")

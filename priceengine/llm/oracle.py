@@ -24,18 +24,20 @@ FROM judged GROUP BY doc_id
 OP7 = f"""
 WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 w AS (SELECT source, n, pow(CAST(n AS DOUBLE), 0.5) AS raw FROM n),
-rates AS (
-  SELECT source, least({MAX_RATE}, raw / (SELECT sum(raw) FROM w) * (SELECT sum(n) FROM w) * 1.0 / n) AS rate FROM w
-), cdf AS (
+whole AS (SELECT source, raw / (SELECT sum(raw) FROM w) * (SELECT sum(n) FROM w) * 1.0 / n AS rate FROM w),
+parts AS (SELECT source, rate, greatest(CAST(ceil(rate / {MAX_RATE}) AS INT), 1) AS parts FROM whole),
+rates AS (SELECT source, rate / parts AS rate FROM parts), cdf AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf
   WHERE k < least({MAX_COPIES}, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS INT))
+), rows AS (
+  SELECT row_number() OVER () AS row, d.doc_id, d.source, d.text, unnest(range(0, p.parts)) AS part FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
 ), u AS (
-  SELECT doc_id, source, text, (CAST(('0x' || substr(sha256('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
-  FROM documents
+  SELECT *, (CAST(('0x' || substr(sha256('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || CASE WHEN part > 0 THEN ':' || part ELSE '' END), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  FROM rows
 ), drawn AS (
-  SELECT u.doc_id, u.source, u.text, count(c.k) AS copies FROM u JOIN cdf c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u
+  SELECT u.row, u.doc_id, u.source, u.text, count(c.k) AS copies FROM u JOIN cdf c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u
   GROUP BY ALL
 ), copied AS (SELECT doc_id, source, text, unnest(range(1, copies + 1)) AS copy FROM drawn)
 SELECT doc_id, source, copy,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from priceengine.llm.decontaminate import SEEDS, decontaminate, find_leaks
 from priceengine.llm.mixing import mix_sources, source_rates
-from priceengine.llm.quality import keep_good, score_quality
+from priceengine.llm.quality import keep_good, score_quality, site_posteriors
 from priceengine.llm.toxicity import TrieAutomaton, learn, score_toxicity
 from tests.llm.common import SCHEMA, frame, prose
 
@@ -158,6 +158,51 @@ def test_a_sparse_site_falls_back_to_the_global_prior(spark):
     assert got[1002].quality_score == got[1003].quality_score
 
 
+def brute_posteriors(rows: list[tuple[int, str, str]]) -> tuple[float, dict, dict]:
+    """(global rate, rate by host, rate by path) from (quality, source, lang), by the definitions."""
+    n, k = len(rows), sum(q for q, _, _ in rows)
+    mean = (k + 1) / (n + 2)
+    hosts, paths = {}, {}
+    for q, s, lang in rows:
+        hosts.setdefault(s, []).append(q)
+        paths.setdefault((s, lang), []).append(q)
+
+    def strength(spread: float, noise: float, weight: float, variance: float) -> float:
+        between = max((spread - noise) / weight, 1e-9) if weight > 0 else variance / 101
+        return min(max(variance / between - 1, 2.0), 10_000.0)
+
+    v = mean * (1 - mean)
+    a = strength(sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in hosts.values()), v * (len(hosts) - 1), n - sum(len(x) ** 2 for x in hosts.values()) / n, v)
+    host = {s: (sum(x) + mean * a) / (len(x) + a) for s, x in hosts.items()}
+    rest = {p: 1 - len(x) / len(hosts[p[0]]) for p, x in paths.items()}
+    own = {s: r * (1 - r) for s, r in host.items()}
+    weight = sum(len(x) * rest[p] for p, x in paths.items())
+    spread = sum(len(x) * (sum(x) / len(x) - sum(hosts[p[0]]) / len(hosts[p[0]])) ** 2 for p, x in paths.items())
+    b = strength(spread, sum(own[p[0]] * rest[p] for p in paths), weight, sum(len(x) * rest[p] * own[p[0]] for p, x in paths.items()) / weight if weight else v)
+    return mean, host, {p: (sum(x) + host[p[0]] * b) / (len(x) + b) for p, x in paths.items()}
+
+
+@pytest.mark.parametrize("hosts", [1, 2, 9])
+def test_site_posteriors_are_those_of_the_definitions(spark, hosts):
+    rng = random.Random(hosts)
+    rate = {(f"s{h}" if h else None, lang): rng.random() for h in range(hosts) for lang in ("en", "de", None)}
+    rows = [(int(rng.random() < rate[p]), *p) for p in rate for _ in range(rng.randrange(1, 60))]
+    mean, host, path = site_posteriors(spark.createDataFrame(rows, "quality int, source string, lang string"))
+    true = brute_posteriors(rows)
+    assert mean == pytest.approx(true[0])
+    assert {r[0]: r[1] for r in host.collect()} == pytest.approx(true[1])
+    assert {(r[0], r[1]): r[2] for r in path.collect()} == pytest.approx(true[2])
+
+
+def test_quality_of_contradictory_and_long_rows(spark):
+    docs, labels = quality_corpus(spark)
+    more = docs.unionByName(spark.createDataFrame([(None, "kan lor", "en", "s1", 7), (2000, "kanlo " * 60_000, "en", "s1", 1), (2001, "kanlo " * 60_000, "en", "s1", 1)], SCHEMA))
+    twice = labels.unionByName(spark.createDataFrame([(1, 0, 0), (None, 0, 0)], labels.schema))
+    got = {r.doc_id: r.quality_score for r in score_quality(more, twice).collect()}
+    assert len(got) == more.count() and got[2000] == got[2001]
+    assert got[1] == {r.doc_id: r.quality_score for r in score_quality(more, labels).collect()}[1]
+
+
 def test_quality_of_awkward_tables(spark):
     docs, labels = quality_corpus(spark, 8)
     assert score_quality(spark.createDataFrame([], SCHEMA), labels).collect() == []
@@ -203,6 +248,22 @@ def test_mixing_of_awkward_tables(spark):
     assert source_rates(docs, {"b": 1.0}, 0.5, 1.0).agg(F.max("rate")).first()[0] == pytest.approx(0.0)
 
 
+def test_mixing_is_that_of_its_sql(spark, tmp_path):
+    """With a source whose rate is beyond one draw, nulls and repeated rows."""
+    import duckdb
+
+    from priceengine.llm.oracle import OP7
+
+    rows = [(i, f"t{i}", "en", "big" if i >= 1 else "rare", 1) for i in range(40_000)] + [(None, None, "en", None, 0), (3, "t3", "en", "big", 1), (3, "t3", "en", "big", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    true = Counter((d, s, c, k) for d, s, c, k, _ in con.execute(OP7).fetchall())
+    got = Counter((r.doc_id, r.source, r.copy, r.order_key) for r in mix_sources(docs).collect())
+    assert got == true and sum(n for (d, *_), n in got.items() if d == 0) > 64
+
+
 def test_mixing_of_a_rare_source_reaches_its_weight(spark):
     docs = spark.createDataFrame([(i, "t", "en", "big" if i >= 10 else "rare", 1) for i in range(4000)], SCHEMA)
     assert source_rates(docs, {"big": 1.0, "rare": 1.0}, 0.5, 1.0).where("__source = 'rare'").first().rate == pytest.approx(200.0)
