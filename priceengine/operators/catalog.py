@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from priceengine.functions.scalars import escaped_like, half_up, namespace, retailer_label
 
 
+#: Stretches in which contexts are numbered side by side.
+BLOCKS = 1024
+
+
 def product_dimension(revisions: DataFrame) -> DataFrame:
     """One row for each product id: the last appended data, the first appended time as first_seen_at, the retailer from the id.
 
@@ -22,12 +26,18 @@ def product_dimension(revisions: DataFrame) -> DataFrame:
 def context_dimension(revisions: DataFrame) -> DataFrame:
     """One row for each (retailer, store): the last appended data and context_id, numbered by the first appended row.
 
-    The numbers need one order over all stores: the window runs over stores, not over revisions.
+    The order of first rows is cut into BLOCKS equal stretches, which are numbered each for itself behind the rows counted before it.
     """
     data = [c for c in revisions.columns if c not in ("retailer", "store_id", "observed_at", "seq")]
     out = revisions.groupBy("retailer", "store_id").agg(F.max_by(F.struct(*data), F.col("seq")).alias("last"), F.min("seq").alias("first_seq"))
-    number = F.row_number().over(Window.orderBy("first_seq")).cast("long")
-    return out.select(number.alias("context_id"), "retailer", "store_id", "last.*", F.lit("physical-store").alias("scope_kind"), retailer_label(F.col("retailer")).alias("retailer_name"))
+    ends = out.agg(F.min("first_seq").alias("__lo"), F.max("first_seq").alias("__hi"))  # one row
+    width = F.greatest(F.col("__hi") - F.col("__lo") + 1, F.lit(1)).cast("double")
+    placed = out.crossJoin(F.broadcast(ends)).withColumn("__block", F.floor((F.col("first_seq") - F.col("__lo")) / width * BLOCKS)).drop("__lo", "__hi")
+    counts = placed.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))  # BLOCKS rows at most
+    before = counts.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))
+    number = F.row_number().over(Window.partitionBy("__block").orderBy("first_seq")) + F.col("__before")
+    out = placed.join(F.broadcast(before), "__block")
+    return out.select(number.cast("long").alias("context_id"), "retailer", "store_id", "last.*", F.lit("physical-store").alias("scope_kind"), retailer_label(F.col("retailer")).alias("retailer_name"))
 
 
 def offer_facts(offers: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -37,6 +47,13 @@ def offer_facts(offers: DataFrame, contexts: DataFrame) -> DataFrame:
     return met.groupBy("product_id", "context_id", "hash", "observed_at").agg(F.min_by(row, F.col("seq")).alias("row")).select("row.*")
 
 
+def snapshot_facts(snapshots: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Snapshots with the context_id of their store, each row kept; those of unknown stores go. Missing counts and lists are 0 and empty."""
+    met = snapshots.join(contexts.select("context_id", "store_id"), "store_id").drop("store_id")
+    none = F.array().cast("array<string>")
+    return met.withColumns({"offer_count": F.coalesce("offer_count", F.lit(0).cast("long")), "added": F.coalesce("added", none), "removed": F.coalesce("removed", none)})
+
+
 def star(facts: DataFrame, products: DataFrame, contexts: DataFrame) -> DataFrame:
     """Facts with the current columns of their product and context; those without either go. Small dimensions are broadcast by size."""
     return facts.join(products, "product_id").join(contexts, "context_id")
@@ -80,8 +97,8 @@ def current_offers(facts: DataFrame, product: DataFrame | None = None) -> DataFr
     """The newest facts of each (product, context); equally new ones all stay."""
     if product is not None:
         facts = facts.join(product.select("product_id").distinct(), "product_id", "left_semi")
-    by = Window.partitionBy("product_id", "context_id").orderBy(F.desc("observed_at"))
-    return facts.withColumn("__rank", F.rank().over(by)).where(F.col("__rank") == 1).drop("__rank")
+    newest = facts.groupBy("product_id", "context_id").agg(F.max("observed_at").alias("observed_at"))
+    return facts.join(newest, ["product_id", "context_id", "observed_at"], "left_semi")
 
 
 def price_history(facts: DataFrame, product_id: str, limit: int = 200, context_id: int | None = None) -> DataFrame:

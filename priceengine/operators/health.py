@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceengine.functions.scalars import redacted, run_kind
@@ -39,5 +39,5 @@ def summary(results: DataFrame, *by: str) -> DataFrame:
 
 
 def last_runs(records: DataFrame) -> DataFrame:
-    by = Window.partitionBy("retailer").orderBy(F.desc("seq"))
-    return records.withColumn("__n", F.row_number().over(by)).where(F.col("__n") == 1).drop("__n")
+    """The record with the highest seq of each retailer."""
+    return records.groupBy("retailer").agg(F.max_by(F.struct(*records.columns), F.col("seq")).alias("row")).select("row.*")

@@ -108,6 +108,21 @@ def match_split(pairs: DataFrame) -> DataFrame:
     return shown.withColumn("shown_as", F.when(F.col("review_state") == "confirmed", "matches").otherwise("candidates"))
 
 
+def listed_pairs(pairs: DataFrame, methods: list[str] | None = None, states: list[str] | None = None) -> DataFrame:
+    """Pairs by method and state (none given: all), the newest first."""
+    if methods:
+        pairs = pairs.where(F.col("match_method").isin(*methods))
+    if states:
+        pairs = pairs.where(F.col("review_state").isin(*states))
+    return pairs.orderBy(F.desc("created_at"))
+
+
+def without_pairs(pairs: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Pairs but those of `deleted` (a_id, b_id), in either order of the two."""
+    gone = deleted.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
+    return pairs.join(gone, ["a_id", "b_id"], "left_anti")
+
+
 def ranked_matches(pairs: DataFrame) -> DataFrame:
     by = Window.partitionBy("product_id").orderBy(F.desc("confidence"), "other_id")
     return pairs_by_product(pairs).withColumn("rank", F.row_number().over(by))

@@ -51,3 +51,35 @@ def window_counts(requests: DataFrame, window: str, limit: int, key: str = "buck
 
 def active_sessions(sessions: DataFrame, now: Column) -> DataFrame:
     return sessions.where(F.col("expires_at") > now)
+
+
+def swept(sessions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(sessions that stay, one row: how many have expired and go). A session goes at the moment it expires."""
+    gone = sessions.agg(F.count_if(F.col("expires_at") <= now).alias("removed"))
+    return sessions.where(~F.coalesce(F.col("expires_at") <= now, F.lit(False))), gone
+
+
+def sessions_of_users(sessions: DataFrame, users: DataFrame) -> DataFrame:
+    """Sessions (session_id, user_id, expires_at, created_at) with their user's name; those without a user go."""
+    return sessions.join(users.select(F.col("id").alias("user_id"), "username"), "user_id").select("session_id", "user_id", "expires_at", "created_at", "username")
+
+
+def newest_first(rows: DataFrame, user_id: Column | None = None) -> DataFrame:
+    """A user's watch list or saved searches, the newest first; without a user, all users' lists one after the other."""
+    mine = rows if user_id is None else rows.where(F.col("user_id") == user_id)
+    return mine.orderBy("user_id", F.desc("created_at"))
+
+
+def new_notices(stored: DataFrame, products: DataFrame) -> DataFrame:
+    """(product_id, first_seen_at, notified): notices with those of products that had none; a stored notice stays as it is."""
+    fresh = products.select("product_id", "first_seen_at").join(stored.select("product_id"), "product_id", "left_anti")
+    return stored.select("product_id", "first_seen_at", "notified").unionByName(fresh.withColumn("notified", F.lit(False)))
+
+
+def open_notices(stored: DataFrame) -> DataFrame:
+    return stored.where(~F.col("notified")).orderBy(F.desc("first_seen_at"))
+
+
+def marked_notified(stored: DataFrame) -> DataFrame:
+    """The one flag is global: what was open is notified for all users."""
+    return stored.withColumn("notified", F.lit(True))

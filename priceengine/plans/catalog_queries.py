@@ -54,6 +54,19 @@ def offer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir)
 
 
+@query(f"""WITH {EVENTS}, {_CONTEXTS} SELECT o.seq, c.context_id, o.observed_at, 'specials' AS scope, CASE WHEN k % 3 = 0 THEN 0 ELSE k END AS offer_count, CASE WHEN k % 4 = 0 THEN 0 ELSE 2 END AS n_added, 0 AS n_removed
+FROM obs o JOIN ctx c USING (store_id) WHERE store_id <> 'error'""")
+def snapshot_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every snapshot of a known store, without repeats taken out; some lack their count or list."""
+    known, k = _contexts(spark, sf_dir).where(F.col("store_id") != "error"), F.col("k")
+    snapshots = events(spark, sf_dir).select(
+        "seq", "store_id", "observed_at", F.lit("specials").alias("scope"), F.when(k % 3 != 0, k).alias("offer_count"),
+        F.when(k % 4 != 0, F.array(F.col("product_id"), F.lit("x"))).alias("added"), F.lit(None).cast("array<string>").alias("removed"),
+    )
+    out = catalog.snapshot_facts(snapshots, known)
+    return out.select("seq", "context_id", "observed_at", "scope", "offer_count", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
+
+
 @query(f"""WITH {EVENTS}, {_FACTS}, {PRODUCT_EVENTS}, {_DIM}
 SELECT f.seq, f.product_id, f.observed_at, f.regular_cents, d.name, c.store_name, c.retailer_name FROM facts f JOIN dim d USING (product_id) JOIN ctx c USING (context_id) WHERE f.observed_at >= TIMESTAMP '2024-01-10 00:00:00'""")
 def star_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +143,18 @@ SELECT count(*) AS lines, count(*) FILTER (WHERE kind = 'product') AS products,
 count(*) FILTER (WHERE kind = 'snapshot') AS snapshots, count(*) FILTER (WHERE kind = 'legacy') AS legacys, count(*) FILTER (WHERE kind IS NULL) AS errors, count(kind) AS records_imported FROM l""")
 def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive lines made from events, parsed as the import does."""
+    return catalog.import_counters(_archive_lines(spark, sf_dir))
+
+
+@query("""SELECT count(*) AS errors, substr(string_agg('Line ' || (event_id + 1) || ': ' || CASE WHEN event_id % 34 = 0 THEN 'not JSON' ELSE 'Unknown archive record structure' END, chr(10) ORDER BY event_id), 1, 10000) AS error_detail
+FROM events WHERE event_id % 17 = 0""")
+def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from priceengine.sources.archive import error_detail
+
+    return error_detail(_archive_lines(spark, sf_dir))
+
+
+def _archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from priceengine.sources.archive import parsed
 
     i = F.col("event_id")
@@ -140,7 +165,7 @@ def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 34 == 0, F.lit("{broken")).when(i % 17 == 0, F.lit('{"hello":"world"}')).when(i % 5 == 0, old).when(i % 5 == 1, record("product", productId=F.lit("a:b")))
         .when(i % 5 == 2, record("store", storeId=F.lit("a:s"))).when(i % 5 == 3, record("snapshot", storeId=F.lit("a:s"))).otherwise(record("offer", productId=F.lit("a:b"), storeId=F.lit("a:s")))
     )
-    return catalog.import_counters(parsed(table(spark, sf_dir, "events").select(line.alias("value"))))
+    return parsed(table(spark, sf_dir, "events").select((i + 1).alias("line"), line.alias("value")))
 
 
 _LABELS = "CASE id " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in RETAILERS.items()) + " ELSE id END"

@@ -57,7 +57,7 @@ def auto_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.auto_matches(products(spark, sf_dir))
 
 
-_BLOCKS = f"""rows_ AS (SELECT seq, id, name, brand, size, {_PLAIN.format("brand || ' ' || category || ' ' || CAST(seq % 50 AS VARCHAR)")} AS block, {_tokens('name')} AS tokens, {_PLAIN.format('brand')} AS plain_brand, {_VALUE.format('size')} AS qty, {_UNIT.format('size')} AS unit FROM products),
+_BLOCKS = f"""rows_ AS (SELECT seq, id, name, brand, size, {_PLAIN.format("brand || ' ' || category || ' ' || size")} AS block, {_tokens('name')} AS tokens, {_PLAIN.format('brand')} AS plain_brand, {_VALUE.format('size')} AS qty, {_UNIT.format('size')} AS unit FROM products),
 blocks AS (SELECT block, min(seq) AS block_seq FROM rows_ GROUP BY block HAVING count(*) BETWEEN 2 AND 20),
 scorable AS (SELECT r.*, b.block_seq FROM rows_ r JOIN blocks b USING (block) WHERE len(tokens) > 0),
 scored AS (
@@ -71,8 +71,8 @@ scored AS (
 sha256(concat_ws(chr(0), coalesce(name_1, ''), coalesce(brand_1, ''), coalesce(size_1, ''), coalesce(name_2, ''), coalesce(brand_2, ''), coalesce(size_2, ''))) AS evidence_hash
 FROM scored WHERE score >= 0.4e0 ORDER BY block_seq, seq_1, seq_2 LIMIT 1000""")
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brand, category and a bucket of the key make the block, as brands alone are over the block size in this table."""
-    block = S.plain(F.concat_ws(" ", "brand", "category", (F.col("seq") % 50).cast("string")))
+    """Brand, category and size make the block, as brands alone are over the block size in this table."""
+    block = S.plain(F.concat_ws(" ", "brand", "category", "size"))
     return matching.fuzzy_candidates(products(spark, sf_dir), block=block)
 
 
@@ -113,6 +113,20 @@ def match_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_split(_stored(spark, sf_dir)).select("product_id", "other_id", "shown_as")
 
 
+@query(f"""WITH {PRODUCTS}, {_GTIN_PAIRS}, {_STORED} SELECT a_id, b_id, match_method, review_state FROM stored WHERE match_method = 'auto_gtin' AND review_state IN ('confirmed', 'candidate')""")
+def pairs_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _stored(spark, sf_dir).withColumn("created_at", F.substring_index("b_id", ":", -1).cast("long"))
+    return matching.listed_pairs(pairs, ["auto_gtin"], ["confirmed", "candidate"]).select("a_id", "b_id", "match_method", "review_state")
+
+
+@query(f"""WITH {PRODUCTS}, {_GTIN_PAIRS}, {_STORED} SELECT a_id, b_id, review_state FROM stored WHERE review_state <> 'rejected'""")
+def pairs_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected pairs are deleted, named in the other order."""
+    pairs = _stored(spark, sf_dir)
+    gone = pairs.where(F.col("review_state") == "rejected").select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))
+    return matching.without_pairs(pairs, gone).select("a_id", "b_id", "review_state")
+
+
 @query(f"""WITH {PRODUCTS}, {_GTIN_PAIRS}, {_STORED}, lab AS (SELECT doc_id, quality FROM labels)
 SELECT a_id, b_id, CASE WHEN l.quality IS NULL THEN review_state WHEN l.quality = 1 THEN 'confirmed' ELSE 'rejected' END AS review_state, CASE WHEN l.quality IS NULL THEN provenance ELSE 'user' END AS provenance
 FROM stored LEFT JOIN lab l ON l.doc_id = CAST(split_part(a_id, ':', 2) AS BIGINT)""")

@@ -34,6 +34,48 @@ def session_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.active_sessions(events(spark, sf_dir).select("seq", "product_id", expires.alias("expires_at")), ntz(datetime(2024, 1, 25))).select("seq", "product_id")
 
 
+_SESSIONS = """sess AS (SELECT CAST(seq AS VARCHAR) AS session_id, CAST(product_id AS BIGINT) AS user_id, observed_at + INTERVAL 1 DAY * (k // 10) AS expires_at, observed_at AS created_at FROM obs)"""
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expires = F.col("observed_at") + F.make_dt_interval(days=F.expr("cast(k div 10 as int)"))
+    return events(spark, sf_dir).select(F.col("seq").cast("string").alias("session_id"), F.col("product_id").cast("long").alias("user_id"), expires.alias("expires_at"), F.col("observed_at").alias("created_at"))
+
+
+@query(f"WITH {EVENTS}, {_SESSIONS} SELECT session_id, user_id, expires_at, created_at, c_name AS username FROM sess JOIN customer ON c_custkey = user_id WHERE user_id % 3 <> 0")
+def session_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions beside customers as users; a third of the sessions has a user who is gone."""
+    users = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
+    return personal.sessions_of_users(_sessions(spark, sf_dir), users)
+
+
+@query(f"WITH {EVENTS}, {_SESSIONS} SELECT count(*) FILTER (WHERE expires_at > TIMESTAMP '2024-01-25 00:00:00') AS left_over, count(*) FILTER (WHERE expires_at <= TIMESTAMP '2024-01-25 00:00:00') AS removed FROM sess")
+def session_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datetime import datetime
+
+    stay, gone = personal.swept(_sessions(spark, sf_dir), ntz(datetime(2024, 1, 25)))
+    return stay.agg(F.count(F.lit(1)).alias("left_over")).crossJoin(gone)  # one row each
+
+
+@query(f"WITH {EVENTS} SELECT product_id AS user_id, CAST(k AS VARCHAR) AS target_id, observed_at AS created_at FROM obs WHERE product_id = '7' ORDER BY created_at DESC")
+def watchlist_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select(F.col("product_id").alias("user_id"), F.col("k").cast("string").alias("target_id"), F.col("observed_at").alias("created_at"))
+    return personal.newest_first(rows, F.lit("7"))
+
+
+@query(f"""WITH {EVENTS}, stored AS (SELECT product_id, min(observed_at) AS first_seen_at FROM obs WHERE observed_at < TIMESTAMP '2024-01-02 00:00:00' GROUP BY 1), seen AS (SELECT product_id, min(observed_at) AS first_seen_at FROM obs GROUP BY 1)
+SELECT product_id, first_seen_at, false AS notified FROM seen WHERE product_id NOT IN (SELECT product_id FROM stored)""")
+def notices_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices of the first day are notified; products seen later are not yet."""
+    from datetime import datetime
+
+    rows = events(spark, sf_dir)
+    first = lambda df: df.groupBy("product_id").agg(F.min("observed_at").alias("first_seen_at"))
+    none = first(rows.where("false")).withColumn("notified", F.lit(False))
+    stored = personal.marked_notified(personal.new_notices(none, first(rows.where(F.col("observed_at") < ntz(datetime(2024, 1, 2))))))
+    return personal.open_notices(personal.new_notices(stored, first(rows)))
+
+
 _QUERY = "CASE WHEN k % 7 = 0 THEN '  ' WHEN k % 2 = 0 THEN '  Red   Milk ' || CAST(k % 4 AS VARCHAR) ELSE 'red milk ' || CAST(k % 4 AS VARCHAR) END"
 
 
@@ -108,9 +150,15 @@ def health_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.before_first_error(events(spark, sf_dir).select("seq", broken.alias("corrupt"))).select("seq")
 
 
+def _stream_folder(spark: SparkSession) -> str:
+    """A new folder where all executors can write: the checkpoint folder, or the warehouse where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what there is, into a table in the shared folder, and read that."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-streams").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = _stream_folder(spark)
     writer = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode(mode).trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -124,9 +172,12 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(user_id AS VARCHAR) AS product_id, event_type AS store_id, event_id AS seq, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) // 20 AS VARCHAR) AS value FROM events
 QUALIFY CAST(json_extract_string(props, '$.k') AS BIGINT) // 20 IS DISTINCT FROM lag(CAST(json_extract_string(props, '$.k') AS BIGINT) // 20) OVER (PARTITION BY user_id, event_type ORDER BY event_id)""")
 def stream_change_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change-only ingest as a stream gives what the batch operator gives."""
+    """Change-only ingest of micro-batches, compared with the last stored values, gives what the batch operator gives."""
     rows = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("product_id"), F.col("event_type").alias("store_id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return _drained(spark, changes.change_stream(rows, F.expr("cast(k div 20 as string)")), "append")
+    base, value = _stream_folder(spark), F.expr("cast(k div 20 as string)")
+    write = lambda batch, batch_id: changes.ingest_batch(batch, batch_id, f"{base}/offers", ["product_id", "store_id"], value)
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/offers/changes").select("product_id", "store_id", "seq", "value")
 
 
 @query("SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")

@@ -101,25 +101,26 @@ def collector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EVENTS}, s AS (SELECT *, regular_cents * 4 // 5 AS now, CASE WHEN k % 2 = 0 THEN regular_cents ELSE regular_cents * 4 // 5 END AS before, CASE WHEN k % 5 = 0 THEN CAST(floor(1050 / 3.0e0 + 0.5e0) AS BIGINT) END AS unit FROM obs),
-p AS (SELECT *, greatest(now, before) AS regular, coalesce(unit, now) AS promo FROM s WHERE k % 13 <> 0)
+p AS (SELECT *, greatest(now, before) AS regular, coalesce(unit, now) AS promo FROM s WHERE k % 13 <> 0 AND k % 17 <> 0)
 SELECT 'warehouse:' || CAST(seq AS VARCHAR) AS product_id, 'R&D "Soap" <' || CAST(k AS VARCHAR) || '>' AS name, CASE WHEN k % 3 <> 0 THEN 'Acme' END AS brand, regular AS regular_cents,
 CASE WHEN unit IS NOT NULL OR before > now THEN promo END AS promo_cents, CASE WHEN unit IS NOT NULL THEN 'MULTIBUY' WHEN before > now THEN 'SPECIAL' END AS promotion_type,
-CASE WHEN (unit IS NOT NULL OR before > now) AND regular > promo THEN CAST(floor(CAST(regular - promo AS DOUBLE) / CAST(regular AS DOUBLE) * 10000.0e0 + 0.5e0) AS BIGINT) / 100.0e0 END AS save_percent FROM p""")
+CASE WHEN (unit IS NOT NULL OR before > now) AND regular > promo THEN CAST(floor(CAST(regular - promo AS DOUBLE) / CAST(regular AS DOUBLE) * 10000.0e0 + 0.5e0) AS BIGINT) / 100.0e0 END AS save_percent,
+'https://www.thewarehouse.co.nz/p/' || CASE WHEN k % 4 = 0 THEN 'soap/' ELSE '' END || CAST(seq AS VARCHAR) || '.html' AS source_url FROM p""")
 def normalise_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product tiles with JSON in an attribute, many to a page; some cannot be read."""
+    """Product tiles with JSON in an attribute, many to a page; some cannot be read, some are other sellers', some have a path."""
     k = F.col("k")
     dollars = lambda c: F.format_string("%.2f", c / F.lit(100.0))
     fields = F.to_json(F.struct(
         F.col("seq").cast("string").alias("id"), F.concat(F.lit('R&D "Soap" <'), k.cast("string"), F.lit(">")).alias("name"), F.when(k % 3 == 0, "na").otherwise("Acme").alias("brand"),
         dollars(F.expr("regular_cents * 4 div 5")).alias("price"), dollars(F.when(k % 2 == 0, F.col("regular_cents")).otherwise(F.expr("regular_cents * 4 div 5"))).alias("productThenPrice"),
-        F.when(k % 5 == 0, "3 for $ 10.50").otherwise("na").alias("promotionCallOutMessage"),
+        F.when(k % 5 == 0, "3 for $ 10.50").otherwise("na").alias("promotionCallOutMessage"), F.when(k % 17 == 0, True).when(k % 17 == 1, False).alias("marketplaceProduct"),
     ))
     attribute = F.replace(F.replace(F.replace(F.replace(fields, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    tile = F.concat(F.lit('<div class="product-tile" data-gtm-product="'), F.when(k % 13 == 0, "{oops").otherwise(attribute), F.lit('"><b>x</b></div>'))
+    tile = F.concat(F.lit('<div class="product-tile" data-gtm-product="'), F.when(k % 13 == 0, "{oops").otherwise(attribute), F.lit('"><b>x</b>'), F.when(k % 4 == 0, F.concat(F.lit('<a href="/p/soap/'), F.col("seq").cast("string"), F.lit('.html" class="x embed-responsive">'))).otherwise(""), F.lit("</div>"))
     # a page for each ten events
     pages = events(spark, sf_dir).groupBy(F.expr("seq div 10").alias("page")).agg(F.concat(F.lit("<html>"), F.array_join(F.array_sort(F.collect_list(tile)), "\n"), F.lit("</html>")).alias("html"))
     rows = payloads.tiles(pages)
-    return rows.select("product_id", "name", "brand", "regular_cents", "promo_cents", F.col("promotion.type").alias("promotion_type"), F.col("promotion.save_percent").alias("save_percent"))
+    return rows.select("product_id", "name", "brand", "regular_cents", "promo_cents", F.col("promotion.type").alias("promotion_type"), F.col("promotion.save_percent").alias("save_percent"), "source_url")
 
 
 @query(f"""WITH {EVENTS}, s AS (SELECT *, regular_cents * 9 // 10 AS sell, CASE WHEN k % 2 = 0 THEN regular_cents END AS was FROM obs), p AS (SELECT *, coalesce(was, sell) AS regular FROM s)

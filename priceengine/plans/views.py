@@ -86,14 +86,14 @@ obs AS (
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as products of five retailers, some with unusable codes."""
+    """Parts as products of five retailers, some with unusable codes. No more than ten share a source id, or four a code, at any scale."""
     key = F.col("p_partkey")
     retailer = F.element_at(F.array(*[F.lit(r) for r in ("paknsave", "newworld", "woolworths", "freshchoice", "warehouse")]), (key % 5 + 1).cast("int"))
     return table(spark, sf_dir, "part").select(
         key.alias("seq"), F.concat(retailer, F.lit(":"), key.cast("string")).alias("id"), retailer.alias("retailer"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"),
         F.concat(F.col("p_size").cast("string"), F.when(key % 3 == 0, " kg").when(key % 3 == 1, "g").otherwise(" Lt")).alias("size"),
-        F.when(key % 7 != 0, F.concat((key % 299).cast("string"))).alias("source_id"),
-        F.when(key % 11 == 0, F.lit("various")).when(key % 13 == 0, F.lit("12345")).otherwise(F.concat(F.lit("94 "), F.lpad((key % 500).cast("string"), 11, "0"))).alias("gtin"),
+        F.when(key % 7 != 0, F.concat(F.expr("p_partkey div 10").cast("string"))).alias("source_id"),
+        F.when(key % 11 == 0, F.lit("various")).when(key % 13 == 0, F.lit("12345")).otherwise(F.concat(F.lit("94 "), F.lpad(F.expr("p_partkey div 4").cast("string"), 11, "0"))).alias("gtin"),
     )
 
 
@@ -102,8 +102,8 @@ products AS (
   SELECT p_partkey AS seq, ['paknsave', 'newworld', 'woolworths', 'freshchoice', 'warehouse'][p_partkey % 5 + 1] || ':' || CAST(p_partkey AS VARCHAR) AS id,
          ['paknsave', 'newworld', 'woolworths', 'freshchoice', 'warehouse'][p_partkey % 5 + 1] AS retailer, p_name AS name, p_brand AS brand, p_type AS category,
          CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN ' kg' WHEN p_partkey % 3 = 1 THEN 'g' ELSE ' Lt' END AS size,
-         CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 299 AS VARCHAR) END AS source_id,
-         CASE WHEN p_partkey % 11 = 0 THEN 'various' WHEN p_partkey % 13 = 0 THEN '12345' ELSE '94 ' || lpad(CAST(p_partkey % 500 AS VARCHAR), 11, '0') END AS gtin
+         CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey // 10 AS VARCHAR) END AS source_id,
+         CASE WHEN p_partkey % 11 = 0 THEN 'various' WHEN p_partkey % 13 = 0 THEN '12345' ELSE '94 ' || lpad(CAST(p_partkey // 4 AS VARCHAR), 11, '0') END AS gtin
   FROM part
 )"""
 

@@ -5,25 +5,32 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceengine.functions.markup import best_image
-from priceengine.operators.catalog import context_dimension, import_counters, offer_facts, product_dimension
+from priceengine.operators.catalog import context_dimension, import_counters, offer_facts, product_dimension, snapshot_facts
 from priceengine.schema import RECORD
 
 KINDS = ("product", "store", "offer", "snapshot")
 ERROR_DETAIL_CHARS = 10_000  # fixed value
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, value) of the lines that are not blank. seq rises with a line's place in its file.
+def read_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """(file, place, value) of the lines that are not blank, with `numbered` also `line`, the number in the file. place rises with a line's place.
 
-    seq is made on the scan itself, before any shuffle: the block's first byte in the upper bits, the row within the
-    task's block below, so it is the same on every run over the same files and split size.
+    place is made on the scan itself, before any shuffle: the block's first byte and the row within the task, so it is the
+    same on every run over the same files and split size. Line numbers count blank lines too: one more pass counts each block's.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
-    return lines.where(F.trim("value") != "").select("file", F.struct("file", "block", "row").alias("place"), "value")
+    kept = lines.where(F.trim("value") != "").select("file", F.struct("file", "block", "row").alias("place"), "value")
+    if not numbered:
+        return kept
+    blocks = lines.groupBy("file", "block").agg(F.min("row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = blocks.select(F.col("file").alias("__file"), F.col("block").alias("__block"), (before - F.col("__first") + 1).alias("__shift"))
+    met = kept.join(start, (F.col("file") == F.col("__file")) & (F.col("place.block") == F.col("__block")))
+    return met.select("file", "place", (F.col("place.row") + F.col("__shift")).alias("line"), "value")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -38,11 +45,26 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def strict(records: DataFrame) -> DataFrame:
-    """The records, or an error that names the first bad line's file, raised in the task that meets it."""
-    checked = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit("Invalid JSONL in "), F.col("file")))).otherwise(F.col("kind"))
+    """The records, or an error raised in the task that meets a bad line; it names the file, and the line where the lines are numbered."""
+    where = F.concat_ws(":", F.col("file"), F.col("line").cast("string")) if "line" in records.columns else F.col("file")
+    text = "Invalid JSONL at " if "line" in records.columns else "Invalid JSONL in "
+    checked = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit(text), where))).otherwise(F.col("kind"))
     return records.withColumn("kind", checked.cast("string"))
 
 
+def error_detail(records: DataFrame) -> DataFrame:
+    """(errors, error_detail): one row; the first ERROR_DETAIL_CHARS characters of what is wrong with the numbered lines, null without errors.
+
+    No more lines are brought together than can stand in so many characters: each takes ten or more.
+    """
+    bad = records.where(F.col("kind").isNull())
+    said = F.concat(F.lit("Line "), F.col("line").cast("string"), F.lit(": "), F.when(F.try_parse_json("value").isNull(), "not JSON").otherwise("Unknown archive record structure"))
+    first = bad.select("line", said.alias("said")).orderBy("line").limit(ERROR_DETAIL_CHARS // 10)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), "\n")
+    detail = first.agg(F.nullif(F.substring(text, 1, ERROR_DETAIL_CHARS), F.lit("")).alias("error_detail"))
+    return bad.agg(F.count(F.lit(1)).alias("errors")).crossJoin(F.broadcast(detail))  # one row each
+
+
 def observations(records: DataFrame) -> DataFrame:
     """Offers and legacy lines as flat observations without listing flags (see operators.ingest.observations_as_of)."""
     r = F.col("record")
@@ -83,12 +105,21 @@ def demultiplexed(records: DataFrame, order: str = "seq") -> dict[str, DataFrame
 
 
 def projection(records: DataFrame, order: str = "seq") -> dict[str, DataFrame]:
-    """The star schema of an archive: products, contexts, offers, snapshots, and the counts of the import."""
+    """The star schema of an archive: products, contexts, offers, snapshots, and the counts of the import.
+
+    Of numbered lines the errors are told, too. An archive of which no line can be read is an error, raised when the counts are.
+    """
+    run = import_counters(records)
+    none = (F.col("lines") > 0) & (F.col("records_imported") == 0)
+    stop = F.raise_error(F.concat(F.lit("Archive contains zero valid recognized records ("), F.col("errors").cast("string"), F.lit(" malformed lines)"))).cast("long")
+    run = run.withColumn("records_imported", F.when(none, stop).otherwise(F.col("records_imported")))
+    if "line" in records.columns:
+        run = run.crossJoin(F.broadcast(error_detail(records).select("error_detail")))  # one row each
     kinds = demultiplexed(records, order)
     contexts = context_dimension(kinds["store"])
     return {
         "products": product_dimension(kinds["product"]), "contexts": contexts, "offers": offer_facts(kinds["offer"], contexts),
-        "snapshots": kinds["snapshot"].join(contexts.select("context_id", "store_id"), "store_id"), "import_run": import_counters(records),
+        "snapshots": snapshot_facts(kinds["snapshot"], contexts), "import_run": run,
     }
 
 
@@ -98,38 +129,49 @@ def fingerprint(lines: DataFrame) -> str:
     return f"{total.n}-{total.h1 or 0}-{total.h2 or 0}"
 
 
-def _pointer(spark: SparkSession, root: str):  # noqa: ANN202
+def _manifests(spark: SparkSession, root: str):  # noqa: ANN202
+    """(file system, paths of the published manifests, oldest first)."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.json")
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/MANIFEST-*.json")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, sorted(f.getPath().toString() for f in (fs.globStatus(pattern) or []))
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
-    """The published version's manifest, or None."""
-    path, fs = _pointer(spark, root)
-    return json.loads("\n".join(r.value for r in spark.read.text(f"{root}/CURRENT.json").collect())) if fs.exists(path) else None
+    """The published version's manifest, the one with the highest number, or None."""
+    _, paths = _manifests(spark, root)
+    return json.loads("\n".join(r.value for r in spark.read.text(paths[-1]).collect())) if paths else None
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, mark: str, force: bool = False) -> dict:
-    """Write all tables under a new version and then swing the pointer file to it; readers see the old or the new version whole.
+    """Write all tables under a new version and then its numbered manifest, which one rename to a new name makes visible; readers see the old or the new version whole.
 
-    The same `mark` as the published one skips the work. One writer at a time is assumed, as renames are not locks.
+    The same `mark` as the published one skips the work. One writer at a time: a file LOCK, which only one can create, is
+    held meanwhile; a writer that finds it fails, and the lock of a writer that died has to be taken away by hand.
     """
-    now = current(spark, root)
-    if now and now["fingerprint"] == mark and not force:
-        return now | {"status": "skipped"}
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    manifest = {"version": version, "fingerprint": mark, "tables": sorted(tables)}
-    path, fs = _pointer(spark, root)
-    stage = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{version}/CURRENT.json")
-    out = fs.create(stage)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
-    fs.delete(path, False)
-    fs.rename(stage, path)
-    return manifest | {"status": "built"}
+    jvm = spark.sparkContext._jvm
+    fs, _ = _manifests(spark, root)
+    lock = jvm.org.apache.hadoop.fs.Path(f"{root}/LOCK")
+    fs.create(lock, False).close()  # fails if it is there
+    try:
+        _, paths = _manifests(spark, root)
+        now = current(spark, root)
+        if now and now["fingerprint"] == mark and not force:
+            return now | {"status": "skipped"}
+        version = uuid.uuid4().hex
+        for name, df in tables.items():
+            df.write.parquet(f"{root}/{version}/{name}")
+        manifest = {"version": version, "fingerprint": mark, "tables": sorted(tables)}
+        stage = jvm.org.apache.hadoop.fs.Path(f"{root}/{version}/manifest.json")
+        out = fs.create(stage)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        number = int(paths[-1].rpartition("-")[2].removesuffix(".json")) + 1 if paths else 0
+        if not fs.rename(stage, jvm.org.apache.hadoop.fs.Path(f"{root}/MANIFEST-{number:012d}.json")):
+            raise OSError(f"{root} could not be published")
+        return manifest | {"status": "built"}
+    finally:
+        fs.delete(lock, False)
 
 
 def open_table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ SHAPE_B = _fields(
     size=_fields(cupPrice=D, cupMeasure=S, volumeSize=S), departments=T.ArrayType(_fields(name=S)), images=T.MapType(S, S),
 )
 #: JSON in the attribute of an HTML tile.
-SHAPE_TILE = _fields(id=S, name=S, brand=S, price=S, productThenPrice=S, productEAN=S, category=S, productBadges=S, promotionCallOutMessage=S)
+SHAPE_TILE = _fields(id=S, name=S, brand=S, price=S, productThenPrice=S, productEAN=S, category=S, productBadges=S, promotionCallOutMessage=S, marketplaceProduct=S)
 
 
 def promotion_struct(**parts: Column) -> Column:
@@ -125,6 +125,7 @@ def _saving(before: Column, now: Column) -> dict[str, Column]:
     }
 
 
+# Fixed value: the markup of the page.
 LINE_MARKER = r'<div class="talker [^"]*"[^>]*data-talker[^>]*id="line_[^"]+"[^>]*>'
 
 
@@ -152,21 +153,24 @@ def storefront(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
+# Fixed value: the markup of the page.
 TILE_MARKER = r'<div class="product-tile"[^>]*data-gtm-product="[^"]+"[^>]*>'
 
 
-def tiles(pages: DataFrame, html: str = "html") -> DataFrame:
-    """HTML of product tiles with JSON in an attribute; tiles whose JSON cannot be read go."""
+def tiles(pages: DataFrame, html: str = "html", origin: str = "https://www.thewarehouse.co.nz", marketplace: bool = False) -> DataFrame:
+    """HTML of product tiles with JSON in an attribute; tiles whose JSON cannot be read go, and other sellers' products unless `marketplace`."""
     p = F.col("p")
 
     def tile(b: Column) -> Column:
         return F.struct(
             F.from_json(decoded(F.regexp_extract(b, r'data-gtm-product="([^"]+)"', 1)), SHAPE_TILE).alias("p"),
             decoded(capture(b, r'(?s)<img.*?class="[^"]*tile-image[^"]*".*?src="([^"]+)"')).alias("image"),
+            decoded(capture(b, r'<a href="([^"]+)"[^>]*class="[^"]*embed-responsive')).alias("path"),
         )
 
     price = lambda x: x["price"].try_cast("double")
-    found = F.filter(F.transform(blocks(F.col(html), TILE_MARKER), tile), lambda r: (r["p"]["id"] != "") & (r["p"]["name"] != "") & price(r["p"]).isNotNull())
+    own = lambda x: F.lit(marketplace) | F.coalesce(F.lower(x["marketplaceProduct"]), F.lit("")).isin("", "false", "0", "null")
+    found = F.filter(F.transform(blocks(F.col(html), TILE_MARKER), tile), lambda r: (r["p"]["id"] != "") & (r["p"]["name"] != "") & price(r["p"]).isNotNull() & own(r["p"]))
     rows = pages.select(F.inline(found)).withColumns({
         "now": dollars_to_cents(price(p)), "before": dollars_to_cents(p["productThenPrice"].try_cast("double")), "offer": multibuy(p["promotionCallOutMessage"]),
     })
@@ -182,9 +186,11 @@ def tiles(pages: DataFrame, html: str = "html") -> DataFrame:
         F.concat(F.lit("warehouse:"), p["id"]).alias("product_id"), p["name"].alias("name"), known(p["brand"]).alias("brand"), known(p["productEAN"]).alias("gtin"), F.when(F.size(parts) > 0, parts).alias("categories"),
         "image", F.col("regular").alias("regular_cents"), F.when(special, F.col("promo")).alias("promo_cents"), F.lit(None).cast("long").alias("member_cents"), F.lit(None).cast("string").alias("comparative"),
         F.when(special, promotion).alias("promotion"), p["id"].alias("retailer_product_id"),
+        product_page(origin, F.coalesce(F.nullif("path", F.lit("")), F.concat(F.lit("/p/"), p["id"], F.lit(".html")))).alias("source_url"),
     )
 
 
+# Fixed value: the markup of the page.
 CARD_MARKER = r'<div class="StoreCard(?:\s[^"]*)?"[^>]*>'
 
 

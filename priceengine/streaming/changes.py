@@ -13,16 +13,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def change_stream(rows: DataFrame, value: Column, product: str = "product_id", store: str = "store_id") -> DataFrame:
     """(product_id, store_id, seq, value) of rows that differ from the one before of the same offer. State: one value an offer.
 
-    Rows of a micro-batch are taken in order of seq; batches must come in that order, as the archive is appended.
+    Rows of a micro-batch are taken in order of seq; batches must come in that order, as the archive is appended. All rows
+    that a micro-batch holds of one offer come together in a worker; where that can be many, use `ingest_batch`.
     """
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        values = rows["value"].to_numpy()
-        kept = [i for i, v in enumerate(values) if v != (values[i - 1] if i else before)]
-        if len(values):
-            state.update((values[-1],))
-        yield pd.DataFrame({product: key[0], store: key[1], "seq": rows["seq"].to_numpy()[kept], "value": values[kept]})
+        values = rows["value"]
+        before = values.shift(1)
+        before.iloc[:1] = state.get[0] if state.exists else None
+        kept = rows[(values != before) & ~(values.isna() & before.isna())]
+        state.update((None if pd.isna(values.iloc[-1]) else values.iloc[-1],))
+        yield pd.DataFrame({product: key[0], store: key[1], "seq": kept["seq"], "value": kept["value"]})
 
     given = rows.select(product, store, F.col("seq").cast("long").alias("seq"), value.alias("value"))
     kind = rows.schema[product].dataType.simpleString()
@@ -30,22 +31,30 @@ def change_stream(rows: DataFrame, value: Column, product: str = "product_id", s
     return given.groupBy(product, store).applyInPandasWithState(step, out, "value string", "append", GroupStateTimeout.NoTimeout)
 
 
-def ingest_batch(batch: DataFrame, path: str, keys: list[str], value: Column) -> None:
-    """For foreachBatch: append the batch's changes to the offers at `path`, compared with the last stored value of each key.
+def ingest_batch(batch: DataFrame, batch_id: int, path: str, keys: list[str], value: Column) -> None:
+    """For foreachBatch: write the batch's changes to `path`/changes, compared with the last stored value of each key.
 
-    `path` is a Parquet table with the batch's columns and `value`; only its newest row of each key is looked at.
+    A batch has a folder of its own, which is overwritten if the batch runs again, and compares with the values that stood
+    before it, so a batch that runs twice is stored once. `path`/last has one value for each key as of the newest batch and
+    the one before; the history is never read again. A hot key is sorted and streamed through, not gathered.
     """
     from priceengine.operators.ingest import changed_only
 
     spark = batch.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = None
-    known = None if stored is None else stored.groupBy(*keys).agg(F.max_by("value", F.col("seq")).alias("value"))
-    changed_only(batch, keys, value, known).withColumn("value", value).write.mode("append").parquet(path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/last")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(int(f.getPath().getName().split("=")[1]) for f in (fs.listStatus(root) if fs.exists(root) else []))
+    earlier = [i for i in done if i < batch_id]
+    known = spark.read.parquet(f"{path}/last/batch_id={earlier[-1]}") if earlier else None
+    stored = None if known is None else known.select(*keys, "value")
+    changed_only(batch, keys, value, stored).withColumn("value", value).write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
+    new = batch.withColumn("value", value).groupBy(*keys).agg(F.max_by(F.struct("value"), F.col("seq"))["value"].alias("value"))
+    if stored is not None:
+        new = stored.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    new.write.mode("overwrite").parquet(f"{path}/last/batch_id={batch_id}")
+    for i in earlier[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/last/batch_id={i}"), True)
 
 
 def tumbling_counts(rows: DataFrame, time: str, width: str, late: str, *by: str) -> DataFrame:

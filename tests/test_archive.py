@@ -148,8 +148,9 @@ def test_batches_and_stream_give_what_one_batch_gives(spark, tmp_path):
     true = sorted(r.seq for r in ingest.changed_only(whole, ["product_id", "store_id"], F.col("v")).collect())
     stored = str(tmp_path / "offers")
     for k in range(3):
-        changes.ingest_batch(spark.createDataFrame(rows[40 * k : 40 * k + 40], schema), stored, ["product_id", "store_id"], F.col("v"))
-    assert sorted(r.seq for r in spark.read.parquet(stored).collect()) == true
+        for _ in range(2):  # a batch that runs twice is stored once
+            changes.ingest_batch(spark.createDataFrame(rows[40 * k : 40 * k + 40], schema), k, stored, ["product_id", "store_id"], F.col("v"))
+    assert sorted(r.seq for r in spark.read.parquet(f"{stored}/changes").collect()) == true
     for k in range(3):
         spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = changes.change_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), F.col("v"))
@@ -158,6 +159,73 @@ def test_batches_and_stream_give_what_one_batch_gives(spark, tmp_path):
     assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()) == true
 
 
+def test_ingest_keeps_nulls_apart(spark, tmp_path):
+    schema = "k string, seq long, v string"
+    for i, v in enumerate([None, None, "A", None]):
+        changes.ingest_batch(spark.createDataFrame([("p", i, v)], schema), i, str(tmp_path / "t"), ["k"], F.col("v"))
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "t/changes")).collect()) == [2, 3]
+
+
+def test_readers_see_a_version_while_another_is_published(spark, tmp_path):
+    import threading
+
+    root = f"file://{tmp_path}/db"
+    one = {"t": spark.range(3)}
+    archive.publish(spark, one, root, "a")
+    seen, stop = [], threading.Event()
+
+    def read() -> None:
+        while not stop.is_set():
+            seen.append(archive.current(spark, root))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for k in range(4):
+        archive.publish(spark, {"t": spark.range(k)}, root, f"b{k}")
+    stop.set()
+    reader.join()
+    assert seen and all(x and x["tables"] == ["t"] for x in seen)
+    assert archive.open_table(spark, root, "t").count() == 3
+
+
+def test_two_writers_do_not_publish_at_once(spark, tmp_path):
+    root = f"file://{tmp_path}/db"
+    archive.publish(spark, {"t": spark.range(1)}, root, "a")
+    (tmp_path / "db/LOCK").write_text("")
+    with pytest.raises(Exception, match="LOCK"):
+        archive.publish(spark, {"t": spark.range(2)}, root, "b")
+    (tmp_path / "db/LOCK").unlink()
+    assert archive.open_table(spark, root, "t").count() == 1 and archive.publish(spark, {"t": spark.range(2)}, root, "b")["status"] == "built"
+
+
+def test_lines_are_numbered_as_in_the_file(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(["", *LINES, "", *BAD, ""]) + "\n")
+    whole = archive.read_lines(spark, str(tmp_path), numbered=True)
+    assert sorted((r.file[-7:], r.line) for r in whole.collect()) == [(f"{x}.jsonl", n) for x in "ab" for n in [*range(2, len(LINES) + 2), len(LINES) + 3, len(LINES) + 4]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        split = archive.read_lines(spark, str(tmp_path), numbered=True)
+        assert sorted(map(tuple, split.select("line", "value").collect())) == sorted(map(tuple, whole.select("line", "value").collect()))
+        with pytest.raises(Exception, match=f"Invalid JSONL at .*.jsonl:{len(LINES) + 3}"):
+            archive.strict(archive.parsed(split)).select("kind").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (run,) = archive.projection(archive.parsed(whole).withColumn("seq", F.col("place.row")))["import_run"].collect()
+    assert run.errors == 4 and run.error_detail.startswith(f"Line {len(LINES) + 3}: ")
+
+
+def test_an_archive_of_bad_lines_is_an_error(spark):
+    with pytest.raises(Exception, match="zero valid recognized records"):
+        archive.projection(records(spark, BAD))["import_run"].collect()
+
+
+def test_contexts_are_numbered_over_all_stretches(spark):
+    rows = [("r", f"s{i}", T0, i * i * 1000, "n") for i in range(300)]
+    contexts = catalog.context_dimension(spark.createDataFrame(rows, "retailer string, store_id string, observed_at timestamp, seq long, store_name string"))
+    assert {r.store_id: r.context_id for r in contexts.collect()} == {f"s{i}": i + 1 for i in range(300)}
+
+
 def test_current_offers_keep_ties(spark):
     rows = [("p", 1, T0, 1), ("p", 1, T0, 2), ("p", 1, T0 - timedelta(days=1), 3), ("p", 2, T0, 4)]
     facts = spark.createDataFrame(rows, "product_id string, context_id long, observed_at timestamp, seq long")

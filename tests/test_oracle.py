@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -24,7 +26,7 @@ def duck(small_sf):
 def shown(x: object) -> str:
     if not hasattr(x, "__len__") and pd.isna(x):
         return "null"
-    if isinstance(x, (int, float)) and not isinstance(x, bool):
+    if isinstance(x, numbers.Number) and not isinstance(x, bool):
         return repr(round(float(x), 6))
     return str(x)
 
