@@ -2,11 +2,12 @@
 
 Learning. Of the labelled training rows, no more than PER_CLASS, the lowest by a hash of doc_id, are taken of either class (the
 documented bound), and the different words before each word are counted per class, so that copies count once. Words
-that a G test finds far more often in toxic documents form the lexicon, no more than LEXICON terms, each weighted by its log odds.
+that a G test finds far more often in toxic documents form the lexicon, all of them, each weighted by its log odds; it is
+bounded by the words of the bounded rows.
 
 Matching. The terms of five letters or more are a trie. A Levenshtein automaton of one edit (insertion, deletion,
 substitution, or swap of neighbours) runs over the trie: its states are sets of (trie node, edits so far), made when
-first met and kept, so a word costs one step a letter. Words that the training rows use without offence are let
+first met and kept (forgotten once there are STATES of them), so a word costs one step a letter. Words that the training rows use without offence are let
 through by exact match before that.
 
 Context. A hit counts more the more hits stand within WINDOW words, and only QUOTED of its weight if it stands within
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from priceengine.llm.kernels import BASE, FOLD, mix, prefix_hash, row_counts, slices, span_hash, text_rows, tokens
 from priceengine.llm.staging import hash_sample, map_arrow, staged, with_field
 
-PER_CLASS, LEXICON = 10_000, 4_000
+PER_CLASS, STATES = 10_000, 200_000
 MIN_G, MIN_ODDS, MAX_WEIGHT = 25.0, 3.0, 8.0
 WINDOW, QUOTED, MISSPELLED, MIN_FUZZY = 8, 0.25, 0.7, 5
 #: Words are runs of ASCII letters and digits, apostrophes and bytes of other characters.
@@ -72,6 +73,11 @@ class TrieAutomaton:
                     self.children.append({})
                 node = self.children[node][c]
             self.value[node] = weight
+        #: A longer word is more than one edit from all terms.
+        self.longest = max(map(len, terms), default=-1) + 1
+        self._forget()
+
+    def _forget(self) -> None:
         start = frozenset([(0, 0, ""), *((n, 1, "") for n in self.children[0].values())])
         self.sets, self.number = [start], {start: 0}
         self.steps: list[dict[str, int]] = [{}]
@@ -109,6 +115,10 @@ class TrieAutomaton:
 
     def match(self, word: str) -> float:
         """The largest weight of a term within one edit of `word`, or 0."""
+        if len(word) > self.longest:
+            return 0.0
+        if len(self.sets) > STATES:
+            self._forget()
         state, sets, steps = 0, self.sets, self.steps
         for c in word:
             to = steps[state].get(c)
@@ -157,7 +167,8 @@ def hit_weights(model: Model, low: np.ndarray, starts: np.ndarray, ends: np.ndar
     at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
     exact = known[at] == hashed
     out[exact] = state["weights"][at[exact]]
-    rest = np.flatnonzero(~exact & (ends - starts >= MIN_FUZZY - 1) & (ends - starts <= 64))
+    # words of more bytes than the longest term and one letter can have are no terms
+    rest = np.flatnonzero(~exact & (ends - starts >= MIN_FUZZY - 1) & (ends - starts <= 4 * state["automaton"].longest))
     kinds, first, which = np.unique(hashed[rest], return_index=True, return_inverse=True)
     cache, match = state["cache"], state["automaton"].match
     if len(cache) > CACHE:
@@ -270,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     m1, m0 = max(t.a or 0, 1), max(t.b or 0, 1)
     odds = F.ln((F.col("a") + 0.5) / F.lit(m1 + 1.0)) - F.ln((F.col("b") + 0.5) / F.lit(m0 + 1.0))
     judged = counts.withColumn("g", g_test(F.col("a"), F.col("b"), m1, m0)).withColumn("odds", F.least(odds, F.lit(MAX_WEIGHT)))
-    found = judged.where((F.col("g") >= MIN_G) & (F.col("odds") >= MIN_ODDS) & (F.char_length("word") >= 3)).orderBy(F.desc("g"), "word").limit(LEXICON).collect()
+    found = judged.where((F.col("g") >= MIN_G) & (F.col("odds") >= MIN_ODDS) & (F.char_length("word") >= 3)).select("word", "odds").collect()
     model = Model({r.word: float(r.odds) for r in found})
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from priceengine.llm.decontaminate import SEEDS, decontaminate, find_leaks
 from priceengine.llm.mixing import mix_sources, source_rates
 from priceengine.llm.quality import keep_good, score_quality, site_posteriors
+from priceengine.llm import toxicity
 from priceengine.llm.toxicity import TrieAutomaton, learn, score_toxicity
 from tests.llm.common import SCHEMA, frame, prose
 
@@ -37,6 +40,51 @@ def test_automaton_finds_what_the_edit_distance_says():
         assert automaton.match(word) == max((w for t, w in terms.items() if osa(word, t) <= 1), default=0.0)
 
 
+def test_automaton_forgets_and_goes_on(monkeypatch):
+    terms = {"abcabc": 1.0, "bcbcaa": 2.0}
+    once = TrieAutomaton(terms)
+    monkeypatch.setattr(toxicity, "STATES", 3)
+    again = TrieAutomaton(terms)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(4, 8))) for _ in range(500)] + list(terms) + ["abcabc" * 50]
+    assert [again.match(w) for w in words] == [max((x for t, x in terms.items() if osa(w, t) <= 1), default=0.0) for w in words]
+    assert once.match("bcbcaaa") == 2.0
+
+
+def brute_evidence(model: toxicity.Model, text: str) -> tuple[float, float, int]:
+    """(log of the hits' weights, log of the densest window, hits) word by word."""
+    hits, at, place = [], 0, 0
+    lines = text.split("\n")
+    for line in lines:
+        for m in re.finditer(r"[0-9A-Za-z'\u0080-\U0010ffff]+", line):
+            word = m.group().lower()
+            weight = model.terms.get(word, 0.0)
+            if not weight and len(word.encode()) >= toxicity.MIN_FUZZY - 1 and word not in model.harmless:
+                weight = toxicity.MISSPELLED * max((x for t, x in model.terms.items() if len(t) >= toxicity.MIN_FUZZY and osa(word, t) <= 1), default=0.0)
+            if weight:
+                quoted = line[: m.start()].count('"') % 2 == 1 and '"' in line[m.end() :]
+                hits.append((place, weight * (toxicity.QUOTED if quoted else 1.0)))
+            place += 1
+        at += len(line) + 1
+    dense = max((sum(w for q, w in hits if abs(p - q) <= toxicity.WINDOW) for p, _ in hits), default=0.0)
+    return math.log1p(sum(w for _, w in hits)), math.log1p(dense), len(hits)
+
+
+def test_evidence_is_that_of_word_by_word_scores():
+    rng = random.Random(13)
+    model = toxicity.Model({"grobelix": 3.0, "vunterok": 2.0, "smargulon": 4.5, "bad": 1.5}, harmless=frozenset(["grobelit"]))
+    near = ["grobelix", "grobelx", "gorbelix", "grobelit", "vunteroks", "smargulom", "bad", "bed", "SMARGULON", "vunterok" * 20]
+    texts = ["", "\n"]
+    for _ in range(200):
+        words = [rng.choice(near) if rng.random() < 0.2 else prose(rng, 1) for _ in range(rng.randrange(60))]
+        words = [w + rng.choice(["", "", "", ",", '"', "\n"]) if rng.random() < 0.7 else '"' + w for w in words]
+        texts.append(" ".join(words))
+    raw = [t.encode() for t in texts]
+    total, dense, count = toxicity.evidence(model, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for i, t in enumerate(texts):
+        assert (total[i], dense[i], count[i]) == pytest.approx(brute_evidence(model, t)), t
+
+
 def toxic_corpus(spark, n: int = 600):
     rng = random.Random(5)
     bad = ["grobelix", "vunterok", "smargulon"]
