@@ -3,13 +3,15 @@
 A text's bytes, padded to whole blocks, are the samples of an 8-bit mono WAV file, so the stored form is lossless and
 any audio tool opens it. Features are computed from the stored bytes read back: a polyphase filter bank changes the
 sample rate, overlapping Hann frames give log-mel energies, and frame energy with two thresholds (a segment starts
-above the upper one and lasts until the lower one is passed) gives time spans. The log-mel frames are pooled to a
-tensor of fixed shape, kept as a flat float array of POOL * MELS values; `tensor_column` gives the Arrow
-fixed-shape-tensor view of it.
+above the upper one and lasts until the lower one is passed) gives time spans. All log-mel frames are kept: each
+STRETCH frames are one Arrow fixed-shape tensor with its time span (the last one repeats its last frame to the full
+shape and says how many are real). A text's tensors are stored as an Arrow IPC stream in a binary column, as Spark has no
+tensor type of its own; `read_tensors` opens it.
 
 Cases: null and empty texts are one block of padding. Long texts are filtered and framed in stretches of BLOCK
-frames, so memory follows the stretch and the payload only. Equal payloads give equal results, as each row is
-computed alone. Other columns are not read; ties and repeated rows do not matter. An empty table gives an empty one.
+frames, so memory follows the stretch, the payload and its features only. Equal payloads give equal results, as each row is
+computed alone; repeated rows are rows each, a null doc_id is kept. Other columns, whatever their names, are not read; ties do
+not arise. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from priceengine.llm.staging import map_arrow
 PAD, UNIT = 255, 576
 RATE_IN, UP, DOWN = 24_000, 2, 3
 RATE = RATE_IN * UP // DOWN
-FRAME, HOP, FFT, MELS, POOL, BLOCK = 400, 200, 512, 32, 16, 1024
-SCHEMA = (
-    "doc_id long, n_bytes long, media binary, logmel array<float>, spans array<struct<start_s:double,end_s:double>>, n_frames long"
-)
+FRAME, HOP, FFT, MELS, STRETCH, BLOCK = 400, 200, 512, 32, 16, 1024
+SCHEMA = "doc_id long, n_bytes long, media binary, tensors binary, spans array<struct<start_s:double,end_s:double>>, n_frames long"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (STRETCH, MELS), dim_names=("frame", "mel"))
+STORED = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("logmel", TENSOR)])
 
 
 def wav(payload: bytes) -> bytes:
@@ -124,18 +126,27 @@ def active_spans(rms: np.ndarray, up: float = 1.1, down: float = 0.9) -> list[tu
     return [(float(a * HOP / RATE), float(((b - 1) * HOP + FRAME) / RATE)) for a, b in zip(starts, ends, strict=True)]
 
 
-def pooled(mels: np.ndarray) -> np.ndarray:
-    """POOL rows: means over equal stretches of frames; fewer frames than rows repeat."""
+def store_tensors(mels: np.ndarray) -> bytes:
+    """Frames as an Arrow stream of STRETCH by MELS tensors with time spans; values have three decimals."""
     n = len(mels)
-    cuts = np.arange(POOL + 1) * n // POOL
-    total = np.concatenate([np.zeros((1, MELS)), np.cumsum(mels, 0, dtype=np.float64)])
-    lo, hi = cuts[:-1], np.maximum(cuts[1:], cuts[:-1] + 1)
-    return np.round((total[hi] - total[lo]) / (hi - lo)[:, None], 3).astype(np.float32)
+    first = np.arange(0, n, STRETCH)
+    last = np.minimum(first + STRETCH, n) - 1
+    flat = np.round(mels[np.minimum(np.arange(len(first) * STRETCH), n - 1)], 3).ravel()
+    tensors = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat), STRETCH * MELS))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, STORED) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(first * HOP / RATE), pa.array((last * HOP + FRAME) / RATE), pa.array((last - first + 1).astype(np.int32)), tensors], schema=STORED))
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """(start_s, end_s, frames, logmel) of one row's `tensors`."""
+    return pa.ipc.open_stream(stored).read_all()
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("logmel", pa.list_(pa.float32())),
+        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("tensors", pa.binary()),
         ("spans", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("n_frames", pa.int64()),
     ])
     for batch in batches:
@@ -147,31 +158,25 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = wav(padded(text))
             mels, rms = log_mel(samples(media))
             spans = [{"start_s": a, "end_s": b} for a, b in active_spans(rms)]
-            rows.append((ids[i].as_py(), len(text), media, pooled(mels).ravel(), spans, len(mels)))
-            held += len(media)
+            rows.append((ids[i].as_py(), len(text), media, store_tensors(mels), spans, len(mels)))
+            held += 2 * len(media)
             if held > 4 << 20 or i == batch.num_rows - 1:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows, held = [], 0
 
 
 def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media, logmel, spans, n_frames) of each row."""
+    """(doc_id, n_bytes, media, tensors, spans, n_frames) of each row."""
     return map_arrow(docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text"), _encode, SCHEMA)
 
 
-def tensor_column(logmel: pa.Array) -> pa.ExtensionArray:
-    """A collected `logmel` column as an Arrow fixed-shape tensor array of POOL by MELS."""
-    flat = pa.FixedSizeListArray.from_arrays(logmel.flatten(), POOL * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (POOL, MELS)), flat)
-
-
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = batch.to_pydict()
         out = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for doc, n, media, mel, spans, frames in zip(*(cols[k] for k in ("doc_id", "n_bytes", "media", "logmel", "spans", "n_frames")), strict=True):
+        for doc, n, media, stored, spans, frames in zip(*(cols[k] for k in ("doc_id", "n_bytes", "media", "tensors", "spans", "n_frames")), strict=True):
             back = samples(media)
-            mel = np.asarray(mel, np.float32)
+            mel = read_tensors(stored).column("logmel").combine_chunks().to_numpy_ndarray().reshape(-1, MELS)[:frames]
             said = f"frames={frames};spans={len(spans)};active_s={sum(s['end_s'] - s['start_s'] for s in spans):.3f};mean={mel.mean(dtype=np.float64):.2f};logmel={hashlib.sha256(mel.tobytes()).hexdigest()[:16]}"
             for k, v in zip(out, (doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), said), strict=True):
                 out[k].append(v)

@@ -59,13 +59,49 @@ def test_media_hold_the_bytes_and_are_audio(spark):
             assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, payload)
         assert said[i].payload_sha256 == hashlib.sha256(payload).hexdigest() and said[i].tail_crc32 == zlib.crc32(payload[-32:])
         assert (said[i].n_bytes, said[i].payload_bytes) == (len(raw), len(payload))
-        assert len(got[i].logmel) == audio.POOL * audio.MELS
+        stored = audio.read_tensors(bytes(got[i].tensors))
+        assert stored.schema.field("logmel").type == pa.fixed_shape_tensor(pa.float32(), (audio.STRETCH, audio.MELS), dim_names=("frame", "mel"))
+        assert sum(stored["frames"].to_pylist()) == got[i].n_frames and stored.num_rows == -(-got[i].n_frames // audio.STRETCH)
+        assert stored["start_s"].to_pylist() == [k * audio.STRETCH * audio.HOP / audio.RATE for k in range(stored.num_rows)]
     assert said[0].feature == said[1].feature
-    tensor = audio.tensor_column(pa.array([got[0].logmel], pa.list_(pa.float32())))
-    assert tensor.type.shape == [audio.POOL, audio.MELS]
     assert audio.digest(audio.audio_columns(spark.createDataFrame([], SCHEMA))).collect() == []
 
 
+def test_media_of_awkward_tables(spark):
+    rows = [(None, "x y", 1, 2), (3, "x y", 1, 2), (3, "x y", 1, 2)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, media int, spans int")
+    got = audio.digest(audio.audio_columns(clash)).collect()
+    assert [r.doc_id for r in got] == [None, 3, 3] and len({(r.media_sha256, r.feature) for r in got}) == 1
+
+
+def test_features_are_those_of_a_direct_transform():
+    """Sums over single samples and frequencies, in double precision."""
+    rng = np.random.default_rng(6)
+    payload = bytes(rng.integers(0, 256, 576 * 7, dtype=np.uint8))
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    half = 8 * max(audio.UP, audio.DOWN)
+    k = np.arange(-half, half + 1)
+    taps = np.sinc(k / max(audio.UP, audio.DOWN)) * np.hamming(len(k)) / max(audio.UP, audio.DOWN) * audio.UP
+    stuffed = np.zeros(len(x) * audio.UP)
+    stuffed[:: audio.UP] = x
+    y = np.convolve(stuffed, taps)[:: audio.DOWN]
+    mels, rms = audio.log_mel(payload)
+    y = np.append(y, np.zeros(audio.FRAME))
+    f = np.arange(audio.FFT // 2 + 1)[:, None] * np.arange(audio.FRAME) / audio.FFT
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1))
+    mel = lambda hz: 2595 * math.log10(1 + hz / 700)
+    edges = [700 * (10 ** ((mel(40) + (mel(audio.RATE / 2) - mel(40)) * i / (audio.MELS + 1)) / 2595) - 1) for i in range(audio.MELS + 2)]
+    for i in range(len(mels)):
+        frame_ = y[i * audio.HOP : i * audio.HOP + audio.FRAME]
+        assert math.isclose(rms[i], math.sqrt((frame_**2).mean()), rel_tol=1e-4)
+        power = abs((np.exp(-2j * np.pi * f) * (frame_ * hann)).sum(1)) ** 2
+        hz = np.arange(audio.FFT // 2 + 1) * audio.RATE / audio.FFT
+        for m in range(audio.MELS):
+            a, b, c = edges[m : m + 3]
+            weight = np.clip(np.minimum((hz - a) / (b - a), (c - hz) / (c - b)), 0, None)
+            assert math.isclose(mels[i, m], math.log((power * weight).sum() + 1e-6), abs_tol=2e-3)
+
+
 def test_resampling_keeps_a_tone_and_stretches_join():
     t = np.arange(24_000) / audio.RATE_IN
     tone = np.sin(2 * np.pi * 440 * t).astype(np.float32)
