@@ -10,7 +10,8 @@ agreeing ones are `min_agree` of them, or `min_agree` of SPAN words in a row: a
 
 With a lower `min_overlap`, items shorter than FEWEST words are matched whole by one hash over all their words, for each such length.
 
-Cases: null and empty texts have no words and never match. Items of fewer than `min_overlap` words are not
+Cases: null and empty texts have no words and never match; very long ones are read whole. Of equally good shifts the least
+is told. Items of fewer than `min_overlap` words are not
 searched for, as they are no passages. Repeated rows of one doc_id are judged as one; null doc_ids are left alone.
 Empty tables give empty results. Other columns are not read.
 """
@@ -27,8 +28,6 @@ SPAN = 13
 SEEDS = ("1111", "11011")
 #: From so many words on, a seed stays whole under any accepted replacement.
 FEWEST = 8
-#: The masks of the SQL, which finds fewer candidates.
-MASKS = ("1101100111011", "1011011100111", "1110111011001")
 
 #: Tables are broadcast up to so many rows (counted first); beyond, Spark deals out both sides.
 MAX_BROADCAST_SEEDS, MAX_BROADCAST_HITS, MAX_BROADCAST_ITEMS = 1_000_000, 20_000, 20_000
@@ -69,6 +68,21 @@ def exploded(df: DataFrame, ids: str, hashes: str, lengths: list[int]) -> DataFr
     return rows.select(ids, "__pos", F.explode("__seeds").alias("__seed")).where(F.col("__seed").isNotNull())
 
 
+def laid_over(text: Column, item_id: Column, item: Column, shift: Column) -> Column:
+    """struct<item_id, shift, n_overlap, n_agree, n_run> of an item laid over the text's words at `shift`."""
+    first, skip = F.greatest(shift, F.lit(0)), F.greatest(-shift, F.lit(0))
+    n = F.least(F.size(text) - first, F.size(item) - skip)
+    agree = F.zip_with(F.slice(text, first + 1, n), F.slice(item, skip + 1, n), lambda a, b: F.when(a == b, 1).otherwise(0))
+    # sums so far: a stretch's sum is the difference of two
+    sums = F.aggregate(agree, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+    def counted(sums: Column) -> Column:
+        run = F.transform(F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0))), lambda i: F.get(sums, F.least(i + SPAN, n)) - F.get(sums, i))
+        return F.struct(item_id.alias("item_id"), shift.alias("shift"), n.alias("n_overlap"), F.element_at(sums, -1).alias("n_agree"), F.array_max(run).alias("n_run"))
+
+    return F.transform(F.array(sums), counted)[0]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 8, min_agree: float = 0.8) -> DataFrame:
     """(doc_id, item_id, shift, n_overlap, n_agree, n_run) of every leak: the best shift of each document and item. n_run: most agreeing words among SPAN in a row."""
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
@@ -82,19 +96,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 8, min_
         doc_seeds.join(small(item_seeds, MAX_BROADCAST_SEEDS), "__seed")
         .select("doc_id", "item_id", (F.col("__pos") - F.col("__ipos")).alias("shift")).distinct()
     )
-    near = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("__hits"))  # one document's own hits
-    laid = (
-        docs.join(small(staged(near, "hits"), MAX_BROADCAST_HITS), "doc_id").select("doc_id", words(F.col("text")).alias("__w"), F.explode("__hits").alias("__h"))
-        .select("doc_id", "__w", F.col("__h.item_id").alias("item_id"), F.col("__h.shift").alias("shift"))
-        .join(small(items, MAX_BROADCAST_ITEMS), "item_id")
-    )
-    first = F.greatest(F.col("shift"), F.lit(0))
-    skip = F.greatest(-F.col("shift"), F.lit(0))
-    n = F.least(F.size("__w") - first, F.size("__item") - skip)
-    agree = F.zip_with(F.slice("__w", first + 1, n), F.slice("__item", skip + 1, n), lambda a, b: F.when(a == b, 1).otherwise(0))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("__agree") - SPAN, F.lit(0))), lambda i: total(F.slice("__agree", i + 1, SPAN)))
-    judged = laid.select("doc_id", "item_id", "shift", n.alias("n_overlap"), agree.alias("__agree")).select("doc_id", "item_id", "shift", "n_overlap", total(F.col("__agree")).alias("n_agree"), F.array_max(windows).alias("n_run"))
+    # one document's own hits, with the items' few words; its words stand once beside them
+    laid = hits.join(small(items, MAX_BROADCAST_ITEMS), "item_id")
+    near = laid.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "__item")).alias("__hits"))
+    met = docs.join(small(staged(near, "hits"), MAX_BROADCAST_HITS), "doc_id").select(words(F.col("text")).alias("__w"), "doc_id", "__hits")
+    judged = met.select("doc_id", F.explode(F.transform("__hits", lambda h: laid_over(F.col("__w"), h["item_id"], h["__item"], h["shift"]))).alias("r")).select("doc_id", "r.*")
     share = F.lit(min_agree)
     return (
         judged.where((F.col("n_overlap") >= min_overlap) & ((F.col("n_agree") >= F.col("n_overlap") * share) | (F.col("n_run") >= SPAN * share)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from priceengine.llm.decontaminate import MASKS, SPAN
+from priceengine.llm.decontaminate import SPAN
 from priceengine.llm.mixing import MAX_COPIES, MAX_RATE
 
 OP6 = r"""
@@ -47,28 +47,15 @@ FROM copied
 """
 
 
-def _masked(w: str, i: str, m: int, mask: str) -> str:
-    return f"'{m}' || " + " || ' ' || ".join(f"{w}[{i} + {k + 1}]" for k, c in enumerate(mask) if c == "1")
-
-
 def _op2() -> str:
     words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')"
-    union = lambda src, key: " UNION ALL ".join(
-        f"SELECT {key}, i, {_masked('w', 'i', m, mask)} AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {SPAN} + 1)) AS i FROM {src} WHERE len(w) >= {SPAN})"
-        for m, mask in enumerate(MASKS)
-    )
     return rf"""
-WITH d AS (SELECT doc_id, {words} AS w FROM documents),
-b AS (SELECT * FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= 8),
-ds AS ({union('d', 'doc_id')}),
-bs AS ({union('b', 'item_id')}),
-short AS (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS run FROM b WHERE len(w) < {SPAN}),
-dr AS (
-  SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS run
-  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM short) WHERE len(w) >= n)
-), hits AS (
-  SELECT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (seed)
-  UNION SELECT doc_id, item_id, i AS shift FROM dr JOIN short USING (n, run)
+WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT * FROM (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) >= 8),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+bw AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM b),
+hits AS (  -- every shift with as many agreeing words as the shortest leak has
+  SELECT doc_id, item_id, p - q AS shift FROM dw JOIN bw USING (word) GROUP BY ALL HAVING count(*) >= 7
 ), laid AS (
   SELECT h.doc_id, h.item_id, h.shift, d.w AS dw, b.w AS bw,
          least(len(d.w) - greatest(shift, 0), len(b.w) - greatest(-shift, 0)) AS n

@@ -167,6 +167,29 @@ def test_leaks_are_those_of_all_shifts(spark):
     assert {r.doc_id for r in decontaminate(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in got}
 
 
+def test_leaks_are_those_of_the_sql(spark, small_sf):
+    """The SQL looks at every shift."""
+    import duckdb
+
+    from priceengine.llm.oracle import oracle_sql
+    from priceengine.llm.queries import op2_decontaminate
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small_sf}/{t}.parquet'")
+    columns = ["doc_id", "item_id", "shift", "n_overlap", "n_agree", "n_run"]
+    true = con.execute(f"SELECT {', '.join(columns)} FROM ({oracle_sql()['op2_decontaminate']})").fetchall()
+    assert sorted(map(tuple, op2_decontaminate(spark, small_sf).select(columns).collect())) == sorted(true) and true
+
+
+def test_leaks_of_one_repeated_word(spark):
+    """A word that fills document and item agrees at every shift; ties go to the least shift."""
+    bench = spark.createDataFrame([(1, "no " * 12)], "item_id long, text string")
+    docs = frame(spark, ["no " * 3000, "no " * 9, "no " * 7])
+    got = {r.doc_id: (r.shift, r.n_overlap, r.n_agree, r.n_run) for r in find_leaks(docs, bench).collect()}
+    assert got == {0: (0, 12, 12, 12), 1: (-3, 9, 9, 9)}
+
+
 def test_leaks_of_awkward_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string")
     empty = spark.createDataFrame([], SCHEMA)
