@@ -9,7 +9,9 @@ restaurant are customers of its parent, all the way down.
 Seating is sampled by Gibbs sweeps that take all customers of one (restaurant, dish) out and seat them again, one
 after the other, by the Chinese-restaurant probabilities given everyone else (in blocks, with a normal draw, from the
 64th customer on). In one sweep the dishes are seated side by side: what they see of the others is the state before the
-sweep. SAMPLES chains with random numbers of their own make SWEEPS sweeps each, and the predictive probabilities of
+sweep. As a customer is seated without regard to those who still come, this is near the conditional of the number of tables
+but not the same (3 customers, base 0.5, 3 other tables, strength 10, discount 0.5: more than one table with 0.7725 in place
+of 0.7700). SAMPLES chains with random numbers of their own make SWEEPS sweeps each, and the predictive probabilities of
 their last states are averaged. A word pair that occurs once has one table in every state, so only the others are seated.
 
 Where it runs: tokens and pairs are counted, seated, spelt and scored in Spark tasks over all of the corpus; pairs,

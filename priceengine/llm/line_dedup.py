@@ -4,10 +4,10 @@ Lines are exploded once into (doc, position, 128-bit key hash), counted per key
 back as the positions to drop; a hot line costs one partial row per task in the count, and its many rows on the probe
 side of the join can be split by AQE, as the other side has one row for each key.
 
-Cases: null and empty texts are one empty line, kept. A null doc_id takes no part in the counts and keeps all lines.
+Cases: very long texts are read whole, in time linear in their lines. Null and empty texts are one empty line, kept. A null doc_id takes no part in the counts and keeps all lines.
 Repeated rows of one doc_id count as one document; each row comes back, with the same lines gone. Ties cannot occur:
-the largest doc_id is unique. An empty table gives an empty table. All input columns are kept; helper columns are
-named with a leading underscore pair and are dropped again.
+the largest doc_id is unique. An empty table gives an empty table. All input columns are kept, whatever their
+names, but n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -51,11 +51,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
         one.join(common, ["__k1", "__k2"]).where(F.col("__id") < F.col("__last"))
         .groupBy("__id").agg(F.collect_set("__pos").alias("__drop"))
     )
-    joined = docs.withColumn("__doc", F.col(id_col).cast("long")).join(drops, F.col("__doc") == F.col("__id"), "left")
+    # input columns travel in a struct, so that no name of theirs can clash
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    joined = docs.select(row, F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text")).join(drops, F.col("__doc") == F.col("__id"), "left")
+    lines = F.split(F.coalesce(F.col("__text"), F.lit("")), "\n", -1)
     gone = F.coalesce(F.col("__drop"), F.array().cast("array<int>"))
-    kept = F.when(F.size(gone) == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(
-        F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
-    )
-    return joined.withColumns({
-        "n_lines": F.size(lines).cast("long"), "n_dropped": F.size(gone).cast("long"), text_col: kept,
-    }).drop("__doc", "__id", "__drop")
+    # one pass over the lines and one over those that stay, however many there are
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    rest = F.transform(F.array(lines), lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n"))[0]
+    kept = F.when(F.size(gone) == 0, F.coalesce(F.col("__text"), F.lit(""))).otherwise(rest)
+    return joined.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], F.size(lines).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))

@@ -64,7 +64,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     """Rows of `docs`, each `copy` times as drawn, ordered by a hash. weights: by source; None: shares proportional to rows ** alpha."""
     parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
     rates = source_rates(docs, weights, alpha, epochs).withColumn("__parts", parts).withColumn("__cdf", poisson_thresholds(F.col("rate") / F.col("__parts")))
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    ident = F.col("__ident")
 
     def drawn_at(u: Column) -> Column:
         return F.size(F.filter("__cdf", lambda c: c <= u))
@@ -73,13 +73,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     further = F.when(F.col("__parts") > 1, F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.col("__parts") - 1, F.lit(1))), F.lit(0), lambda n, k: n + drawn_at(uniform(F.lit(str(seed)), ident, k.cast("string")))
     )).otherwise(0)
+    # input columns travel in a struct, so that no name of theirs can clash
+    kept = [c for c in docs.columns if c not in ("copy", "rate", "order_key")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("source").alias("__of"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__ident"))
     # counted: broadcast while sources are few, else both sides are dealt out (AQE splits a hot source)
     drawn = (
-        docs.drop("copy", "rate", "order_key").join(small(staged(rates, "rates"), MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("__source")))
+        rows.join(small(staged(rates, "rates"), MAX_BROADCAST_SOURCES), F.col("__of").eqNullSafe(F.col("__source")))
         .withColumn("__u", uniform(F.lit(str(seed)), ident))
         .withColumn("__count", drawn_at(F.col("__u")) + further)
-        .where(F.col("__count") > 0).drop("__cdf", "__source", "__u", "__parts")
+        .where(F.col("__count") > 0)
     )
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__count")))).drop("__count")
+    copies = drawn.select("row", "rate", "__ident", F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy"))
     key = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(f"{seed}s"), ident, F.col("copy").cast("string")), 256), 1, 13), 16, 10).cast("long")
-    return copies.withColumn("order_key", key).orderBy("order_key", "doc_id", "copy")
+    made = copies.select(*[F.col("row")[c].alias(c) for c in kept], "rate", "copy", key.alias("order_key"))
+    return made.orderBy("order_key", "doc_id", "copy")

@@ -24,7 +24,7 @@ exactly from their runs. So no pair is skipped but those that cannot change a cl
 Exact copies are one text from the start. Classes merge by smallest-neighbour steps with pointer jumping on written
 tables. Nothing but counts comes to the driver.
 
-Cases: null and empty texts, and texts of white space, are classes of their own. A null doc_id has a null class and
+Cases: very long texts are read whole. Null and empty texts, and texts of white space, are classes of their own. A null doc_id has a null class and
 is kept by `drop_near_copies`. Repeated rows are copies; a doc_id that stands on rows with several texts takes the
 smallest of their classes. Ties do not arise, ids order everything. An empty table gives an empty one. Other columns
 are kept by `drop_near_copies`, whatever their names.
@@ -312,4 +312,5 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each class, the one with the smallest id (all rows of that id stay)."""
     gone = near_classes(docs, id_col, text_col).where("class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small(staged(gone, "gone"), MAX_BROADCAST_IDS), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = small(staged(gone, "gone"), MAX_BROADCAST_IDS)
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -17,7 +17,7 @@ Cases: null and empty texts have the features of an empty text; very long ones a
 of its own. Documents without label, those with a null doc_id among them, only get scores; repeated rows of a doc_id are
 scored alike, and each counts in the fit. Labels other than 0 and 1, or null, are not used; of contradictory labels of one
 doc_id the good one counts. Ties do not arise: equal documents of one site have equal scores. Without any label every score is 0.5 and nothing is rejected. An empty table
-gives an empty one. Input columns are kept; clashing helper columns are replaced.
+gives an empty one. Input columns are kept; those with the names of results or helpers are replaced.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def site_posteriors(labelled: DataFrame) -> tuple[float, DataFrame, DataFrame]:
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` with evidence, prior and quality_score (0 to 1, higher: better)."""
-    clean = docs.drop("__bins", "evidence", "prior", "quality_score")
+    clean = docs.drop("__bins", "evidence", "prior", "quality_score", "__host", "__host_rate", "__psource", "__plang", "__path_rate")
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     marks = staged(marks, "marks")
     # features of the labelled rows: where labels are few, only those texts are read closely; else small numbers meet the labels, not the texts

@@ -196,6 +196,15 @@ def test_lines_are_dropped_as_by_hand(spark):
     assert [found[i] for i in range(len(texts))] == brute_lines(texts)
 
 
+def test_lines_of_a_very_long_text(spark):
+    rng = random.Random(3)
+    common = [f"common line {i} of many documents" for i in range(3000)]
+    long = [x for i in range(40_000) for x in ([rng.choice(common)] if i % 2 else [f"own line {i} {prose(rng, 3)}"])]
+    texts: list[str | None] = ["\n".join(long), *["\n".join(common)] * 3]
+    got = dedup_lines(frame(spark, texts)).withColumn("sha", F.sha2(F.encode("text", "UTF-8"), 256))
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.sha) for r in got.collect()} == dict(enumerate(brute_lines(texts)))
+
+
 def test_lines_of_awkward_tables(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
     line = "this line is long enough to be dropped"

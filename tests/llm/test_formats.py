@@ -196,6 +196,83 @@ def test_probabilities_behind_a_word_sum_to_one(spark):
         assert 0.5 < r.p + back[r.u] * sum(p for w, p in unigram.items() if w not in set(r.ws)) < 1.01
 
 
+class Restaurant:
+    """Customers one by one at tables of their own."""
+
+    def __init__(self, d: float, theta: float, parent):
+        self.d, self.theta, self.parent = d, theta, parent
+        self.tables: dict[str, list[int]] = {}
+
+    def p(self, dish: str) -> float:
+        at = self.tables.get(dish, [])
+        n, t = sum(map(sum, self.tables.values())), sum(map(len, self.tables.values()))
+        return (sum(at) - self.d * len(at) + (self.theta + self.d * t) * self.parent.p(dish)) / (self.theta + n)
+
+    def add(self, rng: random.Random, dish: str) -> None:
+        at = self.tables.setdefault(dish, [])
+        t = sum(map(len, self.tables.values()))
+        k = rng.choices(range(len(at) + 1), [*(x - self.d for x in at), (self.theta + self.d * t) * self.parent.p(dish)])[0]
+        if k < len(at):
+            at[k] += 1
+        else:
+            at.append(1)
+            self.parent.add(rng, dish)
+
+    def remove(self, rng: random.Random, dish: str) -> None:
+        at = self.tables[dish]
+        k = rng.choices(range(len(at)), at)[0]
+        at[k] -= 1
+        if not at[k]:
+            at.pop(k)
+            self.parent.remove(rng, dish)
+
+
+class Base:
+    def __init__(self, p: dict[str, float]):
+        self.known = p
+
+    def p(self, dish: str) -> float:
+        return self.known[dish]
+
+    def add(self, rng: random.Random, dish: str) -> None: ...
+
+    def remove(self, rng: random.Random, dish: str) -> None: ...
+
+
+def test_scores_are_near_those_of_a_sampler_of_single_customers(spark):
+    """One customer at a time is taken out and seated again, averaged over many states; spelling and discounts are the model's."""
+    rng = random.Random(7)
+    texts = [" ".join(chain(rng, 25)) for _ in range(40)]
+    docs = frame(spark, texts)
+    model = language_model.fit(docs)
+    words = sorted({w for t in texts for w in t.split()} | {""})
+    raw = [w.encode() for w in words]
+    off = np.cumsum([0, *map(len, raw)])
+    logs = language_model.spell_logs(model.spelling, np.frombuffer(b"".join(raw), np.uint8), off[:-1], off[1:])
+    spelt = dict(zip(words, np.exp(logs).mean(0).tolist(), strict=True))
+    pairs = [(u, w) for t in texts for u, w in zip(["", *t.split()], [*t.split(), ""], strict=True)]
+    kinds = Counter(Counter(pairs).values())
+    d1 = language_model.discount(kinds[1], kinds[2])
+    after = Counter(w for _, w in set(pairs))
+    d0 = language_model.discount(sum(n == 1 for n in after.values()), sum(n == 2 for n in after.values()))
+    root = Restaurant(d0, language_model.THETA, Base(spelt))
+    rooms = {u: Restaurant(d1, language_model.THETA, root) for u in words}
+    for u, w in pairs:
+        rooms[u].add(rng, w)
+    mean: Counter = Counter()
+    for sweep in range(30):
+        for u, w in pairs:
+            rooms[u].remove(rng, w)
+            rooms[u].add(rng, w)
+        if sweep >= 10:
+            for u, w in set(pairs):
+                mean[u, w] += rooms[u].p(w) / 20
+    got = {r.doc_id: r.score for r in language_model.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        true = sum(math.log10(mean[u, w]) for u, w in zip(["", *t.split()], [*t.split(), ""], strict=True))
+        assert abs(got[i] / true - 1) < 0.05
+
+
 def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
     rng = random.Random(3)
     text = lambda lang: " ".join(f"{lang}{rng.choice('aeiou')}{rng.choice('klmn')}" for _ in range(20))

@@ -73,6 +73,23 @@ def test_stages_return_the_columns_of_documents(spark, small_sf):
         assert stage(spark, docs, small_sf).columns == docs.columns
 
 
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Nulls in every column, an empty and a very long text, repeated rows and clashing names."""
+    rng = random.Random(5)
+    docs, _, _ = corpus(spark, str(tmp_path))
+    own = [prose(rng, 60) for _ in range(3)]
+    odd = [(None, own[0], None, None, None), (9001, None, "en", "s1", None), (9002, "", None, None, 0), (9003, prose(rng, 60_000), "en", "s1", 1), (9004, own[1], "en", "s1", 1), (9004, own[1], "en", "s1", 1)]
+    frame = spark.createDataFrame(docs + odd, SCHEMA).selectExpr("*", "'clash' as copy", "1 as label", "2 as __id")
+    columns = frame.columns
+    for name, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, str(tmp_path))
+        if name != "mix":
+            assert frame.columns == columns
+            got = [r.doc_id for r in frame.where("doc_id > 9000 or doc_id is null").collect()]
+            assert sorted(x or 0 for x in got) == [0, 9001, 9002, 9003, 9004, 9004], name
+    assert {r.copy for r in frame.collect()} <= set(range(1, 60))
+
+
 def test_stages_of_an_empty_table(spark, small_sf):
     docs = queries.table(spark, small_sf, "documents").where("false")
     for _, stage in corpus_pipeline.STAGES:
