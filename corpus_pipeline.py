@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's `docs`. All stages but the last return the columns of `documents`; the last adds `copy`, `rate` and `order_key`.
 
-Cases: null and empty texts run through all stages as the operators say; a document whose lines are all dropped stays
-with an empty text; empty tables give empty results; other columns are kept.
+Cases: null, empty and very long texts run through all stages as the operators say; a document whose lines are all dropped stays
+with an empty text; of equally near copies the smallest doc_id stays, and repeated rows of one doc_id stay or go together;
+empty tables give empty results; other columns are kept, but those called `copy`, `rate` or `order_key` are replaced by the last stage.
 """
 
 from __future__ import annotations
