@@ -122,9 +122,9 @@ def gtin(code: Column) -> Column:
 
 def name_tokens(name: Column) -> Column:
     """Words of two letters or more that are no stop words; repeated ones stay."""
-    words = F.split(F.regexp_replace(plain(name), r"[^\w\s']", " "), r"\s+")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.coalesce(F.filter(words, lambda w: (F.char_length(w) > 1) & ~F.array_contains(stop, w)), F.array().cast("array<string>"))
+    gone = "|".join(w for w in STOP_WORDS if len(w) > 1)
+    kept = F.trim(F.regexp_replace(F.regexp_replace(plain(name), r"[^\w\s']", " "), rf"(?<!\S)(?:\S|{gone})(?!\S)", " "))
+    return F.when(F.coalesce(kept, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(kept, r"\s+"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
