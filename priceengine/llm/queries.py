@@ -49,7 +49,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without its repeated 400-byte strings."""
     left = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared_windows")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,12 @@ offsets, so only texts' windows that share an anchor need to be compared, and a
    An anchor with more than GROUP different spans is not gathered in a task: its windows are hashed one by one and
    counted by Spark, two rounds with a map-side combine.
 
-Cases: a null text is an empty one. Texts under WINDOW bytes keep everything. Repeated rows are texts of their own and
+Beside that, `shared_passages` counts the windows of PASSAGE words that stand in another text, too, however many bytes
+they have: words are what stands between ASCII white space, A-Z as a-z. Windows have anchors of PASSAGE_GRAM words in the
+same way; spans that occur in one text only and share their anchor with other spans are told apart window by window. It
+removes nothing: it tells which texts hold a passage of over 50 words that is found elsewhere.
+
+Cases: a null text is an empty one. Texts under WINDOW bytes keep everything, texts under PASSAGE words share nothing. Repeated rows are texts of their own and
 so remove each other, a null doc_id included. Empty tables give empty ones. Very long texts are cut nowhere; a text's
 own spans come together in one row. Other columns are dropped by `repeated_spans` and kept by `without_repeats`.
 """
@@ -30,48 +35,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priceengine.llm.kernels import BYTE_VALUE, mix, powers, prefix_hash, span_hash, text_rows, utf8
-from priceengine.llm.staging import map_arrow, small, staged
+from priceengine.llm.kernels import BASE, BYTE_VALUE, mix, powers, prefix_hash, span_hash, text_rows, token_hashes, utf8
+from priceengine.llm.staging import map_arrow, release, small, staged
 
 WINDOW, GRAM = 400, 64
 REACH = WINDOW - GRAM  # an anchor starts so many bytes after its window at most
+PASSAGE, PASSAGE_GRAM = 51, 12
 GROUP, CHUNK = 1500, 4000
 MAX_BROADCAST_TEXTS = 300_000
 _POSITION = np.uint64(0xFFFFFFFF)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window, anchor hash, span hash) of each anchor, positions in `data`."""
-    none = np.zeros(0, np.int64)
+def minimizers(grams: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window) of each anchor: of every `window` symbols the leftmost `gram` of them with the smallest hash."""
     size = np.diff(offsets)
-    long = np.flatnonzero(size >= WINDOW)
+    long = np.flatnonzero(size >= window)
     if not len(long):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    prefix = prefix_hash(data)
-    _, down = powers(len(data))
-    grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: len(data) - GRAM + 1])
+        return (np.zeros(0, np.int64),) * 3
     # the upper half of the hash decides, the position breaks ties to the left
     least = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-    width, need = 1, REACH + 1
+    width, need = 1, window - gram + 1
     while width * 2 <= need:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     least = np.minimum(least[: len(least) - (need - width)], least[need - width :])
     edge = np.zeros(len(least) + 1, np.int64)
     np.add.at(edge, offsets[long], 1)
-    np.add.at(edge, np.minimum(offsets[long] + size[long] - WINDOW + 1, len(least)), -1)
+    np.add.at(edge, np.minimum(offsets[long] + size[long] - window + 1, len(least)), -1)
     at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     chosen = (least[at] & _POSITION).astype(np.int64)
     first = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)))
-    lo, hi, a = at[first], at[np.append(first[1:], len(at)) - 1], chosen[first]
-    shape = ((a - lo) * WINDOW + (a - hi)).astype(np.uint64)
-    return a, lo, hi, grams[a], mix(span_hash(prefix, lo, hi + WINDOW) + mix(shape))
+    return chosen[first], at[first], at[np.append(first[1:], len(at)) - 1]
+
+
+def anchors(prefix: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window, anchor hash, span hash) of each anchor, as positions in what `prefix` hashes."""
+    if not (np.diff(offsets) >= window).any():
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    _, down = powers(len(prefix) - 1)
+    grams = mix((prefix[gram:] - prefix[:-gram]) * down[: len(prefix) - gram])
+    a, lo, hi = minimizers(grams, offsets, window, gram)
+    shape = ((a - lo) * window + (a - hi)).astype(np.uint64)
+    return a, lo, hi, grams[a], mix(span_hash(prefix, lo, hi + window) + mix(shape))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, off in text_rows(batch, "text"):
-            a, lo, hi, h, s = anchors(data, off)
+            a, lo, hi, h, s = anchors(prefix_hash(data), off)
             row = np.searchsorted(off, a, "right") - 1
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([
@@ -277,6 +289,80 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return ranges.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
+def word_prefix(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix hashes over the words of all texts, offsets of the texts in words)."""
+    _, _, rows, hashed = token_hashes(data, offsets)
+    up, _ = powers(len(hashed))
+    prefix = np.zeros(len(hashed) + 1, np.uint64)
+    np.cumsum(hashed * up[: len(hashed)], out=prefix[1:])
+    return prefix, np.searchsorted(rows, np.arange(len(offsets)))
+
+
+def _word_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each text's windows of PASSAGE words; equal spans of one text are one row, which stands for `times`."""
+    for batch in batches:
+        for i, j, data, off in text_rows(batch, "text"):
+            prefix, first = word_prefix(data, off)
+            a, lo, hi, h, s = anchors(prefix, first, PASSAGE, PASSAGE_GRAM)
+            row = np.searchsorted(first, a, "right") - 1
+            _, one, times = np.unique(mix(s + row.astype(np.uint64) * BASE), return_index=True, return_counts=True)
+            a, lo, hi, h, s, row = (x[one] for x in (a, lo, hi, h, s, row))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(i, j - i).take(take), batch.column(1).slice(i, j - i).take(take), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)),
+                pa.array((a - first[row]).astype(np.int32)), pa.array((a - hi).astype(np.int32)), pa.array((a - lo).astype(np.int32)), pa.array(times.astype(np.int32)),
+            ], ["t1", "t2", "h", "s", "a", "lo", "hi", "times"])
+
+
+def _word_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the wanted anchors of a text as a row of its own."""
+    for batch in batches:
+        want = batch.column(3)
+        begin, parts = np.concatenate([[0], np.cumsum(np.asarray(want.value_lengths().fill_null(0)))]), want.flatten()
+        for i, j, data, off in text_rows(batch, "text"):
+            prefix, first = word_prefix(data, off)
+            mine = parts.slice(begin[i], begin[j] - begin[i])
+            a, lo, hi = (np.asarray(mine.field(c)).astype(np.int64) for c in ("a", "lo", "hi"))
+            row = np.repeat(np.arange(j - i), np.diff(begin[i : j + 1]))
+            each = hi - lo + 1
+            which = np.repeat(np.arange(len(a)), each)
+            o = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+            start = first[row[which]] + a[which] - o
+            text, take = pa.array(i + row[which]), pa.array(which)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(text), batch.column(1).take(text), *[mine.field(c).take(take) for c in ("h", "n", "times")],
+                pa.array(o.astype(np.int32)), pa.array(span_hash(prefix, start, start + PASSAGE).view(np.int64)),
+            ], ["t1", "t2", "h", "n", "times", "o", "w"])
+
+
+def shared_passages(texts: DataFrame) -> DataFrame:
+    """(t1, t2, n_shared_windows) over (t1, t2, text): how many windows of PASSAGE words stand in another text, too; texts without any are left out."""
+    texts = texts.select("t1", "t2", "text")
+    found = staged(map_arrow(texts, _word_anchors, "t1 long, t2 long, h long, s long, a int, lo int, hi int, times int"), "word_anchors")
+    # n counts texts, since a text has each of its spans once
+    spans = found.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "a", "lo", "hi", "times")).alias("one"))
+    spans = staged(spans, "word_spans")
+    groups = spans.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).where("all > 1").select("h", "k")
+    shared = staged(spans.join(groups, "h"), "word_shared")
+    whole = shared.where("n > 1").select("h", "s")
+    wanted = staged(
+        shared.where("k > 1").select("one.t1", "one.t2", F.struct("h", "one.a", "one.lo", "one.hi", "one.times", F.least("n", F.lit(2)).alias("n")).alias("w"))
+        .groupBy("t1", "t2").agg(F.collect_list("w").alias("want")), "word_wanted",
+    )
+    near = texts.join(small(wanted.select("t1", "t2"), MAX_BROADCAST_TEXTS), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    windows = map_arrow(near.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "want"), _word_windows, "t1 long, t2 long, h long, n long, times int, o int, w long")
+    windows = staged(windows, "word_windows")
+    # of texts whose span is theirs alone: two of them, or one beside a span of several
+    text = F.struct("t1", "t2")
+    met = windows.groupBy("h", "o", "w").agg(F.max("n").alias("most"), F.min(text).alias("least"), F.max(text).alias("last"))
+    met = staged(met.where((F.col("most") > 1) | (F.col("least") != F.col("last"))).select("h", "o", "w"), "word_met")
+    single = windows.where("n = 1").join(small(met, MAX_BROADCAST_TEXTS), ["h", "o", "w"]).select("t1", "t2", F.col("times").cast("long").alias("m"))
+    inside = found.join(small(whole, MAX_BROADCAST_TEXTS), ["h", "s"]).dropDuplicates(["t1", "t2", "h", "s"]).select("t1", "t2", ((F.col("hi") - F.col("lo") + 1) * F.col("times")).cast("long").alias("m"))
+    counts = staged(single.unionByName(inside).groupBy("t1", "t2").agg(F.sum("m").alias("n_shared_windows")), "word_counts")
+    release(found, spans, shared, wanted, windows, met)
+    return counts
+
+
 def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the text's two hashes as t1 and t2."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -293,16 +379,19 @@ def _kept(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[bytes
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` (any columns but t1, t2 and spans) with kept (binary), n_bytes, n_removed and n_spans."""
-    texts = keyed(docs.drop("t1", "t2", "spans", "kept", "n_bytes", "n_removed", "n_spans"), text_col)
-    spans = staged(repeated_spans(texts.select("t1", "t2", F.col(text_col).alias("text"))), "ranges")
+    """`docs` (any columns but t1, t2 and spans) with kept (binary), n_bytes, n_removed, n_spans and n_shared_windows."""
+    texts = keyed(docs.drop("t1", "t2", "spans", "kept", "n_bytes", "n_removed", "n_spans", "n_shared_windows"), text_col)
+    plain = texts.select("t1", "t2", F.col(text_col).alias("text"))
+    passages = shared_passages(plain)
+    spans = repeated_spans(plain)
+    none, zero = F.array().cast(spans.schema["spans"].dataType), F.lit(0).cast("long").alias("n_shared_windows")
+    spans = staged(spans.join(passages, ["t1", "t2"], "full").select("t1", "t2", F.coalesce("spans", none).alias("spans"), F.coalesce("n_shared_windows", zero).alias("n_shared_windows")), "ranges")
     ids = spans.select("t1", "t2")
-    none = F.array().cast(spans.schema["spans"].dataType)
     if ids.count() <= MAX_BROADCAST_TEXTS:  # texts without repeats need not be dealt out
         ids = F.broadcast(ids)
-        met = texts.join(ids, ["t1", "t2"], "left_semi").join(spans, ["t1", "t2"]).unionByName(texts.join(ids, ["t1", "t2"], "left_anti").withColumn("spans", none))
+        met = texts.join(ids, ["t1", "t2"], "left_semi").join(spans, ["t1", "t2"]).unionByName(texts.join(ids, ["t1", "t2"], "left_anti").withColumns({"spans": none, "n_shared_windows": zero}))
     else:
-        met = texts.join(spans, ["t1", "t2"], "left").withColumn("spans", F.coalesce("spans", none))
+        met = texts.join(spans, ["t1", "t2"], "left").withColumns({"spans": F.coalesce("spans", none), "n_shared_windows": F.coalesce("n_shared_windows", zero)})
     met = met.drop("t1", "t2")
     at, ranges = met.columns.index(text_col), met.columns.index("spans")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -146,6 +147,26 @@ def test_repeated_substrings_are_those_of_all_windows(spark, monkeypatch, group)
     assert [found[i] for i in range(len(texts))] == brute_substrings(texts)
 
 
+def brute_passages(texts: list[str | None], width: int = 51) -> list[int]:
+    words = [re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    own = [[tuple(w[i : i + width]) for i in range(len(w) - width + 1)] for w in words]
+    texts_with = Counter(x for windows in own for x in set(windows))
+    return [sum(texts_with[x] > 1 for x in windows) for windows in own]
+
+
+def test_passages_of_over_fifty_words_are_those_of_all_windows(spark):
+    """Short words, other case and white space count as well; what repeats only inside one text does not."""
+    rng = random.Random(21)
+    short, passage = " ".join(rng.choice("abcdefgh") for _ in range(51)), prose(rng, 60)
+    texts = [*substring_texts(), prose(rng, 50), f"{prose(rng, 70)} {short}", f"{short.upper()} {prose(rng, 5)}", short[:-2]]
+    texts += [f"{prose(rng, rng.randrange(60))} {passage.title()}\t{prose(rng, 30)}" for _ in range(8)] + [passage.replace(" ", "\n ") for _ in range(2)]
+    texts += [f"{passage} {passage} {prose(rng, 3)}", f"{prose(rng, 55)} " * 3]
+    found = {r.doc_id: r.n_shared_windows for r in without_repeats(frame(spark, texts)).collect()}
+    true = brute_passages(texts)
+    assert [found[i] for i in range(len(texts))] == true
+    assert true[-1] == 0 < true[-2]
+
+
 def test_substrings_of_awkward_tables(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
     twice = spark.createDataFrame([(1, "ab" * 300, 9), (None, "ab" * 300, 9)], "doc_id long, text string, h int")
