@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priceengine.llm.kernels import FOLD, mix, slices, text_rows, token_hashes, utf8
-from priceengine.llm.staging import map_arrow, staged
+from priceengine.llm.staging import map_arrow, release, shuffles_dropped, staged
 
 TOP, SAMPLES, BURN_IN, SWEEPS, THETA = 100_000, 3, 4, 4, 10.0
 END = 0x20
@@ -341,10 +341,15 @@ class Model:
 
 def fit(train: DataFrame, seed: int = 5) -> Model:
     """The model of all texts of `train`."""
+    with shuffles_dropped(train.sparkSession):
+        return _fit(train, seed)
+
+
+def _fit(train: DataFrame, seed: int) -> Model:
     pairs = staged(count_pairs(train), "pairs")
     once, kinds = F.count_if(F.col("c") == 1).alias("once"), F.count(F.lit(1)).alias("kinds")
     counted = count_words(train).join(pairs.groupBy(F.col("w").alias("h")).agg(once, kinds), "h")
-    words = staged(counted.select("token", "h", "c", "once", "kinds"), "words")
+    words = plain_words = staged(counted.select("token", "h", "c", "once", "kinds"), "words")
     contexts = staged(pairs.groupBy("u").agg(F.sum("c").alias("c"), once), "contexts")
     said = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum("kinds"), F.count_if(F.col("kinds") == 1), F.count_if(F.col("kinds") == 2)).first()
     seen = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
@@ -359,6 +364,7 @@ def fit(train: DataFrame, seed: int = 5) -> Model:
     context, symbol, n = spelling_counts(seated.select("token", F.col("t0")[0].alias("t")))
     spelling = fit_spelling(context, symbol, n, SAMPLES, seed + 1)
     words = staged(with_spelling(words, spelling), "spelt")
+    release(plain_words, seated)
     top_words = [r.h for r in frequent(words, "c").select("h").collect()]
     known = np.sort(np.array(top_words, np.int64).view(np.uint64))
 
@@ -377,7 +383,9 @@ def fit(train: DataFrame, seed: int = 5) -> Model:
         if sweep < SWEEPS:
             met = looked_up(many, above.drop("n"), "w", frequent(above, "n").drop("n"))
             met = looked_up(met, here.select("u", "all"), "u", frequent(here, "c").select("u", "all"))
-            many = staged(seat_pairs(met, d, seed + 8 + 10 * sweep), "many")
+            before, many = many, staged(seat_pairs(met, d, seed + 8 + 10 * sweep), "many")
+            release(before, seated, here)
+    release(words, contexts)
 
     rows = pairs.where("c = 1").select("u", "w", "c", each(lambda s: F.lit(1).cast("long")).alias("t")).unionByName(many)
     met = looked_up(rows, above, "w", frequent(above, "n"))
@@ -386,6 +394,7 @@ def fit(train: DataFrame, seed: int = 5) -> Model:
     sample = lambda s: (F.col("c") - d * F.col("t")[s] + (THETA + d * F.col("all")[s]) * F.col("p1")[s]) / (THETA + F.col("customers"))
     mean = lambda of: sum((of(s) for s in range(1, SAMPLES)), of(0)) / float(SAMPLES)
     scores = staged(met.select("u", "w", "c", "n", F.log10(mean(sample)).cast("float").alias("log_p")), "scores")
+    release(pairs, many)
     top = frequent(scores, "c").select("u", "w", "n", "log_p").toPandas()
     keys = pair_keys(*(top[x].to_numpy(np.int64).view(np.uint64) for x in "uw"))
     order = np.argsort(keys)
@@ -439,7 +448,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     tf, found = F.col("tf"), F.col("log_p").isNotNull()
     missed = (tf > 0) & ~found
     # of each document one row of sums, and one for each pair that was not in training
-    parts = staged(
+    parts = (
         rows.join(model.pairs, ["u", "w"], "left")
         .groupBy("uid", F.when(missed, F.col("u")).alias("u"), F.when(missed, F.col("w")).alias("w"))
         .agg(
@@ -447,9 +456,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
             F.sum(F.col("base") + F.when(found, tf * F.log10((F.col("n") + 1) / unit)).otherwise(0.0)).alias("base"),
             F.sum(F.col("full") + F.when(found, tf * F.col("log_p").cast("double")).otherwise(0.0)).alias("full"),
             F.sum("tf").alias("tf"), *[F.max(x).alias(x) for x in spelt_names],
-        ),
-        "parts",
+        )
     )
+    with shuffles_dropped(docs.sparkSession):
+        parts = staged(parts, "parts")
     sums = ["uid", "doc", "n_all", "n_known", "base", "full"]
     new = parts.where(F.col("w").isNotNull()).join(model.words.withColumnRenamed("h", "w").drop("log_p"), "w", "left").join(model.contexts, "u", "left")
     logs = [

@@ -5,7 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -46,6 +47,21 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within: a query's shuffle files go at its end, not when the driver happens to collect garbage.
+
+    For steps whose results are staged: no later query reads their shuffles again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def counted(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
     """`staged`, and how many rows were written (for which `what` holds): counted while writing, without a job of its own."""
     seen = Observation(f"{name}-{uuid.uuid4().hex}")
