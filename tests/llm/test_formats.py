@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import io
 import math
+import os
 import random
 import wave
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from priceengine.llm import audio, chat, language_model
+from priceengine.llm.staging import shared_folder
 from tests.llm.common import SCHEMA, frame, prose
 
 NASTY = st.lists(st.sampled_from([*"\\<|>tu é\n", "<|end|>\n", "<|turn|>", "<|says|>"]), max_size=12).map("".join)
@@ -158,6 +161,16 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_a_fit_leaves_only_the_tables_its_model_reads(spark):
+    folder = Path(shared_folder(spark).removeprefix("file://").removeprefix("file:"))
+    there = set(os.listdir(folder))
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    language_model.fit(frame(spark, lm_texts(40)))
+    assert sorted(name.partition("-")[0] for name in set(os.listdir(folder)) - there) == ["restaurants", "scores", "seated"]
+    assert spark.conf.get(setting) == before
+
+
 def test_language_model_of_awkward_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     docs = frame(spark, ["a b", None, "x" * 20_000])
