@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from priceengine.llm.decontaminate import SPAN
+from priceengine.llm.divergence import MIN_DOCS, TOP
 from priceengine.llm.mixing import MAX_COPIES, MAX_RATE
 
 OP6 = r"""
@@ -73,5 +74,73 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_agree DESC, n
 """
 
 
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS lang_c FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(lang_c) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+whole AS (
+  SELECT g.lang, g.source, term, coalesce(c, 0) AS c, sum(coalesce(c, 0)) OVER (PARTITION BY g.lang, g.source) AS n, lang_c, l.n AS lang_n, v
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)
+), p AS (
+  SELECT lang, source, term, c, CAST(1 + 1000000000 * (c + 5) // (n + 5 * v) AS BIGINT) AS p, CAST(1 + 1000000000 * (lang_c + 5) // (lang_n + 5 * v) AS BIGINT) AS q FROM whole
+), far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL)
+SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY a.lang, a.source ORDER BY coalesce(value, 0) DESC, b.source) AS INTEGER) AS rank
+FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+UNION ALL
+SELECT lang, source, 'term', term, p - q, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS INTEGER) AS rank
+FROM p WHERE c > 0 AND p > q QUALIFY rank <= {TOP}
+"""
+
+
+def _op13(levels: int = 5, upper: int = 3) -> str:
+    """For sources of up to 16 ** levels rows, and up to 16 ** upper sources."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({field('doc_id')} || {field('source')} || {field('lang')} || {field('n_chars')} || {field(text)})"
+
+    def tree(name: str, depth: int) -> str:
+        """name0 (tree, idx, h) has the leaves; of each level name_k those with more than one node, name_kids_k their runs; name_root (tree, h)."""
+        out = []
+        for k in range(depth):
+            out.append(f"{name}_kids{k} AS (SELECT tree, idx // 16 AS idx, list(h ORDER BY idx) AS kids FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS w FROM {name}{k}) WHERE w > 1 GROUP BY ALL)")
+            out.append(f"{name}{k + 1} AS (SELECT tree, idx, sha256(array_to_string(kids, '')) AS h FROM {name}_kids{k})")
+        roots = " UNION ALL ".join(f"SELECT tree, h FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS w FROM {name}{k}) WHERE w = 1" for k in range(depth + 1))
+        return ", ".join([*out, f"{name}_root AS ({roots})"])
+
+    def climb(first: str, name: str, depth: int, idx: str, tree_col: str) -> str:
+        """Steps of `first` (acc, sib, ...) up the levels of a tree."""
+        out, last = [], first
+        for k in range(depth):
+            pos = f"(x.{idx} // {16**k}) % 16"
+            left, right = f"coalesce(array_to_string(kids[1:{pos}], ''), '')", f"coalesce(array_to_string(kids[{pos} + 2:], ''), '')"
+            out.append(
+                f"{first}_{k} AS (SELECT x.* EXCLUDE (acc, sib), CASE WHEN kids IS NULL THEN acc ELSE sha256({left} || acc || {right}) END AS acc, CASE WHEN kids IS NULL THEN sib ELSE sib || {left} || {right} END AS sib "
+                f"FROM {last} x LEFT JOIN {name}_kids{k} y ON y.tree = x.{tree_col} AND y.idx = x.{idx} // {16 ** (k + 1)})"
+            )
+            last = f"{first}_{k}"
+        return ", ".join(out)
+
+    return f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+coded AS (
+  SELECT d.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS hit FROM documents d, crc
+), low AS (SELECT *, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed_text FROM coded),
+d AS (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf('changed_text')} AS changed FROM low),
+placed AS (
+  SELECT doc_id, leaf, changed, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS idx FROM d
+), a0 AS (SELECT tree, idx, leaf AS h FROM placed), {tree('a', levels)},
+b0 AS (SELECT 0 AS tree, tree AS idx, h FROM a_root), {tree('b', upper)},
+f AS (SELECT *, 0 AS top, changed AS acc, '' AS sib FROM placed), {climb('f', 'a', levels, 'idx', 'tree')},
+s AS (SELECT * FROM f_{levels - 1}), {climb('s', 'b', upper, 'tree', 'top')}
+SELECT doc_id, leaf, a_root.h AS subroot, b_root.h AS root, sha256(sib) AS proof_sha256, acc AS folded_root, acc = b_root.h AS verified
+FROM s_{upper - 1} s JOIN a_root ON a_root.tree = s.tree JOIN b_root ON b_root.tree = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _op2(), "op6_line_dedup": OP6, "op7_mixing": OP7}
+    return {"op2_decontaminate": _op2(), "op6_line_dedup": OP6, "op7_mixing": OP7, "op12_divergence": OP12, "op13_manifest": _op13()}

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priceengine.llm import audio, chat, language_model
+from priceengine.llm import audio, chat, language_model, manifest
 from priceengine.llm.decontaminate import find_leaks
+from priceengine.llm.divergence import audit
 from priceengine.llm.line_dedup import dedup_lines
 from priceengine.llm.mixing import mix_sources
 from priceengine.llm.near_dedup import near_classes
+from priceengine.llm.packing import pack
 from priceengine.llm.quality import THRESHOLD, score_quality
 from priceengine.llm.substring_dedup import without_repeats
 from priceengine.llm.toxicity import learn, score_toxicity
@@ -87,6 +89,26 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 4,096 tokens."""
+    import public_tokenizers
+
+    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language, and the terms that stand out in each."""
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, some of whose texts are lower-cased after the manifest was made."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest.digest(manifest.manifest(docs, F.when(changed, manifest.ascii_lower(F.col("text"))).otherwise(F.col("text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -99,4 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_audio": op9_audio,
         "op10_language_model": op10_language_model,
+        "op11_packing": op11_packing,
+        "op12_divergence": op12_divergence,
+        "op13_manifest": op13_manifest,
     }
