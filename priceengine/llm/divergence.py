@@ -4,12 +4,13 @@ Terms are counted in Arrow batches, by bytes: each task gives one row for a (lan
 and Spark adds them up. Kept are the terms of a language that enough of its documents hold. A term's share p in a group
 is an integer, so every sum is exact, in any order.
 
-The distance of two sources is the sum of |p - p'| over all kept terms, most of which most sources lack. Heavy-light
+The distance of two sources is the sum of |p - p'| over all kept terms, most of which most sources lack. A source that
+lacks a term has its absent share p0, so |p0 - p0'| is taken for every term and corrected for those that either holds, in a heavy-light
 split by the number of sources m that hold a term, of the S of the language:
 
 * heavy (m * `DENSE` >= S): dense tiles. Terms are dealt by hash in about `TILE_TERMS`, sources in blocks of `TILE_SOURCES`; a task
-  gets the shares of one lot of terms in two blocks, fills the rest with the shares of absent terms and adds up |p - p'| with numpy.
-* light: a source that lacks a term has its absent share p0, so the sum over all light terms is |p0 - p0'| each, and
+  gets the shares of one lot of terms in two blocks, fills the rest with p0 and adds up |p - p'| - |p0 - p0'| with numpy.
+* light, sparse:
   - for each term that only one of two surely holds, |p - p0'| - |p0 - p0'|: over sorted shares and their running sums, for all other sources at once;
   - for each pair in a term's postings, the correction |p - p'| - |p - p0'| - |p0 - p'| + |p0 - p0'|.
 Both partial sums are added, so no term is left out and none is counted twice.
@@ -24,7 +25,7 @@ are read whole. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,26 +98,26 @@ def _pairs(lang: str, g: np.ndarray, h: np.ndarray, value: np.ndarray) -> pa.Tab
     return pa.table({"lang": pa.array([lang] * len(g), pa.string()), "g": pa.array(low, pa.int32()), "h": pa.array(high, pa.int32()), "value": pa.array(value, pa.int64())})
 
 
-def _tile(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Sums of |p - p'| over the terms of one tile, for sources of two blocks. Rows without a term give the shares of absent terms."""
-    term, g, p = rows["term"].combine_chunks(), rows["g"].to_numpy(), rows["p"].to_numpy()
-    base = rows["term"].is_null().to_numpy()
-    sources, absent = g[base], p[base]
-    order = np.argsort(sources)
-    sources, absent = sources[order], absent[order]
-    told = term.filter(pa.array(~base)).dictionary_encode()
-    dense = np.repeat(absent[:, None], len(told.dictionary), 1)
-    dense[np.searchsorted(sources, g[~base]), told.indices.to_numpy()] = p[~base]
-    blocks = sources // TILE_SOURCES
-    one, other = np.flatnonzero(blocks == key[2].as_py()), np.flatnonzero(blocks == key[3].as_py())
-    same = key[2] == key[3]
-    out = []
-    for k, i in enumerate(one):
-        met = other[k + 1 :] if same else other
-        if len(met):
-            out.append((np.full(len(met), sources[i]), sources[met], np.abs(dense[met] - dense[i]).sum(1)))
-    g, h, value = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-    return _pairs(key[0].as_py(), g, h, value)
+def _tile(width: int) -> Callable:
+    """Sums of |p - p'| - |p0 - p0'| over the terms that a tile holds, for sources of two blocks of `width`. Rows without a term give p0."""
+
+    def task(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        term, g, p = rows["term"].combine_chunks(), rows["g"].to_numpy(), rows["p"].to_numpy()
+        base = rows["term"].is_null().to_numpy()
+        order = np.argsort(g[base])
+        sources, absent = g[base][order], p[base][order]
+        told = term.filter(pa.array(~base)).dictionary_encode()
+        dense = np.repeat(absent[:, None], len(told.dictionary), 1)
+        dense[np.searchsorted(sources, g[~base]), told.indices.to_numpy()] = p[~base]
+        one, other = (np.flatnonzero(sources // width == key[k].as_py()) for k in (2, 3))
+        out = []
+        for k, i in enumerate(one):
+            met = other[k + 1 :] if key[2] == key[3] else other
+            apart = np.abs(absent[met] - absent[i]) * dense.shape[1]
+            out.append((np.full(len(met), sources[i]), sources[met], np.abs(dense[met] - dense[i]).sum(1) - apart))
+        return _pairs(key[0].as_py(), *(np.concatenate(c) for c in zip(*out, strict=True)))
+
+    return task
 
 
 def _postings(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -163,12 +164,12 @@ def _one_sided(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return _pairs(key[0].as_py(), np.full(int(met.sum()), me), h[other][met], (total - ends[-1] * np.abs(mine - x))[met])
 
 
-def distances(kept: DataFrame, groups: DataFrame) -> DataFrame:
+def distances(kept: DataFrame, groups: DataFrame, dense_share: int = DENSE, tile_sources: int = TILE_SOURCES) -> DataFrame:
     """(lang, g, h, value) of every pair g < h of sources of a language. kept: (lang, term, g, p, p0, m, s)."""
-    heavy = F.col("m") * DENSE >= F.col("s")
+    heavy = F.col("m") * dense_share >= F.col("s")
     lots = lambda per: F.ceil(F.col("terms") / per).cast("long")
     sizes = staged(kept.groupBy("lang", "term").agg(F.first(heavy).alias("heavy")).groupBy("lang").agg(F.count_if("heavy").alias("heavy"), F.count_if(~F.col("heavy")).alias("light")), "sizes")
-    block, blocks = F.expr(f"g div {TILE_SOURCES}").cast("int"), F.expr(f"(s - 1) div {TILE_SOURCES}").cast("int")
+    block, blocks = F.expr(f"g div {tile_sources}").cast("int"), F.expr(f"(s - 1) div {tile_sources}").cast("int")
 
     def tiles(rows: DataFrame) -> DataFrame:
         """A row for each pair of blocks that its source is in."""
@@ -179,7 +180,7 @@ def distances(kept: DataFrame, groups: DataFrame) -> DataFrame:
     filled = kept.where(heavy).join(sizes.select("lang", F.col("heavy").alias("terms")), "lang").withColumn("lot", lot)
     absent = groups.join(sizes.where(F.col("heavy") > 0).select("lang", F.col("heavy").alias("terms")), "lang")
     absent = absent.withColumns({"lot": F.explode(F.sequence(F.lit(0).cast("long"), lots(TILE_TERMS) - 1)), "term": F.lit(None).cast("string"), "p": F.col("p0")})
-    dense = tiles(filled).unionByName(tiles(absent)).groupBy("lang", "lot", "one", "other").applyInArrow(_tile, PAIR)
+    dense = tiles(filled).unionByName(tiles(absent)).groupBy("lang", "lot", "one", "other").applyInArrow(_tile(tile_sources), PAIR)
 
     light = kept.where(~heavy)
     lot = F.pmod(F.xxhash64("term"), lots(LIGHT_TERMS))
@@ -191,12 +192,12 @@ def distances(kept: DataFrame, groups: DataFrame) -> DataFrame:
     alone = own.unionByName(some).groupBy("lang", "g").applyInArrow(_one_sided, PAIR)
 
     second = groups.select("lang", F.col("g").alias("h"), F.col("p0").alias("q0"))
-    pairs = groups.select("lang", "g", "p0").join(second, "lang").where("g < h").join(sizes.select("lang", "light"), "lang", "left")
-    every = pairs.select("lang", "g", "h", (F.abs(F.col("p0") - F.col("q0")) * F.coalesce("light", F.lit(0))).alias("value"))
+    pairs = groups.select("lang", "g", "p0", "v").join(second, "lang").where("g < h")
+    every = pairs.select("lang", "g", "h", (F.abs(F.col("p0") - F.col("q0")) * F.col("v")).alias("value"))
     return every.unionByName(dense).unionByName(sparse).unionByName(alone).groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, dense_share: int = DENSE, tile_sources: int = TILE_SOURCES) -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair` ranks the other sources by distance, part `term` the terms above their language's share."""
     terms = staged(term_counts(docs, min_docs), "terms")
     groups, langs = groups_of(docs, terms)
@@ -207,7 +208,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     above = kept.where(F.col("p") > F.col("q")).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     above = above.withColumn("rank", F.row_number().over(by_group)).where(F.col("rank") <= top)
 
-    far = distances(kept.select("lang", "term", "g", "p", "p0", "m", "s"), groups)
+    far = distances(kept.select("lang", "term", "g", "p", "p0", "m", "s"), groups, dense_share, tile_sources)
     both = far.select("lang", F.explode(F.array(F.struct("g", "h"), F.struct(F.col("h").alias("g"), F.col("g").alias("h")))).alias("x"), "value").select("lang", "x.g", "x.h", "value")
     named = both.join(groups.select("lang", "g", "source"), ["lang", "g"]).join(groups.select("lang", F.col("g").alias("h"), F.col("source").alias("item")), ["lang", "h"])
     pairs = named.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(by_group))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from priceengine.llm.kernels import FOLD, IS_SPACE, slices, text_rows
+from priceengine.llm.kernels import FOLD, IS_SPACE, slices, text_rows, tokens
 from priceengine.llm.staging import map_arrow, staged
 
 MAX_LEN, END = 4096, 1
@@ -73,7 +73,7 @@ class Ids:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         first = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.by_word = told["normalizer"] == WORDS["normalizer"] and first.get("pattern") == {"Regex": WORDS["split"]} and told.get("post_processor") is None
+        self.by_word = told["normalizer"] == WORDS["normalizer"] and first.get("pattern") == {"Regex": WORDS["split"]} and told.get("post_processor") is None and all(t["content"].startswith("<|") for t in told["added_tokens"])
         self.clear()
 
     def clear(self) -> None:
@@ -114,9 +114,11 @@ class Ids:
             got = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)
             counts = np.fromiter((len(e.ids) for e in got), np.int64, n)
             return np.fromiter((i for e in got for i in e.ids), np.int32, int(counts.sum())), counts
-        if b"<|" not in data.tobytes():
-            data = FOLD[data]  # A-Z end as a-z anyway; names of special tokens are left alone
-        starts, ends, rows = words(data, offsets)
+        if b"<|" in data.tobytes():  # names of special tokens are left alone
+            starts, ends, rows = tokens(data, offsets)
+        else:
+            data = FOLD[data]  # A-Z end as a-z anyway
+            starts, ends, rows = words(data, offsets)
         told = slices(data, starts, ends).dictionary_encode()
         numbers = self.numbers(told.dictionary.to_pylist())[told.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0, np.int64)
         lengths = self.begin[numbers + 1] - self.begin[numbers]
