@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceengine.functions.scalars import escaped_like, half_up, namespace, retailer_label
-
-
-#: Stretches in which contexts are numbered side by side.
-BLOCKS = 1024
+from priceengine.operators.ordering import numbered
 
 
 def product_dimension(revisions: DataFrame) -> DataFrame:
@@ -24,20 +21,10 @@ def product_dimension(revisions: DataFrame) -> DataFrame:
 
 
 def context_dimension(revisions: DataFrame) -> DataFrame:
-    """One row for each (retailer, store): the last appended data and context_id, numbered by the first appended row.
-
-    The order of first rows is cut into BLOCKS equal stretches, which are numbered each for itself behind the rows counted before it.
-    """
+    """One row for each (retailer, store): the last appended data and context_id, numbered by the first appended row. seq: of any type that has an order."""
     data = [c for c in revisions.columns if c not in ("retailer", "store_id", "observed_at", "seq")]
-    out = revisions.groupBy("retailer", "store_id").agg(F.max_by(F.struct(*data), F.col("seq")).alias("last"), F.min("seq").alias("first_seq"))
-    ends = out.agg(F.min("first_seq").alias("__lo"), F.max("first_seq").alias("__hi"))  # one row
-    width = F.greatest(F.col("__hi") - F.col("__lo") + 1, F.lit(1)).cast("double")
-    placed = out.crossJoin(F.broadcast(ends)).withColumn("__block", F.floor((F.col("first_seq") - F.col("__lo")) / width * BLOCKS)).drop("__lo", "__hi")
-    counts = placed.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))  # BLOCKS rows at most
-    before = counts.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))
-    number = F.row_number().over(Window.partitionBy("__block").orderBy("first_seq")) + F.col("__before")
-    out = placed.join(F.broadcast(before), "__block")
-    return out.select(number.cast("long").alias("context_id"), "retailer", "store_id", "last.*", F.lit("physical-store").alias("scope_kind"), retailer_label(F.col("retailer")).alias("retailer_name"))
+    out = numbered(revisions.groupBy("retailer", "store_id").agg(F.max_by(F.struct(*data), F.col("seq")).alias("last"), F.min("seq").alias("first_seq")), "first_seq", "context_id")
+    return out.select("context_id", "retailer", "store_id", "last.*", F.lit("physical-store").alias("scope_kind"), retailer_label(F.col("retailer")).alias("retailer_name"))
 
 
 def offer_facts(offers: DataFrame, contexts: DataFrame) -> DataFrame:

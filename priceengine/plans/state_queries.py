@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priceengine.operators import health, personal
+from priceengine.operators import health, ingest, personal
 from priceengine.plans.registry import query
 from priceengine.plans.views import EVENTS, events, ntz, table
-from priceengine.streaming import changes
+from priceengine.streaming import changes, timers
 
 
 @query(f"""WITH {EVENTS}, w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, observed_at) AS window_start FROM obs)
@@ -180,6 +181,110 @@ def stream_change_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/offers/changes").select("product_id", "store_id", "seq", "value")
 
 
+def _put(spark: SparkSession, rows: DataFrame, order: str, n: int, folder: str, these: range) -> DataFrame:
+    """Of `n` stretches of `order`, a file for each of `these`, written one after the other; a stream that reads the folder a file at a time."""
+    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    place = F.lit(0) if ends.lo is None else F.least(F.floor((F.col(order) - ends.lo) / F.lit((ends.hi - ends.lo + 1) / n)), F.lit(n - 1))
+    for k in these:
+        rows.where(place == k).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _in_batches(spark: SparkSession, rows: DataFrame, order: str, n: int) -> DataFrame:
+    """A stream of `rows` in `n` micro-batches, in stretches of `order`."""
+    return _put(spark, rows, order, n, f"{_stream_folder(spark)}/in", range(n))
+
+
+@query(f"""WITH {EVENTS} SELECT product_id, store_id, seq, CAST(k // 20 AS VARCHAR) AS value FROM obs
+QUALIFY CAST(k // 20 AS VARCHAR) IS DISTINCT FROM lag(CAST(k // 20 AS VARCHAR)) OVER (PARTITION BY product_id, store_id ORDER BY seq)""")
+def stream_change_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change-only ingest of four micro-batches, two before and two after the stream is started again: a batch touches the buckets of its keys alone."""
+    rows, base = events(spark, sf_dir).select("product_id", "store_id", "seq", "k"), _stream_folder(spark)
+    write = lambda batch, batch_id: changes.ingest_batch(batch, batch_id, f"{base}/offers", ["product_id", "store_id"], F.expr("cast(k div 20 as string)"), 64)
+    for these in (range(2), range(2, 4)):
+        stream = _put(spark, rows, "seq", 4, f"{base}/in", these)
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/offers/changes").select("product_id", "store_id", "seq", "value")
+
+
+_WEEKS = """present AS (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'catalogue' ELSE 'specials' END AS scope, event_type AS store_id, CAST(date_trunc('week', ts) AS DATE) AS snap, CAST(user_id AS VARCHAR) AS product_id FROM events WHERE NOT (event_type = 'click' AND day(ts) BETWEEN 8 AND 14)),
+steps AS (SELECT scope, store_id, snap, lag(snap) OVER w AS before, lead(snap) OVER w AS after FROM (SELECT DISTINCT scope, store_id, snap FROM present) WINDOW w AS (PARTITION BY scope, store_id ORDER BY snap)),
+deltas AS (
+  SELECT p.*, 1 AS op FROM present p JOIN steps s USING (scope, store_id, snap) WHERE NOT EXISTS (SELECT 1 FROM present q WHERE q.scope = p.scope AND q.store_id = p.store_id AND q.snap = s.before AND q.product_id = p.product_id)
+  UNION ALL
+  SELECT p.scope, p.store_id, s.after, p.product_id, -1 FROM present p JOIN steps s USING (scope, store_id, snap)
+  WHERE s.after IS NOT NULL AND NOT EXISTS (SELECT 1 FROM present q WHERE q.scope = p.scope AND q.store_id = p.store_id AND q.snap = s.after AND q.product_id = p.product_id)
+)"""
+
+
+def _weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scopes at each store, a listing a week; one store is not collected in the second week."""
+    rows = table(spark, sf_dir, "events")
+    rows = rows.where(~((F.col("event_type") == "click") & F.dayofmonth("ts").between(8, 14)))
+    scope = F.when(F.col("event_id") % 3 == 0, "catalogue").otherwise("specials")
+    return rows.select(
+        scope.alias("scope"), F.col("event_type").alias("store_id"), F.to_date(F.date_trunc("week", "ts")).alias("snap"), F.col("user_id").cast("string").alias("product_id"),
+        F.col("ts").alias("observed_at"), F.col("event_id").alias("seq"), F.sha2(F.get_json_object("props", "$.k"), 256).alias("hash"),
+    )
+
+
+def _listing_log(spark: SparkSession, sf_dir: str) -> tuple[str, list]:
+    """The weeks fed as batches, one after the other; (folder, weeks)."""
+    rows, path = _weeks(spark, sf_dir), f"{_stream_folder(spark)}/listings"
+    weeks = [r.snap for r in rows.select("snap").distinct().orderBy("snap").collect()]  # one for each batch
+    for k, week in enumerate(weeks):
+        changes.ingest_listings(rows.where(F.col("snap") == week).drop("snap"), k, path, every=3)
+    return path, weeks
+
+
+@query(f"WITH {_WEEKS} SELECT scope, store_id, CAST(snap AS VARCHAR) AS snap, product_id, op FROM deltas")
+def listing_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks ingested as batches against the stored listing give the deltas of the whole history."""
+    path, weeks = _listing_log(spark, sf_dir)
+    of = F.array(*[F.lit(str(w)) for w in weeks])
+    return spark.read.parquet(f"{path}/deltas").select("scope", "store_id", F.get(of, F.col("batch_id")).alias("snap"), "product_id", "op")
+
+
+@query(f"""WITH {_WEEKS}, cut AS (SELECT scope, store_id, max(snap) AS snap FROM present WHERE snap <= DATE '2024-01-15' GROUP BY ALL)
+SELECT scope, store_id, product_id FROM present JOIN cut USING (scope, store_id, snap)""")
+def listing_scopes_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (scope, store) as listed on one day, replayed from deltas."""
+    rows = _weeks(spark, sf_dir)
+    snapshots = rows.select("scope", "store_id", "snap", F.col("snap").alias("snap_at")).distinct()
+    deltas = ingest.snapshot_deltas(rows, ["scope", "store_id"])
+    return ingest.listing_as_of(deltas, snapshots, F.lit("2024-01-15").cast("date"))[0]
+
+
+@query(f"""WITH {_WEEKS}, raw AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'catalogue' ELSE 'specials' END AS scope, event_type AS store_id, CAST(date_trunc('week', ts) AS DATE) AS snap, ts, event_id FROM events WHERE NOT (event_type = 'click' AND day(ts) BETWEEN 8 AND 14))
+SELECT scope, store_id, first_at AS observed_at, offer_count, added, removed FROM (SELECT scope, store_id, snap, arg_min(ts, event_id) AS first_at FROM raw GROUP BY ALL) JOIN
+(SELECT scope, store_id, snap, count(*) AS offer_count FROM present GROUP BY ALL) USING (scope, store_id, snap) JOIN
+(SELECT s.scope, s.store_id, s.snap, count(*) FILTER (WHERE op = 1) AS added, count(*) FILTER (WHERE op = -1) AS removed FROM steps s LEFT JOIN deltas d USING (scope, store_id, snap) GROUP BY ALL) USING (scope, store_id, snap)""")
+def listing_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot of each (scope, store) in each batch: the time of its first row, and what it holds, adds and removes."""
+    path, _ = _listing_log(spark, sf_dir)
+    return spark.read.parquet(f"{path}/snapshots").select("scope", "store_id", "observed_at", "offer_count", "added", "removed")
+
+
+@query(f"""WITH {EVENTS}, w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, observed_at) AS window_start FROM obs)
+SELECT seq, window_start, row_number() OVER (PARTITION BY product_id, window_start ORDER BY observed_at, seq) <= 2 AS admitted FROM w""")
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests judged as they come, in three micro-batches, give what the whole table gives."""
+    given = events(spark, sf_dir).select(F.col("product_id").alias("bucket_key"), F.col("observed_at").cast("timestamp").alias("at"), "seq").withColumn("us", F.unix_micros("at"))
+    with timers.keyed_state(spark):
+        out = _drained(spark, timers.admitted_stream(_in_batches(spark, given, "us", 3).drop("us"), timedelta(hours=6), 2, "1 hour"), "append")
+    return out.select("seq", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "admitted")
+
+
+@query(f"""WITH {EVENTS}, {_SESSIONS} SELECT session_id, CAST(user_id AS VARCHAR) AS user_id, date_trunc('millisecond', expires_at) AS expires_at FROM sess
+WHERE date_trunc('millisecond', expires_at) <= (SELECT date_trunc('millisecond', max(created_at)) - INTERVAL 1 HOUR FROM sess)""")
+def stream_sessions_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that end while the stream runs, by timers."""
+    given = _sessions(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"), "session_id", F.col("created_at").cast("timestamp").alias("created_at"), F.col("expires_at").cast("timestamp").alias("expires_at"))
+    with timers.keyed_state(spark):
+        out = _drained(spark, timers.expired_sessions(_in_batches(spark, given.withColumn("us", F.unix_micros("created_at")), "us", 3).drop("us"), "1 hour"), "append")
+    return out.select("session_id", "user_id", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+
+
 @query("SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling counts of the windows that the watermark has closed."""

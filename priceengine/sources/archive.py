@@ -81,9 +81,9 @@ def observations(records: DataFrame) -> DataFrame:
     )
 
 
-def demultiplexed(records: DataFrame, order: str = "seq") -> dict[str, DataFrame]:
-    """One table for each kind of record; `order` is the column that tells their append order."""
-    r, seq = F.col("record"), F.col(order).alias("seq")
+def demultiplexed(records: DataFrame, order: str | None = None) -> dict[str, DataFrame]:
+    """One table for each kind of record; `order` is the column that tells their append order: `seq`, where there is one, or else `place` as `read_lines` gives it."""
+    r, seq = F.col("record"), F.col(order or ("seq" if "seq" in records.columns else "place")).alias("seq")
     at = F.to_timestamp(r["observedAt"]).alias("observed_at")
     of = lambda kind: records.where(F.col("kind") == kind)
     d = r["data"]
@@ -104,8 +104,8 @@ def demultiplexed(records: DataFrame, order: str = "seq") -> dict[str, DataFrame
     return {"product": product, "store": store, "offer": offer, "snapshot": snapshot}
 
 
-def projection(records: DataFrame, order: str = "seq") -> dict[str, DataFrame]:
-    """The star schema of an archive: products, contexts, offers, snapshots, and the counts of the import.
+def projection(records: DataFrame, order: str | None = None) -> dict[str, DataFrame]:
+    """The star schema of an archive: products, contexts, offers, snapshots, and the counts of the import; `order` as in `demultiplexed`.
 
     Of numbered lines the errors are told, too. An archive of which no line can be read is an error, raised when the counts are.
     """

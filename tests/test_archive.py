@@ -86,6 +86,39 @@ def test_files_are_read_in_order_and_published_once(spark, tmp_path):
     assert again["version"] != first["version"] and archive.open_table(spark, root, "products").count() == 1
 
 
+def test_projection_in_file_order(spark, tmp_path):
+    """Two files in many splits, in the order that the reader itself gives: each table of the projection."""
+    (tmp_path / "a.jsonl").write_text("\n".join(LINES) + "\n")
+    later = [line("store", 9, storeId=f"woolworths:{i}", hash=f"w{i}", data={"id": f"woolworths:{i}", "retailer": "woolworths", "name": f"W {i}"}) for i in range(40)]
+    later.insert(3, line("product", 9, productId="paknsave:1", hash="p3", data={"id": "paknsave:1", "name": "Milk 3L"}))
+    later.append(line("offer", 9, productId="paknsave:1", storeId="woolworths:39", offerId="z", hash="o9", data={"price": {"regularCents": 3}, "source": {}}))
+    (tmp_path / "b.jsonl").write_text("\n".join([*later, *BAD]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 900)
+    try:
+        tables = archive.projection(archive.parsed(archive.read_lines(spark, str(tmp_path), numbered=True)))
+        contexts = {r.store_id: r.context_id for r in tables["contexts"].collect()}
+        assert contexts == {"paknsave:s": 1} | {f"woolworths:{i}": i + 2 for i in range(40)}
+        (p,) = tables["products"].collect()
+        assert (p.name, p.hash, p.first_seen_at) == ("Milk 3L", "p3", T0)
+        assert sorted((r.hash, r.context_id) for r in tables["offers"].collect()) == [("o1", 1), ("o2", 1), ("o9", 41)]
+        (snap,) = tables["snapshots"].collect()
+        assert (snap.context_id, snap.added, snap.offer_count) == (1, ["o"], 1)
+        (run,) = tables["import_run"].collect()
+        assert (run.errors, run.stores, run.products, run.records_imported) == (2, 41, 3, 52) and run.error_detail.startswith("Line 43: ")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_numbers_follow_any_order(spark):
+    from priceengine.operators.ordering import numbered
+
+    rng = random.Random(1)
+    keys = [(f"f{rng.randrange(3)}", i * i) for i in range(3000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k struct<a:string,b:long>")
+    assert {tuple(r.k): r.n for r in numbered(df, "k", "n", bounds=16).collect()} == {k: n for n, k in enumerate(sorted(keys), 1)}
+    assert numbered(df.where("false"), "k", "n").collect() == []
+
+
 def test_change_only_keeps_returns(spark):
     rows = spark.createDataFrame([("p", i, v) for i, v in enumerate(["A", "A", "B", "A", None, None, "A"])], "k string, seq long, v string")
     assert [r.seq for r in ingest.changed_only(rows, ["k"], F.col("v")).orderBy("seq").collect()] == [0, 2, 3, 4, 6]
@@ -110,6 +143,53 @@ def test_replaying_deltas_gives_the_listing(spark, seed):
         assert got == {(s, p) for s, d, p in rows if d == last[s]}
 
 
+def plan_rows(df) -> list[int]:
+    """The output rows of every operator of the plan as it was run."""
+    df.write.format("noop").mode("overwrite").save()
+    text, seen = [], []
+    df.collect()
+
+    def walk(node) -> None:
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        found = node.metrics().get("numOutputRows")
+        if found.isDefined():
+            seen.append(found.get().value())
+            text.append(name)
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+        return None
+
+    walk(df._jdf.queryExecution().executedPlan())
+    assert text
+    return seen
+
+
+def test_as_of_rows_are_linear_in_facts_and_revisions(spark):
+    """One key of very many facts and revisions: nothing between the operators has more rows than both together."""
+    facts = spark.range(100_000).select("id", F.lit("p").alias("product_id"), F.timestamp_seconds(F.col("id") * 97 % 900_000).alias("at"))
+    revisions = spark.range(1_000).select(F.lit("p").alias("product_id"), F.concat(F.lit("h"), "id").alias("hash"), F.timestamp_seconds(F.col("id") * 811 % 900_000).alias("observed_at"), "id").withColumnRenamed("id", "seq")
+    got = ingest.revision_as_of(facts, revisions, "product_id", "at", ["id"])
+    assert max(plan_rows(got)) <= 101_000
+    by_time = sorted((i * 811 % 900_000, i) for i in range(1_000))
+    true, best, k = {}, None, 0
+    for at, i in sorted((i * 97 % 900_000, i) for i in range(100_000)):
+        while k < len(by_time) and by_time[k][0] <= at:
+            best, k = max(best if best is not None else -1, by_time[k][1]), k + 1
+        true[i] = best if best is not None else 0
+    assert {r.id: int(r.rev_hash[1:]) for r in got.collect()} == true
+
+
+def test_as_of_of_ties_and_missing_times(spark):
+    facts = spark.createDataFrame([(1, "p", T0), (2, "p", None), (3, "p", T0 - timedelta(days=1)), (1, "p", T0), (4, None, T0)], "id long, product_id string, at timestamp")
+    revisions = spark.createDataFrame([("p", "a", T0, 5), ("p", "b", T0, 6), ("p", "c", None, 9), (None, "d", T0, 1)], "product_id string, hash string, observed_at timestamp, seq long")
+    got = sorted((r.id, r.rev_hash) for r in ingest.revision_as_of(facts, revisions, "product_id", "at", ["id"]).collect())
+    assert got == [(1, "b"), (1, "b"), (2, "a"), (3, "a")]
+
+
 def test_as_of_falls_back_to_the_first_revision(spark):
     facts = spark.createDataFrame([(1, "p", T0), (2, "p", T0 + timedelta(days=5)), (3, "q", T0)], "id long, product_id string, at timestamp")
     revisions = spark.createDataFrame([("p", "new", T0 + timedelta(days=4), 1), ("p", "old", T0 + timedelta(days=2), 2), ("p", "late", T0 + timedelta(days=9), 3)], "product_id string, hash string, observed_at timestamp, seq long")
@@ -151,12 +231,81 @@ def test_batches_and_stream_give_what_one_batch_gives(spark, tmp_path):
         for _ in range(2):  # a batch that runs twice is stored once
             changes.ingest_batch(spark.createDataFrame(rows[40 * k : 40 * k + 40], schema), k, stored, ["product_id", "store_id"], F.col("v"))
     assert sorted(r.seq for r in spark.read.parquet(f"{stored}/changes").collect()) == true
-    for k in range(3):
+    def put(k: int) -> None:
         spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = changes.change_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), F.col("v"))
-    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()) == true
+
+    def ingest_one(batch, batch_id: int) -> None:
+        if batch_id == 1 and not lost:
+            lost.append(batch_id)
+            changes.ingest_batch(batch, batch_id, str(tmp_path / "streamed"), ["product_id", "store_id"], F.col("v"))
+            raise InterruptedError  # after the batch was written, before the stream knows
+        changes.ingest_batch(batch, batch_id, str(tmp_path / "streamed"), ["product_id", "store_id"], F.col("v"))
+
+    def run() -> None:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream.writeStream.foreachBatch(ingest_one).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+
+    lost: list[int] = []
+    put(0)
+    put(1)
+    with pytest.raises(Exception, match="InterruptedError"):
+        run()
+    put(2)
+    run()
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "streamed/changes")).collect()) == true
+
+
+def test_a_batch_rewrites_the_buckets_of_its_keys_alone(spark, tmp_path):
+    schema, path = "k string, seq long, v string", str(tmp_path / "t")
+    many = spark.createDataFrame([(f"k{i}", i, "A") for i in range(200)], schema)
+    changes.ingest_batch(many, 0, path, ["k"], F.col("v"), 16)
+    changes.ingest_batch(spark.createDataFrame([("k7", 300, "B"), ("new", 301, None)], schema), 1, path, ["k"], F.col("v"), 16)
+    written = {p.name for p in (tmp_path / "t/last/batch_id=1").glob("bucket=*")}
+    assert 1 <= len(written) <= 2 and len(list((tmp_path / "t/last/batch_id=0").glob("bucket=*"))) == 16
+    values = {r.k: r.value for r in changes.stored_values(spark, path, "k string, value string").collect()}
+    assert len(values) == 201 and values["k7"] == "B" and values["new"] is None and values["k8"] == "A"
+    for i in (2, 3):
+        changes.ingest_batch(spark.createDataFrame([("k7", 300 + i, f"B{i}")], schema), i, path, ["k"], F.col("v"), 16)
+    (bucket,) = {p.name for p in (tmp_path / "t/last/batch_id=3").glob("bucket=*")}
+    assert sorted(p.parent.name for p in (tmp_path / "t/last").glob(f"batch_id=*/{bucket}")) == ["batch_id=2", "batch_id=3"]
+
+
+def test_listings_are_compared_with_the_stored_ones(spark, tmp_path):
+    """Scopes and stores apart; a store that a batch does not name keeps its listing; a batch may run twice."""
+    schema, path = "scope string, store_id string, product_id string, observed_at timestamp, seq long, hash string", str(tmp_path / "l")
+    rng = random.Random(4)
+    true, seq, told = {}, 0, []
+    for day in range(7):
+        rows, before = [], {k: set(v) for k, v in true.items()}
+        for key in [("a", "s"), ("b", "s"), ("a", "t")]:
+            if rng.random() < 0.7:
+                true[key] = {f"p{p}" for p in range(9) if rng.random() < 0.5} or {"p0"}
+                for p in sorted(true[key]):
+                    rows.append((*key, p, T0 + timedelta(days=day, hours=seq % 3), seq, "h"))
+                    seq += 1
+        batch = spark.createDataFrame(rows, schema)
+        for _ in range(2):
+            changes.ingest_listings(batch, day, path, every=3)
+        got = {(r.scope, r.store_id, r.product_id) for r in changes.stored_listings(spark, path).collect()}
+        assert got == {(*k, p) for k, v in true.items() for p in v}
+        named = {r[:2] for r in rows}
+        told += [(day, *k, p, 1) for k in named for p in true[k] - before.get(k, set())] + [(day, *k, p, -1) for k in named for p in before.get(k, set()) - true[k]]
+        snaps = {(r.scope, r.store_id): r for r in spark.read.parquet(f"{path}/snapshots/batch_id={day}").collect()}
+        assert snaps.keys() == named
+        for k, r in snaps.items():
+            first = min((x for x in rows if x[:2] == k), key=lambda x: x[4])
+            assert (r.observed_at, r.offer_count, r.added, r.removed) == (first[3], len(true[k]), len(true[k] - before.get(k, set())), len(before.get(k, set()) - true[k]))
+    deltas = spark.read.parquet(f"{path}/deltas").select("batch_id", "scope", "store_id", "product_id", "op")
+    assert sorted(map(tuple, deltas.collect())) == sorted(told)
+
+
+def test_a_listing_is_replayed_by_scope(spark):
+    deltas = spark.createDataFrame([("a", "s", "p", 1, 1), ("a", "s", "q", 2, 1), ("b", "s", "p", 1, 1), ("b", "s", "p", 2, -1), ("a", "s", "p", 3, -1)], "scope string, store_id string, product_id string, snap int, op int")
+    days = [("a", "s", 1, T0), ("a", "s", 2, T0 + timedelta(days=9)), ("a", "s", 3, T0), ("b", "s", 1, T0), ("b", "s", 2, T0)]
+    snapshots = spark.createDataFrame(days, "scope string, store_id string, snap int, snap_at timestamp")
+    listed, stores = ingest.listing_as_of(deltas, snapshots, F.lit(T0 + timedelta(days=1)))
+    assert {tuple(r) for r in listed.collect()} == {("a", "s", "p")} and stores.count() == 2
+    assert ingest.listing_as_of(deltas, snapshots, F.lit(T0 + timedelta(days=1)), "b")[0].collect() == []
 
 
 def test_ingest_keeps_nulls_apart(spark, tmp_path):
