@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from priceengine.functions.scalars import RETAILERS
 from priceengine.operators import catalog
 from priceengine.plans.registry import query
-from priceengine.plans.views import EVENTS, PRODUCT_EVENTS, PRODUCTS, events, product_events, products, table
+from priceengine.plans.views import EVENTS, PRODUCT_EVENTS, PRODUCTS, events, product_events, products, stream_folder, table
 
 _DIM = """dim AS (SELECT product_id, split_part(product_id, ':', 1) AS retailer, arg_max(hash, seq) AS hash, arg_max(name, seq) AS name, arg_max(brand, seq) AS brand, arg_max(observed_at, seq) AS updated_at, arg_min(observed_at, seq) AS first_seen_at FROM pev GROUP BY product_id)"""
 
@@ -146,7 +146,7 @@ def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.import_counters(_archive_lines(spark, sf_dir))
 
 
-@query("""SELECT count(*) AS errors, substr(string_agg('Line ' || (event_id + 1) || ': ' || CASE WHEN event_id % 34 = 0 THEN 'not JSON' ELSE 'Unknown archive record structure' END, chr(10) ORDER BY event_id), 1, 10000) AS error_detail
+@query("""SELECT count(*) AS errors, substr(string_agg('Line ' || (event_id + 1) || ': ' || CASE WHEN event_id % 34 = 0 THEN 'not JSON' ELSE 'no record of the archive' END, chr(10) ORDER BY event_id), 1, 10000) AS error_detail
 FROM events WHERE event_id % 17 = 0""")
 def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from priceengine.sources.archive import error_detail
@@ -188,3 +188,16 @@ def product_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products(spark, sf_dir).select(
         F.col("id").alias("product_id"), "name", "brand", retailer_label(F.col("retailer")).alias("retailer_name"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("first_seen"), F.col("id").rlike(PRODUCT_ID).alias("valid_id")
     )
+
+
+@query(f"WITH {EVENTS} SELECT product_id, store_id, observed_at, seq, regular_cents FROM obs WHERE product_id = '7' AND observed_at >= TIMESTAMP '2024-01-10 00:00:00'")
+def published_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers published in folders by month and in order of products within, of which a product's history reads a part."""
+    from datetime import datetime
+
+    from priceengine.sources import versions
+
+    root = f"{stream_folder(spark)}/published"
+    offers = events(spark, sf_dir).select("product_id", "store_id", "observed_at", "seq", "regular_cents")
+    versions.publish(spark, {"offers": offers}, root, "events", layouts={"offers": versions.month_layout()}, checks={"offers": {"a price": F.col("regular_cents") >= 0}})
+    return versions.product_history(spark, root, "7", since=datetime(2024, 1, 10)).drop("month")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceengine.functions.scalars import cents_text, freshness, half_up
-from priceengine.operators import deals, prices
+from priceengine.operators import deals, feeds, prices
 from priceengine.plans.registry import query
 from priceengine.plans.views import AT, EVENTS, ITEMS, LINE_AT, SQL_AT, SQL_LINE_AT, events, items, ntz, table
 
@@ -151,6 +151,18 @@ def agent_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.agent_feed(events(spark, sf_dir), ntz(AT), limit=100, min_drop=20.0)
 
 
+@query(f"""WITH feed AS ({_FEED}), page AS (SELECT * FROM feed ORDER BY coalesce(percent, 0) DESC, feed, product_id, store_id LIMIT 50)
+SELECT 'r-1' AS request_id, true AS published, 'mark' AS fingerprint, CAST(12 AS BIGINT) AS records, feed, product_id, store_id, current_cents, baseline_sample_count FROM page""")
+def feed_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the feed as the server answers it, read back from the JSON."""
+    rows = feeds.feed(events(spark, sf_dir), ntz(AT), limit=100)
+    body = feeds.object_body(rows, feeds.percent_order(), "r-1", {"fingerprint": "mark", "records": 12}, limit=50)
+    item = "struct<feed:string,product_id:string,store_id:string,current_cents:long,baseline_sample_count:long>"
+    told = F.from_json("body", f"_requestId string, _freshness struct<exists:boolean,fingerprint:string,recordsImported:long>, items array<{item}>")
+    read = body.select(told.alias("t")).select(F.col("t._requestId").alias("request_id"), F.col("t._freshness").alias("f"), F.explode("t.items").alias("i"))
+    return read.select("request_id", F.col("f.exists").alias("published"), F.col("f.fingerprint").alias("fingerprint"), F.col("f.recordsImported").alias("records"), "i.*")
+
+
 _DEALS = f"""{EVENTS},
 seen AS (
   SELECT * REPLACE (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from priceengine.operators import health, ingest, personal
 from priceengine.plans.registry import query
-from priceengine.plans.views import EVENTS, events, ntz, table
+from priceengine.plans.views import EVENTS, events, ntz, stream_folder, table
 from priceengine.streaming import changes, timers
 
 
@@ -151,15 +150,9 @@ def health_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.before_first_error(events(spark, sf_dir).select("seq", broken.alias("corrupt"))).select("seq")
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: the checkpoint folder, or the warehouse where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what there is, into a table in the shared folder, and read that."""
-    base = _stream_folder(spark)
+    base = stream_folder(spark)
     writer = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode(mode).trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -175,7 +168,7 @@ QUALIFY CAST(json_extract_string(props, '$.k') AS BIGINT) // 20 IS DISTINCT FROM
 def stream_change_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change-only ingest of micro-batches, compared with the last stored values, gives what the batch operator gives."""
     rows = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("product_id"), F.col("event_type").alias("store_id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    base, value = _stream_folder(spark), F.expr("cast(k div 20 as string)")
+    base, value = stream_folder(spark), F.expr("cast(k div 20 as string)")
     write = lambda batch, batch_id: changes.ingest_batch(batch, batch_id, f"{base}/offers", ["product_id", "store_id"], value)
     rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/offers/changes").select("product_id", "store_id", "seq", "value")
@@ -192,14 +185,14 @@ def _put(spark: SparkSession, rows: DataFrame, order: str, n: int, folder: str,
 
 def _in_batches(spark: SparkSession, rows: DataFrame, order: str, n: int) -> DataFrame:
     """A stream of `rows` in `n` micro-batches, in stretches of `order`."""
-    return _put(spark, rows, order, n, f"{_stream_folder(spark)}/in", range(n))
+    return _put(spark, rows, order, n, f"{stream_folder(spark)}/in", range(n))
 
 
 @query(f"""WITH {EVENTS} SELECT product_id, store_id, seq, CAST(k // 20 AS VARCHAR) AS value FROM obs
 QUALIFY CAST(k // 20 AS VARCHAR) IS DISTINCT FROM lag(CAST(k // 20 AS VARCHAR)) OVER (PARTITION BY product_id, store_id ORDER BY seq)""")
 def stream_change_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change-only ingest of four micro-batches, two before and two after the stream is started again: a batch touches the buckets of its keys alone."""
-    rows, base = events(spark, sf_dir).select("product_id", "store_id", "seq", "k"), _stream_folder(spark)
+    rows, base = events(spark, sf_dir).select("product_id", "store_id", "seq", "k"), stream_folder(spark)
     write = lambda batch, batch_id: changes.ingest_batch(batch, batch_id, f"{base}/offers", ["product_id", "store_id"], F.expr("cast(k div 20 as string)"), 64)
     for these in (range(2), range(2, 4)):
         stream = _put(spark, rows, "seq", 4, f"{base}/in", these)
@@ -230,7 +223,7 @@ def _weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _listing_log(spark: SparkSession, sf_dir: str) -> tuple[str, list]:
     """The weeks fed as batches, one after the other; (folder, weeks)."""
-    rows, path = _weeks(spark, sf_dir), f"{_stream_folder(spark)}/listings"
+    rows, path = _weeks(spark, sf_dir), f"{stream_folder(spark)}/listings"
     weeks = [r.snap for r in rows.select("snap").distinct().orderBy("snap").collect()]  # one for each batch
     for k, week in enumerate(weeks):
         changes.ingest_listings(rows.where(F.col("snap") == week).drop("snap"), k, path, every=3)

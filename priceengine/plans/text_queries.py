@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priceengine.functions import markup
+from priceengine.functions import documents, markup
 from priceengine.functions.scalars import ENTITIES, SECRETS, redacted
 from priceengine.plans.registry import query
-from priceengine.plans.views import EVENTS, events, table
-from priceengine.sources import payloads
+from priceengine.plans.views import EVENTS, events, stream_folder, table
+from priceengine.sources import captures, payloads
 
 
 def _quote(text: str) -> str:
@@ -177,3 +177,78 @@ def source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.split_part(F.parse_url("url", F.lit("PATH")), F.lit("/"), F.lit(2)).alias("section"))
     path = payloads.details_path(F.col("page_id").cast("string"), F.concat(F.lit("Milk & "), "host"))
     return pages.withColumn("page", payloads.product_page("https://shop.example/", path))
+
+
+_BODY = """raw AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), body AS (SELECT event_id, k,
+  CASE WHEN k % 5 = 0 THEN 'user=' || user_id || '&Token=t' || k || '&page=2&api_key=' WHEN k % 5 = 1 THEN '{broken, "token": "x"'
+  ELSE '{"items": [{"n": ' || k || '.0, "api_Key": {"deep": [1, {"x": "}]\\\\"", "token": 2}]}}, "token", [' || k || ']], "Session-Cookie": null, "id": "' || user_id || '", "headers": {"Authorization": "Bearer \\\\" , \\\\"x", "accept": "json"}, "passwords": [1, "two"]}' END AS body,
+  CASE WHEN k % 5 = 0 THEN 'user=' || user_id || '&Token=[REDACTED]&page=2&api_key=[REDACTED]' WHEN k % 5 = 1 THEN '{broken, "token": "x"'
+  ELSE '{"Session-Cookie":"[REDACTED]","headers":{"Authorization":"[REDACTED]","accept":"json"},"id":"' || user_id || '","items":[{"api_Key":"[REDACTED]","n":' || k || '},"token",[' || k || ']],"passwords":"[REDACTED]"}' END AS redacted FROM raw)"""
+
+
+@query(f"WITH {_BODY} SELECT event_id, redacted FROM body")
+def redact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of requests: JSON of several levels, form data, and text that is neither."""
+    k, user = F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
+    n = k.cast("long")
+    form = F.concat(F.lit("user="), user, F.lit("&Token=t"), k, F.lit("&page=2&api_key="))
+    body = F.concat(
+        F.lit('{"items": [{"n": '), k, F.lit('.0, "api_Key": {"deep": [1, {"x": "}]\\"", "token": 2}]}}, "token", ['), k, F.lit(']], "Session-Cookie": null, "id": "'), user,
+        F.lit('", "headers": {"Authorization": "Bearer \\" , \\"x", "accept": "json"}, "passwords": [1, "two"]}'),
+    )
+    sent = F.when(n % 5 == 0, form).when(n % 5 == 1, '{broken, "token": "x"').otherwise(body)
+    return table(spark, sf_dir, "events").select("event_id", documents.redacted_body(sent).alias("redacted"))
+
+
+@query("""WITH raw AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN k % 7 <> 0 THEN sha256('{"a":{"p":[' || k || ',{"u":null,"v":1.5}],"q":"é"},"b":' || user_id || '}') END AS fingerprint FROM raw""")
+def json_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal values in two orders of their keys and two spellings, and text that is no JSON."""
+    k, user = F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
+    n = k.cast("long")
+    one = F.concat(F.lit('{"b": '), user, F.lit(', "a": {"q": "\\u00e9", "p": ['), k, F.lit(', {"v": 1.50, "u": null}]}}'))
+    other = F.concat(F.lit('{"a":{"p":['), k, F.lit('.0,{"u":null,"v":1.5}],"q":"é"},"b":'), user, F.lit("}"))
+    text = F.when(n % 7 == 0, F.lit("{")).when(n % 2 == 0, one).otherwise(other)
+    return table(spark, sf_dir, "events").select("event_id", documents.json_fingerprint(text).alias("fingerprint"))
+
+
+_PAGES = """item AS (SELECT p_partkey AS sku, p_name AS name, p_partkey % 5 AS capture, (row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) - 1) // 40 + 1 AS page, count(*) OVER (PARTITION BY p_partkey % 5) AS total FROM part),
+verdict AS (SELECT capture, CAST(ceil(max(total) / 40.0) AS INTEGER) AS expected, CASE capture WHEN 2 THEN 'foreign store' WHEN 3 THEN 'store not named' WHEN 1 THEN 'incomplete' ELSE 'complete' END AS status FROM item GROUP BY capture)"""
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as five captures in pages of 40, written as files and read again. One lacks its first page, one changes its store on the last page, one does not name it there."""
+    from pyspark.sql import Window
+
+    key = F.col("p_partkey") % 5
+    by = Window.partitionBy(key)
+    rows = table(spark, sf_dir, "part").select(
+        key.alias("capture"), F.expr("(row_number() over (partition by p_partkey % 5 order by p_partkey) - 1) div 40 + 1").alias("page"), F.count(F.lit(1)).over(by).alias("total"),
+        F.struct(F.col("p_partkey").cast("string").alias("sku"), F.col("p_name").alias("name")).alias("item"),
+    )
+    pages = rows.groupBy("capture", "page").agg(F.max("total").alias("total"), F.array_sort(F.collect_list("item")).alias("items"))
+    last = F.col("page") == F.ceil(F.col("total") / 40)
+    store = F.when(last & (F.col("capture") == 2), F.lit("other")).when(~(last & (F.col("capture") == 3)), F.concat(F.lit("s"), F.col("capture")))
+    payload = F.to_json(F.struct(F.struct(F.struct(store.alias("fulfilmentStoreId")).alias("fulfilment")).alias("context"), F.struct("items", F.col("total").alias("totalItems")).alias("products")))
+    folder = f"{stream_folder(spark)}/captures"
+    pages.where(~((F.col("capture") == 1) & (F.col("page") == 1))).select("capture", "page", payload.alias("value")).repartition("capture", "page").write.partitionBy("capture", "page").text(folder)
+    return captures.read_captures(spark, folder)
+
+
+def _verdicts(pages: DataFrame) -> DataFrame:
+    return captures.judged(pages, *captures.item_pages(F.col("payload"), 40))
+
+
+@query(f"""WITH {_PAGES} SELECT CAST(capture AS VARCHAR) AS capture, expected - CASE WHEN capture = 1 THEN 1 ELSE 0 END AS pages, CASE WHEN NOT (capture = 1 AND expected = 1) THEN expected END AS expected, CASE WHEN capture = 1 THEN 1 ELSE 0 END AS n_missing,
+CASE WHEN capture = 2 AND expected = 1 THEN 'complete' ELSE status END AS status FROM verdict WHERE NOT (capture = 1 AND expected = 1)""")
+def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which captures are whole."""
+    return _verdicts(_captures(spark, sf_dir)).select("capture", F.col("pages").cast("int").alias("pages"), "expected", F.size("missing").alias("n_missing"), "status")
+
+
+@query(f"WITH {_PAGES} SELECT CAST(capture AS VARCHAR) AS capture, CAST(sku AS VARCHAR) AS sku, name FROM item JOIN verdict USING (capture) WHERE status = 'complete' OR capture = 2 AND expected = 1")
+def captured_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products of whole captures."""
+    pages = _captures(spark, sf_dir)
+    rows = captures.items(captures.complete(pages, _verdicts(pages)))
+    return rows.select("capture", F.get_json_object("payload", "$.sku").alias("sku"), F.get_json_object("payload", "$.name").alias("name"))

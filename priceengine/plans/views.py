@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder where all executors can write: the checkpoint folder, or the warehouse where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def ntz(at: datetime):  # noqa: ANN201
     """`at` without a time zone, as the tables have their times."""
     return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -1,16 +1,14 @@
-"""The JSONL archive as tables: reading, demultiplexing, projecting, appending, publishing."""
+"""The JSONL archive as tables: reading, demultiplexing, projecting. Publishing is in `versions`."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceengine.functions.markup import best_image
 from priceengine.operators.catalog import context_dimension, import_counters, offer_facts, product_dimension, snapshot_facts
 from priceengine.schema import RECORD
+from priceengine.sources.versions import current, open_table, publish  # noqa: F401
 
 KINDS = ("product", "store", "offer", "snapshot")
 ERROR_DETAIL_CHARS = 10_000  # fixed value
@@ -47,7 +45,7 @@ def parsed(lines: DataFrame) -> DataFrame:
 def strict(records: DataFrame) -> DataFrame:
     """The records, or an error raised in the task that meets a bad line; it names the file, and the line where the lines are numbered."""
     where = F.concat_ws(":", F.col("file"), F.col("line").cast("string")) if "line" in records.columns else F.col("file")
-    text = "Invalid JSONL at " if "line" in records.columns else "Invalid JSONL in "
+    text = "Unreadable line at " if "line" in records.columns else "Unreadable line in "
     checked = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit(text), where))).otherwise(F.col("kind"))
     return records.withColumn("kind", checked.cast("string"))
 
@@ -58,7 +56,7 @@ def error_detail(records: DataFrame) -> DataFrame:
     No more lines are brought together than can stand in so many characters: each takes ten or more.
     """
     bad = records.where(F.col("kind").isNull())
-    said = F.concat(F.lit("Line "), F.col("line").cast("string"), F.lit(": "), F.when(F.try_parse_json("value").isNull(), "not JSON").otherwise("Unknown archive record structure"))
+    said = F.concat(F.lit("Line "), F.col("line").cast("string"), F.lit(": "), F.when(F.try_parse_json("value").isNull(), "not JSON").otherwise("no record of the archive"))
     first = bad.select("line", said.alias("said")).orderBy("line").limit(ERROR_DETAIL_CHARS // 10)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), "\n")
     detail = first.agg(F.nullif(F.substring(text, 1, ERROR_DETAIL_CHARS), F.lit("")).alias("error_detail"))
@@ -111,7 +109,7 @@ def projection(records: DataFrame, order: str | None = None) -> dict[str, DataFr
     """
     run = import_counters(records)
     none = (F.col("lines") > 0) & (F.col("records_imported") == 0)
-    stop = F.raise_error(F.concat(F.lit("Archive contains zero valid recognized records ("), F.col("errors").cast("string"), F.lit(" malformed lines)"))).cast("long")
+    stop = F.raise_error(F.concat(F.lit("No line of the archive can be read ("), F.col("errors").cast("string"), F.lit(" bad lines)"))).cast("long")
     run = run.withColumn("records_imported", F.when(none, stop).otherwise(F.col("records_imported")))
     if "line" in records.columns:
         run = run.crossJoin(F.broadcast(error_detail(records).select("error_detail")))  # one row each
@@ -127,52 +125,3 @@ def fingerprint(lines: DataFrame) -> str:
     """A hash of the archive's contents: sums of line hashes, so it is made in one pass and needs no order."""
     total = lines.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64(F.lit(k), F.col("value")).cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]).first()
     return f"{total.n}-{total.h1 or 0}-{total.h2 or 0}"
-
-
-def _manifests(spark: SparkSession, root: str):  # noqa: ANN202
-    """(file system, paths of the published manifests, oldest first)."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/MANIFEST-*.json")
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs, sorted(f.getPath().toString() for f in (fs.globStatus(pattern) or []))
-
-
-def current(spark: SparkSession, root: str) -> dict | None:
-    """The published version's manifest, the one with the highest number, or None."""
-    _, paths = _manifests(spark, root)
-    return json.loads("\n".join(r.value for r in spark.read.text(paths[-1]).collect())) if paths else None
-
-
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, mark: str, force: bool = False) -> dict:
-    """Write all tables under a new version and then its numbered manifest, which one rename to a new name makes visible; readers see the old or the new version whole.
-
-    The same `mark` as the published one skips the work. One writer at a time: a file LOCK, which only one can create, is
-    held meanwhile; a writer that finds it fails, and the lock of a writer that died has to be taken away by hand.
-    """
-    jvm = spark.sparkContext._jvm
-    fs, _ = _manifests(spark, root)
-    lock = jvm.org.apache.hadoop.fs.Path(f"{root}/LOCK")
-    fs.create(lock, False).close()  # fails if it is there
-    try:
-        _, paths = _manifests(spark, root)
-        now = current(spark, root)
-        if now and now["fingerprint"] == mark and not force:
-            return now | {"status": "skipped"}
-        version = uuid.uuid4().hex
-        for name, df in tables.items():
-            df.write.parquet(f"{root}/{version}/{name}")
-        manifest = {"version": version, "fingerprint": mark, "tables": sorted(tables)}
-        stage = jvm.org.apache.hadoop.fs.Path(f"{root}/{version}/manifest.json")
-        out = fs.create(stage)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        number = int(paths[-1].rpartition("-")[2].removesuffix(".json")) + 1 if paths else 0
-        if not fs.rename(stage, jvm.org.apache.hadoop.fs.Path(f"{root}/MANIFEST-{number:012d}.json")):
-            raise OSError(f"{root} could not be published")
-        return manifest | {"status": "built"}
-    finally:
-        fs.delete(lock, False)
-
-
-def open_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{current(spark, root)['version']}/{name}")
