@@ -122,9 +122,8 @@ def gtin(code: Column) -> Column:
 
 def name_tokens(name: Column) -> Column:
     """Words of two letters or more that are no stop words; repeated ones stay."""
-    gone = "|".join(w for w in STOP_WORDS if len(w) > 1)
-    kept = F.trim(F.regexp_replace(F.regexp_replace(plain(name), r"[^\w\s']", " "), rf"(?<!\S)(?:\S|{gone})(?!\S)", " "))
-    return F.when(F.coalesce(kept, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(kept, r"\s+"))
+    words = F.regexp_extract_all(F.lower(name), F.lit(r"[\w']{2,}+"), 0)  # what other characters part; a single one is no word
+    return F.coalesce(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)), F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
