@@ -3,13 +3,13 @@ r"""Operator 8: chat formatting by columnar byte assembly.
 A turn becomes `<|turn|>role<|says|>text<|end|>` and a newline. In roles and texts every backslash and every `<` gets
 a backslash before it, so no text can hold a control string and the original comes back by dropping those
 backslashes. Per batch, numpy computes the length of every segment, the offsets by a running sum, and the place of
-every byte; headers and contents are then scattered into one preallocated buffer of turns. Their bytes are copied out,
-sliced and joined in Python for each conversation, and copied again into the Arrow column. The loss mask is a list of byte spans of the formatted conversation: the escaped texts of the
-assistant.
+every byte; headers and contents are then scattered into one preallocated buffer. Turns come in order of conversations, so
+this buffer, cut where a conversation begins, is the Arrow column. The loss mask is a list of byte spans of the formatted
+conversation: the escaped texts of the assistant.
 
-Conversations are dealt out and sorted by (conv_id, turn, role, text); a batch may end inside one, so turns are
-assembled first and joined per conversation afterwards, in order, as they stream by. One conversation is one output
-row, so its own size bounds the memory; a common first turn or copies of a conversation gather nowhere.
+Conversations are dealt out and sorted by (conv_id, turn, role, text); a batch may end inside one, whose bytes then wait
+for the next and are joined once, when it ends. One conversation is one output row, so its own size bounds the memory; a
+common first turn or copies of a conversation gather nowhere. Very long texts are read whole.
 
 Cases: null role or text: empty. Null conv_id: one conversation of its own. Null turns come first. Ties and repeated
 rows keep all rows, ordered by role and text. Empty texts are formatted as such. An empty table gives an empty one.
@@ -66,45 +66,53 @@ def assemble(roles: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.n
     return out, np.append(starts[:, 0], len(out)), starts[:, 3], starts[:, 4]
 
 
+def _column(parts: list[np.ndarray], ends: np.ndarray, turns: np.ndarray, ids: pa.Array, spans: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """Whole conversations: `parts` are their bytes, `ends` where each ends in them. The Arrow column is the buffer itself, copied only if there are several parts."""
+    data = parts[0] if len(parts) == 1 else np.concatenate(parts)
+    starts = np.append(0, ends[:-1])
+    of = np.searchsorted(ends, spans[0], "right")
+    at = np.searchsorted(of, np.arange(len(ends) + 1))
+    spans = pa.StructArray.from_arrays([pa.array(x - starts[of]) for x in spans], ["start", "stop"])
+    text = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([ids, pa.array(turns), text, pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans)], ["conv_id", "n_turns", "formatted", "loss_spans"])
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    done: list[tuple] = []
-    held = 0
-    key, turns, body, spans, size = None, 0, [], [], 0
+    # the conversation that is still open: its id, bytes, turns and spans
+    key, held, turns, spans = None, [], 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*done, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([
-            pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()),
-            pa.array([[{"start": a, "stop": b} for a, b in s] for s in cols[3]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-        ], ["conv_id", "n_turns", "formatted", "loss_spans"])
+    def closed(parts: list[np.ndarray], ends: list[int], counts: list[int], ids: pa.Array, more: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return _column(parts, np.array(ends, np.int64), np.array(counts, np.int64), ids, tuple(np.concatenate(x) for x in zip(*more, strict=True)))
 
     for batch in batches:
-        ids = batch.column(0).to_pylist()
+        ids = batch.column(0)
         role_data, role_off = utf8(batch.column(1))
         text_data, text_off = utf8(batch.column(2))
         for i, j, texts, off in pieces(text_data, text_off):
             roles = role_data[role_off[i] : role_off[j]], role_off[i : j + 1] - role_off[i]
             out, begin, lo, hi = assemble(roles, (texts, off))
-            raw = out.tobytes()
-            said = [roles[0][a:b].tobytes() == b"assistant" for a, b in zip(roles[1][:-1], roles[1][1:], strict=True)]
-            for r in range(j - i):
-                if turns and ids[i + r] != key:
-                    done.append((key, turns, b"".join(body).decode(), spans))
-                    held += size
-                    turns, body, spans, size = 0, [], [], 0
-                    if held > 4 << 20:
-                        yield flush()
-                        done, held = [], 0
-                key = ids[i + r]
-                a, b = int(begin[r]), int(begin[r + 1])
-                if said[r]:
-                    spans.append((size + int(lo[r]) - a, size + int(hi[r]) - a))
-                body.append(raw[a:b])
-                size, turns = size + b - a, turns + 1
+            said = np.array([roles[0][a:b].tobytes() == b"assistant" for a, b in zip(roles[1][:-1], roles[1][1:], strict=True)], bool)
+            here = ids.slice(i, j - i)
+            values, null = here.fill_null(0).to_numpy(), here.is_null().to_numpy(zero_copy_only=False)
+            new = np.ones(j - i, bool)
+            new[1:] = (values[1:] != values[:-1]) | (null[1:] != null[:-1])
+            new[0] = not turns or here[0].as_py() != key
+            firsts, size = np.flatnonzero(new), sum(map(len, held))
+            own = (lo[said] + size, hi[said] + size)
+            if not len(firsts):
+                held, turns, spans = [*held, out], turns + j - i, [*spans, own]
+                continue
+            last = int(firsts[-1])
+            cut = int(begin[last])
+            ends, counts, told = (begin[firsts[1:]] + size).tolist(), np.diff(firsts).tolist(), here.take(pa.array(firsts[:-1]))
+            if turns:
+                ends, counts, told = [size + int(begin[firsts[0]]), *ends], [turns + int(firsts[0]), *counts], pa.concat_arrays([pa.array([key], pa.int64()), told])
+            late = own[0] >= size + cut
+            if ends:
+                yield closed([*held, out[:cut]], ends, counts, told, [*spans, (own[0][~late], own[1][~late])])
+            key, held, turns, spans = here[last].as_py(), [out[cut:].copy()], j - i - last, [(own[0][late] - size - cut, own[1][late] - size - cut)]
     if turns:
-        done.append((key, turns, b"".join(body).decode(), spans))
-    if done:
-        yield flush()
+        yield closed(held, [sum(map(len, held))], [turns], pa.array([key], pa.int64()), spans)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ their last states are averaged. A word pair that occurs once has one table in ev
 
 Where it runs: tokens and pairs are counted, seated, spelt and scored in Spark tasks over all of the corpus; pairs,
 contexts and vocabulary are tables that are joined, never collected. Byte contexts have CLASSES classes, so the spelling
-model has at most CLASSES ** PAST * 256 cells at any corpus size; its counts come to the driver. No more than TOP of the
+model has a bounded number of cells at any corpus size; those that occur come to the driver, in sorted arrays. No more than TOP of the
 most frequent words, contexts and pairs are broadcast, as a cache: the values are those of the tables.
 
 Cases: null and empty texts are the end token alone. Unseen words are spelt; after an unseen word the unigram restaurant
@@ -41,7 +41,7 @@ from priceengine.llm.staging import map_arrow, release, shuffles_dropped, staged
 
 TOP, SAMPLES, BURN_IN, SWEEPS, THETA = 100_000, 3, 4, 4, 10.0
 END = 0x20
-CLASSES, LEVELS = 72, 3
+CLASSES, LEVELS = 72, 4
 PAST = LEVELS - 1
 #: Byte classes of contexts: letters each, then white space (a word's edge), digits, other ASCII, kinds of lead bytes, and pairs of continuation bytes.
 CLASS = np.full(256, 28, np.int64)
@@ -86,63 +86,83 @@ def discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones else 0.5
 
 
+@dataclass
+class Level:
+    """The restaurants of one length of context: their keys in order, and by sample what goes on to the shorter context; the cells that occur (context * 256 + byte) in order, and their probabilities by sample."""
+
+    contexts: np.ndarray
+    back: np.ndarray
+    cells: np.ndarray
+    p: np.ndarray
+
+
 @dataclass
 class Spelling:
-    """row: the table row of each context of PAST classes; logs: natural logs of the probabilities, by sample."""
+    """The levels of the byte restaurants, no context first. Only cells and contexts that occur are held."""
+
+    levels: list[Level]
+    samples: int
 
-    row: np.ndarray
-    logs: np.ndarray
+    def logs(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Samples by symbols: natural logs of the probabilities of bytes behind contexts of PAST classes."""
+        out, mass = np.zeros((self.samples, len(context))), np.ones((self.samples, len(context)))
+        open_ = np.arange(len(context))
+        for n in range(len(self.levels) - 1, -1, -1):
+            level, here = self.levels[n], context[open_] % CLASSES**n
+            at, met = _found(level.cells, here * 256 + symbol[open_])
+            out[:, open_[met]] = mass[:, open_[met]] * level.p[:, at[met]]
+            open_, here = open_[~met], here[~met]
+            at, met = _found(level.contexts, here)
+            mass[:, open_[met]] *= level.back[:, at[met]]
+        out[:, open_] = mass[:, open_] / 256
+        return np.log(out)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among sorted keys, whether it is there)."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
 def fit_spelling(context: np.ndarray, symbol: np.ndarray, count: np.ndarray, samples: int, seed: int) -> Spelling:
-    """Gibbs sweeps over the byte restaurants; level n has contexts of n classes."""
-    sizes = [CLASSES**n for n in range(LEVELS)]
-    ctx, sym, tables, up = [None] * LEVELS, [None] * LEVELS, [None] * LEVELS, [None] * LEVELS
-    ctx[-1], sym[-1] = context, symbol
+    """Gibbs sweeps over the byte restaurants; level n has contexts of n classes. A cell's parent is a cell of the level below, as each table is a customer there."""
+    cells, up = [None] * LEVELS, [None] * LEVELS
+    order = np.argsort(context * 256 + symbol)
+    cells[-1] = (context * 256 + symbol)[order]
     for n in range(LEVELS - 2, -1, -1):
-        keys, up[n + 1] = np.unique((ctx[n + 1] % sizes[n]) * 256 + sym[n + 1], return_inverse=True)
-        ctx[n], sym[n] = keys // 256, keys % 256
-    customers = [None] * LEVELS
-    customers[-1] = count.astype(np.int64)
-    for n in range(LEVELS - 1, -1, -1):
-        tables[n] = np.ones(len(ctx[n]), np.int64)
-        if n:
-            customers[n - 1] = np.bincount(up[n], tables[n], len(ctx[n - 1])).astype(np.int64)
+        cells[n], up[n + 1] = np.unique(cells[n + 1] // 256 % CLASSES**n * 256 + cells[n + 1] % 256, return_inverse=True)
+    found = [np.unique(c // 256, return_inverse=True) for c in cells]
+    there, ctx = [f[0] for f in found], [f[1] for f in found]
+    customers, tables = [None] * LEVELS, [np.ones(len(c), np.int64) for c in cells]
+    customers[-1] = count[order].astype(np.int64)
+    for n in range(LEVELS - 1, 0, -1):
+        customers[n - 1] = np.bincount(up[n], tables[n], len(cells[n - 1])).astype(np.int64)
     d = [discount(float((c == 1).sum()), float((c == 2).sum())) for c in customers]
-    there = np.unique(ctx[-1])
-    row = sizes[-2] * 0 + len(there) + np.arange(sizes[-1]) % sizes[-2]
-    row[there] = np.arange(len(there))
 
-    def dense(n: int, parent: np.ndarray) -> np.ndarray:
-        """Probabilities of all contexts of level n from those of their parents."""
-        total, seats = np.bincount(ctx[n], customers[n], sizes[n]), np.bincount(ctx[n], tables[n], sizes[n])
+    def level(n: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what each context passes on, the probability of each cell), from the probabilities of the cells' parents."""
+        total, seats = np.bincount(ctx[n], customers[n], len(there[n])), np.bincount(ctx[n], tables[n], len(there[n]))
         back = (THETA + d[n] * seats) / (THETA + total)
-        which = there if n == LEVELS - 1 else np.arange(sizes[n])
-        place = np.zeros(sizes[n], np.int64)
-        place[which] = np.arange(len(which))
-        out = back[which, None] * parent[which % (sizes[n - 1] if n else 1)]
-        out[place[ctx[n]], sym[n]] += (customers[n] - d[n] * tables[n]) / (THETA + total[ctx[n]])
-        return out
-
-    uniform = np.full((1, 256), 1 / 256)
-    kept = []
+        return back, (customers[n] - d[n] * tables[n]) / (THETA + total[ctx[n]]) + back[ctx[n]] * parent
+
+    def parents(n: int) -> np.ndarray:
+        below = np.full(len(cells[0]), 1 / 256)
+        for m in range(n):
+            below = level(m, below)[1][up[m + 1]]
+        return below
+
+    kept: list[list[tuple[np.ndarray, np.ndarray]]] = []
     for sweep in range(BURN_IN + samples):
         for n in range(LEVELS - 1, -1, -1):
-            below = uniform
-            for m in range(n):
-                below = dense(m, below)
-            base = below[ctx[n] % (sizes[n - 1] if n else 1), sym[n]]
-            others = np.bincount(ctx[n], tables[n], sizes[n])[ctx[n]] - tables[n]
-            keys = mix((ctx[n] * 256 + sym[n]).astype(np.uint64) + np.uint64((seed * 1000 + sweep * 10 + n) << 40))
-            tables[n] = seat(customers[n], base, others, d[n], THETA, keys)
+            others = np.bincount(ctx[n], tables[n], len(there[n]))[ctx[n]] - tables[n]
+            keys = mix(cells[n].astype(np.uint64) + np.uint64((seed * 1000 + sweep * 10 + n) << 40))
+            tables[n] = seat(customers[n], parents(n), others, d[n], THETA, keys)
             if n:
-                customers[n - 1] = np.bincount(up[n], tables[n], len(ctx[n - 1])).astype(np.int64)
+                customers[n - 1] = np.bincount(up[n], tables[n], len(cells[n - 1])).astype(np.int64)
         if sweep >= BURN_IN:
-            levels = [uniform]
-            for n in range(LEVELS):
-                levels.append(dense(n, levels[-1]))
-            kept.append(np.log(np.concatenate([levels[-1], levels[-2]])).astype(np.float32))
-    return Spelling(row.astype(np.int32), np.stack(kept))
+            kept.append([level(n, parents(n)) for n in range(LEVELS)])
+    return Spelling([Level(there[n], np.stack([k[n][0] for k in kept]).astype(np.float32), cells[n], np.stack([k[n][1] for k in kept]).astype(np.float32)) for n in range(LEVELS)], samples)
 
 
 def spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,10 +186,9 @@ def spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 def spell_logs(model: Spelling, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Samples by words: natural logs of the words' probabilities."""
     if not len(starts):
-        return np.zeros((len(model.logs), 0))
+        return np.zeros((model.samples, 0))
     context, symbol, first = spelt(data, starts, ends)
-    row = model.row[context]
-    return np.stack([np.add.reduceat(logs[row, symbol].astype(np.float64), first) for logs in model.logs])
+    return np.add.reduceat(model.logs(context, symbol), first, axis=1)
 
 
 def token_pairs(batch: pa.RecordBatch, limit: int) -> Iterator[tuple]:
@@ -212,7 +231,7 @@ def count_pairs(train: DataFrame) -> DataFrame:
 
 
 def spelling_counts(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, symbol, customers) from (token, t): at most CLASSES ** PAST * 256 cells."""
+    """(context, symbol, customers) from (token, t): the cells that occur, of at most CLASSES ** PAST * 256."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(0))

@@ -6,7 +6,8 @@ regression on no more than FIT_ROWS labelled rows (the lowest by a hash of doc_i
 evidence is their weighted sum.
 Level 1, the host (`source`), and level 2, the path (source and lang): Beta posteriors of the share of good labels. The
 global prior's strength is fitted to the spread of the hosts by moments, the hosts' strength to the spread of the paths
-about them; a host's posterior mean is the prior of its paths. A sparse or unseen site so falls back to its host and then
+about them, both held within STRENGTHS (2 to 10,000 documents: hosts that differ not at all, or wholly, would give none or no
+end of it); a host's posterior mean is the prior of its paths. A sparse or unseen site so falls back to its host and then
 to the global rate.
 The score is the posterior probability of good quality: the path's prior log odds plus the evidence.
 

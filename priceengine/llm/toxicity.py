@@ -2,8 +2,9 @@
 
 Learning. Of the labelled training rows, no more than PER_CLASS, the lowest by a hash of doc_id, are taken of either class (the
 documented bound), and the different words before each word are counted per class, so that copies count once. Words
-that a G test finds far more often in toxic documents form the lexicon, all of them, each weighted by its log odds; it is
-bounded by the words of the bounded rows.
+that a G test finds far more often in toxic documents form the lexicon, each weighted by its log odds; it is bounded by
+the words of the bounded rows. Two parameters hold it: words of fewer than MIN_TERM characters are no terms, as they are within an edit
+of too many others, and no term weighs more than MAX_WEIGHT, so that one word alone does not decide.
 
 Matching. The terms of five letters or more are a trie. A Levenshtein automaton of one edit (insertion, deletion,
 substitution, or swap of neighbours) runs over the trie: its states are sets of (trie node, edits so far), made when
@@ -35,7 +36,7 @@ from priceengine.llm.kernels import BASE, FOLD, mix, prefix_hash, row_counts, sl
 from priceengine.llm.staging import hash_sample, map_arrow, staged, with_field
 
 PER_CLASS, STATES = 10_000, 200_000
-MIN_G, MIN_ODDS, MAX_WEIGHT = 25.0, 3.0, 8.0
+MIN_G, MIN_ODDS, MAX_WEIGHT, MIN_TERM = 25.0, 3.0, 8.0, 3
 WINDOW, QUOTED, MISSPELLED, MIN_FUZZY = 8, 0.25, 0.7, 5
 #: Words are runs of ASCII letters and digits, apostrophes and bytes of other characters.
 BETWEEN = np.ones(256, bool)
@@ -281,7 +282,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     m1, m0 = max(t.a or 0, 1), max(t.b or 0, 1)
     odds = F.ln((F.col("a") + 0.5) / F.lit(m1 + 1.0)) - F.ln((F.col("b") + 0.5) / F.lit(m0 + 1.0))
     judged = counts.withColumn("g", g_test(F.col("a"), F.col("b"), m1, m0)).withColumn("odds", F.least(odds, F.lit(MAX_WEIGHT)))
-    found = judged.where((F.col("g") >= MIN_G) & (F.col("odds") >= MIN_ODDS) & (F.char_length("word") >= 3)).select("word", "odds").collect()
+    found = judged.where((F.col("g") >= MIN_G) & (F.col("odds") >= MIN_ODDS) & (F.char_length("word") >= MIN_TERM)).select("word", "odds").collect()
     model = Model({r.word: float(r.odds) for r in found})
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,6 +50,28 @@ def test_chats_come_back_from_the_format(spark):
     assert chat.format_chats(turns.where("false")).collect() == []
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2, 3]), st.sampled_from(["user", "assistant", "é<"]), NASTY), min_size=1, max_size=30), st.integers(1, 5), st.integers(1, 40))
+def test_conversations_end_anywhere_in_batches_and_pieces(turns, per_batch, limit):
+    """Conversations over several batches and pieces of text, null ids among them, are cut from the buffers where they begin."""
+    turns = sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0))
+    kinds = [("conv_id", pa.int64()), ("role", pa.string()), ("text", pa.string())]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*turns[i : i + per_batch], strict=True), kinds, strict=True)], [n for n, _ in kinds]) for i in range(0, len(turns), per_batch)]
+    small, chat.pieces = chat.pieces, lambda data, off: small(data, off, limit)
+    try:
+        got = [r for b in chat._format(iter(batches)) for r in b.to_pylist()]
+    finally:
+        chat.pieces = small
+    true = {}
+    for conv, role, text in turns:
+        true.setdefault(conv, []).append((role.encode(), text.encode()))
+    assert [r["conv_id"] for r in got] == list(true)
+    for r in got:
+        raw = r["formatted"].encode()
+        assert chat.parse(raw) == true[r["conv_id"]] and r["n_turns"] == len(true[r["conv_id"]])
+        assert [chat.unescaped(raw[s["start"] : s["stop"]]) for s in r["loss_spans"]] == [t for role, t in true[r["conv_id"]] if role == b"assistant"]
+
+
 def test_media_hold_the_bytes_and_are_audio(spark):
     rng = random.Random(1)
     texts = [None, "", "é" * 288, "a" * 577, prose(rng, 40_000), "\x00"]
@@ -161,6 +183,41 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_model_beats_the_base_where_new_words_stand_among_known_ones(spark):
+    """Words of which each says much about the next, and every seventh or so a word made of syllables, mostly an unseen one, whose spelling has to tell it."""
+    rng = random.Random(9)
+    syllables = ["tha", "ner", "ing", "ous", "ver", "lich", "ter", "ion"]
+
+    def text() -> str:
+        return " ".join("".join(rng.choices(syllables, k=3)) if rng.random() < 0.15 else w for w in chain(rng, 60))
+
+    docs = frame(spark, [text() for _ in range(300)])
+    got = language_model.score(docs.where("doc_id >= 250"), language_model.fit(docs.where("doc_id < 250"))).collect()
+    tokens, known = sum(r.n_tokens for r in got), sum(r.n_known for r in got)
+    assert 0.01 < 1 - known / tokens < 0.2 and sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_the_spelling_is_that_of_its_restaurants():
+    """Probabilities of all bytes behind any context sum to one, and equal the recursion over the levels."""
+    rng = np.random.default_rng(4)
+    context = np.unique(rng.integers(0, language_model.CLASSES**language_model.PAST, 300))
+    context, symbol = np.repeat(context, 3), rng.integers(97, 110, 3 * len(context))
+    cells = np.unique(context * 256 + symbol)
+    model = language_model.fit_spelling(cells // 256, cells % 256, rng.integers(1, 9, len(cells)), 2, 5)
+    for c in [*context[:20], 1, 77]:
+        p = np.exp(model.logs(np.full(256, c), np.arange(256)))
+        assert np.allclose(p.sum(1), 1.0, atol=1e-4)
+        slow = np.full((2, 256), 1 / 256)
+        for n, level in enumerate(model.levels):
+            own = c % language_model.CLASSES**n
+            here = np.flatnonzero(level.contexts == own)
+            if len(here):
+                slow = slow * level.back[:, here]
+                for cell in np.flatnonzero(level.cells // 256 == own):
+                    slow[:, level.cells[cell] % 256] = level.p[:, cell]
+        assert np.allclose(p, slow, rtol=1e-4)
+
+
 def test_a_fit_leaves_only_the_tables_its_model_reads(spark):
     folder = Path(shared_folder(spark).removeprefix("file://").removeprefix("file:"))
     there = set(os.listdir(folder))

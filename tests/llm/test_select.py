@@ -12,7 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from priceengine.llm.decontaminate import SEEDS, decontaminate, find_leaks
+from priceengine.llm import decontaminate as decontaminate_module
+from priceengine.llm import quality, staging
+from priceengine.llm.decontaminate import SEEDS, decontaminate, fewest_seeds, find_leaks
 from priceengine.llm.mixing import mix_sources, source_rates
 from priceengine.llm.quality import keep_good, score_quality, site_posteriors
 from priceengine.llm import toxicity
@@ -352,6 +354,64 @@ def test_a_seed_stays_whole_in_every_accepted_placement():
             assert any(not s & gone for s in seeds)
 
 
+def test_the_fewest_seeds_are_counted_by_trying_all(spark):
+    least = fewest_seeds(0.8)
+    for n in range(8, 24):
+        per = [sum(all(c == "0" or i + k not in out for k, c in enumerate(m)) for m in SEEDS for i in range(n - len(m) + 1)) for out in combinations(range(n), n // 5)]
+        assert 1 <= least[n] <= min(per)
+    assert least[-1] <= min(least[16:]) and least[10] == 1 and min(least[11:]) == 2
+
+
+def test_a_phrase_of_every_document_and_item_makes_no_candidates(spark, monkeypatch):
+    rng = random.Random(6)
+    phrase = "once upon a time"
+    items = [f"{prose(rng, 9)} {phrase} {prose(rng, 9)}" for _ in range(40)]
+    texts: list[str | None] = [f"{prose(rng, 30)} {phrase} {prose(rng, 30)}" for _ in range(200)]
+    texts[7] = f"{prose(rng, 5)} {items[3]} {prose(rng, 5)}"
+    kept = {}
+
+    def watched(df, name):
+        kept[name] = staging.staged(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(decontaminate_module, "staged", watched)
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(frame(spark, texts), bench).collect()}
+    assert got == brute_leaks(texts, items) == {(7, 3)}
+    # of 8,000 pairs only those that agree beside the phrase, too, in a vocabulary of 160 words
+    assert kept["hits"].selectExpr("sum(size(__hits))").first()[0] < 400 and kept["hits"].schema["__hits"].dataType.elementType.names == ["item_id", "shift", "__len"]
+
+
+def test_evidence_of_quality_is_that_of_its_definition(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randrange(5, 60)) if i % 3 else "$$$ BUY!! " * rng.randrange(1, 30) + prose(rng, rng.randrange(9)) for i in range(120)]
+    rows = [(i, t, rng.choice(["en", "fr"]), f"s{rng.randrange(4)}", len(t)) for i, t in enumerate(texts)]
+    labels = [(i, int(i % 3 > 0) if rng.random() < 0.9 else int(i % 3 == 0)) for i in range(90)]
+    got = {r.doc_id: r for r in score_quality(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    raw = [t.encode() for t in texts]
+    bins = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    good, bad = Counter(), Counter()
+    for i, q in labels:
+        for f, b in enumerate(bins[i]):
+            (good if q else bad)[f, int(b)] += 1
+    n1, n0 = sum(q for _, q in labels), sum(1 - q for _, q in labels)
+    rate, ratio = n1 / (n1 + n0), np.zeros((len(quality.FEATURES), quality.BINS))
+    for f, b in {*good, *bad}:
+        ratio[f, b] = math.log((good[f, b] + rate) / (n1 + rate)) - math.log((bad[f, b] + 1 - rate) / (n0 + 1 - rate))
+    x = ratio[np.arange(len(quality.FEATURES)), bins]
+    # the weights by plain gradient descent on the same penalised likelihood
+    fit, y = np.column_stack([x[:90], np.ones(90)]), np.array([q for _, q in labels], float)
+    centre, pull = np.append(np.full(len(quality.FEATURES), 0.5), 0.0), np.append(np.full(len(quality.FEATURES), 3.0), 1e-3)
+    w = centre.copy()
+    for _ in range(40_000):
+        w -= 2e-3 * (fit.T @ (1 / (1 + np.exp(-fit @ w)) - y) + pull * (w - centre))
+    evidence = x @ w[:-1] + w[-1] - math.log(rate / (1 - rate))
+    for i in range(len(rows)):
+        assert abs(got[i].evidence - evidence[i]) < 1e-3
+        site = math.log(got[i].prior / (1 - got[i].prior))
+        assert math.isclose(got[i].quality_score, 1 / (1 + math.exp(-(site + got[i].evidence))), rel_tol=1e-9)
+
+
 def test_leaks_with_any_words_replaced(spark):
     rng = random.Random(8)
     items = [prose(rng, n) for n in (8, 9, 10, 12, 13, 15, 20, 25)]
