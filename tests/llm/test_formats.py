@@ -189,7 +189,7 @@ def test_model_beats_the_base_where_new_words_stand_among_known_ones(spark):
     syllables = ["tha", "ner", "ing", "ous", "ver", "lich", "ter", "ion"]
 
     def text() -> str:
-        return " ".join("".join(rng.choices(syllables, k=3)) if rng.random() < 0.15 else w for w in chain(rng, 60))
+        return " ".join("".join(rng.choices(syllables, k=4)) if rng.random() < 0.15 else w for w in chain(rng, 60))
 
     docs = frame(spark, [text() for _ in range(300)])
     got = language_model.score(docs.where("doc_id >= 250"), language_model.fit(docs.where("doc_id < 250"))).collect()
