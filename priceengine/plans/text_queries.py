@@ -252,3 +252,26 @@ def captured_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _captures(spark, sf_dir)
     rows = captures.items(captures.complete(pages, _verdicts(pages)))
     return rows.select("capture", F.get_json_object("payload", "$.sku").alias("sku"), F.get_json_object("payload", "$.name").alias("name"))
+
+
+@query(f"""WITH {_PAGES}, n AS (SELECT CAST(capture AS VARCHAR) AS store, status = 'complete' OR capture = 2 AND expected = 1 AS ok, status, (SELECT count(*) FROM item i WHERE i.capture = v.capture) AS fetched,
+(SELECT count(*) FROM item i WHERE i.capture = v.capture AND sku % 3 = 0) AS added FROM verdict v WHERE NOT (capture = 1 AND expected = 1))
+SELECT store, ok, CASE WHEN ok THEN fetched ELSE 0 END AS fetched, CASE WHEN ok THEN added ELSE 0 END AS added, CASE WHEN NOT ok THEN status END AS error FROM n""")
+def store_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each store's collection brought, those that failed among them."""
+    pages = _captures(spark, sf_dir)
+    rows = captures.items(pages)
+    return captures.store_results(_verdicts(pages), rows, rows.where(F.get_json_object("payload", "$.sku").cast("long") % 3 == 0))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS store_id, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+WHERE s_suppkey % 3 = 1 AND (contains(lower(s_name), '7') OR contains(lower(n_name), '7'))""")
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a list of stores of three banners, one JSON text for each nation, searched by name and address."""
+    key = F.col("s_suppkey")
+    banner = F.when(key % 3 == 0, "PNS").when(key % 3 == 1, "mnw").otherwise("x")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    one = F.struct(key.cast("string").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("address"), banner.alias("banner"))
+    lists = rows.groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(one).alias("stores"))).alias("payload"))
+    return captures.search_stores(captures.store_list(lists), "MNW", " 7 ").select("store_id", "name")

@@ -228,3 +228,23 @@ def test_the_feed_has_the_defaults_of_the_command_line(spark):
     assert feeds.feed(obs, at, only="ongoing").count() == 0 and feeds.feed(obs, at, min_drop=0.0).count() >= told.count()
     with pytest.raises(TypeError, match="drop"):
         feeds.feed(obs, at, drop=1)
+
+
+def test_pages_from_zero_and_results_of_stores(spark, tmp_path):
+    for store, n, given in (("a", 3, (0, 1, 2)), ("b", 3, (0, 2)), ("c", 0, (0,))):
+        (tmp_path / store).mkdir()
+        for k in given:
+            (tmp_path / store / f"page-{k}.json").write_text(json.dumps({"numberOfPages" if store != "a" else "totalPages": n, "products": [{"productId": f"{store}{k}"}]}))
+    read = captures.read_captures(spark, str(tmp_path))
+    verdicts = captures.judged(read, *captures.counted_pages(F.col("payload"), F.col("capture")), first=0)
+    rows = captures.items(read, "$.products")
+    results = captures.store_results(verdicts, rows, rows.where("payload like '%0%'"))
+    assert sorted((r.store, r.ok, r.fetched, r.added, r.error) for r in results.collect()) == [("a", True, 3, 1, None), ("b", False, 0, 0, captures.INCOMPLETE), ("c", True, 1, 1, None)]
+    assert [captures.exit_code(x).first().exit_code for x in (results, results.where("not ok"), results.where("false"))] == [0, 1, 1]
+
+
+def test_stores_are_searched_by_name_and_address(spark):
+    told = json.dumps({"stores": [{"id": "1", "name": "Royal Oak", "address": "Mt Smart Rd", "banner": "MNW"}, {"id": "2", "name": "Kaitaia", "address": None, "banner": "mnw"}, {"id": "3", "name": "Oak", "banner": "PNS"}]})
+    stores = captures.store_list(spark.createDataFrame([(told,), ("{}",), (None,)], "payload string"))
+    found = lambda *a: sorted(r.store_id for r in captures.search_stores(stores, *a).collect())
+    assert found("mnw") == ["1", "2"] and found("MNW", " OAK ") == ["1"] and found("MNW", "smart") == ["1"] and found("PNS", "x") == []
