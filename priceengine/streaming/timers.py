@@ -42,17 +42,30 @@ class _Limit(StatefulProcessor):
         self.counts = handle.getMapState("counts", "window_ms long", "n long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        came = pd.concat(list(rows)).sort_values(["at_us", "seq"], kind="stable")
-        place = came.groupby("window_ms").cumcount()
-        before = {}
-        for window, n in came.groupby("window_ms").size().items():
-            known = self.counts.containsKey((int(window),))
-            before[window] = self.counts.getValue((int(window),))[0] if known else 0
-            self.counts.updateValue((int(window),), (before[window] + int(n),))
-            if not known:
-                self.handle.registerTimer(int(window) + KEPT_WINDOWS * self.width_ms)
-        admitted = place + came["window_ms"].map(before) < self.limit
-        yield pd.DataFrame({"bucket_key": pd.Series(key[0], came.index, object), "seq": came["seq"], "window_ms": came["window_ms"], "admitted": admitted})
+        room: dict[int, int] = {}  # requests that each window still admits
+        came: dict[int, int] = {}
+        first = None  # the earliest so far, no more than there is room for
+        for part in rows:
+            for window, n in part.groupby("window_ms").size().items():
+                if window not in room:
+                    known = self.counts.containsKey((int(window),))
+                    came[window] = self.counts.getValue((int(window),))[0] if known else 0
+                    room[window] = max(self.limit - came[window], 0)
+                    if not known:
+                        self.handle.registerTimer(int(window) + KEPT_WINDOWS * self.width_ms)
+                came[window] += int(n)
+            part = (part if first is None else pd.concat([first, part])).sort_values(["at_us", "seq"], kind="stable")
+            early = part.groupby("window_ms").cumcount() < part["window_ms"].map(room)
+            first = part[early]
+            yield self.told(key, part[~early], False)
+        for window, n in came.items():
+            self.counts.updateValue((int(window),), (n,))
+        if first is not None:
+            yield self.told(key, first, True)
+
+    @staticmethod
+    def told(key: Any, rows: pd.DataFrame, admitted: bool) -> pd.DataFrame:
+        return pd.DataFrame({"bucket_key": pd.Series(key[0], rows.index, object), "seq": rows["seq"], "window_ms": rows["window_ms"], "admitted": admitted})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         window = expiredTimerInfo.getExpiryTimeInMs() - KEPT_WINDOWS * self.width_ms
@@ -67,9 +80,9 @@ class _Limit(StatefulProcessor):
 def admitted_stream(requests: DataFrame, width: timedelta, limit: int, late: str) -> DataFrame:
     """(bucket_key, seq, window_start, admitted): the first `limit` requests of a key in each fixed window, judged as they come.
 
-    requests: a stream of (bucket_key string, at timestamp, seq long). A micro-batch is taken in order of (at, seq); what a key
-    has in one micro-batch comes together, which the trigger bounds. A window's count goes once the watermark, `late` behind
-    the newest request, is KEPT_WINDOWS windows past its start; later requests are dropped.
+    requests: a stream of (bucket_key string, at timestamp, seq long). A micro-batch is taken in order of (at, seq); of a hot key no more
+    than the earliest `limit` requests of each window wait in memory, others are rejected as they stream by. A window's count goes once the
+    watermark, `late` behind the newest request, is KEPT_WINDOWS windows past its start; later requests are dropped.
     """
     ms = int(width.total_seconds() * 1000)
     rows = requests.withWatermark("at", late).select("at", "bucket_key", "seq", F.unix_micros("at").alias("at_us"), F.unix_millis(F.window("at", f"{ms} milliseconds")["start"]).alias("window_ms"))
