@@ -20,7 +20,7 @@ def read_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFr
     place is made on the scan itself, before any shuffle: the block's first byte and the row within the task, so it is the
     same on every run over the same files and split size. Line numbers count blank lines too: one more pass counts each block's.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
     kept = lines.where(F.trim("value") != "").select("file", F.struct("file", "block", "row").alias("place"), "value")
     if not numbered:
         return kept
@@ -46,7 +46,9 @@ def strict(records: DataFrame) -> DataFrame:
     """The records, or an error raised in the task that meets a bad line; it names the file, and the line where the lines are numbered."""
     where = F.concat_ws(":", F.col("file"), F.col("line").cast("string")) if "line" in records.columns else F.col("file")
     text = "Unreadable line at " if "line" in records.columns else "Unreadable line in "
-    checked = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit(text), where))).otherwise(F.col("kind"))
+    # filters may be put together in any order, so blank lines are let through here, too
+    bad = F.col("kind").isNull() & (F.trim("value") != "")
+    checked = F.when(bad, F.raise_error(F.concat(F.lit(text), where))).otherwise(F.col("kind"))
     return records.withColumn("kind", checked.cast("string"))
 
 
@@ -63,8 +65,8 @@ def error_detail(records: DataFrame) -> DataFrame:
     return bad.agg(F.count(F.lit(1)).alias("errors")).crossJoin(F.broadcast(detail))  # one row each
 
 
-def observations(records: DataFrame) -> DataFrame:
-    """Offers and legacy lines as flat observations without listing flags (see operators.ingest.observations_as_of)."""
+def observations(records: DataFrame, *more: str) -> DataFrame:
+    """Offers and legacy lines as flat observations without listing flags (see operators.ingest.observations_as_of); `more`: columns that stay."""
     r = F.col("record")
     legacy = F.col("kind") == "legacy"
     price = F.when(legacy, r["price"]).otherwise(r["data"]["price"])
@@ -75,7 +77,7 @@ def observations(records: DataFrame) -> DataFrame:
         F.to_timestamp(r["observedAt"]).alias("observed_at"), "place", r["hash"].alias("hash"),
         price["regularCents"].alias("regular_cents"), price["promoCents"].alias("promo_cents"), price["memberCents"].alias("member_cents"),
         F.when(promotion.isNotNull(), F.struct(promotion["type"].alias("type"), promotion["savePercent"].alias("save_percent"), promotion["startsAt"].alias("starts_at"), promotion["endsAt"].alias("ends_at"))).alias("promotion"),
-        F.lit(None).cast("boolean").alias("is_on_special"), F.lit(None).cast("timestamp").alias("last_seen_at"),
+        F.lit(None).cast("boolean").alias("is_on_special"), F.lit(None).cast("timestamp").alias("last_seen_at"), *more,
     )
 
 

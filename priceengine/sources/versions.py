@@ -64,8 +64,8 @@ def _fs(spark: SparkSession, root: str) -> tuple[Any, Callable]:
     return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def _numbered(spark: SparkSession, root: str, pattern: str) -> list[tuple[int, Any]]:
-    """(number, file status) of files such as LEASE-000000000003, in order."""
+def numbered(spark: SparkSession, root: str, pattern: str) -> list[tuple[int, Any]]:
+    """(number, file status) of files and folders such as LEASE-000000000003, in order."""
     fs, path = _fs(spark, root)
     found = fs.globStatus(path(f"{root}/{pattern}")) or []
     return sorted(((int(f.getPath().getName().partition("-")[2].partition(".")[0]), f) for f in found), key=lambda x: x[0])
@@ -79,7 +79,7 @@ def lease(spark: SparkSession, root: str, seconds: float = LEASE_SECONDS) -> Ite
     writer that died, creates the next number; the old writer, should it still live, finds a higher number at its check.
     """
     fs, path = _fs(spark, root)
-    held = _numbered(spark, root, "LEASE-*")
+    held = numbered(spark, root, "LEASE-*")
     if held and time.time() - held[-1][1].getModificationTime() / 1000 < seconds:
         raise BlockingIOError(f"{root} has another writer, {held[-1][1].getPath().getName()}")
     number = held[-1][0] + 1 if held else 0
@@ -87,21 +87,21 @@ def lease(spark: SparkSession, root: str, seconds: float = LEASE_SECONDS) -> Ite
     fs.create(own, False).close()  # fails if another writer was first
 
     def check() -> None:
-        now = _numbered(spark, root, "LEASE-*")
+        now = numbered(spark, root, "LEASE-*")
         if not now or now[-1][0] != number:
             raise TimeoutError(f"{root} has been taken over by another writer")
 
     try:
         yield check
     finally:
-        for k, f in _numbered(spark, root, "LEASE-*"):
+        for k, f in numbered(spark, root, "LEASE-*"):
             if k <= number:
                 fs.delete(f.getPath(), False)
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
     """The published version's manifest, the one with the highest number, or None."""
-    found = _numbered(spark, root, "MANIFEST-*.json")
+    found = numbered(spark, root, "MANIFEST-*.json")
     return json.loads("\n".join(r.value for r in spark.read.text(found[-1][1].getPath().toString()).collect())) if found else None
 
 
@@ -116,7 +116,7 @@ def _reveal(spark: SparkSession, root: str, manifest: dict, check: Callable[[],
     out = fs.create(stage)
     out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
-    found = _numbered(spark, root, "MANIFEST-*.json")
+    found = numbered(spark, root, "MANIFEST-*.json")
     check()
     if not fs.rename(stage, path(f"{root}/MANIFEST-{found[-1][0] + 1 if found else 0:012d}.json")):
         raise OSError(f"{root} could not be published")
@@ -210,7 +210,7 @@ def retire(spark: SparkSession, root: str, keep: int = 2, lease_seconds: float =
     """Delete all but the newest `keep` versions, and folders of writers that died; returns how many folders went. Readers of a deleted version fail."""
     fs, path = _fs(spark, root)
     with lease(spark, root, lease_seconds):
-        found = _numbered(spark, root, "MANIFEST-*.json")
+        found = numbered(spark, root, "MANIFEST-*.json")
         used = set()
         for _, f in found[-keep:]:
             told = json.loads("\n".join(r.value for r in spark.read.text(f.getPath().toString()).collect()))
