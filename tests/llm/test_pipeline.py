@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pytest
+
 import corpus_pipeline
 from priceengine.llm import oracle, queries
+from priceengine.llm.staging import shared_folder
 from tests.llm.common import SCHEMA, prose
 from tests.llm.test_dedup import brute_classes, brute_lines, edited
 from tests.llm.test_select import brute_leaks, poisson_count
@@ -106,3 +109,19 @@ def test_queries_are_whole(spark, small_sf):
     talks = queries.table(spark, small_sf, "conversations").select("conv_id").distinct().count()
     assert queries.op8_chat(spark, small_sf).count() == talks + 1
     assert set(oracle.oracle_sql()) <= set(queries.queries())
+
+
+def test_a_cluster_without_a_shared_folder_is_told_so():
+    class Context:
+        applicationId = "none"  # noqa: N815
+
+        def __init__(self, master: str):
+            self.master = master
+
+    class Session:
+        def __init__(self, master: str, named: str | None):
+            self.sparkContext, self.conf = Context(master), {"spark.checkpoint.dir": named} if named else {}
+
+    assert shared_folder(Session("spark://a:1", "hdfs://b/c/")) == "hdfs://b/c" and shared_folder(Session("local[2]", None)).startswith("file:///")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session("spark://a:1", None))
