@@ -84,10 +84,10 @@ def shown(df) -> list[tuple]:
 def test_what_is_recorded_is_read_as_of_any_time(spark, tmp_path):
     rng, held, archive = random.Random(5), Held(), PriceArchive(spark, f"file://{tmp_path}/a")
     (tmp_path / "a").mkdir()
-    for day in range(4):
+    for day in range(3):
         rows, scope = batch(rng, 3 * day, 100 * day), rng.choice(["specials", "specials", "catalogue", None])
         assert archive.record(spark.createDataFrame(rows, SCHEMA), scope) == held.record(rows, scope)
-    for day in (4, 20):
+    for day in (4,):
         until = T0 + timedelta(days=day)
         assert shown(archive.history(until=until)) == held.history(iso(until))
     assert [json.loads(r.product)["name"] for r in archive.product_history("paknsave:1").orderBy("seq").collect()] == [x[1] for _, x in held.products["paknsave:1"]]
