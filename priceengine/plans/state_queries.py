@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -150,9 +151,9 @@ def health_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.before_first_error(events(spark, sf_dir).select("seq", broken.alias("corrupt"))).select("seq")
 
 
-def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what there is, into a table in the shared folder, and read that."""
-    base = stream_folder(spark)
+def _drained(spark: SparkSession, stream: DataFrame, mode: str, base: str | None = None) -> DataFrame:
+    """Run a stream over what there is, into a table in the shared folder, and read that. With the same `base` it goes on where it ended."""
+    base = base or stream_folder(spark)
     writer = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode(mode).trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -174,28 +175,22 @@ def stream_change_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/offers/changes").select("product_id", "store_id", "seq", "value")
 
 
-def _put(spark: SparkSession, rows: DataFrame, order: str, n: int, folder: str, these: range) -> DataFrame:
-    """Of `n` stretches of `order`, a file for each of `these`, written one after the other; a stream that reads the folder a file at a time."""
+def _in_turns(spark: SparkSession, rows: DataFrame, order: str, n: int, folder: str) -> Iterator[DataFrame]:
+    """`n` times a stream of `folder`, each time with one more of `n` stretches of `order`, written by all tasks. A run over what there is takes it as one micro-batch."""
     ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     place = F.lit(0) if ends.lo is None else F.least(F.floor((F.col(order) - ends.lo) / F.lit((ends.hi - ends.lo + 1) / n)), F.lit(n - 1))
-    for k in these:
-        rows.where(place == k).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-def _in_batches(spark: SparkSession, rows: DataFrame, order: str, n: int) -> DataFrame:
-    """A stream of `rows` in `n` micro-batches, in stretches of `order`."""
-    return _put(spark, rows, order, n, f"{stream_folder(spark)}/in", range(n))
+    for k in range(n):
+        rows.where(place == k).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(rows.schema).parquet(folder)
 
 
 @query(f"""WITH {EVENTS} SELECT product_id, store_id, seq, CAST(k // 20 AS VARCHAR) AS value FROM obs
 QUALIFY CAST(k // 20 AS VARCHAR) IS DISTINCT FROM lag(CAST(k // 20 AS VARCHAR)) OVER (PARTITION BY product_id, store_id ORDER BY seq)""")
 def stream_change_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change-only ingest of four micro-batches, two before and two after the stream is started again: a batch touches the buckets of its keys alone."""
+    """Change-only ingest of four micro-batches, the stream started again for each: a batch touches the buckets of its keys alone."""
     rows, base = events(spark, sf_dir).select("product_id", "store_id", "seq", "k"), stream_folder(spark)
     write = lambda batch, batch_id: changes.ingest_batch(batch, batch_id, f"{base}/offers", ["product_id", "store_id"], F.expr("cast(k div 20 as string)"), 64)
-    for these in (range(2), range(2, 4)):
-        stream = _put(spark, rows, "seq", 4, f"{base}/in", these)
+    for stream in _in_turns(spark, rows, "seq", 4, f"{base}/in"):
         stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/offers/changes").select("product_id", "store_id", "seq", "value")
 
@@ -261,10 +256,12 @@ def listing_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EVENTS}, w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, observed_at) AS window_start FROM obs)
 SELECT seq, window_start, row_number() OVER (PARTITION BY product_id, window_start ORDER BY observed_at, seq) <= 2 AS admitted FROM w""")
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests judged as they come, in three micro-batches, give what the whole table gives."""
+    """Requests judged as they come, in three micro-batches, the stream started again for each, give what the whole table gives."""
     given = events(spark, sf_dir).select(F.col("product_id").alias("bucket_key"), F.col("observed_at").cast("timestamp").alias("at"), "seq").withColumn("us", F.unix_micros("at"))
+    base = stream_folder(spark)
     with timers.keyed_state(spark):
-        out = _drained(spark, timers.admitted_stream(_in_batches(spark, given, "us", 3).drop("us"), timedelta(hours=6), 2, "1 hour"), "append")
+        for stream in _in_turns(spark, given, "us", 3, f"{base}/in"):
+            out = _drained(spark, timers.admitted_stream(stream.drop("us"), timedelta(hours=6), 2, "1 hour"), "append", base)
     return out.select("seq", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "admitted")
 
 
@@ -273,8 +270,10 @@ WHERE date_trunc('millisecond', expires_at) <= (SELECT date_trunc('millisecond',
 def stream_sessions_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that end while the stream runs, by timers."""
     given = _sessions(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"), "session_id", F.col("created_at").cast("timestamp").alias("created_at"), F.col("expires_at").cast("timestamp").alias("expires_at"))
+    base = stream_folder(spark)
     with timers.keyed_state(spark):
-        out = _drained(spark, timers.expired_sessions(_in_batches(spark, given.withColumn("us", F.unix_micros("created_at")), "us", 3).drop("us"), "1 hour"), "append")
+        for stream in _in_turns(spark, given.withColumn("us", F.unix_micros("created_at")), "us", 3, f"{base}/in"):
+            out = _drained(spark, timers.expired_sessions(stream.drop("us"), "1 hour"), "append", base)
     return out.select("session_id", "user_id", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 

@@ -8,9 +8,10 @@ from contextlib import contextmanager
 from datetime import timedelta
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +19,8 @@ PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sq
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 #: Windows that stay before they are purged: fixed value.
 KEPT_WINDOWS = 2
+#: Shares of a window's keys, and of all sessions. State written with others is not found again.
+SHARES, SESSION_SHARES = 32, 512
 
 
 @contextmanager
@@ -31,6 +34,11 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(PROVIDER[0]) if before is None else spark.conf.set(PROVIDER[0], before)
 
 
+def share(*columns: str, n: int) -> Column:
+    """A number below `n` by the hash of these columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(n))
+
+
 class _Limit(StatefulProcessor):
     """Per key, how many requests each open window has had."""
 
@@ -91,37 +99,37 @@ def admitted_stream(requests: DataFrame, width: timedelta, limit: int, late: str
 
 
 class _Expiry(StatefulProcessor):
-    """Per user, when each open session ends."""
+    """Per share of the sessions, when each open one ends. One timer a share, at its earliest end."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "session_id string", "expires_ms long")
-
-    @staticmethod
-    def told(key: Any, ended: list[tuple[str, int]]) -> pd.DataFrame:
-        names = [pd.Series(v, dtype=object) for v in ([key[0]] * len(ended), [s for s, _ in ended])]
-        return pd.DataFrame({"user_id": names[0], "session_id": names[1], "expires_ms": pd.Series([e for _, e in ended], dtype="int64")})
+        self.open = handle.getListState("open", "user_id string, session_id string, expires_ms long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, ended = timerValues.getCurrentWatermarkInMs(), []
+        ends = self.stored()
         for part in rows:
-            for session, expires in zip(part["session_id"], part["expires_ms"].tolist(), strict=True):
-                if expires <= now:
-                    ended.append((session, expires))
-                    self.open.removeKey((session,))
-                    continue
-                if self.open.containsKey((session,)):
-                    expires = max(expires, self.open.getValue((session,))[0])
-                self.open.updateValue((session,), (expires,))
-                self.handle.registerTimer(expires)
-        yield self.told(key, ended)
+            for user, session, end in zip(part["user_id"], part["session_id"], part["expires_ms"].tolist(), strict=True):
+                ends[user, session] = max(end, ends.get((user, session), end))
+        yield self.ended(ends, timerValues)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        ended = [(s[0], e[0]) for s, e in self.open.iterator() if e[0] <= now]
-        for session, _ in ended:
-            self.open.removeKey((session,))
-        yield self.told(key, ended)
+        yield self.ended(self.stored(), timerValues)
+
+    def stored(self) -> dict[tuple[str, str], int]:
+        return {(user, session): end for user, session, end in self.open.get()}
+
+    def ended(self, ends: dict[tuple[str, str], int], timer_values: Any) -> pd.DataFrame:
+        """The sessions that have ended; the others are stored."""
+        now = timer_values.getCurrentWatermarkInMs()
+        stay = [(user, session, end) for (user, session), end in ends.items() if end > now]
+        self.open.put(stay) if stay else self.open.clear()
+        due = min((end for _, _, end in stay), default=None)
+        timers = set(self.handle.listTimers())
+        for other in timers - {due}:
+            self.handle.deleteTimer(other)
+        if due is not None and due not in timers:
+            self.handle.registerTimer(due)
+        return pd.DataFrame([(user, session, end) for (user, session), end in ends.items() if end <= now], columns=["user_id", "session_id", "expires_ms"]).astype({"expires_ms": "int64"})
 
     def close(self) -> None:
         pass
@@ -131,8 +139,9 @@ def expired_sessions(sessions: DataFrame, late: str) -> DataFrame:
     """(user_id, session_id, expires_at) of each session once, when the watermark, `late` behind the newest session, passes its end.
 
     sessions: a stream of (user_id string, session_id string, created_at timestamp, expires_at timestamp); a session told again lives until its latest end.
-    State: the open sessions alone.
+    State: the open sessions alone, in SESSION_SHARES by their hash, so that neither the calls of a micro-batch nor the largest group grow with a
+    user's sessions. A share is read and written whole when one of its sessions comes or ends.
     """
     rows = sessions.withWatermark("created_at", late).select("created_at", "user_id", "session_id", F.unix_millis("expires_at").alias("expires_ms"))
-    told = rows.groupBy("user_id").transformWithStateInPandas(_Expiry(), "user_id string, session_id string, expires_ms long", "Append", "EventTime")
+    told = rows.withColumn("share", share("user_id", "session_id", n=SESSION_SHARES)).groupBy("share").transformWithStateInPandas(_Expiry(), "user_id string, session_id string, expires_ms long", "Append", "EventTime")
     return told.select("user_id", "session_id", F.timestamp_millis("expires_ms").alias("expires_at"))
