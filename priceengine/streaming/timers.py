@@ -40,45 +40,50 @@ def share(*columns: str, n: int) -> Column:
 
 
 class _Limit(StatefulProcessor):
-    """Per key, how many requests each open window has had."""
+    """Per window and share of the keys, how many requests each key has had."""
 
     def __init__(self, limit: int, width_ms: int):
         self.limit, self.width_ms = limit, width_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "window_ms long", "n long")
+        self.counts = handle.getListState("counts", "bucket_key string, n long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        room: dict[int, int] = {}  # requests that each window still admits
-        came: dict[int, int] = {}
+        came: dict[str | None, int] = dict(self.counts.get())
+        if not came:
+            self.handle.registerTimer(int(key[0]) + KEPT_WINDOWS * self.width_ms)
+        room: dict[str | None, int] = {}  # requests of each key that are still admitted
         first = None  # the earliest so far, no more than there is room for
         for part in rows:
-            for window, n in part.groupby("window_ms").size().items():
-                if window not in room:
-                    known = self.counts.containsKey((int(window),))
-                    came[window] = self.counts.getValue((int(window),))[0] if known else 0
-                    room[window] = max(self.limit - came[window], 0)
-                    if not known:
-                        self.handle.registerTimer(int(window) + KEPT_WINDOWS * self.width_ms)
-                came[window] += int(n)
+            for name, n in zip(*self.sizes(part), strict=True):
+                if name not in room:
+                    room[name] = max(self.limit - came.get(name, 0), 0)
+                came[name] = came.get(name, 0) + n
             part = (part if first is None else pd.concat([first, part])).sort_values(["at_us", "seq"], kind="stable")
-            early = part.groupby("window_ms").cumcount() < part["window_ms"].map(room)
+            codes, names = self.coded(part)
+            early = part.groupby(codes).cumcount().to_numpy() < np.array([room[n] for n in names], dtype="int64")[codes]
             first = part[early]
             yield self.told(key, part[~early], False)
-        for window, n in came.items():
-            self.counts.updateValue((int(window),), (n,))
+        self.counts.put(list(came.items()))
         if first is not None:
             yield self.told(key, first, True)
 
+    @staticmethod
+    def coded(rows: pd.DataFrame) -> tuple[np.ndarray, list[str | None]]:
+        codes, names = pd.factorize(rows["bucket_key"], use_na_sentinel=False)
+        return codes, [None if pd.isna(n) else n for n in names]
+
+    def sizes(self, rows: pd.DataFrame) -> tuple[list[str | None], list[int]]:
+        codes, names = self.coded(rows)
+        return names, np.bincount(codes, minlength=len(names)).tolist()
+
     @staticmethod
     def told(key: Any, rows: pd.DataFrame, admitted: bool) -> pd.DataFrame:
-        return pd.DataFrame({"bucket_key": pd.Series(key[0], rows.index, object), "seq": rows["seq"], "window_ms": rows["window_ms"], "admitted": admitted})
+        return rows[["bucket_key", "seq"]].assign(window_ms=int(key[0]), admitted=admitted)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        window = expiredTimerInfo.getExpiryTimeInMs() - KEPT_WINDOWS * self.width_ms
-        if self.counts.containsKey((window,)):
-            self.counts.removeKey((window,))
+        self.counts.clear()
         return iter(())
 
     def close(self) -> None:
@@ -90,11 +95,12 @@ def admitted_stream(requests: DataFrame, width: timedelta, limit: int, late: str
 
     requests: a stream of (bucket_key string, at timestamp, seq long). A micro-batch is taken in order of (at, seq); of a hot key no more
     than the earliest `limit` requests of each window wait in memory, others are rejected as they stream by. A window's count goes once the
-    watermark, `late` behind the newest request, is KEPT_WINDOWS windows past its start; later requests are dropped.
+    watermark, `late` behind the newest request, is KEPT_WINDOWS windows past its start; later requests are dropped. Windows are cut in SHARES of
+    their keys, so that the calls of a micro-batch grow with its windows, not with its keys.
     """
     ms = int(width.total_seconds() * 1000)
     rows = requests.withWatermark("at", late).select("at", "bucket_key", "seq", F.unix_micros("at").alias("at_us"), F.unix_millis(F.window("at", f"{ms} milliseconds")["start"]).alias("window_ms"))
-    told = rows.groupBy("bucket_key").transformWithStateInPandas(_Limit(limit, ms), "bucket_key string, seq long, window_ms long, admitted boolean", "Append", "EventTime")
+    told = rows.withColumn("share", share("bucket_key", n=SHARES)).groupBy("window_ms", "share").transformWithStateInPandas(_Limit(limit, ms), "bucket_key string, seq long, window_ms long, admitted boolean", "Append", "EventTime")
     return told.select("bucket_key", "seq", F.timestamp_millis("window_ms").alias("window_start"), "admitted")
 
 

@@ -71,6 +71,17 @@ def test_a_session_told_again_with_a_past_end_stays_open(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("u", "a", hour(50))]
 
 
+def test_requests_of_a_window_are_counted_in_few_calls(spark):
+    limit, handle = timers._Limit(2, 3_600_000), Handle()
+    limit.init(handle)
+    rows = pd.DataFrame({"bucket_key": [f"k{i % 500}" for i in range(2000)] + [None] * 4, "at_us": range(2004), "seq": range(2004)})
+    for part, admitted in ((rows[:500], 500), (rows[500:], 502)):
+        told = pd.concat(limit.handleInputRows((7, 0), iter([part[::2], part[1::2]]), now(0)))
+        assert sorted(told["seq"]) == part["seq"].tolist()
+        assert sorted(told["seq"][told["admitted"]]) == [i for i in part["seq"] if i < 1000 or i in (2000, 2001)] and told["admitted"].sum() == admitted
+    assert handle.calls <= 6 and dict(handle.rows) == {f"k{i}": 4 for i in range(500)} | {None: 4}
+
+
 def test_a_stretch_is_written_by_all_tasks_and_read_at_once(spark, tmp_path):
     rows = spark.range(0, 4000, 1, 4).selectExpr("(id * 1009) % 4000 as id")
     folder, files = f"{tmp_path}/in", []
