@@ -1,4 +1,4 @@
-"""Captured pages as a source: a folder for each capture, a file for each page, checked before anything of them is used."""
+"""Captured pages as a source: a folder for each capture, a file for each page, or packs of many pages, checked before anything of them is used."""
 
 from __future__ import annotations
 
@@ -18,6 +18,16 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return files.where(page != "").select(F.regexp_replace(capture, "^capture=", "").alias("capture"), page.cast("int").alias("page"), "payload")
 
 
+def pack(pages: DataFrame, path: str) -> None:
+    """Pages (capture, page, payload) as packs: each task writes one file for all its pages, so that files to make, move and list do not grow with the pages."""
+    pages.select(F.col("capture").cast("string"), F.col("page").cast("int"), "payload").write.parquet(path)
+
+
+def read_packs(spark: SparkSession, path: str) -> DataFrame:
+    """(capture, page, payload) of packs, payloads as they were captured."""
+    return spark.read.schema("capture string, page int, payload string").parquet(path)
+
+
 def item_pages(payload: Column, size: int) -> tuple[Column, Column]:
     """(pages that a JSON page says there are, the store that it names)."""
     total = F.get_json_object(payload, "$.products.totalItems").cast("long")
