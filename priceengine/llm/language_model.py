@@ -14,10 +14,12 @@ but not the same (3 customers, base 0.5, 3 other tables, strength 10, discount 0
 of 0.7700). SAMPLES chains with random numbers of their own make SWEEPS sweeps each, and the predictive probabilities of
 their last states are averaged. A word pair that occurs once has one table in every state, so only the others are seated.
 
-Where it runs: tokens and pairs are counted, seated, spelt and scored in Spark tasks over all of the corpus; pairs,
-contexts and vocabulary are tables that are joined, never collected. Byte contexts have CLASSES classes, so the spelling
-model has a bounded number of cells at any corpus size; those that occur come to the driver, in sorted arrays. No more than TOP of the
-most frequent words, contexts and pairs are broadcast, as a cache: the values are those of the tables.
+Where it runs: documents are cut once into chunks, runs of texts as numbers of words. Pairs and words are dealt out by hash to
+blocks of some BLOCK tokens each; what a block holds or tells another travels as packed columns, a row for each two blocks. In a sweep the blocks
+of words add up the tables that blocks of pairs tell them, seat the words and tell back; then the pairs are seated. To score, a chunk asks for its
+different pairs and words. Nothing of these passes the driver but sums. A block has all rows of its hashes, pairs by the hash of both words, so a frequent
+word is in no block more than once. Byte contexts have CLASSES classes, so the spelling model has a bounded number of cells at any
+corpus size; those that occur come to the driver, in sorted arrays. Words and pairs are told apart by hashes of 64 bits.
 
 Cases: null and empty texts are the end token alone. Unseen words are spelt; after an unseen word the unigram restaurant
 speaks. A text without any white space is one word, whose probability is kept as a logarithm. Repeated rows count and are
@@ -27,6 +29,7 @@ by the uniform base. An empty table gives an empty one. Other columns are not re
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -39,7 +42,9 @@ from pyspark.sql import functions as F
 from priceengine.llm.kernels import FOLD, mix, slices, text_rows, token_hashes, utf8
 from priceengine.llm.staging import map_arrow, release, shuffles_dropped, staged
 
-TOP, SAMPLES, BURN_IN, SWEEPS, THETA = 100_000, 3, 4, 4, 10.0
+SAMPLES, BURN_IN, SWEEPS, THETA = 3, 4, 4, 10.0
+#: Tokens of a chunk of documents, at which the next begins; training tokens for each block of words and pairs; parts in which pairs are looked up.
+TOP, BLOCK, PASSES = 2_000_000, 2_000_000, 2
 END = 0x20
 CLASSES, LEVELS = 72, 4
 PAST = LEVELS - 1
@@ -188,7 +193,9 @@ def spell_logs(model: Spelling, data: np.ndarray, starts: np.ndarray, ends: np.n
     if not len(starts):
         return np.zeros((model.samples, 0))
     context, symbol, first = spelt(data, starts, ends)
-    return np.add.reduceat(model.logs(context, symbol), first, axis=1)
+    cells, which = np.unique(context * 256 + symbol, return_inverse=True)
+    logs = model.logs(cells // 256, cells % 256)
+    return np.stack([np.add.reduceat(x[which], first) for x in logs])
 
 
 def token_pairs(batch: pa.RecordBatch, limit: int) -> Iterator[tuple]:
@@ -206,68 +213,289 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(before) + word)
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """(token, h, c): the vocabulary with counts, and the end token, whose token is empty."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, starts, ends, _, hashed, _ in token_pairs(batch, 4 << 20):
-                kinds, first, n = np.unique(hashed, return_index=True, return_counts=True)
-                token = slices(FOLD[data], starts[first], ends[first]).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([token, pa.array(kinds.view(np.int64)), pa.array(n)], ["token", "h", "n"])
+def pack(values: np.ndarray) -> bytes:
+    """64-bit numbers by planes of bytes, without the upper planes that are zero; what is alike stands together for the compression of shuffles and files."""
+    v = np.ascontiguousarray(values).view(np.uint64)
+    k = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+    return bytes([k]) + v.view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes()
 
-    found = map_arrow(train.select("text"), run, "token string, h long, n long")
-    return found.groupBy("token").agg(F.min("h").alias("h"), F.sum("n").alias("c"))
 
+def unpack(packed: bytes) -> np.ndarray:
+    k = packed[0]
+    n = (len(packed) - 1) // k
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :k] = np.frombuffer(packed, np.uint8, offset=1).reshape(k, n).T
+    return out.reshape(-1).view(np.int64)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed).view(np.uint64), dtype=np.uint64)
+
+
+def pack_each(values: np.ndarray) -> list[bytes]:
+    """Samples by rows of whole numbers, one part a sample."""
+    return [pack(v.astype(np.int64)) for v in values]
+
+
+def unpack_each(packed: list[bytes]) -> np.ndarray:
+    return np.stack([unpack(x) for x in packed])
+
+
+def floats(packed: bytes, kind: type = np.float32) -> np.ndarray:
+    return np.frombuffer(packed, kind).reshape(SAMPLES, -1)
+
+
+#: A stretch of a table as columns of numbers: block or chunk that it goes to, what it is, where it is from, sums over it, its packed columns.
+ROWS = "to long, kind string, at long, sums array<double>, parts array<binary>"
 
-def count_pairs(train: DataFrame) -> DataFrame:
-    """(u, w, c): how often word w stands behind word u."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, _, _, _, _, hashed, before in token_pairs(batch, 4 << 20):
-                _, first, n = np.unique(pair_keys(before, hashed), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(hashed[first].view(np.int64)), pa.array(n)], ["u", "w", "n"])
 
-    return map_arrow(train.select("text"), run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
+def as_rows(rows: Iterator[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["to", "kind", "at", "sums", "parts"])
 
 
-def spelling_counts(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, symbol, customers) from (token, t): the cells that occur, of at most CLASSES ** PAST * 256."""
+def each_row(rows: DataFrame, task: Callable[[int, str, list[bytes]], Iterator[tuple]]) -> DataFrame:
+    """What `task` makes of (to, kind, parts), row by row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(0))
-            tables = np.asarray(batch.column(1))
-            context, symbol, first = spelt(data, off[:-1], off[1:])
-            weight = np.repeat(tables, np.diff(np.append(first, len(context))))
-            cells, which = np.unique(context * 256 + symbol, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.bincount(which, weight, len(cells)).astype(np.int64))], ["cell", "n"])
+            for k in range(len(batch)):
+                yield as_rows(task(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py()))
 
-    rows = map_arrow(vocabulary.select("token", "t"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
-    cell, n = rows["cell"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    return cell // 256, cell % 256, n
+    return map_arrow(rows.select("to", "kind", "parts"), run, ROWS)
 
 
-def lists(values: np.ndarray) -> pa.Array:
-    """Rows by samples as a list column."""
-    n, each = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * each + 1, each), pa.int32()), pa.array(values.ravel()))
+def each_block(rows: DataFrame, task: Callable[[int, dict], Iterator[tuple]]) -> DataFrame:
+    """What `task` makes of all rows that go to one block: by kind, the list of (at, parts)."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([as_rows(task(key[0].as_py(), by_kind(table)))])
 
+    return rows.groupBy("to").applyInArrow(run, ROWS)
 
-def by_row(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(len(column), SAMPLES)
 
+def by_kind(table: pa.Table) -> dict[str, list[tuple[int, list[bytes]]]]:
+    found = defaultdict(list)
+    for kind, at, parts in zip(*(table.column(c).to_pylist() for c in ("kind", "at", "parts")), strict=True):
+        found[kind].append((at, parts))
+    return found
+
+
+def by_places(to: np.ndarray, blocks: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by block, else as before, and (block, begin, end) of the blocks that occur."""
+    to = to.astype(np.uint16 if blocks <= 1 << 16 else np.int64)  # short numbers are sorted by radix
+    order = np.argsort(to, kind="stable")
+    n = np.bincount(to, minlength=blocks)
+    ends = np.cumsum(n)
+    return order, [(k, int(ends[k] - n[k]), int(ends[k])) for k in np.flatnonzero(n).tolist()]
 
-def with_spelling(words: DataFrame, model: Spelling) -> DataFrame:
-    """`words` with logs: the natural logs of their spelling, by sample."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
+
+def dealt(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by block and key, and (block, begin, end) of the blocks that occur."""
+    order = np.argsort(keys)
+    by, there = by_places(keys[order] % np.uint64(blocks), blocks)
+    return order[by], there
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys, where in it each different key begins)."""
+    order = np.argsort(keys)
+    found = keys[order]
+    return order, np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+
+
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different values in order, the place of each value among them)."""
+    order, begin = runs(values)
+    which = np.empty(len(values), np.int64)
+    which[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(values))))
+    return values[order[begin]], which
+
+
+def used(size: int, *places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which of `size` things the places name, and the places among those."""
+    there = np.zeros(size, bool)
+    for p in places:
+        there[p] = True
+    at = np.cumsum(there) - 1
+    return np.flatnonzero(there), *(at[p] for p in places)
+
+
+def chunked(docs: DataFrame, id_col: str, train: Column) -> DataFrame:
+    """Runs of documents as numbers of words: ids, which are null, tokens of each, words in order, the words: hashes, lengths and bytes, and which are for training; sums: tokens of these."""
+    limit = TOP
+
+    def chunk(number: int, held: list[tuple]) -> pa.RecordBatch:
+        ids, trains, tokens, kinds, spelt, which = zip(*held, strict=True)
+        hashes, first, at = np.unique(np.concatenate(kinds), return_index=True, return_inverse=True)
+        before = np.cumsum([0, *map(len, kinds)])
+        words = np.concatenate([at[w + b] for w, b in zip(which, before, strict=False)])
+        order = np.argsort(-np.bincount(words, minlength=len(hashes)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        data, off = utf8(pa.concat_arrays(spelt).take(pa.array(first[order])))
+        ids = pa.concat_arrays(ids)
+        nulls = np.asarray(ids.is_null()).astype(np.uint8).tobytes()
+        tokens, trains = np.concatenate(tokens), np.concatenate(trains)
+        parts = [np.asarray(ids.fill_null(0)).tobytes(), nulls, pack(tokens), pack(rank[words]), pack(hashes[order]), pack(np.diff(off)), data.tobytes(), trains.tobytes()]
+        return as_rows([(number, "chunk", number, [float(tokens[trains].sum())], parts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            data, off = utf8(batch.column(0))
-            logs = spell_logs(shared.value, data, off[:-1], off[1:])
-            logs = np.ascontiguousarray(np.broadcast_to(logs, (SAMPLES, logs.shape[1])).T)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists(logs)], ["token", "h", "c", "once", "kinds", "logs"])
-
-    return map_arrow(words.select("token", "h", "c", "once", "kinds"), run, "token string, h long, c long, once long, kinds long, logs array<double>")
+            for i, j, data, starts, ends, rows, hashed, _ in token_pairs(batch, min(4 << 20, limit)):
+                order, begin = runs(hashed)
+                first, which = order[begin], np.empty(len(hashed), np.int64)
+                which[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(hashed))))
+                kinds, trains = hashed[first], np.asarray(batch.column(1).slice(i, j - i)).astype(bool)
+                held.append((batch.column(0).slice(i, j - i), trains, np.bincount(rows, minlength=j - i), kinds, slices(FOLD[data], starts[first], ends[first]), which))
+                n += len(hashed)
+                if n >= limit:
+                    yield chunk(number, held)
+                    number, held, n = number + 1, [], 0
+        if held:
+            yield chunk(number, held)
+
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), train.cast("int").alias("train"), "text"), run, ROWS)
+
+
+def chunk_pairs(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, a number for each token of the word before it and the word: place of the one times all hashes and place of the other)."""
+    order = np.argsort(hashes)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    hashes, words = hashes[order], place[words]
+    # the end token of the text before stands before a first word
+    return hashes, np.append(np.searchsorted(hashes, END_HASH), words[:-1])[: len(words)] * len(hashes) + words
+
+
+def for_training(parts: list[bytes]) -> np.ndarray:
+    return unpack(parts[3])[np.repeat(np.frombuffer(parts[7], bool), unpack(parts[2]))]
+
+
+def count_words(chunks: DataFrame, blocks: int) -> DataFrame:
+    """The vocabulary with counts and the end token, whose token is empty, by block: hashes, counts, lengths, bytes."""
+    def ask(_: int, __: str, parts: list[bytes]) -> Iterator[tuple]:
+        words, hashes, lengths, data = for_training(parts), unpack(parts[4]).view(np.uint64), unpack(parts[5]), np.frombuffer(parts[6], np.uint8)
+        n, ends = np.bincount(words, minlength=len(hashes)), np.cumsum(lengths)
+        seen = np.flatnonzero(n)
+        order, there = dealt(hashes[seen], blocks)
+        for to, i, j in there:
+            of = seen[order[i:j]]
+            yield to, "words", 0, None, [pack_sorted(hashes[of]), pack(n[of]), pack(lengths[of]), slices(data, ends[of] - lengths[of], ends[of]).buffers()[2].to_pybytes()]
+
+    def merge(to: int, found: dict) -> Iterator[tuple]:
+        parts = [p for _, p in found["words"]]
+        hashes = np.concatenate([unpack_sorted(p[0]) for p in parts])
+        order, begin = runs(hashes)
+        first, n = order[begin], np.add.reduceat(np.concatenate([unpack(p[1]) for p in parts])[order], begin)
+        hashes = hashes[first]
+        lengths, data = np.concatenate([unpack(p[2]) for p in parts]), np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
+        ends = np.cumsum(lengths)
+        token = slices(data, (ends - lengths)[first], ends[first])
+        yield to, "words", to, None, [pack_sorted(hashes), pack(n), pack(lengths[first]), token.buffers()[2].to_pybytes()]
+
+    return each_block(each_row(chunks, ask), merge)
+
+
+def count_pairs(chunks: DataFrame, blocks: int) -> DataFrame:
+    """How often word w stands behind word u, by block, in the order of u: the words, places of u and w among them, counts; sums: pairs seen once and twice."""
+    def ask(_: int, __: str, parts: list[bytes]) -> Iterator[tuple]:
+        hashes, code = chunk_pairs(unpack(parts[4]).view(np.uint64), for_training(parts))
+        code, n = np.unique(code, return_counts=True)
+        u, w = code // len(hashes), code % len(hashes)
+        order, there = by_places(pair_keys(hashes[u], hashes[w]) % np.uint64(blocks), blocks)
+        for to, i, j in there:
+            of = order[i:j]
+            nodes, ui, wi = used(len(hashes), u[of], w[of])
+            yield to, "pairs", 0, None, packed_pairs(hashes[nodes], ui, wi, n[of])
+
+    def merge(to: int, found: dict) -> Iterator[tuple]:
+        u, w, n = (np.concatenate(x) for x in zip(*(pair_columns(p) for _, p in found["pairs"]), strict=True))
+        order, begin = runs(pair_keys(u, w))
+        n = np.add.reduceat(n[order], begin)
+        u, w = u[order[begin]], w[order[begin]]
+        order = np.argsort(u)
+        n = n[order]
+        nodes, which = numbered(np.concatenate([u[order], w[order]]))
+        yield to, "pairs", to, [float((n == 1).sum()), float((n == 2).sum())], packed_pairs(nodes, which[: len(n)], which[len(n) :], n)
+
+    return each_block(each_row(chunks, ask), merge)
+
+
+def packed_pairs(nodes: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Pairs in the order of u."""
+    return [pack_sorted(nodes), pack(np.diff(u, prepend=0)), pack(w), pack(n)]
+
+
+def pair_places(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(words, places of u and w among them, counts)."""
+    return unpack_sorted(parts[0]), np.cumsum(unpack(parts[1])), unpack(parts[2]), unpack(parts[3])
+
+
+def pair_columns(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, w, counts)."""
+    nodes, u, w, c = pair_places(parts)
+    return nodes[u], nodes[w], c
+
+
+def with_kinds(words: DataFrame, pairs: DataFrame, blocks: int) -> DataFrame:
+    """`words` with the pairs that end in each word, those of them seen once, and those seen once that begin with it; sums over all words."""
+    def tell(at: int, _: str, parts: list[bytes]) -> Iterator[tuple]:
+        nodes, before, behind, c = pair_places(parts)
+        counts = [np.bincount(behind, minlength=len(nodes)), np.bincount(behind[c == 1], minlength=len(nodes)), np.bincount(before[c == 1], minlength=len(nodes))]
+        order, there = dealt(nodes, blocks)
+        for to, i, j in there:
+            yield to, "kinds", at, None, [pack_sorted(nodes[order[i:j]]), *[pack(x[order[i:j]].astype(np.int64)) for x in counts]]
+
+    def add(to: int, found: dict) -> Iterator[tuple]:
+        parts = found["words"][0][1]
+        hashes, c = unpack_sorted(parts[0]), unpack(parts[1])
+        counts = np.zeros((3, len(hashes)), np.int64)
+        for _, p in found["kinds"]:
+            counts[:, np.searchsorted(hashes, unpack_sorted(p[0]))] += np.stack([unpack(x) for x in p[1:]])
+        kinds = counts[0]
+        yield to, "words", to, [float(x) for x in (c.sum(), len(c), kinds.sum(), (kinds == 1).sum(), (kinds == 2).sum())], [*parts, *map(pack, counts)]
+
+    return each_block(words.unionByName(each_row(pairs, tell)), add)
+
+
+def sums_of(rows: DataFrame, n: int) -> np.ndarray:
+    """The n sums over all rows."""
+    return np.array([float(x or 0) for x in rows.agg(*[F.sum(F.col("sums")[k]) for k in range(n)]).first()])
+
+
+def word_bytes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end) of the words of a block."""
+    lengths = unpack(parts[2])
+    ends = np.cumsum(lengths)
+    return np.frombuffer(parts[3], np.uint8), ends - lengths, ends
+
+
+def spelling_counts(words: DataFrame, blocks: int, tables: Callable[[list[bytes]], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, symbol, customers) of the words, each with its `tables`: the cells that occur, of at most CLASSES ** PAST * 256."""
+    def ask(_: int, __: str, parts: list[bytes]) -> Iterator[tuple]:
+        data, starts, ends = word_bytes(parts)
+        context, symbol, first = spelt(data, starts, ends)
+        weight = np.repeat(tables(parts), np.diff(np.append(first, len(context))))
+        cells, which = np.unique(context * 256 + symbol, return_inverse=True)
+        n, cells = np.bincount(which, weight, len(cells)).astype(np.int64), cells.view(np.uint64)
+        order, there = dealt(cells, blocks)
+        for to, i, j in there:
+            yield to, "cells", 0, None, [pack_sorted(cells[order[i:j]]), pack(n[order[i:j]])]
+
+    def merge(to: int, found: dict) -> Iterator[tuple]:
+        cells, which = np.unique(np.concatenate([unpack_sorted(p[0]) for _, p in found["cells"]]), return_inverse=True)
+        yield to, "cells", to, None, [pack_sorted(cells), pack(np.bincount(which, np.concatenate([unpack(p[1]) for _, p in found["cells"]])).astype(np.int64))]
+
+    found = [r.parts for r in each_block(each_row(words, ask), merge).select("parts").collect()]
+    cells = np.concatenate([np.zeros(0, np.int64), *[unpack_sorted(p[0]).view(np.int64) for p in found]])
+    n = np.concatenate([np.zeros(0, np.int64), *[unpack(p[1]) for p in found]])
+    order = np.argsort(cells)
+    return cells[order] // 256, cells[order] % 256, n[order]
 
 
 @dataclass
@@ -282,217 +510,351 @@ class Root:
         """The mass that goes to the spelling."""
         return (THETA + self.d * self.tables) / (THETA + self.customers)
 
+    def p(self, m: np.ndarray, t: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """Probabilities of words from customers, tables and spelling, samples by words."""
+        mass = (THETA + self.d * self.tables)[:, None]
+        return (m - self.d * t + mass * spelt) / (THETA + self.customers)[:, None]
 
-def seat_words(words: DataFrame, root: Root, seed: int) -> tuple[DataFrame, Root]:
-    """(token, h, c, m, t0, logs) from (token, h, c, m, logs), with tables in the unigram restaurant, and the sums over all words. m: customers by sample."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashed, m, logs = np.asarray(batch.column(1)).view(np.uint64), by_row(batch.column(3)), by_row(batch.column(4))
-            others = [np.full(len(hashed), max(x - 1.0, 0.0)) for x in root.tables]
-            t0 = np.stack([seat(m[:, s], np.exp(logs[:, s]), others[s], root.d, THETA, mix(hashed + np.uint64(seed + 1000 * s))) for s in range(SAMPLES)], 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists(t0), batch.column(4)], ["token", "h", "c", "m", "t0", "logs"])
-
-    rows = map_arrow(words.select("token", "h", "c", "m", "logs"), run, "token string, h long, c long, m array<long>, t0 array<long>, logs array<double>")
-    rows = staged(rows, "seated")
-    said = rows.agg(*[F.sum(F.col("m")[s]) for s in range(SAMPLES)], *[F.sum(F.col("t0")[s]) for s in range(SAMPLES)]).first()
-    sums = np.array([float(x or 0) for x in said])
-    return rows, Root(sums[:SAMPLES], sums[SAMPLES:], root.d)
-
-
-def seat_pairs(many: DataFrame, d: float, seed: int) -> DataFrame:
-    """(u, w, c, t) from (u, w, c, t, p1, all): p1: probabilities of w in the parent; all: tables of the restaurant; by sample."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pair_keys(*(np.asarray(batch.column(k)).view(np.uint64) for k in range(2)))
-            c, t, p1, tables = np.asarray(batch.column(2)), by_row(batch.column(3)), by_row(batch.column(4)), by_row(batch.column(5))
-            new = [seat(c, p1[:, s], (tables[:, s] - t[:, s]).astype(float), d, THETA, mix(keys + np.uint64(seed + 1000 * s))) for s in range(SAMPLES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists(np.stack(new, 1))], ["u", "w", "c", "t"])
 
-    return map_arrow(many.select("u", "w", "c", "t", "p1", "all"), run, "u long, w long, c long, t array<long>")
+def seat_words(hashes: np.ndarray, m: np.ndarray, logs: np.ndarray, root: Root, seed: int) -> np.ndarray:
+    """Tables in the unigram restaurant, samples by words; m: customers."""
+    others = [np.full(len(hashes), max(x - 1.0, 0.0)) for x in root.tables]
+    return np.stack([seat(m[s], np.exp(logs[s]), others[s], root.d, THETA, mix(hashes + np.uint64(seed + 1000 * s))) for s in range(SAMPLES)])
 
 
-def each(of: Callable[[int], Column]) -> Column:
-    return F.array(*[of(s) for s in range(SAMPLES)])
-
+def first_seating(words: DataFrame, model: Spelling, root: Root, seed: int) -> DataFrame:
+    """Words with one table for each pair: lengths and bytes, and tables in the first sample; sums: customers and tables by sample."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
 
-def with_tables(keyed: DataFrame, key: str, many: DataFrame, side: str, name: str) -> DataFrame:
-    """`keyed` with the tables of all pairs of each key by sample: one of each pair seen once, and those of `many`."""
-    sums = many.groupBy(F.col(side).alias(key)).agg(*[F.sum(F.col("t")[s]).alias(f"__{s}") for s in range(SAMPLES)])
-    met = keyed.join(sums, key, "left").withColumn(name, each(lambda s: F.col("once") + F.coalesce(F.col(f"__{s}"), F.lit(0))))
-    return met.select(*keyed.columns, name)
+    def run(to: int, _: str, parts: list[bytes]) -> Iterator[tuple]:
+        hashes, kinds = unpack_sorted(parts[0]), unpack(parts[4])
+        logs = np.broadcast_to(spell_logs(shared.value, *word_bytes(parts)), (SAMPLES, len(hashes)))
+        m = np.broadcast_to(kinds, (SAMPLES, len(kinds)))
+        t = seat_words(hashes, m, logs, root, seed)
+        yield to, "words", to, [*m.sum(1).astype(float).tolist(), *t.sum(1).astype(float).tolist()], [b"", pack(t[0]), *parts[2:4]]
 
+    return each_row(words, run)
 
-def frequent(counted: DataFrame, column: str) -> DataFrame:
-    """No more than TOP of the most frequent rows, by a histogram of some 8 steps for each doubling."""
-    step = F.floor(F.log2(column) * 8).cast("int")
-    least, so_far = 1 << 20, 0
-    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
-        so_far += r["count"]
-        if so_far > TOP:
-            break
-        least = r.step
-    return counted.where(step >= least)
 
+def with_spelling(words: DataFrame, model: Spelling) -> DataFrame:
+    """Words with counts, pairs seen once behind and before them, and the natural logs of their spelling by sample."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, top: DataFrame) -> DataFrame:
-    """rows.join(table, key); what meets `top`, the bounded frequent part of the table, is not dealt out."""
-    rest = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(table, key)
-    return rows.join(F.broadcast(top), key).unionByName(rest)
+    def run(to: int, _: str, parts: list[bytes]) -> Iterator[tuple]:
+        yield to, "words", to, None, [*parts[:2], *parts[5:7], spell_logs(shared.value, *word_bytes(parts)).tobytes()]
+
+    return each_row(words, run)
+
+
+def told(to: int, nodes: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray, blocks: int) -> Iterator[tuple]:
+    """Repeated pairs of a block, as places among its words, and their tables by sample, and what these words get told of them: tables behind and before each."""
+    yield to, "many", to, None, [pack_sorted(nodes), pack(u), pack(w), pack(c), *pack_each(t)]
+    tables = [np.bincount(of, x, len(nodes)).astype(np.int64) for of in (w, u) for x in t]
+    order, there = by_places(nodes % np.uint64(blocks), blocks)
+    for k, i, j in there:
+        yield k, "tables", to, None, [pack_sorted(nodes[order[i:j]]), *[pack(x[order[i:j]]) for x in tables]]
+
+
+def repeated(pairs: DataFrame, blocks: int) -> DataFrame:
+    """The pairs seen more than once, in the order of their keys, with one table each."""
+    def run(to: int, _: str, parts: list[bytes]) -> Iterator[tuple]:
+        nodes, u, w, c = pair_places(parts)
+        many = np.flatnonzero(c > 1)
+        many = many[np.argsort(pair_keys(nodes[u[many]], nodes[w[many]]))]
+        there, u, w = used(len(nodes), u[many], w[many])
+        yield from told(to, nodes[there], u, w, c[many], np.ones((SAMPLES, len(many)), np.int64), blocks)
+
+    return each_row(pairs, run)
+
+
+def sweep_words(words: DataFrame, many: DataFrame, root: Root, seed: int, last: bool) -> DataFrame:
+    """Words seated in the unigram restaurant under the tables of all pairs; what pairs see of them or, at the last, the words themselves. Sums: customers and tables."""
+    def run(to: int, found: dict) -> Iterator[tuple]:
+        hashes, c, once, once_before = (f(x) for f, x in zip((unpack_sorted, unpack, unpack, unpack), found["words"][0][1], strict=False))
+        logs = floats(found["words"][0][1][4], np.float64)
+        m, tables = np.repeat(once[None], SAMPLES, 0), np.repeat(once_before[None], SAMPLES, 0)
+        asked = [(at, unpack_sorted(p[0])) for at, p in found["tables"]]
+        for (_, h), (_, p) in zip(asked, found["tables"], strict=True):
+            at, t = np.searchsorted(hashes, h), unpack_each(p[1:])
+            m[:, at] += t[:SAMPLES]
+            tables[:, at] += t[SAMPLES:]
+        t = seat_words(hashes, m, logs, root, seed)
+        yield to, "sums", to, [*m.sum(1).astype(float).tolist(), *t.sum(1).astype(float).tolist()], None
+        if last:
+            yield to, "words", to, None, [pack_sorted(hashes), pack(c), *pack_each(m), *pack_each(t), *pack_each(tables), np.exp(logs).astype(np.float32).tobytes()]
+            return
+        for block, h in asked:
+            at = np.searchsorted(hashes, h)
+            yield block, "words", to, None, [pack_sorted(h), *pack_each(m[:, at]), *pack_each(t[:, at]), *pack_each(tables[:, at]), logs[:, at].tobytes()]
+
+    return each_block(words.unionByName(many.where("kind = 'tables'")), run)
+
+
+def sweep_pairs(many: DataFrame, words: DataFrame, root: Root, d: float, seed: int, blocks: int) -> DataFrame:
+    """Repeated pairs seated under what they see of their words."""
+    def run(to: int, found: dict) -> Iterator[tuple]:
+        parts = found["many"][0][1]
+        nodes, u, w, c, t = unpack_sorted(parts[0]), unpack(parts[1]), unpack(parts[2]), unpack(parts[3]), unpack_each(parts[4:])
+        seen = [p for _, p in found["words"]]
+        if not len(nodes):
+            return
+        order = np.argsort(np.concatenate([unpack_sorted(p[0]) for p in seen]))  # all of the nodes have been told
+        m, t0, tables = (np.concatenate([unpack_each(p[k : k + SAMPLES]) for p in seen], 1)[:, order] for k in range(1, 3 * SAMPLES + 1, SAMPLES))
+        p1 = root.p(m, t0, np.exp(np.concatenate([floats(p[-1], np.float64) for p in seen], 1)[:, order]))
+        keys = pair_keys(nodes[u], nodes[w])
+        new = [seat(c, p1[s, w], (tables[s, u] - t[s]).astype(float), d, THETA, mix(keys + np.uint64(seed + 1000 * s))) for s in range(SAMPLES)]
+        yield from told(to, nodes, u, w, c, np.stack(new), blocks)
+
+    return each_block(many.where("kind = 'many'").unionByName(words.where("kind = 'words'")), run)
 
 
 @dataclass
 class Model:
-    """words: (h, n, ln_p by sample, log_p: their mean alone) of the unigram restaurant; contexts: (u, ln_back by sample); pairs: (u, w, n, log_p), n of w.
-
-    known: hashes of the frequent words; top: keys, n and log_p of the frequent pairs, sorted by key.
+    """seated: words by block, with counts, customers, tables and spelling in the unigram restaurant, and the tables of their own; scored: pairs by block;
+    restaurants: tables of the pairs seen more than once, in the order of their keys. d: discount of the pairs.
     """
 
-    words: DataFrame
-    contexts: DataFrame
-    pairs: DataFrame
+    seated: DataFrame
+    scored: DataFrame
+    restaurants: DataFrame
     spelling: Spelling
     tokens: int
     kinds: int
-    root_back: np.ndarray
-    known: np.ndarray
-    top: tuple[np.ndarray, np.ndarray, np.ndarray]
+    root: Root
+    d: float
+    blocks: int
+
+    @property
+    def words(self) -> DataFrame:
+        """(h, n, ln_p by sample, log_p: their mean alone) of the unigram restaurant."""
+        flat = self._words()
+        return flat.select("h", "n", F.transform("p", F.ln).alias("ln_p"), F.array(F.log10(_mean(lambda s: F.col("p")[s]))).alias("log_p"))
+
+    @property
+    def contexts(self) -> DataFrame:
+        """(u, ln_back by sample)."""
+        return self._words().select(F.col("h").alias("u"), F.transform("back", F.ln).alias("ln_back"))
+
+    @property
+    def pairs(self) -> DataFrame:
+        """(u, w, n, log_p), n of w."""
+        def run(_: tuple, table: pa.Table) -> pa.Table:
+            u, w, c, t, _ = _pair_columns(by_kind(table))
+            return pa.table([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c), _lists(t)], ["u", "w", "c", "t"])
+
+        flat = self.scored.unionByName(self.restaurants).groupBy("to").applyInArrow(run, "u long, w long, c long, t array<long>")
+        words, d = self._words(), self.d
+        met = flat.join(words.select(F.col("h").alias("w"), "n", "p"), "w").join(words.select(F.col("h").alias("u"), F.col("n").alias("customers"), "back"), "u")
+        p = _mean(lambda s: (F.col("c") - d * F.col("t")[s]) / (THETA + F.col("customers")) + F.col("back")[s] * F.col("p")[s])
+        return met.select("u", "w", "n", F.log10(p).cast("float").alias("log_p"))
+
+    def _words(self) -> DataFrame:
+        root, d = self.root, self.d
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for parts in batch.column(0).to_pylist():
+                    h, n, p, back = _word_columns(root, d, parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), _lists(p), _lists(back)], ["h", "n", "p", "back"])
+
+        return map_arrow(self.seated.where("kind = 'words'").select("parts"), run, "h long, n long, p array<double>, back array<double>")
+
+
+def _mean(of: Callable[[int], Column]) -> Column:
+    return sum((of(s) for s in range(1, SAMPLES)), of(0)) / float(SAMPLES)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """Samples by rows as a list column."""
+    each, n = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * each + 1, each), pa.int32()), pa.array(np.ascontiguousarray(values.T).ravel()))
+
+
+def _word_columns(root: Root, d: float, parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(hashes, n, probabilities in the unigram restaurant by sample, the mass that a word's own restaurant passes on to it)."""
+    n = unpack(parts[1])
+    m, t, tables = (unpack_each(parts[k : k + SAMPLES]) for k in range(2, 2 + 3 * SAMPLES, SAMPLES))
+    return unpack_sorted(parts[0]), n, root.p(m, t, floats(parts[-1])), (THETA + d * tables) / (THETA + n)
+
+
+def _pair_columns(found: dict) -> tuple[np.ndarray, ...]:
+    """(u, w, count, tables by sample, key) of a block's pairs, in the order of their keys."""
+    u, w, c = pair_columns(found["pairs"][0][1])
+    keys = pair_keys(u, w)
+    order = np.argsort(keys)
+    c, t = c[order], np.ones((SAMPLES, len(c)), np.int64)
+    for _, p in found["many"]:
+        t[:, c > 1] = unpack_each(p)
+    return u[order], w[order], c, t, keys[order]
 
 
 def fit(train: DataFrame, seed: int = 5) -> Model:
     """The model of all texts of `train`."""
     with shuffles_dropped(train.sparkSession):
-        return _fit(train, seed)
-
-
-def _fit(train: DataFrame, seed: int) -> Model:
-    pairs = staged(count_pairs(train), "pairs")
-    once, kinds = F.count_if(F.col("c") == 1).alias("once"), F.count(F.lit(1)).alias("kinds")
-    counted = count_words(train).join(pairs.groupBy(F.col("w").alias("h")).agg(once, kinds), "h")
-    words = plain_words = staged(counted.select("token", "h", "c", "once", "kinds"), "words")
-    contexts = staged(pairs.groupBy("u").agg(F.sum("c").alias("c"), once), "contexts")
-    said = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum("kinds"), F.count_if(F.col("kinds") == 1), F.count_if(F.col("kinds") == 2)).first()
-    seen = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    tokens, vocabulary, all_pairs = (int(x or 0) for x in said[:3])
-    d = discount(float(seen[0]), float(seen[1]))
-    root = Root(np.full(SAMPLES, float(all_pairs)), np.full(SAMPLES, float(vocabulary)), discount(float(said[3]), float(said[4])))
+        chunks = staged(chunked(train.withColumn("__id", F.lit(0)), "__id", F.lit(True)), "chunks")
+        model = _fit(chunks, seed)
+        release(chunks)
+    return model
+
+
+def _fit(chunks: DataFrame, seed: int) -> Model:
+    blocks = 1 + int(sums_of(chunks, 1)[0]) // BLOCK
+    counted = staged(count_words(chunks, blocks), "counted")
+    pairs = staged(count_pairs(chunks, blocks), "scores")
+    words = staged(with_kinds(counted, pairs, blocks), "words")
+    release(counted)
+    said, seen = sums_of(words, 5), sums_of(pairs, 2)
+    tokens, vocabulary, all_pairs = map(int, said[:3])
+    d = discount(*seen)
+    root = Root(np.full(SAMPLES, float(all_pairs)), np.full(SAMPLES, float(vocabulary)), discount(*said[3:]))
 
     # one table for each pair at first; the spelling is fitted again to the tables of the unigram restaurant
-    context, symbol, n = spelling_counts(words.withColumn("t", F.lit(1).cast("long")))
-    plain = with_spelling(words, fit_spelling(context, symbol, n, 1, seed)).withColumn("m", each(lambda s: F.col("kinds")))
-    seated, root = seat_words(plain, root, seed)
-    context, symbol, n = spelling_counts(seated.select("token", F.col("t0")[0].alias("t")))
-    spelling = fit_spelling(context, symbol, n, SAMPLES, seed + 1)
-    words = staged(with_spelling(words, spelling), "spelt")
-    release(plain_words, seated)
-    top_words = [r.h for r in frequent(words, "c").select("h").collect()]
-    known = np.sort(np.array(top_words, np.int64).view(np.uint64))
-
-    def unigram(root: Root, s: int) -> Column:
-        mass = float(THETA + root.d * root.tables[s])
-        return (F.col("m")[s] - root.d * F.col("t0")[s] + mass * F.exp(F.col("logs")[s])) / float(THETA + root.customers[s])
-
-    def parents(seated: DataFrame, root: Root) -> DataFrame:
-        return seated.select(F.col("h").alias("w"), F.col("c").alias("n"), each(lambda s: unigram(root, s)).alias("p1"))
-
-    many = staged(pairs.where("c > 1").select("u", "w", "c", each(lambda s: F.lit(1).cast("long")).alias("t")), "many")
+    plain = fit_spelling(*spelling_counts(words, blocks, lambda parts: np.ones(len(unpack(parts[1])), np.int64)), 1, seed)
+    first = staged(first_seating(words, plain, root, seed), "first")
+    sums = sums_of(first, 2 * SAMPLES)
+    root = Root(sums[:SAMPLES], sums[SAMPLES:], root.d)
+    spelling = fit_spelling(*spelling_counts(first, blocks, lambda parts: unpack(parts[1])), SAMPLES, seed + 1)
+    spelt_words = staged(with_spelling(words, spelling), "spelt")
+    release(words, first)
+
+    many = staged(repeated(pairs, blocks), "many")
     for sweep in range(SWEEPS + 1):
-        seated, root = seat_words(with_tables(words, "h", many, "w", "m"), root, seed + 7 + 10 * sweep)
-        here = staged(with_tables(contexts, "u", many, "u", "all"), "restaurants")
-        above = parents(seated, root)
+        seated = staged(sweep_words(spelt_words, many, root, seed + 7 + 10 * sweep, sweep == SWEEPS), "seated")
+        sums = sums_of(seated, 2 * SAMPLES)
+        root = Root(sums[:SAMPLES], sums[SAMPLES:], root.d)
         if sweep < SWEEPS:
-            met = looked_up(many, above.drop("n"), "w", frequent(above, "n").drop("n"))
-            met = looked_up(met, here.select("u", "all"), "u", frequent(here, "c").select("u", "all"))
-            before, many = many, staged(seat_pairs(met, d, seed + 8 + 10 * sweep), "many")
-            release(before, seated, here)
-    release(words, contexts)
-
-    rows = pairs.where("c = 1").select("u", "w", "c", each(lambda s: F.lit(1).cast("long")).alias("t")).unionByName(many)
-    met = looked_up(rows, above, "w", frequent(above, "n"))
-    here = here.withColumnRenamed("c", "customers").drop("once")
-    met = looked_up(met, here, "u", frequent(here, "customers"))
-    sample = lambda s: (F.col("c") - d * F.col("t")[s] + (THETA + d * F.col("all")[s]) * F.col("p1")[s]) / (THETA + F.col("customers"))
-    mean = lambda of: sum((of(s) for s in range(1, SAMPLES)), of(0)) / float(SAMPLES)
-    scores = staged(met.select("u", "w", "c", "n", F.log10(mean(sample)).cast("float").alias("log_p")), "scores")
-    release(pairs, many)
-    top = frequent(scores, "c").select("u", "w", "n", "log_p").toPandas()
-    keys = pair_keys(*(top[x].to_numpy(np.int64).view(np.uint64) for x in "uw"))
-    order = np.argsort(keys)
-    return Model(
-        above.select(F.col("w").alias("h"), "n", each(lambda s: F.ln(F.col("p1")[s])).alias("ln_p"), F.array(F.log10(mean(lambda s: F.col("p1")[s]))).alias("log_p")),
-        here.select("u", each(lambda s: F.ln((THETA + d * F.col("all")[s]) / (THETA + F.col("customers")))).alias("ln_back")),
-        scores.drop("c"), spelling, tokens, vocabulary, root.back(), known,
-        (keys[order], top["n"].to_numpy(np.int64)[order], top["log_p"].to_numpy(float)[order]),
-    )
+            before, many = many, staged(sweep_pairs(many, seated, root, d, seed + 8 + 10 * sweep, blocks), "many")
+            release(before, seated)
+    release(spelt_words)
+    restaurants = staged(each_row(many.where("kind = 'many'"), lambda to, kind, parts: iter([(to, kind, to, None, parts[4:])])), "restaurants")
+    release(many)
+    return Model(seated, pairs, restaurants, spelling, tokens, vocabulary, root, d, blocks)
+
+
+def ask_words(chunks: DataFrame, model: Model) -> DataFrame:
+    """For each chunk, what the model has of its words, in the order of block and hash: n (0: none), probabilities and tables of their own restaurants by sample."""
+    root, d, blocks = model.root, model.d, model.blocks
+
+    def ask(chunk: int, _: str, parts: list[bytes]) -> Iterator[tuple]:
+        hashes = unpack(parts[4]).view(np.uint64)
+        order, there = dealt(hashes, blocks)
+        for to, i, j in there:
+            yield to, "ask", chunk, None, [pack_sorted(hashes[order[i:j]])]
+
+    def answer(to: int, found: dict) -> Iterator[tuple]:
+        hashes, n, p, tables = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((SAMPLES, 0)), np.zeros((SAMPLES, 0), np.int64)
+        for _, parts in found["words"]:
+            (hashes, n, p, _), tables = _word_columns(root, d, parts), unpack_each(parts[2 + 2 * SAMPLES : 2 + 3 * SAMPLES])
+        for chunk, (asked,) in found["ask"]:
+            at, met = _found(hashes, unpack_sorted(asked))
+            at = at[met]
+            count = np.zeros(len(met), np.int64)
+            count[met] = n[at]
+            yield chunk, "words", to, None, [pack(count), p[:, at].astype(np.float32).tobytes(), *pack_each(tables[:, at])]
+
+    return each_block(model.seated.where("kind = 'words'").unionByName(each_row(chunks, ask)), answer)
+
+
+def ask_pairs(chunks: DataFrame, model: Model, part: int) -> DataFrame:
+    """For each chunk, what the model has of its pairs in the blocks of one of PASSES parts, in the order of block and key: count (0: none), and tables of those seen more than once."""
+    blocks = model.blocks
+
+    def ask(chunk: int, _: str, parts: list[bytes]) -> Iterator[tuple]:
+        hashes, code = chunk_pairs(unpack(parts[4]).view(np.uint64), unpack(parts[3]))
+        code = np.unique(code)
+        keys = pair_keys(hashes[code // len(hashes)], hashes[code % len(hashes)])
+        keys = keys[keys % np.uint64(blocks) % np.uint64(PASSES) == part]
+        order, there = dealt(keys, blocks)
+        for to, i, j in there:
+            yield to, "ask", chunk, None, [pack_sorted(keys[order[i:j]])]
+
+    def keyed(to: int, kind: str, parts: list[bytes]) -> Iterator[tuple]:
+        u, w, c = pair_columns(parts)
+        keys = pair_keys(u, w)
+        order = np.argsort(keys)
+        yield to, kind, to, None, [pack_sorted(keys[order]), pack(c[order])]
+
+    def answer(to: int, found: dict) -> Iterator[tuple]:
+        keys, c, t = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((SAMPLES, 0), np.int64)
+        for _, p in found["pairs"]:
+            keys, c = unpack_sorted(p[0]), unpack(p[1])
+        for _, p in found["many"]:
+            t = unpack_each(p)
+        place = np.cumsum(c > 1) - 1
+        for chunk, (asked,) in found["ask"]:
+            at, met = _found(keys, unpack_sorted(asked))
+            n = np.zeros(len(met), np.int64)
+            n[met] = c[at[met]]
+            yield chunk, "pairs", to, None, [pack(n), *pack_each(t[:, place[at[n > 1]]])]
+
+    here = F.col("to") % PASSES == part
+    return each_block(each_row(model.scored.where(here), keyed).unionByName(model.restaurants.where(here)).unionByName(each_row(chunks, ask)), answer)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    unit = float(model.tokens + model.kinds + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((model.spelling, model.known, model.top))
-    spelt_names = [f"s{s}" for s in range(SAMPLES)]
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row. All that is asked of the model's tables is staged when this returns."""
+    with shuffles_dropped(docs.sparkSession):
+        return _score(staged(chunked(docs, id_col, F.lit(True)), "chunks"), model, id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, known, (top, counts, logs) = shared.value
-        uid = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for i, j, data, starts, ends, rows, hashed, before in token_pairs(batch, 1 << 20):
-                n = j - i
-                key = pair_keys(before, hashed)
-                at = np.minimum(np.searchsorted(top, key), max(len(top) - 1, 0))
-                there = top[at] == key if len(top) else np.zeros(len(key), bool)
-                hit, r = at[there], rows[there]
-                sums = [np.bincount(rows, minlength=n), np.bincount(r, minlength=n), np.bincount(r, np.log10((counts[hit] + 1) / unit), n), np.bincount(r, logs[hit], n)]
-                # the other pairs of each text, each once
-                rest = np.flatnonzero(~there)
-                _, one, which = np.unique(key[rest], return_index=True, return_inverse=True)
-                pair, tf = np.unique(rows[rest].astype(np.int64) * (len(one) + 1) + which, return_counts=True)
-                r, tokens = pair // (len(one) + 1), rest[one[pair % (len(one) + 1)]]
-                kinds, first, which = np.unique(hashed[tokens], return_index=True, return_inverse=True)
-                new = np.flatnonzero(~np.isin(kinds, known))  # frequent words are not spelt
-                spelt = np.zeros((SAMPLES, len(kinds)))
-                spelt[:, new] = spell_logs(spelling, FOLD[data], starts[tokens[first[new]]], ends[tokens[first[new]]])
-                ids = np.arange(uid, uid + n)
-                uid += n
-                own = mix(ids.astype(np.uint64))
-                # one row a document, under a key of its own, then one row for each of its rarer pairs
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.append(ids, ids[r])), pa.array(np.append(own, before[tokens]).view(np.int64)), pa.array(np.append(own, hashed[tokens]).view(np.int64)),
-                    pa.array(np.append(np.zeros(n, np.int64), tf).astype(np.int32)), pa.concat_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.nulls(len(r), pa.int64())]),
-                    *[pa.array(np.append(x, np.zeros(len(r))).astype(kind)) for x, kind in zip(sums, (np.int32, np.int32, np.float64, np.float64), strict=True)],
-                    *[pa.array(np.append(np.zeros(n), x[which]).astype(np.float32)) for x in spelt],
-                ], ["uid", "u", "w", "tf", "doc", "n_all", "n_known", "base", "full", *spelt_names])
-
-    kinds = ", ".join(f"{x} float" for x in spelt_names)
-    rows = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), "text"), run, f"uid long, u long, w long, tf int, doc long, n_all int, n_known int, base double, full double, {kinds}")
-    tf, found = F.col("tf"), F.col("log_p").isNotNull()
-    missed = (tf > 0) & ~found
-    # of each document one row of sums, and one for each pair that was not in training
-    parts = (
-        rows.join(model.pairs, ["u", "w"], "left")
-        .groupBy("uid", F.when(missed, F.col("u")).alias("u"), F.when(missed, F.col("w")).alias("w"))
-        .agg(
-            F.max("doc").alias("doc"), F.sum("n_all").alias("n_all"), F.sum(F.col("n_known") + F.when(found, tf).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + F.when(found, tf * F.log10((F.col("n") + 1) / unit)).otherwise(0.0)).alias("base"),
-            F.sum(F.col("full") + F.when(found, tf * F.col("log_p").cast("double")).otherwise(0.0)).alias("full"),
-            F.sum("tf").alias("tf"), *[F.max(x).alias(x) for x in spelt_names],
-        )
-    )
+
+def fit_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", seed: int = 5) -> DataFrame:
+    """`score` of all rows under `fit` of those where `train` holds, with texts cut into words once; the model's tables go once used up."""
     with shuffles_dropped(docs.sparkSession):
-        parts = staged(parts, "parts")
-    sums = ["uid", "doc", "n_all", "n_known", "base", "full"]
-    new = parts.where(F.col("w").isNotNull()).join(model.words.withColumnRenamed("h", "w").drop("log_p"), "w", "left").join(model.contexts, "u", "left")
-    logs = [
-        F.coalesce(F.col("ln_back")[s], F.lit(0.0)) + F.coalesce(F.col("ln_p")[s], F.col(x).cast("double") + float(np.log(model.root_back[s])))
-        for s, x in enumerate(spelt_names)
-    ]
-    new = new.withColumn("__peak", F.greatest(*logs))
-    mean = sum((F.exp(x - F.col("__peak")) for x in logs[1:]), F.exp(logs[0] - F.col("__peak"))) / float(SAMPLES)
-    new = new.select(
-        "uid", "doc", "n_all", F.when(F.col("n") > 0, tf).otherwise(0).alias("n_known"), (tf * F.log10((F.coalesce("n", F.lit(0)) + 1) / unit)).alias("base"),
-        (tf * (F.col("__peak") + F.ln(mean)) / float(np.log(10))).alias("full"),
-    )
-    return (
-        parts.where(F.col("w").isNull()).select(sums).unionByName(new)
-        .groupBy("uid").agg(F.max("doc").alias(id_col), F.sum("n_all").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("full").alias("score"))
-        .select(id_col, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+        chunks = staged(chunked(docs, id_col, train), "chunks")
+        model = _fit(chunks, seed)
+        scored = _score(chunks, model, id_col)
+        release(model.seated, model.scored, model.restaurants)
+    return scored
+
+
+def _score(chunks: DataFrame, model: Model, id_col: str) -> DataFrame:
+    answers = staged(ask_words(chunks, model), "answers")
+    for part in range(min(PASSES, model.blocks)):
+        answers = answers.unionByName(staged(ask_pairs(chunks, model, part), "answers"))
+    shared = chunks.sparkSession.sparkContext.broadcast(model.spelling)
+    unit, tokens, root, d, blocks = float(model.tokens + model.kinds + 1), model.tokens, model.root, model.d, model.blocks
+
+    def run(_: tuple, table: pa.Table) -> pa.Table:
+        found = by_kind(table)
+        parts = found["chunk"][0][1]
+        hashes, code = chunk_pairs(unpack(parts[4]).view(np.uint64), unpack(parts[3]))
+        code, which = numbered(code)
+        before, word = code // len(hashes), code % len(hashes)
+        order, _ = dealt(hashes, blocks)
+        told = [p for _, p in sorted(found["words"])]
+        n = np.zeros(len(hashes), np.int64)
+        n[order] = np.concatenate([unpack(p[0]) for p in told])
+        # natural logs: of an unseen word the spelling, and behind it nothing is kept
+        known, logs, backs = order[n[order] > 0], np.zeros((SAMPLES, len(hashes))), np.zeros((SAMPLES, len(hashes)))
+        logs[:, known] = np.log(np.concatenate([floats(p[1]).astype(float) for p in told], 1))
+        backs[:, known] = np.log((THETA + d * np.concatenate([unpack_each(p[2:]) for p in told], 1)) / (THETA + n[known]))
+        new, (data, starts, ends) = np.flatnonzero(n == 0), word_bytes([b"", b"", *parts[5:7]])
+        at = np.argsort(unpack(parts[4]).view(np.uint64))[new]
+        logs[:, new] = spell_logs(shared.value, data, starts[at], ends[at]) + np.log(root.back())[:, None]
+
+        keys = pair_keys(hashes[before], hashes[word])
+        order, _ = dealt(keys, blocks)
+        told = [p for _, p in sorted(found["pairs"])]
+        c = np.zeros(len(keys), np.int64)
+        c[order] = np.concatenate([unpack(p[0]) for p in told])
+        tables = np.ones((SAMPLES, len(keys)), np.int64)
+        tables[:, order[c[order] > 1]] = np.concatenate([unpack_each(p[1:]) for p in told], 1)
+        each = backs[:, before] + logs[:, word]
+        seen = np.flatnonzero(c)
+        each[:, seen] = np.log((c[seen] - d * tables[:, seen]) / (THETA + n[before[seen]]) + np.exp(each[:, seen]))
+        peak = each.max(0)
+        full = (peak + np.log(np.exp(each - peak).mean(0))) / np.log(10)
+
+        docs_tokens = unpack(parts[2])
+        rows = np.repeat(np.arange(len(docs_tokens)), docs_tokens)
+        by_row = lambda x: np.bincount(rows, x, len(docs_tokens))
+        return pa.table(
+            [
+                pa.array(np.frombuffer(parts[0], np.int64), mask=np.frombuffer(parts[1], np.uint8).astype(bool)), pa.array(docs_tokens), pa.array(by_row((n[word] > 0)[which]).astype(np.int64)),
+                pa.array(np.full(len(docs_tokens), tokens, np.int64)), pa.array(by_row(np.log10((n + 1) / unit)[word][which])), pa.array(by_row(full[which])),
+            ],
+            ["doc", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    scored = chunks.unionByName(answers).groupBy("to").applyInArrow(run, "doc long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumnRenamed("doc", id_col)

@@ -84,8 +84,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under the model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    model = language_model.fit(docs.where(~held))
-    scored = language_model.score(docs, model)
+    scored = language_model.fit_and_score(docs, ~held)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -354,3 +354,26 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
     for i, r in got[0].items():
         assert r.n_known == got[1][i].n_known and math.isclose(r.score, got[1][i].score, rel_tol=1e-5)
         assert math.isclose(r.base_score, got[1][i].base_score, rel_tol=1e-9)
+
+
+def test_the_language_model_takes_few_bytes_for_each_pair(spark):
+    """Its tables and the shuffles behind them are what fills the disk: nearly all pairs of these texts differ."""
+    rng = random.Random(8)
+    words = [f"w{k:x}" for k in rng.sample(range(1 << 24), 8000)]
+    folder = Path(shared_folder(spark).removeprefix("file://").removeprefix("file:"))
+    there = set(os.listdir(folder))
+    model = language_model.fit(frame(spark, [" ".join(rng.choices(words, k=400)) for _ in range(200)]))
+    taken = sum(p.stat().st_size for name in set(os.listdir(folder)) - there for p in (folder / name).rglob("*.parquet"))
+    assert taken < 12 * model.pairs.count()
+
+
+def test_scores_do_not_depend_on_blocks_and_parts(spark, monkeypatch):
+    docs, got = frame(spark, lm_texts(80)), []
+    for block in (2_000_000, 500):
+        monkeypatch.setattr(language_model, "BLOCK", block)
+        got.append({r.doc_id: r for r in language_model.fit_and_score(docs, F.col("doc_id") < 60).collect()})
+    apart = {r.doc_id: r for r in language_model.score(docs, language_model.fit(docs.where("doc_id < 60"))).collect()}
+    for i, r in apart.items():
+        for other in (x[i] for x in got):
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (other.n_tokens, other.n_known, other.train_tokens)
+            assert math.isclose(r.score, other.score, rel_tol=1e-5) and math.isclose(r.base_score, other.base_score, rel_tol=1e-9)
