@@ -17,8 +17,8 @@ their last states are averaged. A word pair that occurs once has one table in ev
 Where it runs: documents are cut once into chunks, runs of texts as numbers of words. Pairs and words are dealt out by hash to
 blocks of some BLOCK tokens each; what a block holds or tells another travels as packed columns, a row for each two blocks. In a sweep the blocks
 of words add up the tables that blocks of pairs tell them, seat the words and tell back; then the pairs are seated. To score, a chunk asks for its
-different pairs and words. Nothing of these passes the driver but sums. A block has all rows of its hashes, pairs by the hash of both words, so a frequent
-word is in no block more than once. Byte contexts have CLASSES classes, so the spelling model has a bounded number of cells at any
+different pairs and words. Nothing of these passes the driver but sums. Pairs are dealt out by the hash of both words, so those
+of a frequent word are spread over all blocks. Byte contexts have CLASSES classes, so the spelling model has a bounded number of cells at any
 corpus size; those that occur come to the driver, in sorted arrays. Words and pairs are told apart by hashes of 64 bits.
 
 Cases: null and empty texts are the end token alone. Unseen words are spelt; after an unseen word the unigram restaurant
