@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priceengine.llm.kernels import FOLD, mix, slices, text_rows, token_hashes, utf8
+from priceengine.llm.kernels import FOLD, mix, pieces, prefix_hash, slices, span_hash, text_rows, token_hashes, utf8
 from priceengine.llm.staging import map_arrow, release, shuffles_dropped, staged
 
 SAMPLES, BURN_IN, SWEEPS, THETA = 3, 4, 4, 10.0
@@ -193,7 +193,7 @@ def spell_logs(model: Spelling, data: np.ndarray, starts: np.ndarray, ends: np.n
     if not len(starts):
         return np.zeros((model.samples, 0))
     context, symbol, first = spelt(data, starts, ends)
-    cells, which = np.unique(context * 256 + symbol, return_inverse=True)
+    cells, which = numbered(context * 256 + symbol)
     logs = model.logs(cells // 256, cells % 256)
     return np.stack([np.add.reduceat(x[which], first) for x in logs])
 
@@ -217,14 +217,18 @@ def pack(values: np.ndarray) -> bytes:
     """64-bit numbers by planes of bytes, without the upper planes that are zero; what is alike stands together for the compression of shuffles and files."""
     v = np.ascontiguousarray(values).view(np.uint64)
     k = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
-    return bytes([k]) + v.view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes()
+    planes, each = np.empty((k, len(v)), np.uint8), v.view(np.uint8).reshape(-1, 8)
+    for p in range(k):
+        planes[p] = each[:, p]
+    return b"".join((bytes([k]), planes))
 
 
 def unpack(packed: bytes) -> np.ndarray:
     k = packed[0]
     n = (len(packed) - 1) // k
     out = np.zeros((n, 8), np.uint8)
-    out[:, :k] = np.frombuffer(packed, np.uint8, offset=1).reshape(k, n).T
+    for p, plane in enumerate(np.frombuffer(packed, np.uint8, offset=1).reshape(k, n)):
+        out[:, p] = plane
     return out.reshape(-1).view(np.int64)
 
 
@@ -293,16 +297,33 @@ def by_places(to: np.ndarray, blocks: int) -> tuple[np.ndarray, list[tuple[int,
     return order, [(k, int(ends[k] - n[k]), int(ends[k])) for k in np.flatnonzero(n).tolist()]
 
 
+def in_order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from zero on. Their upper bits are sorted with their places as the lower ones, which takes a fifth of an argsort; keys that differ in lower bits alone are set right after."""
+    keys, bits = keys.view(np.uint64), np.uint64(len(keys).bit_length())
+    over = np.uint64(max(0, int(keys.max()).bit_length() + int(bits) - 64)) if len(keys) else np.uint64(0)
+    placed = keys >> over << bits | np.arange(len(keys), dtype=np.uint64)
+    placed.sort()
+    order = (placed & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+    found = keys[order] if over else placed
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong) > 64:
+        return np.argsort(keys, kind="stable")
+    for upper in np.unique(found[wrong] >> over):
+        i, j = np.searchsorted(found >> over, upper), np.searchsorted(found >> over, upper, "right")
+        order[i:j] = order[i:j][np.argsort(found[i:j], kind="stable")]
+    return order
+
+
 def dealt(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order by block and key, and (block, begin, end) of the blocks that occur."""
-    order = np.argsort(keys)
+    order = in_order(keys)
     by, there = by_places(keys[order] % np.uint64(blocks), blocks)
     return order[by], there
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the keys, where in it each different key begins)."""
-    order = np.argsort(keys)
+    order = in_order(keys)
     found = keys[order]
     return order, np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
 
@@ -325,7 +346,7 @@ def used(size: int, *places: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def chunked(docs: DataFrame, id_col: str, train: Column) -> DataFrame:
-    """Runs of documents as numbers of words: ids, which are null, tokens of each, words in order, the words: hashes, lengths and bytes, and which are for training; sums: tokens of these."""
+    """Runs of documents as numbers of words: ids, which are null, tokens of each, words in order, the words: lengths and bytes (`word_hashes` has their hashes), and which are for training; sums: tokens of these."""
     limit = TOP
 
     def chunk(number: int, held: list[tuple]) -> pa.RecordBatch:
@@ -340,7 +361,7 @@ def chunked(docs: DataFrame, id_col: str, train: Column) -> DataFrame:
         ids = pa.concat_arrays(ids)
         nulls = np.asarray(ids.is_null()).astype(np.uint8).tobytes()
         tokens, trains = np.concatenate(tokens), np.concatenate(trains)
-        parts = [np.asarray(ids.fill_null(0)).tobytes(), nulls, pack(tokens), pack(rank[words]), pack(hashes[order]), pack(np.diff(off)), data.tobytes(), trains.tobytes()]
+        parts = [np.asarray(ids.fill_null(0)).tobytes(), nulls, pack(tokens), pack(rank[words]), pack(np.diff(off)), data.tobytes(), trains.tobytes()]
         return as_rows([(number, "chunk", number, [float(tokens[trains].sum())], parts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +385,7 @@ def chunked(docs: DataFrame, id_col: str, train: Column) -> DataFrame:
 
 def chunk_pairs(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, a number for each token of the word before it and the word: place of the one times all hashes and place of the other)."""
-    order = np.argsort(hashes)
+    order = in_order(hashes)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     hashes, words = hashes[order], place[words]
@@ -373,13 +394,20 @@ def chunk_pairs(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def for_training(parts: list[bytes]) -> np.ndarray:
-    return unpack(parts[3])[np.repeat(np.frombuffer(parts[7], bool), unpack(parts[2]))]
+    return unpack(parts[3])[np.repeat(np.frombuffer(parts[6], bool), unpack(parts[2]))]
+
+
+def word_hashes(parts: list[bytes]) -> np.ndarray:
+    """Hashes of a chunk's words, made anew from their bytes: stored, they would be a quarter of the chunk, as nothing compresses them."""
+    lengths = unpack(parts[4])
+    found = [span_hash(prefix_hash(data), off[:-1], off[1:]) for _, _, data, off in pieces(np.frombuffer(parts[5], np.uint8), np.append(0, np.cumsum(lengths)))]
+    return np.where(lengths, np.concatenate([np.zeros(0, np.uint64), *found]), END_HASH)
 
 
 def count_words(chunks: DataFrame, blocks: int) -> DataFrame:
     """The vocabulary with counts and the end token, whose token is empty, by block: hashes, counts, lengths, bytes."""
     def ask(_: int, __: str, parts: list[bytes]) -> Iterator[tuple]:
-        words, hashes, lengths, data = for_training(parts), unpack(parts[4]).view(np.uint64), unpack(parts[5]), np.frombuffer(parts[6], np.uint8)
+        words, hashes, lengths, data = for_training(parts), word_hashes(parts), unpack(parts[4]), np.frombuffer(parts[5], np.uint8)
         n, ends = np.bincount(words, minlength=len(hashes)), np.cumsum(lengths)
         seen = np.flatnonzero(n)
         order, there = dealt(hashes[seen], blocks)
@@ -404,7 +432,7 @@ def count_words(chunks: DataFrame, blocks: int) -> DataFrame:
 def count_pairs(chunks: DataFrame, blocks: int) -> DataFrame:
     """How often word w stands behind word u, by block, in the order of u: the words, places of u and w among them, counts; sums: pairs seen once and twice."""
     def ask(_: int, __: str, parts: list[bytes]) -> Iterator[tuple]:
-        hashes, code = chunk_pairs(unpack(parts[4]).view(np.uint64), for_training(parts))
+        hashes, code = chunk_pairs(word_hashes(parts), for_training(parts))
         code, n = np.unique(code, return_counts=True)
         u, w = code // len(hashes), code % len(hashes)
         order, there = by_places(pair_keys(hashes[u], hashes[w]) % np.uint64(blocks), blocks)
@@ -418,7 +446,7 @@ def count_pairs(chunks: DataFrame, blocks: int) -> DataFrame:
         order, begin = runs(pair_keys(u, w))
         n = np.add.reduceat(n[order], begin)
         u, w = u[order[begin]], w[order[begin]]
-        order = np.argsort(u)
+        order = in_order(u)
         n = n[order]
         nodes, which = numbered(np.concatenate([u[order], w[order]]))
         yield to, "pairs", to, [float((n == 1).sum()), float((n == 2).sum())], packed_pairs(nodes, which[: len(n)], which[len(n) :], n)
@@ -481,7 +509,7 @@ def spelling_counts(words: DataFrame, blocks: int, tables: Callable[[list[bytes]
         data, starts, ends = word_bytes(parts)
         context, symbol, first = spelt(data, starts, ends)
         weight = np.repeat(tables(parts), np.diff(np.append(first, len(context))))
-        cells, which = np.unique(context * 256 + symbol, return_inverse=True)
+        cells, which = numbered(context * 256 + symbol)
         n, cells = np.bincount(which, weight, len(cells)).astype(np.int64), cells.view(np.uint64)
         order, there = dealt(cells, blocks)
         for to, i, j in there:
@@ -560,7 +588,7 @@ def repeated(pairs: DataFrame, blocks: int) -> DataFrame:
     def run(to: int, _: str, parts: list[bytes]) -> Iterator[tuple]:
         nodes, u, w, c = pair_places(parts)
         many = np.flatnonzero(c > 1)
-        many = many[np.argsort(pair_keys(nodes[u[many]], nodes[w[many]]))]
+        many = many[in_order(pair_keys(nodes[u[many]], nodes[w[many]]))]
         there, u, w = used(len(nodes), u[many], w[many])
         yield from told(to, nodes[there], u, w, c[many], np.ones((SAMPLES, len(many)), np.int64), blocks)
 
@@ -598,7 +626,7 @@ def sweep_pairs(many: DataFrame, words: DataFrame, root: Root, d: float, seed: i
         seen = [p for _, p in found["words"]]
         if not len(nodes):
             return
-        order = np.argsort(np.concatenate([unpack_sorted(p[0]) for p in seen]))  # all of the nodes have been told
+        order = in_order(np.concatenate([unpack_sorted(p[0]) for p in seen]))  # all of the nodes have been told
         m, t0, tables = (np.concatenate([unpack_each(p[k : k + SAMPLES]) for p in seen], 1)[:, order] for k in range(1, 3 * SAMPLES + 1, SAMPLES))
         p1 = root.p(m, t0, np.exp(np.concatenate([floats(p[-1], np.float64) for p in seen], 1)[:, order]))
         keys = pair_keys(nodes[u], nodes[w])
@@ -681,7 +709,7 @@ def _pair_columns(found: dict) -> tuple[np.ndarray, ...]:
     """(u, w, count, tables by sample, key) of a block's pairs, in the order of their keys."""
     u, w, c = pair_columns(found["pairs"][0][1])
     keys = pair_keys(u, w)
-    order = np.argsort(keys)
+    order = in_order(keys)
     c, t = c[order], np.ones((SAMPLES, len(c)), np.int64)
     for _, p in found["many"]:
         t[:, c > 1] = unpack_each(p)
@@ -736,7 +764,7 @@ def ask_words(chunks: DataFrame, model: Model) -> DataFrame:
     root, d, blocks = model.root, model.d, model.blocks
 
     def ask(chunk: int, _: str, parts: list[bytes]) -> Iterator[tuple]:
-        hashes = unpack(parts[4]).view(np.uint64)
+        hashes = word_hashes(parts)
         order, there = dealt(hashes, blocks)
         for to, i, j in there:
             yield to, "ask", chunk, None, [pack_sorted(hashes[order[i:j]])]
@@ -760,8 +788,9 @@ def ask_pairs(chunks: DataFrame, model: Model, part: int) -> DataFrame:
     blocks = model.blocks
 
     def ask(chunk: int, _: str, parts: list[bytes]) -> Iterator[tuple]:
-        hashes, code = chunk_pairs(unpack(parts[4]).view(np.uint64), unpack(parts[3]))
-        code = np.unique(code)
+        hashes, code = chunk_pairs(word_hashes(parts), unpack(parts[3]))
+        code = np.sort(code)
+        code = code[np.diff(code, prepend=-1) > 0]
         keys = pair_keys(hashes[code // len(hashes)], hashes[code % len(hashes)])
         keys = keys[keys % np.uint64(blocks) % np.uint64(PASSES) == part]
         order, there = dealt(keys, blocks)
@@ -771,7 +800,7 @@ def ask_pairs(chunks: DataFrame, model: Model, part: int) -> DataFrame:
     def keyed(to: int, kind: str, parts: list[bytes]) -> Iterator[tuple]:
         u, w, c = pair_columns(parts)
         keys = pair_keys(u, w)
-        order = np.argsort(keys)
+        order = in_order(keys)
         yield to, kind, to, None, [pack_sorted(keys[order]), pack(c[order])]
 
     def answer(to: int, found: dict) -> Iterator[tuple]:
@@ -817,7 +846,8 @@ def _score(chunks: DataFrame, model: Model, id_col: str) -> DataFrame:
     def run(_: tuple, table: pa.Table) -> pa.Table:
         found = by_kind(table)
         parts = found["chunk"][0][1]
-        hashes, code = chunk_pairs(unpack(parts[4]).view(np.uint64), unpack(parts[3]))
+        spelt_as = word_hashes(parts)
+        hashes, code = chunk_pairs(spelt_as, unpack(parts[3]))
         code, which = numbered(code)
         before, word = code // len(hashes), code % len(hashes)
         order, _ = dealt(hashes, blocks)
@@ -825,11 +855,13 @@ def _score(chunks: DataFrame, model: Model, id_col: str) -> DataFrame:
         n = np.zeros(len(hashes), np.int64)
         n[order] = np.concatenate([unpack(p[0]) for p in told])
         # natural logs: of an unseen word the spelling, and behind it nothing is kept
-        known, logs, backs = order[n[order] > 0], np.zeros((SAMPLES, len(hashes))), np.zeros((SAMPLES, len(hashes)))
-        logs[:, known] = np.log(np.concatenate([floats(p[1]).astype(float) for p in told], 1))
-        backs[:, known] = np.log((THETA + d * np.concatenate([unpack_each(p[2:]) for p in told], 1)) / (THETA + n[known]))
-        new, (data, starts, ends) = np.flatnonzero(n == 0), word_bytes([b"", b"", *parts[5:7]])
-        at = np.argsort(unpack(parts[4]).view(np.uint64))[new]
+        known, logs, backs = order[n[order] > 0], np.zeros((SAMPLES, len(hashes))), np.ones((SAMPLES, len(hashes)))
+        p_words = np.zeros((SAMPLES, len(hashes)))
+        p_words[:, known] = np.concatenate([floats(p[1]) for p in told], 1)
+        logs[:, known] = np.log(p_words[:, known])
+        backs[:, known] = (THETA + d * np.concatenate([unpack_each(p[2:]) for p in told], 1)) / (THETA + n[known])
+        new, (data, starts, ends) = np.flatnonzero(n == 0), word_bytes([b"", b"", *parts[4:6]])
+        at = in_order(spelt_as)[new]
         logs[:, new] = spell_logs(shared.value, data, starts[at], ends[at]) + np.log(root.back())[:, None]
 
         keys = pair_keys(hashes[before], hashes[word])
@@ -837,13 +869,16 @@ def _score(chunks: DataFrame, model: Model, id_col: str) -> DataFrame:
         told = [p for _, p in sorted(found["pairs"])]
         c = np.zeros(len(keys), np.int64)
         c[order] = np.concatenate([unpack(p[0]) for p in told])
-        tables = np.ones((SAMPLES, len(keys)), np.int64)
-        tables[:, order[c[order] > 1]] = np.concatenate([unpack_each(p[1:]) for p in told], 1)
-        each = backs[:, before] + logs[:, word]
-        seen = np.flatnonzero(c)
-        each[:, seen] = np.log((c[seen] - d * tables[:, seen]) / (THETA + n[before[seen]]) + np.exp(each[:, seen]))
+        # of a pair seen, whose words are known, the probability; of another, which may be as small as its spelling, the logarithm
+        many, seen, unseen = order[c[order] > 1], np.flatnonzero(c), np.flatnonzero(c == 0)
+        tables, full = np.ones(len(keys)), np.zeros(len(keys))
+        for s, sat in enumerate(np.concatenate([unpack_each(p[1:]) for p in told], 1)):
+            tables[many] = sat
+            full[seen] += (c[seen] - d * tables[seen]) / (THETA + n[before[seen]]) + backs[s][before[seen]] * p_words[s][word[seen]]
+        full[seen] = np.log10(full[seen] / SAMPLES)
+        each = np.log(backs)[:, before[unseen]] + logs[:, word[unseen]]
         peak = each.max(0)
-        full = (peak + np.log(np.exp(each - peak).mean(0))) / np.log(10)
+        full[unseen] = (peak + np.log(np.exp(each - peak).mean(0))) / np.log(10)
 
         docs_tokens = unpack(parts[2])
         rows = np.repeat(np.arange(len(docs_tokens)), docs_tokens)

@@ -19,6 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from priceengine.llm import audio, chat, language_model
+from priceengine.llm.kernels import token_hashes
 from priceengine.llm.staging import shared_folder
 from tests.llm.common import SCHEMA, frame, prose
 
@@ -367,6 +368,33 @@ def test_the_language_model_takes_few_bytes_for_each_pair(spark):
     assert taken < 12 * model.pairs.count()
 
 
+def test_chunks_hold_no_hashes_of_their_words(spark):
+    """Eight bytes a word that nothing compresses: here they would be more than the words themselves."""
+    rng = random.Random(9)
+    words = [f"{k:06d}" for k in rng.sample(range(10**6), 20_000)]
+    docs = frame(spark, [" ".join(words[i : i + 400]) for i in range(0, len(words), 400)]).coalesce(1)
+    row = language_model.chunked(docs, "doc_id", F.lit(True)).first()
+    assert sum(map(len, row.parts)) < 12 * len(words)
+    found = {bytes(w): h for w, h in zip(words_of(row.parts), language_model.word_hashes(row.parts).tolist(), strict=True)}
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _, hashed = token_hashes(data, np.array([0, len(data)]))
+    assert found == {b"": int(language_model.END_HASH), **{data[i:j].tobytes(): h for i, j, h in zip(starts, ends, hashed.tolist(), strict=True)}}
+
+
+def words_of(parts: list[bytes]) -> list[bytes]:
+    data, starts, ends = language_model.word_bytes([b"", b"", *parts[4:6]])
+    return [data[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]
+
+
+def test_order_of_long_and_alike_keys():
+    """The sort of keys with their places is a stable argsort, where keys differ in their lowest bits alone, too."""
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    near = np.uint64(2**63) + rng.integers(0, 40, 5000, dtype=np.uint64)
+    for keys in (hashes, near, np.append(hashes, near[:30]), rng.integers(0, 50, 5000), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.append(hashes, hashes)):
+        assert (language_model.in_order(keys) == np.argsort(keys, kind="stable")).all()
+
+
 def test_scores_do_not_depend_on_blocks_and_parts(spark, monkeypatch):
     docs, got = frame(spark, lm_texts(80)), []
     for block in (2_000_000, 500):
