@@ -17,7 +17,7 @@ their last states are averaged. A word pair that occurs once has one table in ev
 Where it runs: documents are cut once into chunks, runs of texts as numbers of words. Pairs and words are dealt out by hash to
 blocks of some BLOCK tokens each; what a block holds or tells another travels as packed columns, a row for each two blocks. In a sweep the blocks
 of words add up the tables that blocks of pairs tell them, seat the words and tell back; then the pairs are seated. To score, a chunk asks for its
-different pairs and words. Nothing of these passes the driver but sums. Pairs are dealt out by the hash of both words, so those
+different pairs and words; a chunk that the model is made from asks for its pairs as they are counted. Nothing of these passes the driver but sums. Pairs are dealt out by the hash of both words, so those
 of a frequent word are spread over all blocks. Byte contexts have CLASSES classes, so the spelling model has a bounded number of cells at any
 corpus size; those that occur come to the driver, in sorted arrays. Words and pairs are told apart by hashes of 64 bits.
 
@@ -346,7 +346,7 @@ def used(size: int, *places: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def chunked(docs: DataFrame, id_col: str, train: Column) -> DataFrame:
-    """Runs of documents as numbers of words: ids, which are null, tokens of each, words in order, the words: lengths and bytes (`word_hashes` has their hashes), and which are for training; sums: tokens of these."""
+    """Runs of documents as numbers of words: ids, which are null, tokens of each, words in order, the words: lengths and bytes (`word_hashes` has their hashes), and which are for training; sums: tokens of all."""
     limit = TOP
 
     def chunk(number: int, held: list[tuple]) -> pa.RecordBatch:
@@ -362,7 +362,7 @@ def chunked(docs: DataFrame, id_col: str, train: Column) -> DataFrame:
         nulls = np.asarray(ids.is_null()).astype(np.uint8).tobytes()
         tokens, trains = np.concatenate(tokens), np.concatenate(trains)
         parts = [np.asarray(ids.fill_null(0)).tobytes(), nulls, pack(tokens), pack(rank[words]), pack(np.diff(off)), data.tobytes(), trains.tobytes()]
-        return as_rows([(number, "chunk", number, [float(tokens[trains].sum())], parts)])
+        return as_rows([(number, "chunk", number, [float(tokens.sum())], parts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, n = TaskContext.get().partitionId() << 32, [], 0
@@ -429,23 +429,39 @@ def count_words(chunks: DataFrame, blocks: int) -> DataFrame:
     return each_block(each_row(chunks, ask), merge)
 
 
-def count_pairs(chunks: DataFrame, blocks: int) -> DataFrame:
-    """How often word w stands behind word u, by block, in the order of u: the words, places of u and w among them, counts; sums: pairs seen once and twice."""
-    def ask(_: int, __: str, parts: list[bytes]) -> Iterator[tuple]:
-        hashes, code = chunk_pairs(word_hashes(parts), for_training(parts))
-        code, n = np.unique(code, return_counts=True)
+def count_pairs(chunks: DataFrame, blocks: int, asked: bool) -> DataFrame:
+    """How often word w stands behind word u in training, by block, in the order of u: the words, places of u and w among them, counts; sums: pairs seen once and twice.
+
+    asked: with what `tell_pairs` tells the chunks later, as rows of their own: by key, counts of all pairs that stand in a chunk, the chunks, places of the pairs of each.
+    """
+    def ask(chunk: int, _: str, parts: list[bytes]) -> Iterator[tuple]:
+        hashes, code = chunk_pairs(word_hashes(parts), unpack(parts[3]))
+        code = code * 2 + np.repeat(np.frombuffer(parts[6], np.uint8), unpack(parts[2]))
+        code.sort()
+        begin = np.flatnonzero(np.diff(code >> 1, prepend=-1))
+        n, code = np.add.reduceat(code & 1, begin), code[begin] >> 1
+        if not asked:
+            n, code = n[n > 0], code[n > 0]
         u, w = code // len(hashes), code % len(hashes)
         order, there = by_places(pair_keys(hashes[u], hashes[w]) % np.uint64(blocks), blocks)
         for to, i, j in there:
             of = order[i:j]
             nodes, ui, wi = used(len(hashes), u[of], w[of])
-            yield to, "pairs", 0, None, packed_pairs(hashes[nodes], ui, wi, n[of])
+            yield to, "pairs", chunk, None, packed_pairs(hashes[nodes], ui, wi, n[of])
 
     def merge(to: int, found: dict) -> Iterator[tuple]:
-        u, w, n = (np.concatenate(x) for x in zip(*(pair_columns(p) for _, p in found["pairs"]), strict=True))
+        u, w, n = (list(x) for x in zip(*(pair_columns(p) for _, p in found["pairs"]), strict=True))
+        ends = np.cumsum([len(x) for x in n])[:-1]
+        u, w, n = (np.concatenate(x) for x in (u, w, n))
         order, begin = runs(pair_keys(u, w))
-        n = np.add.reduceat(n[order], begin)
-        u, w = u[order[begin]], w[order[begin]]
+        total = np.add.reduceat(n[order], begin)
+        if asked:
+            which = np.empty(len(n), np.int64)
+            which[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(n))))
+            places = [pack_sorted(np.sort(x).view(np.uint64)) for x in np.split(which, ends)]
+            yield to, "asked", to, None, [pack(total), pack(np.array([at for at, _ in found["pairs"]])), *places]
+        first, n = order[begin[total > 0]], total[total > 0]
+        u, w = u[first], w[first]
         order = in_order(u)
         n = n[order]
         nodes, which = numbered(np.concatenate([u[order], w[order]]))
@@ -638,7 +654,7 @@ def sweep_pairs(many: DataFrame, words: DataFrame, root: Root, d: float, seed: i
 
 @dataclass
 class Model:
-    """seated: words by block, with counts, customers, tables and spelling in the unigram restaurant, and the tables of their own; scored: pairs by block;
+    """seated: words by block, with counts, customers, tables and spelling in the unigram restaurant, and the tables of their own; scored: pairs by block, or what chunks have asked of them;
     restaurants: tables of the pairs seen more than once, in the order of their keys. d: discount of the pairs.
     """
 
@@ -720,15 +736,17 @@ def fit(train: DataFrame, seed: int = 5) -> Model:
     """The model of all texts of `train`."""
     with shuffles_dropped(train.sparkSession):
         chunks = staged(chunked(train.withColumn("__id", F.lit(0)), "__id", F.lit(True)), "chunks")
-        model = _fit(chunks, seed)
+        model = _fit(chunks, seed, False)
         release(chunks)
     return model
 
 
-def _fit(chunks: DataFrame, seed: int) -> Model:
+def _fit(chunks: DataFrame, seed: int, asked: bool) -> Model:
+    """asked: for `tell_pairs` to these chunks; the pairs themselves go."""
     blocks = 1 + int(sums_of(chunks, 1)[0]) // BLOCK
     counted = staged(count_words(chunks, blocks), "counted")
-    pairs = staged(count_pairs(chunks, blocks), "scores")
+    scored = staged(count_pairs(chunks, blocks, asked), "scores")
+    pairs = scored.where("kind = 'pairs'")
     words = staged(with_kinds(counted, pairs, blocks), "words")
     release(counted)
     said, seen = sums_of(words, 5), sums_of(pairs, 2)
@@ -746,6 +764,9 @@ def _fit(chunks: DataFrame, seed: int) -> Model:
     release(words, first)
 
     many = staged(repeated(pairs, blocks), "many")
+    if asked:
+        pairs = staged(scored.where("kind = 'asked'"), "asked")
+        release(scored)
     for sweep in range(SWEEPS + 1):
         seated = staged(sweep_words(spelt_words, many, root, seed + 7 + 10 * sweep, sweep == SWEEPS), "seated")
         sums = sums_of(seated, 2 * SAMPLES)
@@ -820,26 +841,44 @@ def ask_pairs(chunks: DataFrame, model: Model, part: int) -> DataFrame:
     return each_block(each_row(model.scored.where(here), keyed).unionByName(model.restaurants.where(here)).unionByName(each_row(chunks, ask)), answer)
 
 
+def tell_pairs(model: Model) -> DataFrame:
+    """What `ask_pairs` has, for the chunks that the model is made from: they asked when pairs were counted, so that no keys are dealt out again."""
+    def tell(to: int, found: dict) -> Iterator[tuple]:
+        t = np.zeros((SAMPLES, 0), np.int64)
+        for _, p in found["many"]:
+            t = unpack_each(p)
+        for _, parts in found["asked"]:
+            c = unpack(parts[0])
+            place = np.cumsum(c > 1) - 1
+            for chunk, places in zip(unpack(parts[1]).tolist(), parts[2:], strict=True):
+                at = unpack_sorted(places).view(np.int64)
+                n = c[at]
+                yield chunk, "pairs", to, None, [pack(n), *pack_each(t[:, place[at[n > 1]]])]
+
+    return each_block(model.scored.unionByName(model.restaurants), tell)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row. All that is asked of the model's tables is staged when this returns."""
     with shuffles_dropped(docs.sparkSession):
-        return _score(staged(chunked(docs, id_col, F.lit(True)), "chunks"), model, id_col)
+        chunks = staged(chunked(docs, id_col, F.lit(True)), "chunks")
+        return _score(chunks, model, [staged(ask_pairs(chunks, model, part), "answers") for part in range(min(PASSES, model.blocks))], id_col)
 
 
 def fit_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", seed: int = 5) -> DataFrame:
     """`score` of all rows under `fit` of those where `train` holds, with texts cut into words once; the model's tables go once used up."""
     with shuffles_dropped(docs.sparkSession):
         chunks = staged(chunked(docs, id_col, train), "chunks")
-        model = _fit(chunks, seed)
-        scored = _score(chunks, model, id_col)
+        model = _fit(chunks, seed, True)
+        scored = _score(chunks, model, [staged(tell_pairs(model), "answers")], id_col)
         release(model.seated, model.scored, model.restaurants)
     return scored
 
 
-def _score(chunks: DataFrame, model: Model, id_col: str) -> DataFrame:
+def _score(chunks: DataFrame, model: Model, told_pairs: list[DataFrame], id_col: str) -> DataFrame:
     answers = staged(ask_words(chunks, model), "answers")
-    for part in range(min(PASSES, model.blocks)):
-        answers = answers.unionByName(staged(ask_pairs(chunks, model, part), "answers"))
+    for told in told_pairs:
+        answers = answers.unionByName(told)
     shared = chunks.sparkSession.sparkContext.broadcast(model.spelling)
     unit, tokens, root, d, blocks = float(model.tokens + model.kinds + 1), model.tokens, model.root, model.d, model.blocks
 

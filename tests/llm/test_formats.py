@@ -368,6 +368,19 @@ def test_the_language_model_takes_few_bytes_for_each_pair(spark):
     assert taken < 12 * model.pairs.count()
 
 
+def test_chunks_ask_for_pairs_as_they_are_counted(spark, monkeypatch):
+    """No keys of pairs are dealt out again to score what the model is made from: many chunks and blocks, most rows held out, and none for training."""
+    docs = frame(spark, lm_texts(60))
+    want = {r.doc_id: r for r in language_model.score(docs, language_model.fit(docs.where("doc_id < 12"))).collect()}
+    for name, value in (("TOP", 100), ("BLOCK", 300), ("ask_pairs", None)):
+        monkeypatch.setattr(language_model, name, value)
+    for r in language_model.fit_and_score(docs, F.col("doc_id") < 12).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want[r.doc_id].n_tokens, want[r.doc_id].n_known, want[r.doc_id].train_tokens)
+        assert math.isclose(r.score, want[r.doc_id].score, rel_tol=1e-5)
+    assert {(r.n_known, r.train_tokens) for r in language_model.fit_and_score(docs, F.lit(False)).collect()} == {(0, 0)}
+    assert language_model.fit_and_score(docs.limit(0), F.lit(True)).collect() == []
+
+
 def test_chunks_hold_no_hashes_of_their_words(spark):
     """Eight bytes a word that nothing compresses: here they would be more than the words themselves."""
     rng = random.Random(9)
